@@ -31,7 +31,7 @@ BAND_RATIO = 1.3
 #: probability below 0.69**64 < 1e-10, comparable to a collision of 64-bit hashes; smaller bands are lossless.
 SEGMENTS, LEAST = 64, 3
 #: Rounds in which each bucket links its classes to one centre only, before all pairs of classes left are compared.
-ROUNDS = 3
+ROUNDS = 2
 
 
 def max_difference(total, num: int, den: int):
@@ -150,40 +150,48 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
         x = x.select("a", "b", F.size(F.array_intersect("ta", "tb")).cast("long").alias("both"), (F.size("ta") + F.size("tb")).cast("long").alias("total"))
         return x.where(f"{den} * both >= {num} * (total - both)").select("a", "b")
 
-    def open_buckets(comp: DataFrame | None) -> DataFrame:
+    def labels(links: DataFrame) -> DataFrame:
+        """node, label: some node that links reach in a few steps; equal labels mean one component."""
+        both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select(F.col("b").alias("node"), F.col("a").alias("other")))
+        one = both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label"))
+        two = both.join(one.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("label").alias("near"))
+        two = two.join(one, "node").select("node", F.least("label", "near").alias("label"))
+        far = two.select(F.col("node").alias("label"), F.col("label").alias("far"))
+        return stage(two.join(far, "label").select("node", F.col("far").alias("label")), "labels")
+
+    def open_buckets(label: DataFrame | None) -> DataFrame:
         """Members of the buckets that hold more than one class so far."""
-        x = members.withColumn("comp", F.col("node")) if comp is None else members.join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-        left = x.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+        if label is None:
+            return members.withColumn("label", F.col("node"))
+        x = members.join(label, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+        left = x.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
         return x.join(left, "key")
 
-    comp, tried, links = None, None, None
+    label, tried, links = None, None, None
     for turn in range(ROUNDS):
-        left = open_buckets(comp)
-        rank = F.xxhash64(F.col("comp"), F.lit(turn))
-        one = left.groupBy("key", "comp").agg(F.expr(f"min_by(node, xxhash64(node, {turn}))").alias("node"))
-        centre = one.groupBy("key").agg(F.min_by("node", rank).alias("centre"))
-        pairs = one.join(centre, "key").where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stage(pairs, "pairs")
-        if pairs.isEmpty():
-            break
+        left = open_buckets(label)
+        one = left.groupBy("key", "label").agg(F.expr(f"min_by(node, xxhash64(node, {turn}))").alias("node"))
+        centre = one.groupBy("key").agg(F.expr(f"min_by(node, xxhash64(label, {turn}))").alias("centre"))
+        pairs = stage(one.join(centre, "key").where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
         close = pairs.alias("p").join(info.alias("x"), F.expr("p.a = x.node")).join(info.alias("y"), F.expr("p.b = y.node")).where(near("x", "y")).select("a", "b")
-        found = verified(close)
-        links = stage(found if links is None else links.unionByName(found), "found")
-        comp = stage(connected_components(links, stage), "comp")
-    if comp is not None:
-        # What is left: every pair of different classes in a bucket, cut down by the sketches inside the join.
-        left = stage(open_buckets(comp).join(info.select("node", "n", "sketch"), "node"), "left")
-        if not left.isEmpty():
-            pairs = left.alias("x").join(left.alias("y"), F.expr(f"x.key = y.key AND x.comp < y.comp AND {near('x', 'y')}"))
-            pairs = pairs.select(F.expr("least(x.node, y.node)").alias("a"), F.expr("greatest(x.node, y.node)").alias("b")).distinct()
-            found = verified(pairs.join(tried, ["a", "b"], "left_anti"))
-            comp = connected_components(links.unionByName(found), stage)
-
-    if comp is None:
-        comp = spark.createDataFrame([], "node long, comp long")
+        found = stage(verified(close), "found")
+        links = found if links is None else links.unionByName(found)
+        label = labels(links)
+
+    # What is left: every pair of different classes in a bucket, cut down by the sketches inside the join.
+    left = stage(open_buckets(label).join(info.select("node", "n", "sketch"), "node"), "left")
+    pairs = left.alias("x").join(left.alias("y"), F.expr(f"x.key = y.key AND x.label < y.label AND {near('x', 'y')}"))
+    pairs = pairs.select(F.expr("least(x.node, y.node)").alias("a"), F.expr("greatest(x.node, y.node)").alias("b")).distinct()
+    found = stage(verified(pairs.join(tried, ["a", "b"], "left_anti")), "found")
+
+    # Components of the classes; most have no links to others by now.
+    ends = links.unionByName(found).join(label.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(label.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
+    comp = connected_components(ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")), stage).select(F.col("node").alias("label"), "comp")
+    single = found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node"))).distinct()
+    label = label.unionByName(single.join(label, "node", "left_anti").select("node", F.col("node").alias("label")))
+    comp = label.join(comp, "label", "left").select("node", F.coalesce("comp", "label").alias("comp"))
+
     # Classes of nodes to classes of documents: rows that share a doc_id, or a set, hang together.
     own = table.join(comp, "node", "left").select("doc_id", "n_shingles", F.coalesce("comp", "node").alias("class"))
     least = own.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
