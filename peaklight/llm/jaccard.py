@@ -30,6 +30,8 @@ BAND_RATIO = 1.3
 #: D differences leave a segment untouched with probability exp(-D/m) >= 0.367, so a link is missed with a
 #: probability below 0.69**64 < 1e-10, comparable to a collision of 64-bit hashes; smaller bands are lossless.
 SEGMENTS, LEAST = 64, 3
+#: Bits of the filter of candidates that is broadcast: 16 MB at most.
+MOST_BITS = 1 << 27
 #: Rounds in which each bucket links its classes to one centre only, before all pairs of classes left are compared.
 ROUNDS = 2
 
@@ -105,9 +107,41 @@ def _summaries(k: int, num: int, den: int):
     return run
 
 
-def _sets(k: int):
+def _places(ids: np.ndarray, bits: int) -> np.ndarray:
+    """Two places of each id in a filter of so many bits (a power of two)."""
+    h = mix(ids.view(U) + U(0x632BE59BD9B4E019))
+    return np.stack([h & U(bits - 1), (h >> U(32)) & U(bits - 1)]).astype(np.int64)
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of doc_ids as bytes, at most MOST_BITS / 8 whatever the number of ids.
+
+    Each partition sends the words it sets; words are united before they come to
+    the driver.  A full filter lets every id through, which costs work but no result.
+    """
+    bits = min(MOST_BITS, max(1 << 16, 1 << (16 * max(1, ids.count())).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.unique(_places(b.column(0).fill_null(-(2**63)).to_numpy(), bits))
+            words, first = np.unique(at >> 6, return_index=True)
+            yield pa.RecordBatch.from_pydict({"word": pa.array(words), "set": pa.array(np.bitwise_or.reduceat(U(1) << (at & 63).astype(U), first).view(np.int64) if len(at) else np.zeros(0, np.int64))})
+
+    out = np.zeros(bits // 64, np.int64)
+    for r in ids.mapInArrow(run, "word long, set long").groupBy("word").agg(F.expr("bit_or(set)").alias("set")).toLocalIterator():
+        out[r[0]] = r[1]
+    return out
+
+
+def _sets(k: int, known):
+    """Token sets of the texts whose doc_id may be in the filter."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = known.value
         for batch in batches:
+            at = _places(batch.column("doc_id").fill_null(-(2**63)).to_numpy(), len(words) * 64)
+            bit = U(1) << (at & 63).astype(U)
+            batch = batch.filter(pa.array(((words[at >> 6].view(U) & bit) != 0).all(0)))
             for _, _, data, off in blocks(batch.column("text")):
                 sets = [s for s in shingle_sets(data, off, k) if len(s)]
                 yield pa.RecordBatch.from_pydict({"node": pa.array([node_of(s) for s in sets], pa.int64()), "tokens": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))})
@@ -133,13 +167,16 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     # Buckets of equal segments; copies are one node, so partial aggregation folds them before the shuffle.
     rows = table.select(F.explode("keys").alias("key"), "node")
     multi = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
-    members = stage(rows.join(multi, "key").distinct(), "members")
+    # A merge join whatever the size: AQE splits what a hot key gathers.
+    members = stage(rows.join(multi.hint("merge"), "key").distinct(), "members")
     nodes = members.select("node").distinct()
     info = stage(
         table.join(nodes, "node").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("doc_id")),
         "nodes",
     )
-    sets = stage(docs.join(info.select("doc_id").distinct(), "doc_id").mapInArrow(_sets(k), "node long, tokens array<long>").join(info.select("node"), "node").dropDuplicates(["node"]), "tokens")
+    # Texts stay where they are: only the sets of candidate documents move.
+    known = spark.sparkContext.broadcast(id_filter(info.select("doc_id")))
+    sets = stage(docs.mapInArrow(_sets(k, known), "node long, tokens array<long>").join(info.select("node"), "node").dropDuplicates(["node"]), "tokens")
 
     def near(a: str, b: str) -> str:
         distance = " + ".join(f"bit_count({a}.sketch[{i}] ^ {b}.sketch[{i}])" for i in range(SKETCH_BITS // 64))
