@@ -1,0 +1 @@
+"""Search and signal processing for one-dimensional spectra, on Spark DataFrames."""
