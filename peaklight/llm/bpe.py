@@ -7,11 +7,12 @@ import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from peaklight.llm._base import documents
+from peaklight.llm._base import BLOCK_BYTES, documents
 
 #: Entries of a worker's caches of encoded pieces; when full they start anew.
 CACHE = 300_000
@@ -95,6 +96,68 @@ class SegmentTreeBPE:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
+class SegmentTreeBatch:
+    """The same trees for many short pieces side by side: row r of each array belongs to piece r.
+
+    Every round merges the root's pair of all pieces that still have one.
+    """
+
+    NEVER = np.int64(1 << 62)
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
+        pairs = [((ranks[t[:i]] << 32) + ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+        keys, values = np.array([k for k, _ in pairs], np.int64), np.array([r for _, r in pairs], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order]
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of the union of two tokens, which is its id; -1 if there is none."""
+        key = (left << 32) + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.values[at], -1)
+
+    def encode(self, pieces: list[bytes], size: int) -> list[list[int]]:
+        """Pieces of 2 to size + 1 bytes; size, the number of leaves, is a power of two."""
+        width, shift, never = size + 1, size.bit_length() - 1, self.NEVER
+        n = np.array([len(p) for p in pieces])
+        tok = self.byte[np.frombuffer(b"".join([p.ljust(width, b"\0") for p in pieces]), np.uint8).reshape(len(pieces), width)]
+        nxt = np.tile(np.arange(1, width + 1), (len(pieces), 1))
+        prv = np.tile(np.arange(-1, width), (len(pieces), 1))
+        alive = np.arange(width)[None] < n[:, None]
+        first = self.rank(tok[:, :-1], tok[:, 1:])
+        tree = np.full((len(pieces), 2 * size), never)
+        tree[:, size:] = np.where((first >= 0) & alive[:, 1:], first * size + np.arange(size), never)
+        level = size // 2
+        while level:
+            tree[:, level : 2 * level] = np.minimum(tree[:, 2 * level : 4 * level : 2], tree[:, 2 * level + 1 : 4 * level : 2])
+            level //= 2
+        rows = np.arange(len(pieces))
+        while True:
+            top = tree[rows, 1]
+            rows, top = rows[top < never], top[top < never]
+            if not len(rows):
+                break
+            i, new = top & (size - 1), top >> shift
+            j = nxt[rows, i]
+            end = nxt[rows, j]
+            tok[rows, i], nxt[rows, i], prv[rows, end], alive[rows, j] = new, end, i, False
+            left = prv[rows, i]
+            after = self.rank(new, tok[rows, np.minimum(end, width - 1)])
+            before = self.rank(tok[rows, np.maximum(left, 0)], new)
+            tree[rows, size + i] = np.where((end < n[rows]) & (after >= 0), after * size + i, never)
+            pair = j < size
+            tree[rows[pair], size + j[pair]] = never
+            known = left >= 0
+            tree[rows[known], size + left[known]] = np.where(before >= 0, before * size + left, never)[known]
+            for at in (size + i, size + np.minimum(j, size - 1), size + np.maximum(left, 0)):
+                for _ in range(shift):
+                    at = at >> 1
+                    tree[rows, at] = np.minimum(tree[rows, 2 * at], tree[rows, 2 * at + 1])
+        ids, ends = tok[alive].tolist(), np.cumsum(alive.sum(1)).tolist()
+        return [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
 class TextCoder:
     """Encodes and decodes whole texts, and remembers frequent pieces.
 
@@ -105,45 +168,73 @@ class TextCoder:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.bpe = SegmentTreeBPE(ranks)
+        self.batch = SegmentTreeBatch(ranks)
         self.pattern = regex.compile(pattern)
         self.odd = regex.compile(r"\s(?=[ ])| (?=\s)")
-        self.pieces: dict[str, tuple[int, bytes, bytes]] = {}
-        self.chunks: dict[str, tuple[int, bytes, bytes]] = {}
-
-    def piece(self, text: str) -> tuple[int, bytes, bytes]:
-        got = self.pieces.get(text)
-        if got is None:
-            ids = self.bpe.encode_piece(text.encode())
-            got = len(ids), b"".join(b",%d" % i for i in ids), self.bpe.decode(ids)
-            if len(text) <= LONGEST:
-                if len(self.pieces) >= CACHE:
-                    self.pieces.clear()
-                self.pieces[text] = got
-        return got
-
-    def chunk(self, text: str) -> tuple[int, bytes, bytes]:
-        got = self.chunks.get(text)
-        if got is None:
-            parts = [self.piece(x) for x in self.pattern.findall(text)]
-            got = sum(p[0] for p in parts), b"".join([p[1] for p in parts]), b"".join([p[2] for p in parts])
-            if len(text) <= LONGEST:
-                if len(self.chunks) >= CACHE:
-                    self.chunks.clear()
-                self.chunks[text] = got
-        return got
+        #: (ids in decimal, each after a comma; the bytes decoded from them) by piece, and by part of a text
+        self.pieces: dict[str, tuple[bytes, bytes]] = {}
+        #: Parts after a space (without it), and parts that begin a text or are matched as a whole.
+        self.spaced: dict[str, tuple[bytes, bytes]] = {}
+        self.decimal = [b",%d" % i for i in range(max(ranks.values()) + 1)]
+
+    def _learn(self, texts: set[str]) -> None:
+        """Encode pieces that aren't known yet: short ones together, the others one by one."""
+        groups: dict[int, list[tuple[str, bytes]]] = {}
+        ranks = self.bpe.ranks
+        for x in texts:
+            raw = x.encode()
+            n = len(raw)
+            groups.setdefault(0 if n < 2 or raw in ranks or n > 65 else max(8, 1 << (n - 2).bit_length()), []).append((x, raw))
+        for size, own in groups.items():
+            for at in range(0, len(own), 4096):
+                part = own[at : at + 4096]
+                found = [self.bpe.encode_piece(raw) for _, raw in part] if not size else self.batch.encode([raw for _, raw in part], size)
+                for (x, _), ids in zip(part, found, strict=True):
+                    self.pieces[x] = b"".join([self.decimal[i] for i in ids]), self.bpe.decode(ids)
+
+    def many(self, texts: list[str]) -> list[tuple[int, bytes, bytes]]:
+        """For each text the number of ids, these in decimal joined by commas, and the bytes decoded from them."""
+        if len(self.spaced) > CACHE:
+            self.spaced.clear()
+        spaced, findall, plans, alone, new = self.spaced, self.pattern.findall, [], {}, {}
+        for text in texts:
+            if self.odd.search(text):
+                first, rest, found = text, [], []
+            else:
+                first, *rest = text.split(" ")
+                found = list(map(spaced.get, rest))
+                if None in found:
+                    for x, known in zip(rest, found, strict=True):
+                        if known is None and x not in new:
+                            new[x] = findall(f" {x}")
+            if first not in alone:
+                alone[first] = findall(first)
+            plans.append((first, rest, found))
+        pieces = self.pieces
+        wanted = {p for own in (*new.values(), *alone.values()) for p in own}
+        if len(pieces) + len(wanted) > CACHE:
+            pieces.clear()
+        self._learn(wanted.difference(pieces))
+
+        def whole(own: list[str]) -> tuple[bytes, bytes]:
+            if len(own) == 1:
+                return pieces[own[0]]
+            ids, back = zip(*map(pieces.__getitem__, own), strict=True) if own else ((), ())
+            return b"".join(ids), b"".join(back)
+
+        fresh = {x: whole(own) for x, own in new.items()}
+        spaced.update((x, v) for x, v in fresh.items() if len(x) <= LONGEST)
+        out = []
+        for first, rest, found in plans:
+            if None in found:
+                found = [v or fresh[x] for x, v in zip(rest, found, strict=True)]
+            ids, back = zip(whole(alone[first]), *found, strict=True)
+            joined = b"".join(ids)
+            out.append((joined.count(b","), joined[1:], b"".join(back)))
+        return out
 
     def __call__(self, text: str) -> tuple[int, bytes, bytes]:
-        """Number of ids, these in decimal joined by commas, and the bytes decoded from them."""
-        if not text:
-            return 0, b"", b""
-        if self.odd.search(text):
-            parts = [self.piece(x) for x in self.pattern.findall(text)]
-        else:
-            first, *rest = text.split(" ")
-            known, chunk = self.chunks.get, self.chunk
-            parts = [chunk(first)] if first else []
-            parts += [known(x) or chunk(x) for x in [f" {x}" for x in rest]]
-        return sum([p[0] for p in parts]), b"".join([p[1] for p in parts])[1:], b"".join([p[2] for p in parts])
+        return self.many([text])[0]
 
 
 @lru_cache(2)
@@ -157,12 +248,17 @@ def _code(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(path, pattern)
         for batch in batches:
-            n, ids, back = [], [], []
-            for x in batch.column("text"):
-                count, joined, decoded = code(x.as_py())
-                n.append(count)
-                ids.append(hashlib.sha256(joined).hexdigest())
-                back.append(hashlib.sha256(decoded).hexdigest())
+            n, ids, back, texts, size = [], [], [], [], 0
+            for k, x in enumerate(batch.column("text")):
+                texts.append(x.as_py())
+                size += len(texts[-1])
+                if size < BLOCK_BYTES and k + 1 < len(batch):
+                    continue
+                for count, joined, decoded in code.many(texts):
+                    n.append(count)
+                    ids.append(hashlib.sha256(joined).hexdigest())
+                    back.append(hashlib.sha256(decoded).hexdigest())
+                texts, size = [], 0
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids), "decoded_sha256": pa.array(back)})
 
     return run
