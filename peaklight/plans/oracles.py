@@ -81,7 +81,7 @@ seg AS (SELECT *, sum(CASE WHEN dx > lim THEN 1 ELSE 0 END) OVER (PARTITION BY s
 """
 
 HEADERS = """
-SELECT p_partkey AS row_id, p_name AS name, 'Fe2O' || (p_size % 5) AS formula, 'R' || lpad(p_partkey::VARCHAR, 6, '0') AS reference_id, 514.5 AS wavelength, 'c axis' AS orientation,
+SELECT p_partkey AS row_id, p_name AS name, 'Fe2O' || (p_size % 5) AS formula, 'R' || lpad(p_partkey::VARCHAR, 6, '0') AS reference_id, 514.5::DOUBLE AS wavelength, 'c axis' AS orientation,
   CASE WHEN p_partkey % 2 = 0 THEN 'raw' ELSE 'processed' END AS processing, CASE WHEN p_partkey % 3 = 0 THEN 'excellent' ELSE 'fair' END AS quality,
   CASE WHEN p_partkey % 3 = 0 THEN 'oriented' ELSE 'unoriented' END AS sample_orientation, p_partkey % 2 = 1 AS already_processed, 'Quartz__R' || p_partkey || '__Raman__514-5__90-000__ccw' AS acquisition FROM part
 """
@@ -96,7 +96,7 @@ SELECT a.row_id, round(sum(a.v * b.v) / (sqrt(sum(a.v * a.v)) * sqrt(sum(b.v * b
     "shift_align": ALIGN
     + f""", ends AS (SELECT row_id, min(pos) AS a, max(pos) AS z FROM lib2 WHERE s GROUP BY row_id)
 SELECT row_id, shift::BIGINT AS shift, common, round(similarity, 6) AS similarity, round(shape, 6) AS shape, round(gradient, 6) AS gradient, abs(shift) = 5 AS shift_boundary, a + shift < 0 OR z + shift > 63 AS grid_clipped FROM best JOIN ends USING (row_id)""",
-    "rank_components": ALIGN + "SELECT row_id, round(0.88 * similarity, 6) AS similarity_part, round(0.12 * (row_id % 100) / 100, 6) AS pcs_part, round(0.88 * similarity + 0.12 * (row_id % 100) / 100, 6) AS composed, round(0.88 * similarity + 0.12 * (row_id % 100) / 100, 6) AS final, true AS consistent FROM best",
+    "rank_components": ALIGN + "SELECT row_id, round(0.88 * similarity, 6) AS similarity_part, round((0.12 * (row_id % 100) / 100)::DOUBLE, 6) AS pcs_part, round(0.88 * similarity + 0.12 * (row_id % 100) / 100, 6) AS composed, round(0.88 * similarity + 0.12 * (row_id % 100) / 100, 6) AS final, true AS consistent FROM best",
     "phase_rollup": TRACES
     + """SELECT phase_rank, phase_key, phase_name, best_row_id, round(aggregate_score, 6) AS aggregate_score, round(median_group_score, 6) AS median_group_score, round(best_reference_score, 6) AS best_reference_score, round(mean_coverage_fraction, 6) AS mean_coverage_fraction,
   round(minimum_group_coverage_fraction, 6) AS minimum_group_coverage_fraction, minimum_group_common_point_count, independent_reference_count, reference_variant_count, shift_boundary_group_count, grid_boundary_clipped_group_count FROM phases""",
@@ -125,7 +125,7 @@ SELECT row_id, common_points, round(scale, 6) AS scale, round(CASE WHEN before >
     "resample_grid": STEPS
     + """, sp AS (SELECT signal, segment, x AS x0, y AS y0, lead(x) OVER w AS x1, lead(y) OVER w AS y1, row_number() OVER w AS n FROM seg WINDOW w AS (PARTITION BY signal, segment ORDER BY x)),
 c AS (SELECT *, unnest(range((CASE WHEN n = 1 THEN ceil(x0 / 4 - 1e-9) ELSE floor(x0 / 4 + 1e-9) + 1 END)::BIGINT, floor(x1 / 4 + 1e-9)::BIGINT + 1)) AS grid FROM sp WHERE x1 IS NOT NULL)
-SELECT signal, segment, grid, round(grid * 4.0, 6) AS x, round(y0 + (y1 - y0) * (least(greatest(grid * 4.0, x0), x1) - x0) / (x1 - x0), 6) AS y FROM c""",
+SELECT signal, segment, grid, round(grid * 4.0::DOUBLE, 6) AS x, round(y0 + (y1 - y0) * (least(greatest(grid * 4.0, x0), x1) - x0) / (x1 - x0), 6) AS y FROM c""",
     "axis_quality": STEPS
     + """, t AS (SELECT *, max(y) OVER w AS ymax, min(y) OVER w AS ymin FROM g WINDOW w AS (PARTITION BY signal)),
 a AS (SELECT signal, count(*) AS point_count, min(x) AS minimum, max(x) AS maximum, any_value(med) AS median_spacing, stddev_pop(dx) FILTER (dx > 0) / any_value(med) AS spacing_cv, count(*) FILTER (dx = 0) AS duplicate_count, count(*) FILTER (dx > lim) AS gap_count,
@@ -159,7 +159,7 @@ SELECT row_id, min(pos) AS start, max(pos) AS "end", count(*) AS points FROM i G
 g AS (SELECT row_id, CASE WHEN pos = 0 THEN lead(v) OVER w - v WHEN pos = 63 THEN v - lag(v) OVER w ELSE (lead(v) OVER w - lag(v) OVER w) / 2 END AS g FROM s WINDOW w AS (PARTITION BY row_id ORDER BY pos))
 SELECT row_id, round(sum(abs(g)), 6) AS variation, round(max(g), 6) AS steepest FROM g GROUP BY row_id""",
     "subtract_reference": f"""WITH {LONG}, m AS (SELECT label, pos, avg(v) AS m FROM lib GROUP BY ALL)
-SELECT row_id AS signal, round(sum(v - 0.5 * m), 6) AS sum_y, 0.75 AS overlap, count(*) AS points FROM lib JOIN m USING (label, pos) WHERE pos % 4 <> 3 GROUP BY row_id""",
+SELECT row_id AS signal, round(sum(v - 0.5 * m), 6) AS sum_y, 0.75::DOUBLE AS overlap, count(*) AS points FROM lib JOIN m USING (label, pos) WHERE pos % 4 <> 3 GROUP BY row_id""",
     "element_filter_all": ELEMENTS + "SELECT row_id, formula, array_to_string(elements, ',') AS elements FROM e WHERE NOT has_formula OR (NOT list_contains(elements, 'Sm') AND list_has_all(elements, ['O', 'Re']))",
     "element_filter_only": ELEMENTS + "SELECT row_id, formula, array_to_string(elements, ',') AS elements FROM e WHERE has_formula AND NOT already_processed AND list_has_all(['O', 'Re', 'Bl', 'Ec', 'Sm', 'St'], elements)",
     "element_filter_exact": ELEMENTS + "SELECT row_id, formula, array_to_string(elements, ',') AS elements FROM e WHERE has_formula AND elements = ['Ec', 'O', 'Re']",
@@ -169,7 +169,7 @@ SELECT row_id AS signal, round(sum(v - 0.5 * m), 6) AS sum_y, 0.75 AS overlap, c
 SELECT phase_key, count(*) AS rows, min(slug) AS slug, min(p_partkey) AS first_row FROM n GROUP BY phase_key""",
     "background_neutral": ELEMENTS + "SELECT row_id, name, already_processed FROM e WHERE already_processed UNION ALL SELECT row_id, name, already_processed FROM e WHERE NOT already_processed AND row_id % 2 = 0",
     "provenance_parse": HEADERS,
-    "numeric_body": "SELECT p_partkey AS row_id, 2::BIGINT AS points, 100.5 AS x0, p_partkey::DOUBLE AS y0, 7.0 AS y1 FROM part",
+    "numeric_body": "SELECT p_partkey AS row_id, 2::BIGINT AS points, 100.5::DOUBLE AS x0, p_partkey::DOUBLE AS y0, 7.0::DOUBLE AS y1 FROM part",
     "delimiter_detect": FILES + "SELECT path, CASE kind WHEN 0 THEN 'comma' WHEN 1 THEN 'tab' WHEN 2 THEN 'semicolon' ELSE 'whitespace' END AS delimiter, count(*) AS numeric_rows FROM rows GROUP BY path, kind",
     "measurement_parse": """WITH a AS (SELECT user_id AS path, count(*) AS points, sum(value) AS t, min(event_id)::DOUBLE AS x0 FROM events GROUP BY ALL)
 SELECT path, points, CASE WHEN path % 7 = 0 THEN 'not numeric: line ' || (points + 3) WHEN points < 2 THEN 'fewer than two different x' ELSE '' END AS error,
@@ -200,7 +200,7 @@ r AS (SELECT 'cosine' AS app, query, hit, row_number() OVER (PARTITION BY query
 t AS (SELECT * FROM r WHERE rank <= 10), e AS (SELECT app, query, rank, hit FROM t UNION ALL SELECT 'either', query, rank, bool_or(hit) FROM t GROUP BY query, rank),
 f AS (SELECT app, query, min(rank) FILTER (hit) AS first FROM e GROUP BY ALL), k AS (SELECT unnest([1, 3, 6, 10])::BIGINT AS k),
 s AS (SELECT app, k, count(*) FILTER (first <= k) AS hits, count(*) AS total FROM f, k GROUP BY ALL)
-SELECT app, k, hits, total, round(100.0 * hits / total, 6) AS percent, round(100 * 1.96 / (1 + 1.96 * 1.96 / total) * sqrt((hits / total) * (1 - hits / total) / total + 1.96 * 1.96 / (4 * total * total)), 6) AS half_width FROM s""",
+SELECT app, k, hits, total, round((100.0 * hits / total)::DOUBLE, 6) AS percent, round(100 * 1.96 / (1 + 1.96 * 1.96 / total) * sqrt((hits / total) * (1 - hits / total) / total + 1.96 * 1.96 / (4 * total * total)), 6) AS half_width FROM s""",
     "candidate_match": """WITH n AS (SELECT p_partkey, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS l FROM part)
 SELECT p_partkey, l AS loose, list_bool_or(list_transform(['redwidget', 'bolt', 'ri'], lambda t: t = l OR (length(t) >= 4 AND contains(l, t)) OR (length(l) >= 4 AND contains(t, l)))) AS hit FROM n""",
     "medoid": f"""WITH {LONG}, n AS (SELECT row_id, label, pos, v / sqrt(sum(v * v) OVER (PARTITION BY row_id)) AS u FROM lib), t AS (SELECT label, pos, sum(u) AS t, count(*) AS members FROM n GROUP BY ALL),
