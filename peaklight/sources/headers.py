@@ -35,7 +35,7 @@ def tag(text: Column, name: str) -> Column:
     escaped = name.replace(".", r"\.")
     block = F.regexp_extract(text, rf"(?m)^{escaped}[ \t]*\r?\n;[ \t]*\r?\n?([\s\S]*?)\r?\n;", 1)
     inline = F.regexp_extract(text, rf"(?m)^{escaped}[ \t]+(\S.*?)[ \t]*\r?$", 1)
-    below = F.regexp_extract(text, rf"(?m)^{escaped}[ \t]*\r?\n(?![_;])(?!loop_)(\S.*?)[ \t]*\r?$", 1)
+    below = F.regexp_extract(text, rf"(?m)^{escaped}[ \t]*\r?\n[ \t]*(?![_;])(?!loop_)(\S.*?)[ \t]*\r?$", 1)
     return first_text(known_value(block), known_value(inline), known_value(below))
 
 
