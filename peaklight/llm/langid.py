@@ -106,33 +106,38 @@ class ByteCNN:
 
         self.first, self.second = pairs(0, by), pairs(2, by[1:])
 
-    def windows(self, padded: np.ndarray) -> np.ndarray:
-        """Probabilities of windows; padded: whole windows of WINDOW bytes, side by side."""
+    def windows(self, padded: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Probabilities of windows; padded: whole windows of WINDOW bytes, side by side; last: the windows that end a text.
+
+        A filter may look three bytes beyond its window, and sees zeros behind the end of a text.
+        """
         if self.first is None:
             self._tables()
-        out = np.empty((len(padded) // WINDOW, len(self.labels)), np.float32)
-        for at in range(0, len(padded), CHUNK):
-            own = np.append(padded[at : at + CHUNK], np.resize(padded[at + CHUNK : at + CHUNK + 3], 3) if at + CHUNK + 3 <= len(padded) else np.zeros(3, np.uint8)).astype(np.int32)
-            pair = own[:-1] * 256 + own[1:]
-            n = len(own) - 3
-            conv = self.first[pair[:n]]
-            conv[:, FILTERS:] += self.second[pair[2 : n + 2]]
-            hidden = np.maximum(conv.reshape(n // WINDOW, WINDOW, -1).max(1) + self.bias, 0)
-            out[at // WINDOW : at // WINDOW + n // WINDOW] = _softmax(hidden @ self.out + self.out_bias)
+        out = np.empty((len(last), len(self.labels)), np.float32)
+        whole = np.lib.stride_tricks.sliding_window_view(np.append(padded, np.zeros(3, np.uint8)), WINDOW + 3)[::WINDOW]
+        for at in range(0, len(last), CHUNK // WINDOW):
+            own = whole[at : at + CHUNK // WINDOW].astype(np.int32)
+            own[last[at : at + len(own)], WINDOW:] = 0
+            pair = own[:, :-1] * 256 + own[:, 1:]
+            conv = self.first[pair[:, :WINDOW]]
+            conv[:, :, FILTERS:] += self.second[pair[:, 2 : WINDOW + 2]]
+            hidden = np.maximum(conv.max(1) + self.bias, 0)
+            out[at : at + len(own)] = _softmax(hidden @ self.out + self.out_bias)
         return out
 
     def documents(self, raws: list[bytes]) -> np.ndarray:
         """Probabilities of each text: the mean of its windows, each counted by its bytes."""
         n = np.array([len(r) for r in raws], np.int64)
-        # Three bytes of zero at least stand behind a text, so no filter sees two texts at once.
-        counts = np.maximum(1, -(-(n + 3) // WINDOW))
+        counts = np.maximum(1, -(-n // WINDOW))
         ends = np.cumsum(counts)
         padded = np.zeros(int(ends[-1]) * WINDOW, np.uint8)
         for raw, at in zip(raws, ((ends - counts) * WINDOW).tolist(), strict=True):
             padded[at : at + len(raw)] = np.frombuffer(raw, np.uint8)
         place = np.arange(len(padded) // WINDOW) - np.repeat(ends - counts, counts)
         weight = np.clip(np.repeat(n, counts) - place * WINDOW, 1e-6, WINDOW)[:, None]
-        p = np.add.reduceat(self.windows(padded) * weight, ends - counts, axis=0)
+        last = np.zeros(len(place), bool)
+        last[ends - 1] = True
+        p = np.add.reduceat(self.windows(padded, last) * weight, ends - counts, axis=0)
         return p / p.sum(1, keepdims=True)
 
 
