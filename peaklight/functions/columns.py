@@ -91,3 +91,20 @@ def wilson_half_width(hits: Column, total: Column, z: float = 1.96) -> Column:
     """Half the width of Wilson's interval of a share; 0 without any trials."""
     p = hits / total
     return F.when(total > 0, z / (1 + z * z / total) * F.sqrt(p * (1 - p) / total + z * z / (4 * total * total))).otherwise(F.lit(0.0))
+
+
+def gap_masked(values: Column, mask: Column) -> Column:
+    """Values where the mask holds, NULL elsewhere: a line drawn through them breaks at gaps."""
+    return F.zip_with(values, mask, lambda v, m: F.when(m, v))
+
+
+def clipped_trace(values: Column, runs: Column, low: Column | int, high: Column | int) -> Column:
+    """(pos, value) of the points inside the support and low..high."""
+    points = F.transform(values, lambda v, i: F.struct(i.alias("pos"), v.alias("value")))
+    return F.filter(points, lambda p: p["pos"].between(low, high) & F.exists(runs, lambda r: p["pos"].between(r["start"], r["end"])))
+
+
+def content_hash(values: Column, mask: Column) -> Column:
+    """SHA-1 over the values as 32-bit floats and the mask, independent of how they are stored."""
+    body = F.array_join(F.transform(values, lambda v: F.coalesce(v.cast("float").cast("string"), F.lit("null"))), ",")
+    return F.sha1(F.concat(body, F.lit("|"), F.array_join(F.transform(mask, lambda m: F.when(m, "1").otherwise("0")), "")))

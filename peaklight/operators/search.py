@@ -209,3 +209,9 @@ def legacy_rank(library: DataFrame, vector: list[float], top: int = 30, vectors:
     """Plain cosine of min-max vectors; 0 where a norm vanishes."""
     q = C.minmax(F.array(*map(F.lit, map(float, vector))))
     return library.withColumn("score", C.cosine(C.minmax(C.doubles(F.col(vectors))), q)).orderBy(F.col("score").desc(), "row_id").limit(top)
+
+
+def enrich(shown: DataFrame, provenance: DataFrame) -> DataFrame:
+    """Provenance by row_id for the rows to show (a bounded list, so it is the side that is sent); rows without any keep NULLs."""
+    known = provenance.join(F.broadcast(shown.select("row_id").distinct()), "row_id", "left_semi")
+    return shown.join(known, "row_id", "left")

@@ -147,6 +147,12 @@ def subtract(signal: DataFrame, reference: DataFrame, scale: float, key: str = "
     return out.withColumn("overlap", share).where("_ref is not null").withColumn(y, F.col(y) - scale * F.col("_ref")).drop("_ref")
 
 
+def overlap(target: DataFrame, reference: DataFrame, key: str = "signal", grid: str = "grid") -> DataFrame:
+    """Share of the target's grid points at which the reference has a value; 0 without a reference."""
+    there = reference.select(key, grid).distinct().withColumn("_there", F.lit(1.0))
+    return target.join(there, [key, grid], "left").groupBy(key).agg(F.avg(F.coalesce("_there", F.lit(0.0))).alias("overlap"), F.count("*").alias("points"))
+
+
 def true_runs(points: DataFrame, flag: str, key: str = "signal", pos: str = "pos") -> DataFrame:
     """Runs of neighbouring positions where the flag holds: both ends and the number of points."""
     w = Window.partitionBy(key).orderBy(pos)

@@ -28,15 +28,21 @@ def pooled(packs: dict[str, DataFrame], query: Query, top_n: int, how: Matching)
             rows = rows.where(~search.phase_key(F.col("name")).isin(sorted(query.exclude)))
         keep = [c for c in CARRIED if c in rows.columns] + [c for c in search.NEEDS if c != "row_id"]
         short = search.shortlist(search.screen(rows, query.vector, query.mask, keep, how.offset_query), how.shortlist(variant, top_n))
+        # The shortlist is one partition of bounded size; alignment is worth all cores.
+        short = short.repartition(min(64, library.sparkSession.sparkContext.defaultParallelism))
         refined = search.refine(short, query.vector, query.mask, how, [c for c in keep if c not in search.NEEDS or c == "row_id"])
         out = refined if out is None else out.unionByName(refined)
     return out
 
 
 def match(packs: dict[str, DataFrame], query: Query, top_n: int = 60, how: Matching | None = None, policy: Evidence | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows to show, phases, decision).  The pool is at most the shortlists, so it is cached for its three uses."""
+    """(rows to show, phases, decision).
+
+    The pool holds the shortlists at most, whatever the size of the library; so it is
+    cached for its three uses in one partition, and all that follows needs no shuffle.
+    """
     how = how or Matching()
-    pool = pooled(packs, query, top_n, how).persist()
+    pool = pooled(packs, query, top_n, how).repartition(1).persist()
     phases = evidence.rank_phases(pool)
     decision = evidence.decide(phases, policy)
     rows = evidence.annotate(pool, phases, decision).withColumn("identity", search.presentation_identity(F.lit(""), F.col("reference_id"), F.col("row_id")))

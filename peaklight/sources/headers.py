@@ -110,3 +110,17 @@ def body(files: DataFrame, key: str = "path", text: str = "value") -> DataFrame:
     out = files.select(key, F.array_sort(pairs).alias("p"))
     some = F.size("p") > 0
     return out.select(key, F.when(some, F.col("p.x")).alias("axis"), F.when(some, F.col("p.y")).alias("intensity"), F.when(~some, F.lit("no numeric lines")).alias("error"))
+
+
+def loop_pairs(text: Column, least: int = 5) -> Column:
+    """Array of (x, y) of a tagged file: of the loop that names the shift column if it has ``least`` rows, else of all lines of two or more numbers if these are as many; NULL otherwise."""
+    loops = F.split(text, r"(?m)^\s*loop_\s*$")
+    named = F.filter(loops, lambda b: b.contains("_raman_spectrum.raman_shift"))
+
+    def pairs(block: Column) -> Column:
+        rows = F.filter(F.split(block, "\r\n|\r|\n"), lambda x: x.rlike(NUMERIC_LINE))
+        numbers = F.transform(rows, lambda x: F.regexp_extract_all(x, F.lit(f"({NUMBER})"), 1))
+        return F.array_sort(F.transform(numbers, lambda n: F.struct(F.get(n, F.lit(0)).cast("double").alias("x"), F.get(n, F.lit(1)).cast("double").alias("y"))))
+
+    own, every = pairs(F.get(named, F.lit(0))), pairs(text)
+    return F.when(F.size(own) >= least, own).when(F.size(every) >= least, every)

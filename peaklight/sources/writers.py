@@ -72,6 +72,23 @@ def promote(spark: SparkSession, staged: str, final: str) -> None:
         raise OSError(f"can't move {staged} to {final}")
 
 
+def claim(spark: SparkSession, path: str) -> bool:
+    """Make a lock file; False if another driver holds it.  release() takes it away."""
+    fs, at = _fs(spark, path)
+    try:
+        fs.create(at, False).close()
+    except Exception as e:  # py4j wraps what the file system throws
+        if "FileAlreadyExists" in str(e) or "already exists" in str(e):
+            return False
+        raise
+    return True
+
+
+def release(spark: SparkSession, path: str) -> None:
+    fs, at = _fs(spark, path)
+    fs.delete(at, False)
+
+
 def quarantine(spark: SparkSession, path: str, folder: str) -> str | None:
     fs, a = _fs(spark, path)
     if not fs.exists(a):

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from peaklight.functions import columns as C
 from peaklight.functions import text as T
 from peaklight.model import Baseline, Evidence, Grid, Matching, Query, Smoothing, canonical_json, signature
 from peaklight.operators import catalog, evaluate, evidence, library, reduce, residual, search, signal
@@ -267,3 +268,20 @@ def test_streaming(spark, tmp_path):
         q.awaitTermination(120)
     rows = {r.path.rsplit("/", 1)[-1]: r for r in spark.read.parquet(f"file://{tmp_path}/out").collect()}
     assert rows["a.txt"].intensity == [2, 3] and rows["b.txt"].error == "no numeric rows" and len(rows) == 2
+
+
+def test_small_helpers(spark, tmp_path):
+    text = "data_\nloop_\n_a\n 1 2\nloop_\n_raman_spectrum.raman_shift\n_raman_spectrum.intensity\n" + "\n".join(f" {i} {i * 2}.5" for i in range(5))
+    one = spark.createDataFrame([(text, [1.0, 2.0, 3.0], [True, False, True], [(1, 2)])], "t string, v array<double>, m array<boolean>, r array<struct<start:int,end:int>>")
+    got = one.select(headers.loop_pairs(F.col("t")).alias("p"), C.gap_masked(F.col("v"), F.col("m")).alias("g"), C.clipped_trace(F.col("v"), F.col("r"), 0, 1).alias("c"), C.content_hash(F.col("v"), F.col("m")).alias("h")).first()
+    assert [tuple(p) for p in got.p] == [(float(i), i * 2 + 0.5) for i in range(5)] and got.g == [1.0, None, 3.0]
+    assert [tuple(p) for p in got.c] == [(1, 2.0)] and len(got.h) == 40
+    lock = f"file://{tmp_path}/pair.lock"
+    assert writers.claim(spark, lock) and not writers.claim(spark, lock)
+    writers.release(spark, lock)
+    assert writers.claim(spark, lock)
+    shown = spark.createDataFrame([(1, 1), (9, 2)], "row_id long, place int")
+    rows = search.enrich(shown, spark.range(5).select(F.col("id").alias("row_id"), F.lit("x").alias("source"))).orderBy("place").collect()
+    assert [r.source for r in rows] == ["x", None]
+    a = spark.createDataFrame([("s", i) for i in range(4)], "signal string, grid long")
+    assert signal.overlap(a, a.where("grid < 3")).first().overlap == 0.75
