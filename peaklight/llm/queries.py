@@ -19,9 +19,11 @@ def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user turn as a call; one without a result has result_turn and result_chars -1."""
     calls, results = toolcalls.turns_as_calls(table(spark, sf_dir, "conversations"))
     out = toolcalls.link_tool_calls(calls, results, toolcalls.REPLY)
-    return out.select("conv_id", "turn", "call_id", "name", "result_turn", "n_results", F.col("level").cast("long").alias("level"), F.concat_ws("; ", "errors").alias("errors"), F.length("content").cast("long").alias("result_chars"), "canonical")
+    none = F.lit(-1).cast("long")
+    return out.select("conv_id", "turn", "call_id", "name", F.coalesce("result_turn", none).alias("result_turn"), "n_results", F.col("level").cast("long").alias("level"), F.concat_ws("; ", "errors").alias("errors"), F.coalesce(F.length("content").cast("long"), none).alias("result_chars"), "canonical")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,9 +84,9 @@ WITH calls AS (
   SELECT conv_id, 'c' || (turn - 1) AS call_id, min(turn)::BIGINT AS result_turn, count(*) AS n, arg_min(length(text), turn) AS chars
   FROM conversations WHERE role IN ('assistant', 'tool') GROUP BY 1, 2
 )
-SELECT c.conv_id, c.turn, c.call_id, 'reply' AS name, r.result_turn, coalesce(r.n, 0)::BIGINT AS n_results, 0::BIGINT AS level,
+SELECT c.conv_id, c.turn, c.call_id, 'reply' AS name, coalesce(r.result_turn, -1) AS result_turn, coalesce(r.n, 0)::BIGINT AS n_results, 0::BIGINT AS level,
   CASE WHEN c.turn >= 2 AND t.call_id IS NULL THEN '$: refers to no call c' || (c.turn - 2) ELSE '' END AS errors,
-  r.chars::BIGINT AS result_chars,
+  coalesce(r.chars, -1)::BIGINT AS result_chars,
   '{"arguments":{' || CASE WHEN c.turn >= 2 THEN '"after":"$ref:c' || (c.turn - 2) || '",' ELSE '' END
     || '"text":' || to_json(c.text)::VARCHAR || ',"turn":' || c.turn || '},"id":"' || c.call_id || '","name":"reply"}' AS canonical
 FROM firsts c LEFT JOIN results r USING (conv_id, call_id)
