@@ -33,7 +33,7 @@ SEGMENTS, LEAST = 64, 3
 #: Bits of the filter of candidates that is broadcast: 16 MB at most.
 MOST_BITS = 1 << 27
 #: Rounds in which each bucket links its classes to one centre only, before all pairs of classes left are compared.
-ROUNDS = 2
+ROUNDS = 3
 
 
 def max_difference(total, num: int, den: int):
@@ -188,13 +188,8 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
         return x.where(f"{den} * both >= {num} * (total - both)").select("a", "b")
 
     def labels(links: DataFrame) -> DataFrame:
-        """node, label: some node that links reach in a few steps; equal labels mean one component."""
-        both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select(F.col("b").alias("node"), F.col("a").alias("other")))
-        one = both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label"))
-        two = both.join(one.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("label").alias("near"))
-        two = two.join(one, "node").select("node", F.least("label", "near").alias("label"))
-        far = two.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        return stage(two.join(far, "label").select("node", F.col("far").alias("label")), "labels")
+        """node, label: the components so far; nodes without links have no row."""
+        return stage(connected_components(links, stage).select("node", F.col("comp").alias("label")), "labels")
 
     def open_buckets(label: DataFrame | None) -> DataFrame:
         """Members of the buckets that hold more than one class so far."""
@@ -207,8 +202,10 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     label, tried, links = None, None, None
     for turn in range(ROUNDS):
         left = open_buckets(label)
-        one = left.groupBy("key", "label").agg(F.expr(f"min_by(node, xxhash64(node, {turn}))").alias("node"))
-        centre = one.groupBy("key").agg(F.expr(f"min_by(node, xxhash64(label, {turn}))").alias("centre"))
+        # First one centre for all buckets of a group of copies; then other pairs in each bucket, against its largest class.
+        salt = f"{turn}, key" if turn else "0"
+        one = left.groupBy("key", "label").agg(F.expr(f"min_by(node, xxhash64(node, {salt}))").alias("node"), F.count("*").alias("size"))
+        centre = one.groupBy("key").agg(F.expr(f"max_by(node, struct(size, xxhash64(label, {salt})))").alias("centre"))
         pairs = stage(one.join(centre, "key").where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
         close = pairs.alias("p").join(info.alias("x"), F.expr("p.a = x.node")).join(info.alias("y"), F.expr("p.b = y.node")).where(near("x", "y")).select("a", "b")
@@ -222,8 +219,8 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     pairs = pairs.select(F.expr("least(x.node, y.node)").alias("a"), F.expr("greatest(x.node, y.node)").alias("b")).distinct()
     found = stage(verified(pairs.join(tried, ["a", "b"], "left_anti")), "found")
 
-    # Components of the classes; most have no links to others by now.
-    ends = links.unionByName(found).join(label.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(label.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
+    # Join the components that the last pass has linked; most have no links to others by now.
+    ends = found.join(label.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(label.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
     comp = connected_components(ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")), stage).select(F.col("node").alias("label"), "comp")
     single = found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node"))).distinct()
     label = label.unionByName(single.join(label, "node", "left_anti").select("node", F.col("node").alias("label")))
