@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peaklight.llm._base import Stage, documents, n_parts
+from peaklight.llm._base import Stage, documents, n_parts, small
 
 #: Deleted before texts are compared: [\x20\x09-\x0D].
 BLANKS = bytes([32, *range(9, 14)])
@@ -94,7 +94,7 @@ class CountingQuotientFilter:
 
 def _digests(keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             n, sha, kept = [], [], []
             for x in batch.column("text"):
                 raw = x.as_buffer().to_pybytes()
@@ -116,7 +116,7 @@ def _filters(bits: int):
         prints, counts = np.unique(prints, return_counts=True)
         ranges = (prints >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(prints), np.int64)
         names, starts = np.unique(ranges, return_index=True)
-        ends = [*starts[1:], len(prints)]
+        ends = [*starts[1:], len(prints)][: len(names)]
         made = [CountingQuotientFilter(prints[a:b], counts[a:b], int(name) << (64 - bits), 64 - bits).to_bytes() for name, a, b in zip(names.tolist(), starts, ends, strict=True)]
         yield pa.RecordBatch.from_pydict({"part": pa.array(names, pa.int64()), "filter": pa.array(made, pa.binary())})
 
