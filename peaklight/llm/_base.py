@@ -88,6 +88,19 @@ def range_udf(highs: list[int]):
     return number
 
 
+def small(batches: Iterator[pa.RecordBatch], limit: int = 2 * BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``limit`` bytes of text, so that a worker's memory doesn't follow the size of Spark's batches."""
+    for batch in batches:
+        text = batch.column(batch.schema.get_field_index("text"))
+        wide = np.int64 if pa.types.is_large_string(text.type) else np.int32
+        off = np.frombuffer(text.buffers()[1], wide)[text.offset : text.offset + len(text) + 1] if len(text) else np.zeros(1, wide)
+        i = 0
+        while i < len(text):
+            j = max(i + 1, int(np.searchsorted(off, int(off[i]) + limit, "right")) - 1)
+            yield batch.slice(i, j - i)
+            i = j
+
+
 def blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Row ranges of a string array with their UTF-8 bytes and the offsets of the rows in these."""
     if isinstance(texts, pa.ChunkedArray):

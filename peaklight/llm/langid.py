@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peaklight.llm._base import documents
+from peaklight.llm._base import documents, small
 
 #: Bytes of a window, filter widths, filters of each width, size of a byte's embedding.
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 8, 8
@@ -192,7 +192,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> ByteCNN | None:
 
 def _predict(model: ByteCNN | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             langs, scores, texts = [], [], batch.column("text")
             at = 0
             while at < len(texts):
@@ -231,7 +231,7 @@ def drop_unidentified(docs: DataFrame, model: ByteCNN | None, least: float = 0.0
     kinds = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             text = batch.column(batch.schema.get_field_index("text")).fill_null("")
             one = pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "text": text})
             judged = next(_predict(model)(iter([one])))

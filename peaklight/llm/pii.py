@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peaklight.llm._base import documents
+from peaklight.llm._base import documents, small
 
 #: The kinds in their order.
 KINDS = ("email", "ip", "card", "phone", "iban")
@@ -113,7 +113,7 @@ def joined(spans) -> str:
 
 
 def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         cols: dict[str, list] = {f"n_{k}": [] for k in KINDS} | {"base_sha256": [], "spans": [], "scores": []}
         for x in batch.column("text"):
             text = x.as_py()
@@ -152,7 +152,7 @@ def mask_personal_data(docs: DataFrame) -> DataFrame:
     kind = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             at = batch.schema.get_field_index("text")
             texts = [None if x is None else mask(x) for x in batch.column(at).to_pylist()]
             columns = list(batch.columns)
