@@ -22,12 +22,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peaklight.llm._base import Stage, documents, id_ranges, n_parts, range_of
+from peaklight.llm._base import Stage, documents, id_ranges, n_parts, range_of, small
 
 #: Ids in a row of a file, and rows in a record batch.
 ROW, ROWS = 2048, 256
 #: Entries of a worker's cache of encoded pieces; when full it starts anew.
-CACHE = 400_000
+CACHE = 300_000
 
 
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -116,6 +116,8 @@ class WordEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        #: Two bytes hold an id where the vocabulary allows it.
+        self.dtype = np.uint16 if Tokenizer.from_file(path).get_vocab_size() <= 65536 else np.uint32
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = self.tokenizer.model
@@ -134,26 +136,31 @@ class WordEncoder:
             if len(self.cache) >= CACHE:
                 self.cache.clear()
             word = text if text.isascii() else "".join(map(self.letters.__getitem__, text.encode()))
-            got = self.cache[text] = np.array([t.id for t in self.model.tokenize(word)], np.uint32).tobytes()
+            got = self.cache[text] = np.array([t.id for t in self.model.tokenize(word)], self.dtype).tobytes()
         return got
 
     def chunk(self, text: str) -> bytes:
+        if text.isascii() and text.isalpha():
+            return self.piece(text.lower())
         if self.plain.fullmatch(text):
             return b"".join(map(self.piece, self.pieces.findall(text.lower())))
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def __call__(self, text: str) -> bytes:
-        known, out = self.chunks, []
-        for x in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "):
-            got = known.get(x)
-            if got is None:
-                got = self.chunk(x)
-                if len(x) < 24:
-                    if len(known) >= CACHE // 2:
-                        known.clear()
-                        known[""] = b""
-                    known[x] = got
-            out.append(got)
+        known = self.chunks
+        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        out = list(map(known.get, words))
+        if None in out:
+            if len(known) >= CACHE:
+                known.clear()
+                known[""] = b""
+            for i, got in enumerate(out):
+                if got is None:
+                    x = words[i]
+                    got = known.get(x)
+                    out[i] = got if got is not None else self.chunk(x)
+                    if got is None and len(x) < 24:
+                        known[x] = out[i]
         return b"".join(out)
 
 
@@ -166,19 +173,12 @@ def _encode(path: str, end: int, highs: list[int]):
     bounds = np.array(highs, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, tail = encoder(path), np.array([end], np.uint32)
-        for batch in batches:
-            ids = [np.append(np.frombuffer(code(x.as_py()), np.uint32), tail) for x in batch.column("text")]
+        code = encoder(path)
+        tail = np.array([end], code.dtype).tobytes()
+        for batch in small(batches):
+            ids = [code(x.as_py()) + tail for x in batch.column("text")]
             keys = np.array([-(2**63) if x is None else x for x in batch.column("doc_id").to_pylist()], np.int64)
-            small = all(x.max() < 65536 for x in ids)
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "range": pa.array(range_of(keys, bounds), pa.int32()),
-                    "doc_id": batch.column("doc_id"),
-                    "small": pa.array([small] * len(ids)),
-                    "ids": pa.array([(x.astype(np.uint16) if small else x).tobytes() for x in ids], pa.binary()),
-                }
-            )
+            yield pa.RecordBatch.from_pydict({"range": pa.array(range_of(keys, bounds), pa.int32()), "doc_id": batch.column("doc_id"), "ids": pa.array(ids, pa.binary())})
 
     return run
 
@@ -198,14 +198,14 @@ def _write(folder: str, row: int, dtype: str):
             return pa.RecordBatch.from_pydict({"range": pa.array([open_at], pa.int32()), "n_docs": pa.array([len(index)], pa.int64()), "n_tokens": pa.array([total], pa.int64())})
 
         for batch in batches:
-            for at, doc, small, raw in zip(*(batch.column(c).to_pylist() for c in ("range", "doc_id", "small", "ids")), strict=True):
+            for at, doc, raw in zip(*(batch.column(c).to_pylist() for c in ("range", "doc_id", "ids")), strict=True):
                 if at != open_at:
                     if out is not None:
                         yield finish()
                     open_at, index, total = at, [], 0
                     out = FixedListWriter(f"{folder}/part-{at:07d}.arrows", row, dtype=np.dtype(dtype).type)
-                ids = np.frombuffer(raw, np.uint16 if small else np.uint32)
-                out.append(ids.astype(dtype, copy=False))
+                ids = np.frombuffer(raw, dtype)
+                out.append(ids)
                 index.append((doc, len(ids)))
                 total += len(ids)
         if out is not None:
@@ -248,10 +248,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, end: int = 2, row: int =
     schema = "range int, n_docs long, n_tokens long"
     if not highs:
         return folder, spark.createDataFrame([], schema + ", start long")
-    from tokenizers import Tokenizer
-
-    dtype = "uint16" if Tokenizer.from_file(tokenizer).get_vocab_size() <= 65536 else "uint32"
-    coded = docs.mapInArrow(_encode(tokenizer, end, highs), "range int, doc_id long, small boolean, ids binary")
+    dtype = np.dtype(encoder(tokenizer).dtype).name
+    coded = docs.mapInArrow(_encode(tokenizer, end, highs), "range int, doc_id long, ids binary")
     dealt = coded.repartitionById(len(highs), F.col("range")).sortWithinPartitions("range", F.col("doc_id").asc_nulls_first(), "ids")
     files = sorted(dealt.mapInArrow(_write(folder, row, dtype), schema).collect())
     start, rows = 0, []
