@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from peaklight.functions.columns import wilson_half_width
@@ -36,3 +40,42 @@ def combined(ranked: DataFrame, apps: list[str], name: str, query: str = "query"
     """Adds an app that is right at a rank where any of the given ones is."""
     both = ranked.where(F.col("app").isin(apps)).groupBy(query, "rank").agg(F.bool_or("hit").alias("hit")).withColumn("app", F.lit(name))
     return ranked.select(query, "rank", "hit", "app").unionByName(both.select(query, "rank", "hit", "app"))
+
+
+#: Ids that a block of the library and a block of queries span.
+ROWS, QUERIES = 512, 12800
+
+
+def nearest(library: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """query, app, rank, row_id: of each query the k rows of the library with the best cosine and the least city-block distance.
+
+    Both sides have row_id and a vector of one length; a row isn't its own
+    neighbour.  Scores are rounded to nine decimals, ties go to the smaller id.
+    Blocks of queries meet blocks of the library, and a pair of blocks gives k
+    rows for each query, so neither side has to fit in one task or the driver.
+    """
+
+    def blocked(df: DataFrame, size: int, ids: str, vectors: str) -> DataFrame:
+        cells = df.select(F.floor(F.col("row_id") / size).alias("_b"), F.struct("row_id", F.col("vector").cast("array<double>").alias("v")).alias("_r"))
+        return cells.groupBy("_b").agg(F.sort_array(F.collect_list("_r")).alias("_r")).select(F.col("_r.row_id").alias(ids), F.flatten("_r.v").alias(vectors))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                q_ids, q, ids, v = (batch.column(c)[i].values.to_numpy() for c in ("q_ids", "q", "ids", "v"))
+                q, v = q.reshape(len(q_ids), -1), v.reshape(len(ids), -1)
+                size = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)
+                cosine = np.where(size > 0, q @ v.T / np.where(size > 0, size, 1.0), 0.0)
+                block = np.stack([-np.abs(v - one).sum(1) for one in q])
+                for app, score in (("cosine", cosine), ("city block", block)):
+                    score = np.round(score, 9)
+                    score[q_ids[:, None] == ids] = -np.inf
+                    top = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                    won = np.take_along_axis(score, top, 1).ravel()
+                    own = won > -np.inf
+                    yield pa.RecordBatch.from_pydict({"query": np.repeat(q_ids, top.shape[1])[own], "app": pa.array([app] * int(own.sum()), pa.string()), "score": won[own], "row_id": ids[top].ravel()[own]})
+
+    pairs = blocked(library, ROWS, "ids", "v").crossJoin(blocked(queries, QUERIES, "q_ids", "q"))
+    found = pairs.mapInArrow(best, "query long, app string, score double, row_id long")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("app", "query").orderBy(F.col("score").desc(), "row_id")))
+    return ranked.where(F.col("rank") <= k).select("query", "app", "rank", "row_id")

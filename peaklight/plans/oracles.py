@@ -200,6 +200,12 @@ r AS (SELECT 'cosine' AS app, query, hit, row_number() OVER (PARTITION BY query
 t AS (SELECT * FROM r WHERE rank <= 10), e AS (SELECT app, query, rank, hit FROM t UNION ALL SELECT 'either', query, rank, bool_or(hit) FROM t GROUP BY query, rank),
 f AS (SELECT app, query, min(rank) FILTER (hit) AS first FROM e GROUP BY ALL), k AS (SELECT unnest([1, 3, 6, 10])::BIGINT AS k),
 s AS (SELECT app, k, count(*) FILTER (first <= k) AS hits, count(*) AS total FROM f, k GROUP BY ALL)
+SELECT app, k, hits, total, round((100.0 * hits / total)::DOUBLE, 6) AS percent, round(100 * 1.96 / (1 + 1.96 * 1.96 / total) * sqrt((hits / total) * (1 - hits / total) / total + 1.96 * 1.96 / (4 * total * total)), 6) AS half_width FROM s""",
+    "recall_at_k_all": f"""WITH {LONG}, p AS (SELECT q.row_id AS query, l.row_id, any_value(l.label = q.label) AS hit, round(sum(l.v * q.v) / (sqrt(sum(l.v * l.v)) * sqrt(sum(q.v * q.v))), 9) AS c, -round(sum(abs(l.v - q.v)), 9) AS d FROM lib l JOIN lib q ON l.pos = q.pos AND q.row_id % 50 = 0 AND l.row_id <> q.row_id GROUP BY q.row_id, l.row_id),
+r AS (SELECT 'cosine' AS app, query, hit, row_number() OVER (PARTITION BY query ORDER BY c DESC, row_id) AS rank FROM p UNION ALL SELECT 'city block', query, hit, row_number() OVER (PARTITION BY query ORDER BY d DESC, row_id) FROM p),
+t AS (SELECT * FROM r WHERE rank <= 10), e AS (SELECT app, query, rank, hit FROM t UNION ALL SELECT 'either', query, rank, bool_or(hit) FROM t GROUP BY query, rank),
+f AS (SELECT app, query, min(rank) FILTER (hit) AS first FROM e GROUP BY ALL), k AS (SELECT unnest([1, 3, 6, 10])::BIGINT AS k),
+s AS (SELECT app, k, count(*) FILTER (first <= k) AS hits, count(*) AS total FROM f, k GROUP BY ALL)
 SELECT app, k, hits, total, round((100.0 * hits / total)::DOUBLE, 6) AS percent, round(100 * 1.96 / (1 + 1.96 * 1.96 / total) * sqrt((hits / total) * (1 - hits / total) / total + 1.96 * 1.96 / (4 * total * total)), 6) AS half_width FROM s""",
     "candidate_match": """WITH n AS (SELECT p_partkey, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS l FROM part)
 SELECT p_partkey, l AS loose, list_bool_or(list_transform(['redwidget', 'bolt', 'ri'], lambda t: t = l OR (length(t) >= 4 AND contains(l, t)) OR (length(l) >= 4 AND contains(t, l)))) AS hit FROM n""",

@@ -414,6 +414,16 @@ def recall_at_k(spark, sf_dir):
     return evaluate.recall_at_k(evaluate.combined(ranked, ["cosine", "city block"], "either")).select("app", F.col("k").cast("long").alias("k"), "hits", "total", *r6("percent", "half_width"))
 
 
+def recall_at_k_all(spark, sf_dir):
+    """As recall_at_k, for every row whose id is divisible by 50 as a query, against all rows."""
+    rows = lib(spark, sf_dir)
+    asked = rows.where("row_id % 50 = 0")
+    found = evaluate.nearest(rows.select("row_id", "vector"), asked.select("row_id", "vector"))
+    ranked = found.join(rows.select("row_id", "label"), "row_id").join(asked.select(F.col("row_id").alias("query"), F.col("label").alias("truth")), "query")
+    ranked = ranked.withColumn("hit", F.col("label") == F.col("truth"))
+    return evaluate.recall_at_k(evaluate.combined(ranked, ["cosine", "city block"], "either")).select("app", F.col("k").cast("long").alias("k"), "hits", "total", *r6("percent", "half_width"))
+
+
 def candidate_match(spark, sf_dir):
     """Whether a part's name hits a truth set, by loose comparison of names."""
     truths = F.array(F.lit("Red-Widget!"), F.lit("bolt"), F.lit("ri"))

@@ -220,6 +220,30 @@ def test_recall(spark):
     assert out == {("A", 1): 1, ("A", 2): 1, ("B", 1): 1, ("B", 2): 2, ("both", 1): 1, ("both", 2): 2}
 
 
+def test_recall_asks_every_fiftieth_row(spark):
+    from peaklight.plans.queries import recall_at_k_all
+
+    n = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").where("vec_id % 50 = 0").count()
+    assert {r.total for r in recall_at_k_all(spark, "/root/testdata/sf0.001").collect()} == {n} and n > 1
+
+
+def test_nearest_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(evaluate, "ROWS", 7)
+    monkeypatch.setattr(evaluate, "QUERIES", 20)
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 3, (60, 4)).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row_id long, vector array<double>")
+    out = evaluate.nearest(df, df.where("row_id % 5 = 0"), 4).collect()
+    got = {(r["query"], r.app, r["rank"]): r.row_id for r in out}
+    size = np.linalg.norm(x, axis=1)
+    for q in range(0, 60, 5):
+        scores = {"cosine": [x[q] @ v / (size[q] * s) if size[q] * s else 0.0 for v, s in zip(x, size, strict=True)], "city block": [-np.abs(x[q] - v).sum() for v in x]}
+        for app, score in scores.items():
+            want = sorted((i for i in range(60) if i != q), key=lambda i: (-round(score[i], 9), i))[:4]
+            assert [got[q, app, r] for r in range(1, 5)] == want
+    assert len(out) == 12 * 2 * 4
+
+
 def test_workflow():
     w = Workflow().apply("input", {"sha": 1}).apply("baseline", {"m": "arpls"}).apply("smoothing", {}).apply("matching", {})
     done = w.record([])
