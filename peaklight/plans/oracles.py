@@ -195,6 +195,9 @@ SELECT row_id, concat_ws(',', CASE WHEN a THEN 'norm' END, CASE WHEN g THEN 'gri
     "name_lookup": """WITH n AS (SELECT lower(p_name) AS key, ['x', 's', ''][p_partkey % 3 + 1] AS flag, lpad(p_partkey::VARCHAR, 7, '0') AS filename FROM part WHERE lower(p_name) IN ('red widget', 'small ring', 'blue bolt')),
 r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY CASE flag WHEN 's' THEN 0 WHEN '' THEN 1 ELSE 2 END, filename) AS nth FROM n)
 SELECT key, nth, filename, flag FROM r WHERE nth <= 5 UNION ALL SELECT k, 0, '', 'missing' FROM (SELECT unnest(['red widget', 'small ring', 'no such', 'blue bolt']) AS k) WHERE k NOT IN (SELECT key FROM n)""",
+    "name_lookup_all": """WITH n AS (SELECT lower(p_name) AS key, ['x', 's', ''][p_partkey % 3 + 1] AS flag, lpad(p_partkey::VARCHAR, 7, '0') AS filename FROM part WHERE lower(p_name) IN ('red widget', 'small ring', 'blue bolt')),
+r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY CASE flag WHEN 's' THEN 0 WHEN '' THEN 1 ELSE 2 END, filename) AS nth FROM n)
+SELECT key, nth, filename, flag FROM r UNION ALL SELECT k, 0, '', 'missing' FROM (SELECT unnest(['red widget', 'small ring', 'no such', 'blue bolt']) AS k) WHERE k NOT IN (SELECT key FROM n)""",
     "recall_at_k": f"""WITH {LONG}, p AS (SELECT q.row_id AS query, l.row_id, any_value(l.label = q.label) AS hit, round(sum(l.v * q.v) / (sqrt(sum(l.v * l.v)) * sqrt(sum(q.v * q.v))), 9) AS c, -round(sum(abs(l.v - q.v)), 9) AS d FROM lib l JOIN lib q ON l.pos = q.pos AND q.row_id < 20 AND l.row_id <> q.row_id GROUP BY q.row_id, l.row_id),
 r AS (SELECT 'cosine' AS app, query, hit, row_number() OVER (PARTITION BY query ORDER BY c DESC, row_id) AS rank FROM p UNION ALL SELECT 'city block', query, hit, row_number() OVER (PARTITION BY query ORDER BY d DESC, row_id) FROM p),
 t AS (SELECT * FROM r WHERE rank <= 10), e AS (SELECT app, query, rank, hit FROM t UNION ALL SELECT 'either', query, rank, bool_or(hit) FROM t GROUP BY query, rank),
@@ -217,4 +220,9 @@ SELECT conv_id, events, CASE WHEN s IS NULL THEN 'system' WHEN u IS NULL THEN 'u
     "workflow_chain": """SELECT conv_id, turn, sha1(turn || '|' || role) AS signature, coalesce(lag(sha1(turn || '|' || role)) OVER w, '') AS parent, coalesce(lag(role) OVER w = role, false) AS content_repeated FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""",
     "savgol": f"""WITH {LONG}, s AS (SELECT row_id, pos, (-3 * lag(v, 2) OVER w + 12 * lag(v) OVER w + 17 * v + 12 * lead(v) OVER w - 3 * lead(v, 2) OVER w) / 35 AS y FROM lib WINDOW w AS (PARTITION BY row_id ORDER BY pos))
 SELECT row_id, pos, round(y, 6) AS y FROM s WHERE pos BETWEEN 2 AND 61""",
+    "savgol_edges": f"""WITH {LONG}, e AS (SELECT row_id, list(v ORDER BY pos) AS v FROM lib GROUP BY row_id),
+s AS (SELECT row_id, unnest([0, 1, 62, 63]) AS pos, unnest([
+  (69 * v[1] + 4 * v[2] - 6 * v[3] + 4 * v[4] - v[5]) / 70, (2 * v[1] + 27 * v[2] + 12 * v[3] - 8 * v[4] + 2 * v[5]) / 35,
+  (2 * v[60] - 8 * v[61] + 12 * v[62] + 27 * v[63] + 2 * v[64]) / 35, (-v[60] + 4 * v[61] - 6 * v[62] + 4 * v[63] + 69 * v[64]) / 70]) AS y FROM e)
+SELECT row_id, pos::BIGINT AS pos, round(y, 6) AS y FROM s""",
 }

@@ -393,14 +393,24 @@ def broken_rows(spark, sf_dir):
     return catalog.broken_rows(rows, POINTS).select("row_id", F.array_join("broken", ",").alias("broken"))
 
 
-def name_lookup(spark, sf_dir):
+def _candidates(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.element_at(F.array(F.lit("x"), F.lit("s"), F.lit("")), (F.col("p_partkey") % 3 + 1).cast("int")).alias("flag"), F.lpad(F.col("p_partkey").cast("string"), 7, "0").alias("filename"))
     ask = spark.createDataFrame([("Red widget, small RING;no such\nblue bolt,red WIDGET",)], "request string")
     found, missing = catalog.name_lookup(rows, ask)
-    out = found.where("nth <= 5").select("key", "nth", "filename", "flag")
+    out = found.select("key", "nth", "filename", "flag")
     return out.unionByName(missing.select(F.lower("name").alias("key"), F.lit(0).alias("nth"), F.lit("").alias("filename"), F.lit("missing").alias("flag"))).withColumn("nth", F.col("nth").cast("long"))
 
 
+def name_lookup(spark, sf_dir):
+    """The first five candidates of each name."""
+    return _candidates(spark, sf_dir).where("nth <= 5")
+
+
+def name_lookup_all(spark, sf_dir):
+    """Every candidate of each name."""
+    return _candidates(spark, sf_dir)
+
+
 def recall_at_k(spark, sf_dir):
     """Neighbours of twenty query rows by two rankings, against the query's phase, and the two together."""
     rows = lib(spark, sf_dir)
@@ -473,6 +483,12 @@ def savgol(spark, sf_dir):
     return rows.where("pos between 2 and 61").select("row_id", F.col("pos").cast("long").alias("pos"), *r6("y"))
 
 
+def savgol_edges(spark, sf_dir):
+    """The two points at either end: the cubic through the first or last five points by least squares."""
+    rows = signal.smooth(_vectors(spark, sf_dir), Smoothing()).select("row_id", F.posexplode("smoothed").alias("pos", "y"))
+    return rows.where("pos not between 2 and 61").select("row_id", F.col("pos").cast("long").alias("pos"), *r6("y"))
+
+
 def preprocess(spark, sf_dir):
     rows = signal.preprocess(_vectors(spark, sf_dir), Baseline(), Smoothing())
     return rows.select("row_id", *r6("negative_fraction", "material_negative_fraction", "sigma_before", "sigma_after", "rms_change", "peak_change"), _total("processed").alias("processed_sum"))

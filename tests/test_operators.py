@@ -244,6 +244,17 @@ def test_nearest_over_many_blocks(spark, monkeypatch):
     assert len(out) == 12 * 2 * 4
 
 
+def test_lookup_and_smoothing_return_every_row(spark):
+    from peaklight.plans import queries
+
+    sf = "/root/testdata/sf0.001"
+    parts = spark.read.parquet(f"{sf}/part.parquet").where("lower(p_name) in ('red widget', 'small ring', 'blue bolt')").count()
+    found = queries.name_lookup_all(spark, sf).where("flag <> 'missing'")
+    assert found.count() == parts and parts == found.select("filename").distinct().count()
+    ends = [r.pos for r in queries.savgol_edges(spark, sf).where("row_id = 0").orderBy("pos").collect()]
+    assert ends == [0, 1, 62, 63]
+
+
 def test_workflow():
     w = Workflow().apply("input", {"sha": 1}).apply("baseline", {"m": "arpls"}).apply("smoothing", {}).apply("matching", {})
     done = w.record([])
