@@ -36,7 +36,8 @@ def decluster(library: DataFrame, how: Reduction | None = None, group: str = "na
 
     Groups of up to keep_all rows stay whole; rows without a usable fingerprint
     always stay; of the others one medoid per cluster, at most ``representatives``.
-    One name's fingerprints make one group, small by nature of a reference library.
+    One name's fingerprints come to one task, which holds them once or twice over
+    and makes no matrix of all pairs, so its memory and time follow their number.
     """
     how = how or Reduction()
     rank = FLAG_RANK

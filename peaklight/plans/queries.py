@@ -447,8 +447,7 @@ def medoid(spark, sf_dir):
 
 def cluster_reps(spark, sf_dir):
     rows = lib(spark, sf_dir).withColumn("flag", F.lit("")).withColumn("fingerprint", F.when(F.col("row_id") % 41 != 0, C.doubles(F.col("vector"))))
-    rows = rows.withColumn("name", F.concat("name", F.lit("-"), (F.col("row_id") % 20).cast("string")))
-    return reduce.decluster(rows, Reduction(components=8))
+    return reduce.decluster(rows, Reduction())
 
 
 def workflow_stage(spark, sf_dir):

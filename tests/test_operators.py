@@ -211,6 +211,14 @@ def test_declustering(spark):
     assert report["M"].kept == 4 and report["N"].spectra == 1
 
 
+def test_cluster_query_thins_whole_names(spark):
+    from peaklight.plans.queries import cluster_reps, lib
+
+    rows = cluster_reps(spark, "/root/testdata/sf0.001")
+    assert {r.name for r in rows.select("name").distinct().collect()} == {r.name for r in lib(spark, "/root/testdata/sf0.001").select("name").distinct().collect()}
+    assert all(r.kept - r.without_fingerprint <= 9 for r in reduce.reduction_report(rows).collect())
+
+
 def test_recall(spark):
     wide = spark.createDataFrame([("q1", "Quartz", "Calcite", "alpha-quartz", None), ("q2", "x", "y", "z", "Calcite")], "query string, a1 string, a2 string, b1 string, b2 string")
     long = evaluate.unpivot_ranks(wide, ["query"], {"A": ["a1", "a2"], "B": ["b1", "b2"]})
