@@ -187,7 +187,22 @@ class Trim(Settings):
 
     low: float = 0.0
     high: float = 1000.0
-    noise_window: float = 9.0
+    head_extra: float = 2.0
+    smooth_window: float = 3.0
+    slope_window: float = 4.0
+    noise_range: float = 40.0
+    noise_points: int = 80
+    ramp_span: float = 6.0
+    quiet_sigma: float = 1.0
+    peak_share: float = 0.5
+    rising_share: float = 0.60
+    fall_share: float = 0.03
+    fall_sigma: float = 2.0
+    fall_counts: float = 20.0
+    fall_window: float = 4.0
+    fall_rising_share: float = 0.55
+    zero: float = 0.0
+    tail_points: int = 20
     tail_jump: float = 30.0
     edge_jump: float = 50.0
     edge_range: float = 250.0
