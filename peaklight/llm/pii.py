@@ -30,8 +30,15 @@ CONTEXT = {
 AGAINST = ("version", "order", "isbn", "example", "sample", "test")
 #: Code points on both sides of a span that count as near; what a word adds or takes; the least score that is masked.
 NEAR, STEP, MASKED = 40, 0.2, 0.35
-#: Lengths of an IBAN by country.
-IBAN_LENGTHS = {"AT": 20, "BE": 16, "CH": 21, "CZ": 24, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "IE": 22, "IT": 27, "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "SE": 24}
+#: Lengths of an IBAN by registered country.
+_COUNTRIES = """
+    AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29
+    ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20
+    LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29
+    PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20
+    YE30
+"""
+IBAN_LENGTHS = {c[:2]: int(c[2:]) for c in _COUNTRIES.split()}
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 # Atomic and possessive forms of the given patterns: the same matches, found in linear time.
@@ -138,12 +145,25 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 
 
 def mask(text: str) -> str:
-    """The text with every span of enough score replaced by its kind in angle brackets; of overlapping ones, the first."""
-    out, at = [], 0
+    """The text with every span of enough score replaced by its kind in angle brackets.
+
+    Spans that overlap are replaced as one, from the first start to the last
+    end, by the kind of the best score; of equal ones, the first.
+    """
+    out, at, groups = [], 0, []
     for s in find(text):
-        if s[1] >= at and score(text, s) >= MASKED:
-            out += [text[at : s[1]], f"<{s[0].upper()}>"]
-            at = s[2]
+        if (own := score(text, s)) < MASKED:
+            continue
+        if groups and s[1] < groups[-1][1]:
+            last = groups[-1]
+            last[1] = max(last[1], s[2])
+            if own > last[2]:
+                last[2:] = own, s[0]
+        else:
+            groups.append([s[1], s[2], own, s[0]])
+    for a, b, _, kind in groups:
+        out += [text[at:a], f"<{kind.upper()}>"]
+        at = b
     return "".join([*out, text[at:]])
 
 

@@ -127,6 +127,22 @@ def test_personal_data_by_checksum_and_context():
     assert pii.mask("write to ann@example.org now") == "write to <EMAIL> now"
 
 
+def test_overlapping_spans_are_masked_whole():
+    assert pii.mask("tel +49 30 1234567 99bob@x.org") == "tel <EMAIL>"
+    # The context decides which kind is named where spans overlap.
+    assert pii.mask("it is +378282246310005") == "it is <CARD>" and pii.mask("call +378282246310005") == "call <PHONE>"
+    for t in ("192.0.2.4 111111111111111 a@b.de", "10.0.0.4 1111 1111 1111 111 +49 30 1234567 99bob@x.org and DE89 3704 0044 0532 0130 00"):
+        kept, out = re.split("<[A-Z]+>", pii.mask(t)), set()
+        for _, a, b in pii.find(t):
+            out |= set(range(a, b))
+        assert "".join(kept) == "".join(c for i, c in enumerate(t) if i not in out)
+
+
+@pytest.mark.parametrize("iban", ["GR16 0110 1250 0000 0001 2300 695", "HR12 1001 0051 8630 0016 0", "TR33 0006 1005 1978 6457 8413 26", "SA03 8000 0000 6080 1016 7519", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"])
+def test_ibans_of_every_country(iban):
+    assert pii.mask(f"pay {iban}, now") == "pay <IBAN>, now"
+
+
 def test_masking_keeps_rows_and_columns(spark, odd):
     clash = odd.selectExpr("*", "1 AS score", "'k' AS kind")
     out = pii.mask_personal_data(clash)
