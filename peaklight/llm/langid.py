@@ -226,13 +226,18 @@ def identify(docs: DataFrame, model: ByteCNN | None) -> DataFrame:
 def drop_unidentified(docs: DataFrame, model: ByteCNN | None, least: float = 0.0) -> DataFrame:
     """The rows whose language is known with a score of ``least`` or more; columns stay as they are.
 
-    A row is judged by its text alone; rows without letters go.
+    A row is judged by its text alone; rows without letters go.  At ``least``
+    0.0 that is all that goes.  Without a model nothing can be scored, and
+    every row with a letter stays, whatever ``least`` is.
     """
     kinds = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             text = batch.column(batch.schema.get_field_index("text")).fill_null("")
+            if model is None:
+                yield batch.filter(pa.array([bool(_LETTER.search(x.as_py())) for x in text], pa.bool_()))
+                continue
             one = pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "text": text})
             judged = next(_predict(model)(iter([one])))
             kept = pa.array([lang != "und" and s >= least for lang, s in zip(judged.column("lang_pred").to_pylist(), judged.column("score").to_pylist(), strict=True)], pa.bool_())

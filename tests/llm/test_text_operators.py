@@ -127,6 +127,15 @@ def test_personal_data_by_checksum_and_context():
     assert pii.mask("write to ann@example.org now") == "write to <EMAIL> now"
 
 
+def test_documents_stay_where_no_language_can_be_learned(spark, odd):
+    bare = odd.selectExpr("doc_id", "text", "cast(null as string) as lang", "source", "n_chars")
+    model = langid.train(bare)
+    kept = langid.drop_unidentified(bare, model)
+    want = sorted(t for _, t, *_ in odd.collect() if t and re.search(r"[^\W\d_]", t))
+    assert model is None and kept.columns == bare.columns and sorted(r.text for r in kept.collect()) == want
+    assert sorted(r.text for r in langid.drop_unidentified(bare, None, 0.5).collect()) == want
+
+
 def test_overlapping_spans_are_masked_whole():
     assert pii.mask("tel +49 30 1234567 99bob@x.org") == "tel <EMAIL>"
     # The context decides which kind is named where spans overlap.
