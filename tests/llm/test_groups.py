@@ -39,6 +39,14 @@ def brute_classes(rows, k, num, den):
     return {(d, len(s), find(d)) for d, s in sets}
 
 
+def test_rows_of_one_doc_id_join_their_classes(spark):
+    first, second = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(3, first), (5, first + " x"), (5, second), (4, second + " y"), (9, "some other text of more than five words")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_classes(docs).collect()}
+    assert got == brute_classes(rows, 5, 80, 100) and {c for d, _, c in got if d == 4} == {3}
+
+
 def near_copies(seed, groups=12, copies=14, drift=3):
     """Chains and stars of texts near the threshold, short texts, exact copies and shared passages."""
     rng, rows = random.Random(seed), []
