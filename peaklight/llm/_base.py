@@ -21,10 +21,12 @@ BLOCK_BYTES = 1 << 21
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is what the cluster names in ``spark.checkpoint.dir``.  Only where that is
-    unset (tests on one machine) a temporary folder is used.
+    It is what the cluster names in ``spark.checkpoint.dir``.  Only in a session of one
+    machine (master ``local``) that leaves it unset a temporary folder is used; elsewhere that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return root or f"file://{tempfile.gettempdir()}/peaklight-{os.getuid()}"
 
 
@@ -33,6 +35,7 @@ class Stage:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path, self.n = spark, f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}", 0
+        self.live: set[str] = set()
 
     def __call__(self, df: DataFrame, name: str = "t") -> DataFrame:
         self.n += 1
@@ -40,12 +43,49 @@ class Stage:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.staged_path = path
+        self.live.add(path)
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        """Delete a staged table that nothing reads any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df.staged_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete staged tables that nothing reads any more."""
+        for df in tables:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(df.staged_path)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self.live.discard(df.staged_path)
+
+    def keep_only(self, *tables: DataFrame) -> None:
+        """Delete all staged tables but those that a result still reads."""
+        for name in self.live - {df.staged_path for df in tables}:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.live &= {df.staged_path for df in tables}
+
+
+#: A key with more than this share of the rows is hot; there can't be more than 1/HOT of them.
+HOT = 1 / 1000
+
+
+def join_counted(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner", total: int | None = None) -> DataFrame:
+    """``big`` joined to ``small``, which has one row for each key and, as ``n``, how many rows of ``big`` have it.
+
+    Rows of a hot key stay where they are: the hot rows of ``small``, at most 1/HOT
+    by arithmetic whatever the input, go to all tasks.  All other rows shuffle, and
+    none of their keys has more than a share HOT of them.  ``n`` is left out of
+    the result.  ``total`` is the sum of ``n`` or more; a null key matches nothing and isn't moved.
+    """
+    on = [on] if isinstance(on, str) else on
+    if total is None:
+        total = small.agg(F.sum("n")).first()[0] or 0
+    limit = max(1, int(total * HOT))
+    hot, cold = small.where(F.col("n") > limit).drop("n"), small.where(F.col("n") <= limit).drop("n")
+    there = F.expr(" and ".join(f"{c} is not null" for c in on))
+    known = big.where(there)
+    out = known.join(F.broadcast(hot), on).unionByName(known.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on, how))
+    if how == "left":
+        kinds = {f.name: f.dataType for f in small.schema}
+        none = [F.lit(None).cast(kinds[c]).alias(c) for c in small.columns if c not in (*on, "n")]
+        out = out.unionByName(big.where(~there).select("*", *none))
+    return out
 
 
 def documents(docs: DataFrame) -> DataFrame:

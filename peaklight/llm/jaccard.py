@@ -3,10 +3,16 @@
 Each shingle hash is XORed into one of m segments.  Two sets whose symmetric
 difference is at most D leave, with m = D + 1 segments, at least one segment
 untouched, so its XOR is equal in both (pigeonhole); D follows from the size
-band and the wanted Jaccard similarity.  Equal segments propose links.  A
-512-bit parity sketch (each shingle flips one bit) then bounds the symmetric
-difference from below by its Hamming distance, and what is left is verified on
-the sets themselves.
+band and the wanted Jaccard similarity.  Equal segments propose links, for sets
+of every size.  A 512-bit parity sketch (each shingle flips one bit) then bounds
+the symmetric difference from below by its Hamming distance, and what is left is
+verified on the sets themselves.
+
+A segment may be equal by chance (few or no shingles fall in it) or because
+of a passage that many documents share.  A bucket with many classes that don't link is
+therefore split by a second, independent division into D + 1 segments, of
+which a linked pair again leaves one untouched, and so on: no link is lost,
+and what meets by chance is parted.
 """
 
 from __future__ import annotations
@@ -15,10 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peaklight.llm._base import Stage, blocks, documents
+from peaklight.llm._base import Stage, blocks, documents, join_counted, n_parts
 from peaklight.llm._words import U, mix, shingle_sets
 from peaklight.llm.components import connected_components
 
@@ -26,16 +33,16 @@ from peaklight.llm.components import connected_components
 SKETCH_BITS = 512
 #: Ratio of the upper to the lower end of a size band.
 BAND_RATIO = 1.3
-#: A band with more segments than this uses this many of them, and of these only such with LEAST shingles or more.
-#: A segment proposes a link at the threshold when no difference falls in it, exp(-d/m), and LEAST of the common
-#: shingles or more do, as a Poisson count of mean common/m.  Over the sizes of a band and its partners the least
-#: product is about 0.26 at 0.8 and 0.37 at 0.9, so such a link is missed with a probability of up to about 4e-9
-#: at 0.8 and 2e-13 at 0.9 (reckoned, not run); smaller bands are lossless.
-SEGMENTS, LEAST = 64, 3
 #: Bits of the filter of candidates that is broadcast: 16 MB at most.
 MOST_BITS = 1 << 27
-#: Rounds in which each bucket links its classes to one centre only, before all pairs of classes left are compared.
+#: Rounds in which each bucket links its classes to one centre only, before pairs of classes left are compared.
 ROUNDS = 3
+#: A bucket of more nodes than this is split by a further division, at most so many times while that parts it.
+LIGHT, SPLITS = 32, 8
+#: Keys that a task gathers before it sends them off.
+GATHER = 1 << 20
+#: The size band of a key stands in its highest bits.
+LOW = U((1 << 56) - 1)
 
 
 def max_difference(total, num: int, den: int):
@@ -53,31 +60,44 @@ def band_starts(most: int) -> np.ndarray:
 BANDS = band_starts(1 << 40)
 
 
-def signatures(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The pigeonhole keys of a set: for its own size band, and for the next ones if a set of theirs can match."""
-    size = len(tokens)
-    out = []
-    spread = mix(tokens ^ U(0x5851F42D4C957F2D)) >> U(32)
-    band = int(np.searchsorted(BANDS, size, "right")) - 1
-    while BANDS[band] <= size * den // num:
-        m = max_difference(2 * int(BANDS[band + 1] - 1), num, den) + 1
-        if m > 1:
-            segment = ((spread * U(m)) >> U(32)).astype(np.int64)
-            kept = tokens
-            if m > SEGMENTS:
-                inside = segment < SEGMENTS
-                segment, kept = segment[inside], tokens[inside]
-            order = np.argsort(segment, kind="stable")
-            counts = np.bincount(segment, minlength=min(m, SEGMENTS))
-            parity = np.zeros(len(counts), U)
-            full = np.flatnonzero(counts)
-            if len(full):
-                parity[full] = np.bitwise_xor.reduceat(kept[order], (np.cumsum(counts) - counts)[full])
-            names = np.arange(len(counts), dtype=U) + U(band << 32)
-            keys = mix(parity + mix(names) + mix(counts.astype(U)))
-            out.append(keys[counts >= LEAST] if m > SEGMENTS else keys)
-        band += 1
-    return np.concatenate(out) if out else np.zeros(0, U)
+def signatures(tokens: np.ndarray, sizes: np.ndarray, num: int, den: int, level: int = 0, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The pigeonhole keys of many sets and the number of the set of each key.
+
+    tokens: the sets one after the other, each sorted; sizes: their numbers of
+    tokens.  A set has keys for its own size band and for the next ones as far
+    as a set of theirs can match; ``only`` names one band for each set instead.
+    Levels other than 0 divide by other hashes.
+    """
+    keys, owners = [np.zeros(0, U)], [np.zeros(0, np.int64)]
+    own = np.arange(len(sizes))
+    if level:
+        tokens = mix(tokens ^ mix(U([level]))[0])
+        tokens = tokens[np.lexsort((tokens, np.repeat(own, sizes)))]
+    starts = np.cumsum(sizes) - sizes
+    first = np.searchsorted(BANDS, sizes, "right") - 1
+    for step in range(1 if only is not None else len(BANDS)):
+        band = only if only is not None else np.minimum(first + step, len(BANDS) - 2)
+        m = max_difference(2 * (BANDS[band + 1] - 1), num, den) + 1
+        fits = (BANDS[band] <= sizes * den // num) & (sizes > 0)
+        if not fits.any():
+            break
+        at = np.flatnonzero(fits & (m > 1))
+        if not len(at):
+            continue
+        m, n = m[at], sizes[at]
+        base = np.cumsum(m) - m
+        # Sorted tokens fall in ascending segments, so each segment is one run.
+        inside = np.repeat(starts[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        token = tokens[inside]
+        segment = ((token >> U(32)) * np.repeat(m, n).astype(U) >> U(32)).astype(np.int64) + np.repeat(base, n)
+        runs = np.flatnonzero(np.diff(segment, prepend=-1))
+        parity, count = np.zeros(int(m.sum()), U), np.bincount(segment, minlength=int(m.sum())).astype(U)
+        parity[segment[runs]] = np.bitwise_xor.reduceat(token, runs)
+        owner = np.repeat(at, m)
+        name = (np.arange(len(parity)) - np.repeat(base, m)).astype(U) + (band[owner].astype(U) << U(32))
+        keys.append(((mix(parity + mix(name) + mix(count)) + U(level)) & LOW) | (band[owner].astype(U) << U(56)))
+        owners.append(owner)
+    return np.concatenate(keys), np.concatenate(owners)
 
 
 def sketch(tokens: np.ndarray) -> np.ndarray:
@@ -91,20 +111,123 @@ def node_of(tokens: np.ndarray) -> int:
     return int(mix(parts * np.array([3, 5, 7], U)).sum(dtype=U, keepdims=True).view(np.int64)[0])
 
 
-def _summaries(k: int, num: int, den: int):
+def _meeting(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (key, node) in order of the key, and where the key has several nodes."""
+    order = np.lexsort((node, key))
+    key, node = key[order], node[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+    key, node = key[new], node[new]
+    same = key[1:] == key[:-1]
+    several = np.zeros(len(key), bool)
+    several[1:] |= same
+    several[:-1] |= same
+    return key, node, several
+
+
+EMITTED = "part int, doc_id long, n_shingles long, node long, sketch array<long>, key long, keys binary, nodes binary"
+TABLE = "doc_id long, n_shingles long, node long, sketch array<long>, key long"
+
+
+def _emit(k: int, num: int, den: int, parts: int):
+    """One row per document, and the keys of its set, packed for each range of keys.
+
+    Keys that several sets of a task have are members of buckets for certain;
+    these are given at once, and one of them goes on to meet those of other tasks.
+    So a range gets one row per key and task at most, however many sets share it.
+    """
+
+    def none(n: int, kind: pa.DataType) -> pa.Array:
+        return pa.nulls(n, kind)
+
+    def rows(part, doc_id=None, n_shingles=None, node=None, sketches=None, key=None, keys=None, nodes=None) -> pa.RecordBatch:
+        n = len(part)
+        columns = [
+            pa.array(part, pa.int32()),
+            none(n, pa.int64()) if doc_id is None else doc_id,
+            none(n, pa.int64()) if n_shingles is None else n_shingles,
+            none(n, pa.int64()) if node is None else node,
+            none(n, pa.list_(pa.int64())) if sketches is None else sketches,
+            none(n, pa.int64()) if key is None else key,
+            none(n, pa.binary()) if keys is None else keys,
+            none(n, pa.binary()) if nodes is None else nodes,
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in EMITTED.split(", ")])
+
+    def part_of(key: np.ndarray) -> np.ndarray:
+        return ((mix(key) >> U(32)) * U(parts) >> U(32)).astype(np.int32)
+
+    def send(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        key, node, several = _meeting(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
+        if several.any():
+            yield rows(part_of(node[several].view(U)), node=pa.array(node[several]), key=pa.array(key[several].view(np.int64)))
+        first = np.ones(len(key), bool)
+        first[1:] = key[1:] != key[:-1]
+        key, node = key[first], node[first]
+        part = part_of(key)
+        order = np.lexsort((node, part))
+        key, node, part = key[order], node[order], part[order]
+        cut = np.flatnonzero(np.diff(part, prepend=-1))
+        ends = [*cut[1:].tolist(), len(part)][: len(cut)]
+        pieces = list(zip(cut.tolist(), ends, strict=True))
+        yield rows(part[cut], keys=pa.array([key[a:b].tobytes() for a, b in pieces], pa.binary()), nodes=pa.array([node[a:b].tobytes() for a, b in pieces], pa.binary()))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
             for i, j, data, off in blocks(batch.column("text")):
                 sets = shingle_sets(data, off, k)
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "doc_id": batch.column("doc_id").slice(i, j - i),
-                        "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
-                        "node": pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()),
-                        "sketch": pa.array([sketch(s) for s in sets], pa.list_(pa.int64())),
-                        "keys": pa.array([signatures(s, num, den).view(np.int64) if len(s) else [] for s in sets], pa.list_(pa.int64())),
-                    }
-                )
+                sizes = np.array([len(x) for x in sets], np.int64)
+                nodes = np.array([node_of(x) if len(x) else 0 for x in sets], np.int64)
+                docs = batch.column("doc_id").slice(i, j - i)
+                spread = part_of(np.arange(len(sets), dtype=U) + U(1 + n + i))
+                yield rows(spread, docs, pa.array(sizes), pa.array(nodes, mask=sizes == 0), pa.array([sketch(x) for x in sets], pa.list_(pa.int64())))
+                key, owner = signatures(np.concatenate(sets), sizes, num, den)
+                held.append((key, nodes[owner]))
+                n += len(key)
+                if n >= GATHER:
+                    yield from send(held)
+                    held, n = [], 0
+        if held:
+            yield from send(held)
+
+    return run
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of documents and of members as they are; of the keys of a range those that several sets have."""
+    keys, nodes = [np.zeros(0, U)], [np.zeros(0, np.int64)]
+    names = [c.split()[0] for c in TABLE.split(", ")]
+    for batch in batches:
+        packed = batch.column("keys").is_valid()
+        own = batch.filter(packed)
+        keys += [np.frombuffer(x.as_buffer(), U) for x in own.column("keys")]
+        nodes += [np.frombuffer(x.as_buffer(), np.int64) for x in own.column("nodes")]
+        yield batch.select(names).filter(pc.invert(packed))
+    key, node, several = _meeting(np.concatenate(keys), np.concatenate(nodes))
+    key, node = key[several].view(np.int64), node[several]
+    for at in range(0, len(key), 100_000):
+        a, b = key[at : at + 100_000], node[at : at + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int64()), pa.array(b), pa.nulls(len(a), pa.list_(pa.int64())), pa.array(a)], names=names)
+
+
+def _split(level: int, num: int, den: int):
+    """The buckets of (key, node, label, tokens), each divided further by the keys of one more level."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = batch.column("tokens")
+            sizes = np.diff(tokens.offsets.to_numpy()).astype(np.int64)
+            at, weight = 0, np.cumsum(sizes)
+            while at < len(sizes):
+                to = max(at + 1, int(np.searchsorted(weight, weight[at] + (1 << 18), "right")))
+                flat = tokens.slice(at, to - at).flatten().to_numpy().view(U)
+                old = batch.column("key").slice(at, to - at).to_numpy().view(U)
+                key, owner = signatures(flat, sizes[at:to], num, den, level, (old >> U(56)).astype(np.int64))
+                new = (mix(old[owner] + mix(key)) & LOW) | (old[owner] & ~LOW)
+                columns = [pa.array(new.view(np.int64)), *(batch.column(c).slice(at, to - at).take(pa.array(owner)) for c in ("node", "label"))]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "label"])
+                at = to
 
     return run
 
@@ -163,19 +286,15 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     """
     spark = docs.sparkSession
     stage = Stage(spark, "jaccard")
+    parts = 2 * n_parts(docs)
     docs = documents(docs)
-    table = stage(docs.mapInArrow(_summaries(k, num, den), "doc_id long, n_shingles long, node long, sketch array<long>, keys array<long>"), "sets")
-
-    # Buckets of equal segments; copies are one node, so partial aggregation folds them before the shuffle.
-    rows = table.select(F.explode("keys").alias("key"), "node")
-    multi = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
-    # A merge join whatever the size: AQE splits what a hot key gathers.
-    members = stage(rows.join(multi.hint("merge"), "key").distinct(), "members")
-    nodes = members.select("node").distinct()
-    info = stage(
-        table.join(nodes, "node").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("doc_id")),
-        "nodes",
-    )
+    # Keys move once, packed; those without a partner end there.
+    met = docs.mapInArrow(_emit(k, num, den, parts), EMITTED).repartitionById(parts, F.col("part")).mapInArrow(_meet, TABLE)
+    met = stage(met, "sets")
+    table, members = met.where("key is null").drop("key"), met.where("key is not null").select("key", "node")
+
+    each = stage(table.where("node is not null").groupBy("node").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch")), "each")
+    info = stage(each.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("size").alias("n"), "sketch", "doc_id"), "nodes")
     # Texts stay where they are: only the sets of candidate documents move.
     known = spark.sparkContext.broadcast(id_filter(info.select("doc_id")))
     sets = stage(docs.mapInArrow(_sets(k, known), "node long, tokens array<long>").join(info.select("node"), "node").dropDuplicates(["node"]), "tokens")
@@ -193,13 +312,17 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
         """node, label: the components so far; nodes without links have no row."""
         return stage(connected_components(links, stage).select("node", F.col("comp").alias("label")), "labels")
 
+    def several(rows: DataFrame) -> DataFrame:
+        """The rows of buckets that hold more than one class, with the bucket's number of rows."""
+        left = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("key", "size")
+        # A merge join whatever the size: AQE splits what a hot key gathers.
+        return rows.join(left.hint("merge"), "key")
+
     def open_buckets(label: DataFrame | None) -> DataFrame:
         """Members of the buckets that hold more than one class so far."""
         if label is None:
             return members.withColumn("label", F.col("node"))
-        x = members.join(label, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-        left = x.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-        return x.join(left, "key")
+        return several(members.join(label, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))).drop("size")
 
     label, tried, links = None, None, None
     for turn in range(ROUNDS):
@@ -215,9 +338,22 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
         links = found if links is None else links.unionByName(found)
         label = labels(links)
 
-    # What is left: every pair of different classes in a bucket, cut down by the sketches inside the join.
-    left = stage(open_buckets(label).join(info.select("node", "n", "sketch"), "node"), "left")
-    pairs = left.alias("x").join(left.alias("y"), F.expr(f"x.key = y.key AND x.label < y.label AND {near('x', 'y')}"))
+    # What is left: large buckets are divided until they are small; then every pair of different classes in a bucket,
+    # cut down by the sketches inside the join.
+    left = stage(several(open_buckets(label).distinct()), "left")
+    ready, most = left.where(f"size <= {LIGHT}"), None
+    for level in range(1, SPLITS + 1):
+        heavy = left.where(f"size > {LIGHT}").drop("size")
+        n = heavy.count()
+        if not n or (most is not None and n > most / 2):
+            break
+        most = n
+        divided = heavy.join(sets, "node").mapInArrow(_split(level, num, den), "key long, node long, label long")
+        left = stage(several(divided), "left")
+        ready = ready.unionByName(left.where(f"size <= {LIGHT}"))
+    ready = ready.unionByName(left.where(f"size > {LIGHT}")).drop("size")
+    ready = stage(ready.join(info.select("node", "n", "sketch"), "node"), "ready")
+    pairs = ready.alias("x").join(ready.alias("y"), F.expr(f"x.key = y.key AND x.label < y.label AND {near('x', 'y')}"))
     pairs = pairs.select(F.expr("least(x.node, y.node)").alias("a"), F.expr("greatest(x.node, y.node)").alias("b")).distinct()
     found = stage(verified(pairs.join(tried, ["a", "b"], "left_anti")), "found")
 
@@ -226,16 +362,20 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     comp = connected_components(ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")), stage).select(F.col("node").alias("label"), "comp")
     single = found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node"))).distinct()
     label = label.unionByName(single.join(label, "node", "left_anti").select("node", F.col("node").alias("label")))
-    comp = label.join(comp, "label", "left").select("node", F.coalesce("comp", "label").alias("comp"))
-
-    # Classes of nodes to classes of documents: rows that share a doc_id, or a set, hang together.
-    own = stage(table.join(comp, "node", "left").select("doc_id", "n_shingles", F.coalesce("comp", "node").alias("class")), "own")
-    shared = own.where("doc_id is not null and class is not null").groupBy("doc_id").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi")
-    merged = connected_components(own.join(shared, "doc_id").select(F.col("class").alias("a"), F.col("lo").alias("b")), stage).select(F.col("node").alias("class"), "comp")
-    own = own.join(merged, "class", "left").select("doc_id", "n_shingles", F.coalesce("comp", "class").alias("class"))
-    least = own.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
-    out = own.join(least, "class", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
-    return out
+    sizes = label.groupBy("label").agg(F.count("*").alias("n"))
+    comp = stage(join_counted(label, sizes.join(comp, "label", "left").select("label", F.coalesce("comp", "label").alias("comp"), "n"), "label").select("node", "comp"), "comp")
+
+    # Rows that share a doc_id hang together, and with them their classes.
+    shared = stage(table.where("doc_id is not null and node is not null").groupBy("doc_id").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("doc_id", "lo", "n"), "shared")
+    if not shared.isEmpty():
+        more = join_counted(table.select("doc_id", "node"), shared, "doc_id").select(F.col("node").alias("a"), F.col("lo").alias("b"))
+        both = comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more)
+        comp = connected_components(both.unionByName(more.select("a", F.col("a").alias("b"))), stage).select("node", "comp")
+    nodes = stage(each.select("node", "n", "doc_id").join(comp, "node", "left").where("n > 1 or comp is not null").select("node", "n", "doc_id", F.coalesce("comp", "node").alias("comp")), "classes")
+    least = nodes.groupBy("comp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    least = stage(join_counted(nodes.select("node", "comp", F.col("n").alias("rows")), least, "comp").select("node", "least", F.col("rows").alias("n")), "least")
+    stage.keep_only(met, least)
+    return join_counted(table.select("doc_id", "n_shingles", "node"), least, "node", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:

@@ -103,8 +103,9 @@ def test_pigeonhole_never_misses():
         both = len(np.intersect1d(a, b))
         for num in (80, 90):
             if 100 * both >= num * (len(a) + len(b) - both) and len(a) + len(b) > 2 * both:
-                x, y = jaccard.signatures(a, num, 100), jaccard.signatures(b, num, 100)
-                assert np.intersect1d(x, y).size
+                for level in (0, 1, 2):
+                    x, y = (jaccard.signatures(t, np.array([len(t)]), num, 100, level)[0] for t in (a, b))
+                    assert np.intersect1d(x, y).size
                 assert int(np.bitwise_count((jaccard.sketch(a) ^ jaccard.sketch(b)).view(np.uint64)).sum()) <= len(a) + len(b) - 2 * both
 
 
