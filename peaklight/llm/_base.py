@@ -14,6 +14,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from peaklight.llm._words import mix
+
+U = np.uint64
+#: Bits of a filter of ids that is broadcast: 16 MB at most.
+MOST_BITS = 1 << 27
 #: Bytes of text that one numpy block holds; a single longer row is a block of its own.
 BLOCK_BYTES = 1 << 21
 
@@ -68,24 +73,25 @@ HOT = 1 / 1000
 def join_counted(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner", total: int | None = None) -> DataFrame:
     """``big`` joined to ``small``, which has one row for each key and, as ``n``, how many rows of ``big`` have it.
 
-    Rows of a hot key stay where they are: the hot rows of ``small``, at most 1/HOT
-    by arithmetic whatever the input, go to all tasks.  All other rows shuffle, and
-    none of their keys has more than a share HOT of them.  ``n`` is left out of
-    the result.  ``total`` is the sum of ``n`` or more; a null key matches nothing and isn't moved.
+    The rows of ``small`` for hot keys, at most 1/HOT by arithmetic whatever the
+    input, go to all tasks.  The rest is a join by key and salt: rows of a hot key, which have found their
+    partner, and rows with a null key, which have none, get a salt that spreads them evenly, so no key of the shuffle has more than
+    a share HOT of the rows.  ``n`` is left out of the result.  ``total`` is the sum of ``n`` or more.
     """
     on = [on] if isinstance(on, str) else on
     if total is None:
         total = small.agg(F.sum("n")).first()[0] or 0
     limit = max(1, int(total * HOT))
-    hot, cold = small.where(F.col("n") > limit).drop("n"), small.where(F.col("n") <= limit).drop("n")
-    there = F.expr(" and ".join(f"{c} is not null" for c in on))
-    known = big.where(there)
-    out = known.join(F.broadcast(hot), on).unionByName(known.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on, how))
-    if how == "left":
-        kinds = {f.name: f.dataType for f in small.schema}
-        none = [F.lit(None).cast(kinds[c]).alias(c) for c in small.columns if c not in (*on, "n")]
-        out = out.unionByName(big.where(~there).select("*", *none))
-    return out
+    values = [c for c in small.columns if c not in (*on, "n")]
+    rest = [c for c in big.columns if c not in on]
+    hot = small.where(F.col("n") > limit).select(*on, *(F.col(c).alias(f"_hot_{c}") for c in values), F.lit(True).alias("_hot"))
+    cold = small.where(F.col("n") <= limit).select(*on, *(F.col(c).alias(f"_cold_{c}") for c in values), F.lit(0).alias("_salt"), F.lit(True).alias("_cold"))
+    away = F.col("_hot").isNotNull() | F.expr(" or ".join(f"{c} is null" for c in on))
+    out = big.join(F.broadcast(hot), on, "left").withColumn("_salt", F.when(away, 1 + F.pmod(F.xxhash64(*rest), F.lit(1 << 20))).otherwise(0).cast("int"))
+    out = out.join(cold, [*on, "_salt"], "left")
+    if how == "inner":
+        out = out.where("_hot is not null or _cold is not null")
+    return out.select(*big.columns, *(F.coalesce(f"_hot_{c}", f"_cold_{c}").alias(c) for c in values))
 
 
 def documents(docs: DataFrame) -> DataFrame:
@@ -158,3 +164,36 @@ def blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int
         j = max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1)
         yield i, j, data[off[i] : off[j]], off[i : j + 1] - off[i]
         i = j
+
+
+def _places(ids: np.ndarray, bits: int) -> np.ndarray:
+    """Two places of each id in a filter of so many bits (a power of two)."""
+    h = mix(ids.view(U) + U(0x632BE59BD9B4E019))
+    return np.stack([h & U(bits - 1), (h >> U(32)) & U(bits - 1)]).astype(np.int64)
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of whole numbers as words of 64 bits, at most MOST_BITS whatever their number.
+
+    Each partition sends the words it sets; words are united before they come to
+    the driver.  A full filter lets every number through, which costs work but no result.
+    """
+    bits = min(MOST_BITS, max(1 << 16, 1 << (16 * max(1, ids.count())).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.unique(_places(b.column(0).fill_null(-(2**63)).to_numpy(), bits))
+            words, first = np.unique(at >> 6, return_index=True)
+            yield pa.RecordBatch.from_pydict({"word": pa.array(words), "set": pa.array(np.bitwise_or.reduceat(U(1) << (at & 63).astype(U), first).view(np.int64) if len(at) else np.zeros(0, np.int64))})
+
+    out = np.zeros(bits // 64, np.int64)
+    for r in ids.mapInArrow(run, "word long, set long").groupBy("word").agg(F.expr("bit_or(set)").alias("set")).toLocalIterator():
+        out[r[0]] = r[1]
+    return out
+
+
+def maybe(words: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which ids may be in the filter; all that are in it, and some others."""
+    at = _places(ids, len(words) * 64)
+    bit = U(1) << (at & 63).astype(U)
+    return ((words[at >> 6].view(U) & bit) != 0).all(0)

@@ -27,7 +27,8 @@ def connected_components(links: DataFrame, stage: Stage) -> DataFrame:
         before, old = (total.n, total.x), now
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n"))
-        large = join_counted(both, least, "u", total=2 * total.n).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = stage(join_counted(both, least, "u", total=2 * total.n).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")), "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = join_counted(large, least, "u", total=2 * total.n).select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         now = stage(small.select("e.u", "e.v").where("u <> v").distinct(), "links")
+        stage.drop(large)

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peaklight.llm._base import Stage, blocks, documents, join_counted, n_parts
+from peaklight.llm._base import Stage, blocks, documents, id_filter, join_counted, maybe, n_parts
 from peaklight.llm._words import U, mix, shingle_sets
 from peaklight.llm.components import connected_components
 
@@ -33,8 +33,6 @@ from peaklight.llm.components import connected_components
 SKETCH_BITS = 512
 #: Ratio of the upper to the lower end of a size band.
 BAND_RATIO = 1.3
-#: Bits of the filter of candidates that is broadcast: 16 MB at most.
-MOST_BITS = 1 << 27
 #: Rounds in which each bucket links its classes to one centre only, before pairs of classes left are compared.
 ROUNDS = 3
 #: A bucket of more nodes than this is split by a further division, at most so many times while that parts it.
@@ -232,41 +230,13 @@ def _split(level: int, num: int, den: int):
     return run
 
 
-def _places(ids: np.ndarray, bits: int) -> np.ndarray:
-    """Two places of each id in a filter of so many bits (a power of two)."""
-    h = mix(ids.view(U) + U(0x632BE59BD9B4E019))
-    return np.stack([h & U(bits - 1), (h >> U(32)) & U(bits - 1)]).astype(np.int64)
-
-
-def id_filter(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of doc_ids as bytes, at most MOST_BITS / 8 whatever the number of ids.
-
-    Each partition sends the words it sets; words are united before they come to
-    the driver.  A full filter lets every id through, which costs work but no result.
-    """
-    bits = min(MOST_BITS, max(1 << 16, 1 << (16 * max(1, ids.count())).bit_length()))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = np.unique(_places(b.column(0).fill_null(-(2**63)).to_numpy(), bits))
-            words, first = np.unique(at >> 6, return_index=True)
-            yield pa.RecordBatch.from_pydict({"word": pa.array(words), "set": pa.array(np.bitwise_or.reduceat(U(1) << (at & 63).astype(U), first).view(np.int64) if len(at) else np.zeros(0, np.int64))})
-
-    out = np.zeros(bits // 64, np.int64)
-    for r in ids.mapInArrow(run, "word long, set long").groupBy("word").agg(F.expr("bit_or(set)").alias("set")).toLocalIterator():
-        out[r[0]] = r[1]
-    return out
-
-
 def _sets(k: int, known):
     """Token sets of the texts whose doc_id may be in the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = known.value
         for batch in batches:
-            at = _places(batch.column("doc_id").fill_null(-(2**63)).to_numpy(), len(words) * 64)
-            bit = U(1) << (at & 63).astype(U)
-            batch = batch.filter(pa.array(((words[at >> 6].view(U) & bit) != 0).all(0)))
+            batch = batch.filter(pa.array(maybe(words, batch.column("doc_id").fill_null(-(2**63)).to_numpy())))
             for _, _, data, off in blocks(batch.column("text")):
                 sets = [s for s in shingle_sets(data, off, k) if len(s)]
                 yield pa.RecordBatch.from_pydict({"node": pa.array([node_of(s) for s in sets], pa.int64()), "tokens": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))})
