@@ -18,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peaklight.llm._base import Stage, documents, n_parts, small
+from peaklight.llm._base import Stage, documents, id_filter, join_counted, maybe, n_parts, small
 
 #: Deleted before texts are compared: [\x20\x09-\x0D].
 BLANKS = bytes([32, *range(9, 14)])
+#: Bytes of texts that a task remembers to compare equal ones at once.
+SEEN = 1 << 26
 
 
 class CountingQuotientFilter:
@@ -82,7 +84,10 @@ class CountingQuotientFilter:
 
     @classmethod
     def merge(cls, filters: list[CountingQuotientFilter]) -> CountingQuotientFilter:
-        """Lossless: remainders of a run stay sorted, counts of equal ones add up."""
+        """Lossless: remainders of a run stay sorted, counts of equal ones add up.
+
+        The sort is a stable one, which merges the filters' ascending runs.
+        """
         parts = [f.items() for f in filters]
         prints, counts = np.concatenate([p for p, _ in parts]), np.concatenate([c for _, c in parts])
         order = np.argsort(prints, kind="stable")
@@ -92,20 +97,51 @@ class CountingQuotientFilter:
         return cls(prints[first], np.add.reduceat(counts, np.flatnonzero(first)) if len(prints) else counts, filters[0].low, filters[0].bits)
 
 
-def _digests(keep: bool):
+def _digest(raw: bytes) -> tuple[int, bytes, bytes]:
+    """The fingerprint, the SHA-256 digest and the bytes of a text without its blanks."""
+    raw = raw.translate(None, BLANKS)
+    sha = hashlib.sha256(raw).digest()
+    return int.from_bytes(sha[:8], "little", signed=True), sha, raw
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in small(batches):
+        n, prints, shas = [], [], []
+        for x in batch.column("text"):
+            raw = x.as_buffer().to_pybytes()
+            n.append(len(raw) if raw.isascii() else len(raw.decode("utf-8", "replace")))
+            number, sha, _ = _digest(raw)
+            prints.append(number)
+            shas.append(sha)
+        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_chars": pa.array(n, pa.int64()), "print": pa.array(prints, pa.int64()), "sha": pa.array(shas, pa.binary())})
+
+
+def _different(a: bytes, b: bytes) -> None:
+    if a != b:
+        raise ValueError("two different texts share a SHA-256 digest")
+
+
+def _candidates(known):
+    """Texts whose fingerprint may be repeated.  Equal ones of a task are compared here, byte by byte, and only the first goes on."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = known.value
+        seen, size = {}, 0
         for batch in small(batches):
-            n, sha, kept = [], [], []
+            out = []
             for x in batch.column("text"):
-                raw = x.as_buffer().to_pybytes()
-                n.append(len(raw) if raw.isascii() else len(raw.decode("utf-8", "replace")))
-                raw = raw.translate(None, BLANKS)
-                sha.append(hashlib.sha256(raw).digest())
-                if keep:
-                    kept.append(raw)
-            prints = [int.from_bytes(s[:8], "little", signed=True) for s in sha]
-            out = {"doc_id": batch.column("doc_id"), "n_chars": pa.array(n, pa.int64()), "print": pa.array(prints, pa.int64()), "sha": pa.array(sha, pa.binary())}
-            yield pa.RecordBatch.from_pydict(out | ({"bytes": pa.array(kept, pa.binary())} if keep else {}))
+                number, sha, raw = _digest(x.as_buffer().to_pybytes())
+                if not maybe(words, np.array([number], np.int64))[0]:
+                    continue
+                if sha in seen:
+                    _different(seen[sha], raw)
+                    continue
+                if size > SEEN:  # the task's memory stays bounded; what is sent twice is compared later
+                    seen, size = {}, 0
+                seen[sha] = raw
+                size += len(raw)
+                out.append((number, sha, raw))
+            yield pa.RecordBatch.from_pydict({"print": pa.array([o[0] for o in out], pa.int64()), "sha": pa.array([o[1] for o in out], pa.binary()), "bytes": pa.array([o[2] for o in out], pa.binary())})
 
     return run
 
@@ -141,23 +177,24 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     stage = Stage(spark, "dedup")
     parts = n_parts(docs)
     docs = documents(docs)
-    meta = stage(docs.mapInArrow(_digests(False), "doc_id long, n_chars long, print long, sha binary").withColumn("rid", F.monotonically_increasing_id()), "meta")
+    meta = stage(docs.mapInArrow(_digests, "doc_id long, n_chars long, print long, sha binary").withColumn("rid", F.monotonically_increasing_id()), "meta")
     bits = max(1, int(np.ceil(np.log2(parts))))
     filters = meta.select("print").mapInArrow(_filters(bits), "part long, filter binary")
     repeated = stage(filters.groupBy("part").applyInPandas(_repeated, "print long, n long"), "repeated")
 
-    # Comparison of bytes.  The row that stays is joined to its equals on the fingerprint; of a hot one AQE splits the other side.
+    # The row that stays, of each group.
     best = F.struct(F.col("n_chars"), F.coalesce(-F.col("doc_id"), F.lit(-(2**63))).alias("o"), (-F.col("rid")).alias("r"), F.col("doc_id").alias("keep_id"))
-    among = meta.join(repeated.select("print"), "print")
-    pivot = stage(among.groupBy("print", "sha").agg(F.max(best).alias("b"), F.count("*").alias("size")).select("print", "sha", F.col("b.keep_id").alias("keep_id"), (-F.col("b.r")).alias("keep_rid"), "size"), "pivots")
-    texts = docs.mapInArrow(_digests(True), "doc_id long, n_chars long, print long, sha binary, bytes binary").select("doc_id", "print", "sha", "bytes").join(repeated.select("print"), "print")
-    texts = stage(texts, "bytes")
-    lead = texts.join(pivot.where("size > 1").select("print", "sha", "keep_id"), ["print", "sha"]).where("doc_id <=> keep_id").select("print", "sha", F.col("bytes").alias("other")).dropDuplicates(["print", "sha"])
-    if not texts.join(lead, ["print", "sha"]).where("bytes <> other").isEmpty():
+    among = join_counted(meta, repeated, "print")
+    pivot = stage(among.groupBy("print", "sha").agg(F.max(best).alias("b"), F.count("*").alias("n")).select("print", "sha", F.col("b.keep_id").alias("keep_id"), (-F.col("b.r")).alias("keep_rid"), F.col("n").alias("size"), "n"), "pivots")
+
+    # Comparison of bytes: what a task has seen is compared there, so a group sends one text for each task at most; these agree if their least and greatest do.
+    known = spark.sparkContext.broadcast(id_filter(repeated.select("print")))
+    texts = docs.mapInArrow(_candidates(known), "print long, sha binary, bytes binary").join(repeated.select("print"), "print")
+    if not texts.groupBy("print", "sha").agg(F.min("bytes").alias("lo"), F.max("bytes").alias("hi")).where("lo <> hi").isEmpty():
         raise ValueError("two different texts share a SHA-256 digest")
-    stage.drop(texts)
 
-    known = meta.join(pivot, ["print", "sha"], "left")
+    stage.keep_only(meta, pivot)
+    known = join_counted(meta, pivot, ["print", "sha"], "left")
     return known.select(
         "doc_id",
         F.when(F.col("keep_rid").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
