@@ -19,11 +19,11 @@ def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every user turn as a call; one without a result has result_turn and result_chars -1."""
+    """Every user turn as a call; one without a result has result_turn and result_chars -1, one without JSON an empty canonical form."""
     calls, results = toolcalls.turns_as_calls(table(spark, sf_dir, "conversations"))
-    out = toolcalls.link_tool_calls(calls, results, toolcalls.REPLY)
+    out = toolcalls.link_tool_calls(calls, results, toolcalls.TOOLS)
     none = F.lit(-1).cast("long")
-    return out.select("conv_id", "turn", "call_id", "name", F.coalesce("result_turn", none).alias("result_turn"), "n_results", F.col("level").cast("long").alias("level"), F.concat_ws("; ", "errors").alias("errors"), F.coalesce(F.length("content").cast("long"), none).alias("result_chars"), "canonical")
+    return out.select("conv_id", "turn", "call_id", "name", F.coalesce("result_turn", none).alias("result_turn"), "n_results", F.col("level").cast("long").alias("level"), F.concat_ws("; ", "errors").alias("errors"), F.coalesce(F.length("content").cast("long"), none).alias("result_chars"), F.coalesce("canonical", F.lit("")).alias("canonical"))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,21 +76,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL = {
     "op2_tool_call_linking": r"""
-WITH calls AS (
-  SELECT conv_id, turn::BIGINT AS turn, 'c' || turn AS call_id, coalesce(text, '') AS text FROM conversations WHERE role = 'user'
-), firsts AS (
-  SELECT conv_id, turn, call_id, text, row_number() OVER (PARTITION BY conv_id, call_id ORDER BY turn) AS nth FROM calls
+WITH RECURSIVE c AS (
+  SELECT conv_id, turn::BIGINT AS turn, coalesce(text, '') AS t, (length(coalesce(text, '')) + turn) % 12 AS p FROM conversations WHERE role = 'user'
+), calls AS (
+  SELECT *, 'c' || turn AS call_id, CASE WHEN p % 3 = 1 THEN 'search' WHEN p = 11 THEN 'browse' ELSE 'reply' END AS name,
+    CASE WHEN p % 4 = 2 THEN turn + 2 WHEN turn >= 2 THEN turn - 2 END AS needs, count(*) OVER (PARTITION BY conv_id) AS size FROM c
+), refs AS (
+  SELECT a.conv_id, a.turn, a.needs, b.turn IS NULL AS nowhere FROM calls a LEFT JOIN calls b ON a.conv_id = b.conv_id AND a.needs = b.turn WHERE a.needs IS NOT NULL
+), walk AS (
+  SELECT conv_id, turn, turn AS at, 0 AS steps, size FROM calls
+  UNION ALL
+  SELECT w.conv_id, w.turn, r.needs, w.steps + 1, w.size FROM walk w JOIN refs r ON r.conv_id = w.conv_id AND r.turn = w.at AND NOT r.nowhere WHERE w.steps < w.size
+), levels AS (
+  SELECT conv_id, turn, CASE WHEN max(steps) = max(size) THEN -1 ELSE max(steps) END AS level FROM walk GROUP BY 1, 2
 ), results AS (
-  SELECT conv_id, 'c' || (turn - 1) AS call_id, min(turn)::BIGINT AS result_turn, count(*) AS n, arg_min(length(text), turn) AS chars
+  SELECT conv_id, turn - 1 AS turn, min(turn)::BIGINT AS result_turn, count(*) AS n, arg_min(length(text), turn) AS chars
   FROM conversations WHERE role IN ('assistant', 'tool') GROUP BY 1, 2
+), parts AS (
+  SELECT *, CASE WHEN needs IS NULL THEN '' ELSE '"after":"$ref:c' || needs || '"' END AS a FROM calls
 )
-SELECT c.conv_id, c.turn, c.call_id, 'reply' AS name, coalesce(r.result_turn, -1) AS result_turn, coalesce(r.n, 0)::BIGINT AS n_results, 0::BIGINT AS level,
-  CASE WHEN c.turn >= 2 AND t.call_id IS NULL THEN '$: refers to no call c' || (c.turn - 2) ELSE '' END AS errors,
+SELECT c.conv_id, c.turn, c.call_id, c.name, coalesce(r.result_turn, -1) AS result_turn, coalesce(r.n, 0)::BIGINT AS n_results, l.level::BIGINT AS level,
+  concat_ws('; ',
+    CASE WHEN p = 8 THEN '$: not JSON' WHEN p = 11 THEN '$: unknown tool' WHEN p = 3 THEN '$.text: missing' WHEN p = 5 THEN '$.tone: not in enum'
+      WHEN p = 7 THEN '$.limit: above maximum' WHEN p = 10 THEN '$.limit: above maximum; $.page: not allowed' END,
+    CASE WHEN f.nowhere THEN '$: refers to no call c' || c.needs END) AS errors,
   coalesce(r.chars, -1)::BIGINT AS result_chars,
-  '{"arguments":{' || CASE WHEN c.turn >= 2 THEN '"after":"$ref:c' || (c.turn - 2) || '",' ELSE '' END
-    || '"text":' || to_json(c.text)::VARCHAR || ',"turn":' || c.turn || '},"id":"' || c.call_id || '","name":"reply"}' AS canonical
-FROM firsts c LEFT JOIN results r USING (conv_id, call_id)
-LEFT JOIN (SELECT DISTINCT conv_id, call_id FROM calls) t ON t.conv_id = c.conv_id AND t.call_id = 'c' || (c.turn - 2)
+  CASE WHEN p = 8 THEN '' ELSE '{"arguments":{' || concat_ws(',', nullif(a, ''), CASE WHEN p % 3 = 1 THEN '"limit":' || 10 * p || CASE WHEN p = 10 THEN ',"page":1' ELSE '' END || ',"query":' || to_json(t)::VARCHAR
+      ELSE concat_ws(',', CASE WHEN p <> 3 THEN '"text":' || to_json(t)::VARCHAR END, CASE WHEN p = 5 THEN '"tone":"loud"' END, '"turn":' || c.turn) END)
+    || '},"id":"' || c.call_id || '","name":"' || c.name || '"}' END AS canonical
+FROM parts c JOIN levels l ON l.conv_id = c.conv_id AND l.turn = c.turn
+LEFT JOIN results r ON r.conv_id = c.conv_id AND r.turn = c.turn LEFT JOIN refs f ON f.conv_id = c.conv_id AND f.turn = c.turn
 """,
     "op7_exact_dedup": r"""
 WITH d AS (

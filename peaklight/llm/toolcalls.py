@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import json
+from collections import Counter, defaultdict
+from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from peaklight.llm._base import Stage
+from peaklight.llm._base import Stage, join_counted
 
 #: A string argument of this form refers to the result of another call of the conversation.
 REFERENCE = r'"\$ref:([^"]+)"'
@@ -66,66 +70,107 @@ def _checked(tools: dict[str, dict]) -> Column:
     return check("call_id", "name", "arguments")
 
 
-def _levels(calls: DataFrame, references: DataFrame, stage: Stage) -> DataFrame:
-    """conv_id, call_id, level of the calls of conversations in which a reference points forward.
-
-    Calls whose references are all resolved leave first, round by round; calls of a cycle get level -1.
+def _kahn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Levels of whole conversations; their edges (conv_id, uid, ref) come one conversation after the other."""
+
+    def solve(edges: list[tuple[int, int]]) -> pa.RecordBatch:
+        waits, users = Counter(u for u, _ in edges), defaultdict(list)
+        for u, r in edges:
+            users[r].append(u)
+        level = {r: 0 for r in users if r not in waits}
+        todo = list(level)
+        for r in todo:  # grows while it is read
+            for u in users.get(r, ()):
+                level[u] = max(level.get(u, 0), level[r] + 1)
+                waits[u] -= 1
+                if not waits[u]:
+                    todo.append(u)
+        rows = [(u, -1 if n else level[u]) for u, n in waits.items()]
+        return pa.RecordBatch.from_pydict({"uid": pa.array([u for u, _ in rows], pa.int64()), "level": pa.array([x for _, x in rows], pa.int64())})
+
+    held, last = [], None
+    for batch in batches:
+        for conv, u, r in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "uid", "ref")), strict=True):
+            if conv != last and len(held) > 50_000:
+                yield solve(held)
+                held = []
+            held.append((u, r))
+            last = conv
+    if held:
+        yield solve(held)
+
+
+def _contracted(edges: DataFrame, stage: Stage) -> DataFrame:
+    """uid, level from edges (uid, ref) of conversations too large for one task.
+
+    Each round settles the calls that wait for nothing, and lets every edge to a call with one open
+    reference jump over it, so a chain of n calls takes about log2(n) rounds.  A round that settles
+    nothing leaves only calls on or behind a cycle: level -1.
     """
-    ids = ["conv_id", "call_id"]
-    open_ids = stage(calls.select(*ids).distinct(), "open")
-    edges = stage(references.select(*ids, "needs").distinct(), "edges")
-    done, level = None, 0
-    while True:
-        blocked = edges.join(open_ids.select("conv_id", F.col("call_id").alias("needs")), ["conv_id", "needs"]).select(*ids).distinct()
-        ready = stage(open_ids.join(blocked, ids, "left_anti").withColumn("level", F.lit(level)), "ready")
-        if ready.isEmpty():
-            rest = open_ids.withColumn("level", F.lit(-1))
-            return rest if done is None else done.unionByName(rest)
-        done = ready if done is None else done.unionByName(ready)
-        open_ids = stage(open_ids.join(ready, ids, "left_anti"), "open")
-        level += 1
-
-
-def link_tool_calls(calls: DataFrame, results: DataFrame, tools: dict[str, dict]) -> DataFrame:
+    edges = stage(edges.select("uid", "ref").distinct().withColumn("w", F.lit(1).cast("long")), "edges")
+    start = edges
+    new = stage(edges.select(F.col("ref").alias("uid")).distinct().join(edges.select("uid"), "uid", "left_anti").withColumn("level", F.lit(0).cast("long")), "settled")
+    base, done = None, []
+    while not new.isEmpty():
+        hit = edges.join(new.select(F.col("uid").alias("ref"), "level"), "ref").select("uid", (F.col("level") + F.col("w")).alias("b"))
+        base = stage((hit if base is None else hit.unionByName(base)).groupBy("uid").agg(F.max("b").alias("b")), "base")
+        left = edges.join(new.select(F.col("uid").alias("ref")), "ref", "left_anti")
+        one = left.groupBy("uid").agg(F.count("*").alias("k"), F.first("ref").alias("to"), F.first("w").alias("far")).where("k = 1").join(base, "uid", "left").select(F.col("uid").alias("ref"), "to", "far", "b")
+        jumped = stage(left.join(one, "ref", "left").select("uid", F.coalesce("to", "ref").alias("ref"), F.least(F.col("w") + F.coalesce("far", F.lit(0)), F.lit(1 << 40)).alias("w"), (F.col("b") + F.col("w")).alias("b")), "jumped")
+        new = stage(base.join(jumped.select("uid"), "uid", "left_anti").select("uid", F.col("b").alias("level")), "settled")
+        done.append(new)
+        base = jumped.where("b is not null").select("uid", "b").unionByName(base.join(new, "uid", "left_anti"))
+        edges = stage(jumped.groupBy("uid", "ref").agg(F.max("w").alias("w")), "edges")
+    known = reduce(DataFrame.unionByName, done) if done else new
+    return start.select("uid").distinct().join(known, "uid", "left").select("uid", F.coalesce("level", F.lit(-1)).alias("level"))
+
+
+def _levels(edges: DataFrame, stage: Stage, most: int) -> DataFrame:
+    """uid, level of the calls that refer to others: conversations of up to ``most`` references each in one task, larger ones by rounds."""
+    counts = edges.groupBy("conv_id").agg(F.count("*").alias("n"))
+    edges = stage(join_counted(edges, counts.withColumn("size", F.col("n")), "conv_id"), "edges")
+    some = edges.where(F.col("size") <= most).select("conv_id", "uid", "ref").repartition("conv_id").sortWithinPartitions("conv_id")
+    out = some.mapInArrow(_kahn, "uid long, level long")
+    many = edges.where(F.col("size") > most)
+    return out if many.isEmpty() else out.unionByName(_contracted(many, stage))
+
+
+def link_tool_calls(calls: DataFrame, results: DataFrame, tools: dict[str, dict], most: int = 100_000) -> DataFrame:
     """One row per call.
 
     calls: conv_id, turn, call_id, name, arguments (JSON text); results:
     conv_id, turn, call_id, content; tools: JSON schema of the arguments by name.
     Returns conv_id, turn, call_id, name, result_turn and content of the first
     result with its identifier (null without one), n_results, level, errors
-    (array of text) and canonical, the call as canonical JSON.  Calls in order of (level, turn)
-    are in topological order: a call that refers to another's result ("$ref:<id>") comes after
-    it.  The level is 0 throughout a conversation whose references all point
-    back; of others it counts the calls that must come before; -1 marks a cycle.
+    (array of text) and canonical, the call as canonical JSON (null if the arguments aren't JSON).
+
+    A call may refer to another of its conversation ("$ref:<id>" in its arguments).  The level is
+    the number of calls in the longest chain of references behind it: 0 without references to
+    calls at hand, -1 on or behind a cycle.  Calls in order of (level, turn) are in
+    topological order.
 
-    Results are folded by identifier before the join, so many results of one
+    Results are folded by identifier before the hash join, so many results of one
     call stay one row.  Of calls that share an identifier in a conversation the first by turn
-    (then name, arguments) is linked; the others have error "$: identifier used before".  A null identifier or
-    conversation links with nothing.  Empty tables give no rows.
+    (then name, arguments; of equal rows one) is linked and referred to; the others have error "$: identifier used before".
+    A null identifier or conversation links with nothing, and its references lead to no call.  Empty tables give no rows;
+    other columns than those named are left out; a text of any length is read whole.
     """
     stage = Stage(calls.sparkSession, "toolcalls")
-    calls = calls.select("conv_id", "turn", "call_id", "name", "arguments")
+    calls = stage(calls.select("conv_id", "turn", "call_id", "name", "arguments").withColumn("uid", F.monotonically_increasing_id()), "calls")
     keyed = ["conv_id", "call_id"]
     folded = results.where("call_id is not null").groupBy(*keyed).agg(F.min(F.struct("turn", "content")).alias("first"), F.count("*").alias("n"))
-    owner = calls.where("call_id is not null").groupBy(*keyed).agg(F.min(F.struct("turn", "name", "arguments")).alias("own"))
-    linked = calls.join(owner, keyed, "left").withColumn("leads", F.coalesce(F.struct("turn", "name", "arguments").eqNullSafe(F.col("own")), F.lit(False)))
-    linked = linked.join(folded, keyed, "left")
-
-    references = calls.select("conv_id", "turn", "call_id", F.explode(F.regexp_extract_all("arguments", F.lit(REFERENCE), 1)).alias("needs"))
-    target = calls.where("call_id is not null").groupBy("conv_id", F.col("call_id").alias("needs")).agg(F.min("turn").alias("at"))
-    found = references.join(target, ["conv_id", "needs"], "left")
-    missing = found.where("at is null").groupBy("conv_id", "turn", "call_id").agg(F.sort_array(F.collect_set(F.concat(F.lit("$: refers to no call "), "needs"))).alias("missing"))
-    forward = stage(found.where("at >= turn").select("conv_id").distinct(), "forward")
-    linked = linked.join(missing, ["conv_id", "turn", "call_id"], "left")
-    if forward.isEmpty():
-        linked = linked.withColumn("level", F.lit(0))
-    else:
-        levels = _levels(calls.join(forward, "conv_id").where("call_id is not null"), found.join(forward, "conv_id").where("at is not null"), stage)
-        linked = linked.join(levels, keyed, "left").withColumn("level", F.coalesce("level", F.lit(0)))
-
-    linked = linked.withColumn("checked", _checked(tools))
-    extra = F.when(F.col("call_id").isNull(), F.array(F.lit("$: no identifier"))).when(~F.col("leads"), F.array(F.lit("$: identifier used before"))).otherwise(F.array().cast("array<string>"))
-    empty = F.array().cast("array<string>")
+    owner = stage(calls.where("call_id is not null and conv_id is not null").groupBy(*keyed).agg(F.min(F.struct("turn", "name", "arguments", "uid"))["uid"].alias("own")), "owners")
+    linked = calls.join(owner, keyed, "left").withColumn("leads", F.coalesce(F.col("uid") == F.col("own"), F.lit(False)))
+    linked = linked.join(folded.hint("shuffle_hash"), keyed, "left")
+
+    references = calls.select("conv_id", "uid", F.explode(F.array_distinct(F.regexp_extract_all("arguments", F.lit(REFERENCE), 1))).alias("call_id"))
+    found = stage(references.join(owner, keyed, "left"), "references")
+    missing = found.where("own is null").groupBy("uid").agg(F.sort_array(F.collect_list(F.concat(F.lit("$: refers to no call "), "call_id"))).alias("missing"))
+    level = _levels(found.where("own is not null").select("conv_id", "uid", F.col("own").alias("ref")), stage, most)
+    linked = linked.join(missing, "uid", "left").join(level, "uid", "left").withColumn("checked", _checked(tools))
+
+    none = F.array().cast("array<string>")
+    extra = F.when(F.col("call_id").isNull(), F.array(F.lit("$: no identifier"))).when(~F.col("leads"), F.array(F.lit("$: identifier used before"))).otherwise(none)
     return linked.select(
         "conv_id",
         "turn",
@@ -134,33 +179,53 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, tools: dict[str, dict]
         F.when(F.col("leads"), F.col("first.turn")).alias("result_turn"),
         F.when(F.col("leads"), F.col("first.content")).alias("content"),
         F.when(F.col("leads"), F.coalesce("n", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_results"),
-        "level",
-        F.concat(F.coalesce("checked.errors", empty), extra, F.coalesce("missing", empty)).alias("errors"),
+        F.coalesce("level", F.lit(0)).cast("long").alias("level"),
+        F.concat(F.coalesce("checked.errors", none), extra, F.coalesce("missing", none)).alias("errors"),
         F.col("checked.canonical").alias("canonical"),
     )
 
 
-#: The one tool of plain conversations, see turns_as_calls().
-REPLY = {
+_AFTER = {"type": "string"}
+#: The tools of plain conversations, see turns_as_calls().
+TOOLS = {
     "reply": {
         "type": "object",
-        "properties": {"text": {"type": "string"}, "turn": {"type": "integer", "minimum": 0}, "after": {"type": "string"}},
+        "properties": {"text": {"type": "string"}, "turn": {"type": "integer", "minimum": 0}, "tone": {"enum": ["plain", "warm"]}, "after": _AFTER},
         "required": ["text", "turn"],
         "additionalProperties": False,
-    }
+    },
+    "search": {
+        "type": "object",
+        "properties": {"query": {"type": "string"}, "limit": {"type": "integer", "minimum": 1, "maximum": 50}, "after": _AFTER},
+        "required": ["query"],
+        "additionalProperties": False,
+    },
 }
 
 
 def turns_as_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Calls and results of a table of turns (conv_id, turn, role, text).
+    """Calls and results of a table of turns (conv_id, turn, role, text), good ones and faulty ones.
+
+    A user's turn is a call with the identifier c<turn>; an assistant's or tool's turn
+    is the result of the turn before it.  What is called, and with what, follows
+    from p = (code points of the text + turn) mod 12:
 
-    A user's turn is a call of ``reply`` with the identifier c<turn>; it refers
-    to the call two turns before, if the turn is 2 or later.  An assistant's or tool's turn
-    is the result of the turn before it.
+    - p mod 3 = 1: ``search`` with the limit 10 p (too large from 7 on), at p = 10 with a page, which isn't allowed;
+      p = 11: ``browse``, which no schema knows; otherwise ``reply``, at p = 3 without its text, at p = 5 in a tone that isn't allowed.
+    - it refers to the call two turns on where p mod 4 = 2, otherwise to the one two turns back, if the turn is 2 or later;
+      so there are references forward, cycles, and references to calls that don't exist.
+    - at p = 8 the last brace is missing, so the arguments aren't JSON.
     """
-    rows = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
-    name = F.concat(F.lit("c"), F.col("turn").cast("string"))
-    after = F.when(F.col("turn") >= 2, F.concat(F.lit("$ref:c"), (F.col("turn") - 2).cast("string")))
-    calls = rows.where("role = 'user'").select("conv_id", "turn", name.alias("call_id"), F.lit("reply").alias("name"), F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("text"), "turn", after.alias("after"))).alias("arguments"))
-    results = rows.where("role in ('assistant', 'tool')").select("conv_id", "turn", F.concat(F.lit("c"), (F.col("turn") - 1).cast("string")).alias("call_id"), F.col("text").alias("content"))
+    rows = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"), F.col("text").alias("content"))
+    rows = rows.withColumn("p", (F.length("text") + F.col("turn")) % 12)
+    turn, p = F.col("turn"), F.col("p")
+    name = F.when(p % 3 == 1, "search").when(p == 11, "browse").otherwise("reply")
+    after = F.when(p % 4 == 2, turn + 2).when(turn >= 2, turn - 2)
+    after = F.concat(F.lit("$ref:c"), after.cast("string")).alias("after")
+    search = F.to_json(F.struct(F.col("text").alias("query"), (10 * p).alias("limit"), F.when(p == 10, 1).alias("page"), after))
+    reply = F.to_json(F.struct(F.when(p != 3, F.col("text")).alias("text"), "turn", F.when(p == 5, "loud").alias("tone"), after))
+    arguments = F.when(p == 8, F.expr("left(arguments, length(arguments) - 1)")).otherwise(F.col("arguments"))
+    calls = rows.where("role = 'user'").withColumn("arguments", F.when(p % 3 == 1, search).otherwise(reply))
+    calls = calls.select("conv_id", "turn", F.concat(F.lit("c"), turn.cast("string")).alias("call_id"), name.alias("name"), arguments.alias("arguments"))
+    results = rows.where("role in ('assistant', 'tool')").select("conv_id", "turn", F.concat(F.lit("c"), (turn - 1).cast("string")).alias("call_id"), "content")
     return calls, results
