@@ -1,10 +1,12 @@
 """Quality classifier on random-indexing word vectors.
 
 Every word (a run of letters and digits, or of other marks) has a sparse random
-index vector; its word vector is the sum of the index vectors of its
-neighbours in all documents, scaled to length one.  A document is the mean of
-its words' vectors and index vectors; a network of two layers scores it, and a
-temperature fitted on rows kept back calibrates the score.
+index vector, drawn from the whole hash of its bytes.  A word that makes up
+a share of SHARE or more of all words of the corpus also has a context vector, the sum of the index vectors
+of its neighbours in all documents, scaled to length one; of rarer words, about which
+neighbours tell little, the context vector is zero.  A document is the mean of its words' context and index
+vectors; a network of two layers scores it, and a temperature fitted on rows
+kept back calibrates the score.
 """
 
 from __future__ import annotations
@@ -17,12 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peaklight.llm._base import blocks, documents
+from peaklight.llm._base import Stage, blocks, documents
 from peaklight.llm._words import BYTE, SPACE, U, mix, segment_hashes, spans
 from peaklight.llm.langid import remainder
 
-#: Words share this many vectors of so many numbers; each index vector has four that aren't 0; neighbours on each side.
-VECTORS, SIZE, ONES, REACH = 8192, 32, 4, 2
+#: Numbers of a vector, how many of an index vector aren't 0, neighbours on each side.
+SIZE, ONES, REACH = 32, 4, 2
+#: Least share of all words of the corpus that a word with a context vector has; so there are at most 1 / SHARE of these.
+SHARE = 2e-5
 #: Labelled documents (about) that the network is fitted on, units of its first layer.
 SAMPLE, HIDDEN, EPOCHS, RATE, SEED = 20_000, 32, 60, 0.01, 11
 #: A score from here on counts as good.
@@ -32,70 +36,114 @@ _PLAIN = np.zeros(256, bool)
 _PLAIN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
-def index_vectors() -> tuple[np.ndarray, np.ndarray]:
-    """Places and signs of the numbers of each index vector that aren't 0; fixed by a hash."""
-    x = mix(np.arange(VECTORS * ONES, dtype=U) * U(0x9E3779B97F4A7C15) + U(1)).reshape(VECTORS, ONES)
-    return (x % U(SIZE)).astype(np.int64), np.where(x >> U(63), 1, -1).astype(np.int64)
-
-
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of the vectors of all words of a block, and the offsets of the rows in these."""
+    """Hashes of all words of a block, and the offsets of the rows in these."""
     a, b = spans(_PLAIN[data], offsets)
     c, d = spans(~_PLAIN[data] & ~SPACE[data], offsets)
     starts, ends = np.concatenate([a, c]), np.concatenate([b, d])
     order = np.argsort(starts, kind="stable")
     starts, ends = starts[order], ends[order]
-    return (segment_hashes(data, BYTE, starts, ends) % U(VECTORS)).astype(np.int64), np.searchsorted(starts, offsets)
+    return segment_hashes(data, BYTE, starts, ends), np.searchsorted(starts, offsets)
+
+
+def index_vectors(hashes: np.ndarray) -> np.ndarray:
+    """The index vector of each word: ONES places, fixed by its hash, hold 1 or -1 (their sum where places agree)."""
+    out, own = np.zeros((len(hashes), SIZE), np.int8), np.arange(len(hashes))
+    for k in range(ONES):
+        x = mix(hashes + U((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
+        out[own, (x % U(SIZE)).astype(np.int64)] += np.where(x >> U(63), 1, -1).astype(np.int8)
+    return out
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    place, sign = index_vectors()
-    total = np.zeros(VECTORS * SIZE)
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen, n = np.zeros(0, U), np.zeros(0, np.int64)
     for batch in batches:
         for _, _, data, off in blocks(batch.column("text")):
-            w, at = words(data, off)
-            row = np.repeat(np.arange(len(off) - 1), np.diff(at))
-            for step in range(1, REACH + 1):
-                near = row[step:] == row[:-step]
-                left, right = w[:-step][near], w[step:][near]
-                for k in range(ONES):
-                    total += np.bincount(left * SIZE + place[right, k], sign[right, k], VECTORS * SIZE)
-                    total += np.bincount(right * SIZE + place[left, k], sign[left, k], VECTORS * SIZE)
-    table = total.reshape(VECTORS, SIZE)
-    used = np.flatnonzero(table.any(1))
-    columns = [pa.array(used, pa.int32()), *(pa.array(table[used, i].astype(np.int64), pa.int64()) for i in range(SIZE))]
-    yield pa.RecordBatch.from_arrays(columns, names=["word", *(f"v{i}" for i in range(SIZE))])
-
-
-def word_vectors(docs: DataFrame) -> np.ndarray:
-    """The table of word vectors over all documents, VECTORS rows of 2 * SIZE numbers: context and index.
-
-    Partitions send sums of whole numbers, at most VECTORS rows each, so the
-    result is the same in any order; the table that comes to the driver has a fixed size.
+            new, count = np.unique(words(data, off)[0], return_counts=True)
+            every = np.concatenate([seen, new])
+            seen, at = np.unique(every, return_inverse=True)
+            n = np.bincount(at, np.concatenate([n, count]), len(seen)).astype(np.int64)
+            if len(seen) > 1 << 20:
+                yield pa.RecordBatch.from_pydict({"word": pa.array(seen.view(np.int64)), "n": pa.array(n)})
+                seen, n = np.zeros(0, U), np.zeros(0, np.int64)
+    yield pa.RecordBatch.from_pydict({"word": pa.array(seen.view(np.int64)), "n": pa.array(n)})
+
+
+def _contexts(common):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = common.value
+        total = np.zeros((len(vocabulary), SIZE), np.int64)
+        for batch in batches:
+            for _, _, data, off in blocks(batch.column("text")):
+                w, at = words(data, off)
+                row, own = np.repeat(np.arange(len(off) - 1), np.diff(at)), index_vectors(w)
+                near = np.zeros_like(own)
+                for step in range(1, REACH + 1):
+                    same = (row[step:] == row[:-step])[:, None]
+                    near[step:] += own[:-step] * same
+                    near[:-step] += own[step:] * same
+                place, known = find(vocabulary, w)
+                place, near = place[known], near[known]
+                order = np.argsort(place, kind="stable")
+                starts = np.flatnonzero(np.diff(place[order], prepend=-1))
+                if len(starts):
+                    total[place[order][starts]] += np.add.reduceat(near[order], starts, axis=0, dtype=np.int64)
+        used = np.flatnonzero(total.any(1))
+        columns = [pa.array(used, pa.int32()), *(pa.array(total[used, i].astype(np.int64)) for i in range(SIZE))]
+        yield pa.RecordBatch.from_arrays(columns, names=["word", *(f"v{i}" for i in range(SIZE))])
+
+    return run
+
+
+def find(vocabulary: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of words in a sorted vocabulary, and whether they are in it."""
+    if not len(vocabulary):
+        return np.zeros(len(w), np.int64), np.zeros(len(w), bool)
+    place = np.minimum(np.searchsorted(vocabulary, w), len(vocabulary) - 1)
+    return place, vocabulary[place] == w
+
+
+@dataclass
+class WordVectors:
+    """Hashes of the common words, ascending, and their context vectors."""
+
+    vocabulary: np.ndarray
+    context: np.ndarray
+
+    def pooled(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The mean context and index vector of each row's words, 2 * SIZE numbers; zeros for a row without any."""
+        w, at = words(data, offsets)
+        out = np.zeros((len(offsets) - 1, 2 * SIZE), np.float32)
+        n = np.diff(at)
+        full = np.flatnonzero(n)
+        if len(full):
+            place, known = find(self.vocabulary, w)
+            context = np.append(self.context, np.zeros((1, SIZE), np.float32), 0)[np.where(known, place, len(self.vocabulary))]
+            own = index_vectors(w).astype(np.float32) / ONES**0.5
+            out[full] = np.add.reduceat(np.concatenate([context, own], 1), at[:-1][full], axis=0) / n[full, None]
+        return out
+
+
+def word_vectors(docs: DataFrame, share: float = SHARE) -> WordVectors:
+    """Context vectors over all documents.
+
+    One pass counts all words, a second one sums the neighbours of the common
+    ones.  Sums are of whole numbers, so the result is the same in any order.
+    At most 1 / share rows come to the driver, by arithmetic.
     """
+    docs = documents(docs)
+    stage = Stage(docs.sparkSession, "words")
+    counts = stage(docs.mapInArrow(_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    common = np.sort(np.array([r.word for r in counts.where(F.col("n") >= max(1.0, share * total)).select("word").collect()], np.int64).view(U))
+    stage.drop(counts)
     names = [f"v{i}" for i in range(SIZE)]
-    sums = documents(docs).mapInArrow(_contexts, "word int, " + ", ".join(f"{n} long" for n in names))
-    rows = sums.groupBy("word").agg(*(F.sum(n).alias(n) for n in names)).collect()
-    context, index = np.zeros((VECTORS, SIZE)), np.zeros((VECTORS, SIZE))
-    for r in rows:
+    sums = docs.mapInArrow(_contexts(docs.sparkSession.sparkContext.broadcast(common)), "word int, " + ", ".join(f"{n} long" for n in names))
+    context = np.zeros((len(common), SIZE))
+    for r in sums.groupBy("word").agg(*(F.sum(n).alias(n) for n in names)).collect():
         context[r[0]] = r[1:]
-    place, sign = index_vectors()
-    for k in range(ONES):
-        np.add.at(index, (np.arange(VECTORS), place[:, k]), sign[:, k])
     context /= np.maximum(1e-9, np.linalg.norm(context, axis=1, keepdims=True))
-    index /= np.maximum(1e-9, np.linalg.norm(index, axis=1, keepdims=True))
-    return np.concatenate([context, index], 1).astype(np.float32)
-
-
-def pooled(table: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The mean vector of each row's words; zeros for a row without any."""
-    w, at = words(data, offsets)
-    out = np.zeros((len(offsets) - 1, table.shape[1]), np.float32)
-    n = np.diff(at)
-    full = np.flatnonzero(n)
-    if len(full):
-        out[full] = np.add.reduceat(table[w], at[:-1][full], axis=0) / n[full, None]
-    return out
+    return WordVectors(common, context.astype(np.float32))
 
 
 @dataclass
@@ -144,15 +192,16 @@ def fit(x: np.ndarray, y: np.ndarray, kept_back: np.ndarray, seed: int = SEED) -
         def loss(temperature: float) -> float:
             return float(np.logaddexp(0, np.where(b > 0, -z, z) / temperature).mean())
 
-        net.temperature = min(np.geomspace(0.25, 8, 61), key=loss)
+        net.temperature = min(np.geomspace(0.1, 100, 121), key=loss)
     return net
 
 
-def _pool(table: np.ndarray, net: Network | None, prior: float):
+def _pool(vectors, net: Network | None, prior: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = vectors.value
         for batch in batches:
             for i, j, data, off in blocks(batch.column("text")):
-                x = pooled(table, data, off)
+                x = table.pooled(data, off)
                 out = {c: batch.column(c).slice(i, j - i) for c in batch.schema.names if c != "text"}
                 if "quality" in out:
                     out["vector"] = pa.array(list(x), pa.list_(pa.float32()))
@@ -163,8 +212,8 @@ def _pool(table: np.ndarray, net: Network | None, prior: float):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, table: np.ndarray, sample: int = SAMPLE) -> tuple[Network | None, float]:
-    """Network and share of good rows, from labelled rows whose crc32(doc_id) mod 5 isn't 0.
+def train(docs: DataFrame, labels: DataFrame, vectors, sample: int = SAMPLE) -> tuple[Network | None, float]:
+    """Network and share of good rows, from labelled rows whose crc32(doc_id) mod 5 isn't 0; vectors: a broadcast of WordVectors.
 
     About ``sample`` of them are used, chosen by a hash of doc_id; their list is the
     only thing broadcast.  With no labels, or one kind only, there is no network and
@@ -174,7 +223,7 @@ def train(docs: DataFrame, labels: DataFrame, table: np.ndarray, sample: int = S
     n = known.count()
     some = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < (1 << 20) * min(1.0, sample / max(1, n))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = documents(docs).join(F.broadcast(some), "doc_id").select("doc_id", "quality", "text")
-    rows = sorted((r.doc_id, r.quality, r.vector) for r in chosen.mapInArrow(_pool(table, None, 0), "doc_id long, quality int, vector array<float>").collect())
+    rows = sorted((r.doc_id, r.quality, r.vector) for r in chosen.mapInArrow(_pool(vectors, None, 0), "doc_id long, quality int, vector array<float>").collect())
     y = np.array([r[1] for r in rows])
     if not len(y) or y.min() == y.max():
         return None, float(y.mean()) if len(y) else 0.5
@@ -184,9 +233,11 @@ def train(docs: DataFrame, labels: DataFrame, table: np.ndarray, sample: int = S
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted.
 
-    A null or empty text is scored as a text without words.  Scores come from the text alone.
+    A null or empty text is scored as a text without words.  Scores come from the text alone, so
+    repeated rows and equal texts have equal scores.  A null doc_id is scored like others and learned from never; other
+    columns, whatever their names, aren't read.  An empty table gives no rows.
     """
-    table = word_vectors(docs)
-    net, prior = train(docs, labels, table)
-    out = documents(docs).mapInArrow(_pool(table, net, prior), "doc_id long, score double")
+    vectors = docs.sparkSession.sparkContext.broadcast(word_vectors(docs))
+    net, prior = train(docs, labels, vectors)
+    out = documents(docs).mapInArrow(_pool(vectors, net, prior), "doc_id long, score double")
     return out.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
