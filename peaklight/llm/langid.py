@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from peaklight.llm._base import documents, small
 
 #: Bytes of a window, filter widths, filters of each width, size of a byte's embedding.
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 8, 8
-#: Labelled documents per language that the network is fitted on (about), and windows of each.
+#: Labelled documents per language that the network is fitted on (about), and windows of each, spread evenly over the whole text.
 SAMPLE, SAMPLE_WINDOWS = 1500, 4
 EPOCHS, BATCH, RATE, SEED = 8, 128, 0.01, 7
 #: Bytes of padded windows that are scored at once.
@@ -146,19 +147,23 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(windows: int):
     """Windows of a sampled document, evenly spread over the whole of it."""
-    for batch in batches:
-        out = {"doc_id": [], "at": [], "lang": [], "window": []}
-        for doc, lang, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "lang", "text")), strict=True):
-            raw = text.encode("utf-8", "replace")
-            spots = np.unique(np.linspace(0, max(0, len(raw) - WINDOW - 3), SAMPLE_WINDOWS).astype(int))
-            for at in spots.tolist():
-                out["doc_id"].append(doc)
-                out["at"].append(at)
-                out["lang"].append(lang)
-                out["window"].append(raw[at : at + WINDOW + 3].ljust(WINDOW + 3, b"\0"))
-        yield pa.RecordBatch.from_pydict({"doc_id": pa.array(out["doc_id"], pa.int64()), "at": pa.array(out["at"], pa.int64()), "lang": pa.array(out["lang"], pa.string()), "window": pa.array(out["window"], pa.binary())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = {"doc_id": [], "at": [], "lang": [], "window": []}
+            for doc, lang, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "lang", "text")), strict=True):
+                raw = text.encode("utf-8", "replace")
+                spots = np.unique(np.linspace(0, max(0, len(raw) - WINDOW - 3), windows).astype(int))
+                for at in spots.tolist():
+                    out["doc_id"].append(doc)
+                    out["at"].append(at)
+                    out["lang"].append(lang)
+                    out["window"].append(raw[at : at + WINDOW + 3].ljust(WINDOW + 3, b"\0"))
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(out["doc_id"], pa.int64()), "at": pa.array(out["at"], pa.int64()), "lang": pa.array(out["lang"], pa.string()), "window": pa.array(out["window"], pa.binary())})
+
+    return run
 
 
 def remainder(parts: int):
@@ -166,12 +171,12 @@ def remainder(parts: int):
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % parts
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> ByteCNN | None:
+def train(docs: DataFrame, sample: int = SAMPLE, windows: int = SAMPLE_WINDOWS) -> ByteCNN | None:
     """Fit the network on rows that have text and lang and whose remainder by 4 isn't 2.
 
     About ``sample`` documents of each language are used, chosen by a hash of
-    doc_id alone, so the sample that comes to the driver is bounded by
-    sample * SAMPLE_WINDOWS * (WINDOW + 3) bytes for each language.
+    doc_id alone, and ``windows`` windows of each, so the sample that comes to the driver is bounded by
+    sample * windows * (WINDOW + 3) bytes for each language.
     None where there is nothing to learn from.
     """
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where("text is not null and lang is not null").where(remainder(4) != 2)
@@ -182,7 +187,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> ByteCNN | None:
     for lang, n in sorted(sizes.items()):
         share = F.when(F.col("lang") == lang, min(1.0, sample / n)).otherwise(share)
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
-    rows = sorted(tuple(r) for r in chosen.mapInArrow(_cut, "doc_id long, at long, lang string, window binary").collect())
+    rows = sorted(tuple(r) for r in chosen.mapInArrow(_cut(windows), "doc_id long, at long, lang string, window binary").collect())
     labels = sorted({r[2] for r in rows})
     if not labels:
         return None
@@ -217,18 +222,20 @@ def identify(docs: DataFrame, model: ByteCNN | None) -> DataFrame:
     """One row per row of docs: doc_id, held_out, lang_pred, score.
 
     ``und`` with score 0 where the text is null or has no letter, or nothing was learned.  Every
-    byte of a text is in a window.  Rows are read where they are; nothing is shuffled.
+    byte of a text is in a window.  Rows are read where they are; nothing is shuffled.  Repeated rows and equal texts have
+    equal predictions; a null doc_id is predicted like others; other columns, whatever their names, aren't read; an empty table gives no rows.
     """
     out = documents(docs).mapInArrow(_predict(model), "doc_id long, lang_pred string, score double")
     return out.select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
-def drop_unidentified(docs: DataFrame, model: ByteCNN | None, least: float = 0.0) -> DataFrame:
-    """The rows whose language is known with a score of ``least`` or more; columns stay as they are.
+def drop_unidentified(docs: DataFrame, model: ByteCNN | None, least: float = 0.5) -> DataFrame:
+    """The rows in whose text the network sees one language with a probability of ``least`` or more.
 
-    A row is judged by its text alone; rows without letters go.  At ``least``
-    0.0 that is all that goes.  Without a model nothing can be scored, and
-    every row with a letter stays, whatever ``least`` is.
+    At 0.5 that is a majority over all other languages together.  A null ``lang`` becomes the
+    language that was found; all else stays as it is, other columns included.
+    A row is judged by its text alone, so repeated rows stay or go together; rows without letters go.  Without a
+    model nothing can be scored, and every row with a letter stays, whatever ``least`` is.  An empty table gives an empty one.
     """
     kinds = docs.schema
 
@@ -238,9 +245,13 @@ def drop_unidentified(docs: DataFrame, model: ByteCNN | None, least: float = 0.0
             if model is None:
                 yield batch.filter(pa.array([bool(_LETTER.search(x.as_py())) for x in text], pa.bool_()))
                 continue
-            one = pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "text": text})
-            judged = next(_predict(model)(iter([one])))
-            kept = pa.array([lang != "und" and s >= least for lang, s in zip(judged.column("lang_pred").to_pylist(), judged.column("score").to_pylist(), strict=True)], pa.bool_())
-            yield batch.filter(kept)
+            judged = next(_predict(model)(iter([pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "text": text})])))
+            found, score = judged.column("lang_pred"), judged.column("score").to_numpy()
+            at = batch.schema.get_field_index("lang")
+            if at >= 0:
+                columns = list(batch.columns)
+                columns[at] = pc.coalesce(columns[at], found.cast(columns[at].type))
+                batch = pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+            yield batch.filter(pc.and_(pc.not_equal(found, "und"), pa.array(score >= least)))
 
     return docs.mapInArrow(run, kinds)
