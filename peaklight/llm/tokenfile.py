@@ -10,6 +10,7 @@ n_tokens of each document in file order.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -35,15 +36,14 @@ def _open(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 class FixedListWriter:
-    """Appends ids of any number; close() pads the last row."""
+    """Appends ids of any number to a new file; close() pads the last row."""
 
     def __init__(self, uri: str, row: int = ROW, rows: int = ROWS, dtype=np.uint16):
         self.fs, self.path = _open(uri)
         self.fs.create_dir(os.path.dirname(self.path), recursive=True)
-        self.temp = f"{self.path}.{os.getpid()}.{os.urandom(4).hex()}"
         self.row, self.size, self.dtype = row, row * rows, dtype
         self.schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(dtype), row)), ("mask", pa.list_(pa.uint8(), row))])
-        self.sink = self.fs.open_output_stream(self.temp)
+        self.sink = self.fs.open_output_stream(self.path)
         self.stream = pa.ipc.new_stream(self.sink, self.schema)
         self.held, self.n = [], 0
 
@@ -69,7 +69,6 @@ class FixedListWriter:
             self._put(np.concatenate(self.held))
         self.stream.close()
         self.sink.close()
-        self.fs.move(self.temp, self.path)  # a second attempt of a lost task replaces the same content
 
 
 class FixedListReader:
@@ -104,18 +103,32 @@ class FixedListReader:
         return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, np.uint16)
 
 
+#: The normalizer and pre-tokenizer of a tokenizer file under which white space never is part of a token.
+LOWERED = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PIECES = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
 class WordEncoder:
-    """Ids of a text as the tokenizers library gives them, piece by piece.
+    """Ids of a text as the tokenizers library gives them.
 
-    White space never is part of a token of this vocabulary, so what stands
-    between is encoded alone and remembered.  Pieces of the plain letters, digits and marks
-    that normalisation only lowers go straight to the library's model; all others go through
-    the whole tokenizer.
+    Where the file says LOWERED and PIECES, white space never is part of a token, so what stands
+    between is encoded alone and remembered: pieces of the plain letters, digits and marks
+    that normalisation only lowers go straight to the library's model, all others through
+    the whole tokenizer.  With any other file each whole text goes through the tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as source:
+            settings = json.load(source)
+        self.known = settings["normalizer"] == LOWERED and settings["pre_tokenizer"] == PIECES and settings["model"]["type"] == "BPE"
         #: Two bytes hold an id where the vocabulary allows it.
         self.dtype = np.uint16 if Tokenizer.from_file(path).get_vocab_size() <= 65536 else np.uint32
         self.tokenizer = Tokenizer.from_file(path)
@@ -147,6 +160,8 @@ class WordEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def __call__(self, text: str) -> bytes:
+        if not self.known:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
         known = self.chunks
         words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         out = list(map(known.get, words))
@@ -185,25 +200,24 @@ def _encode(path: str, end: int, highs: list[int]):
 
 def _write(folder: str, row: int, dtype: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_at, out, index, total = None, None, [], 0
+        name, open_at, out, index, total = None, None, None, [], 0
 
         def finish():
             out.close()
-            fs, path = _open(f"{folder}/part-{open_at:07d}.index")
+            fs, path = _open(f"{folder}/{name}.index")
             table = pa.table({"doc_id": pa.array([d for d, _ in index], pa.int64()), "n_tokens": pa.array([n for _, n in index], pa.int64())})
-            temp = f"{path}.{os.getpid()}.{os.urandom(4).hex()}"
-            with fs.open_output_stream(temp) as sink, pa.ipc.new_stream(sink, table.schema) as stream:
+            with fs.open_output_stream(path) as sink, pa.ipc.new_stream(sink, table.schema) as stream:
                 stream.write_table(table)
-            fs.move(temp, path)
-            return pa.RecordBatch.from_pydict({"range": pa.array([open_at], pa.int32()), "n_docs": pa.array([len(index)], pa.int64()), "n_tokens": pa.array([total], pa.int64())})
+            return pa.RecordBatch.from_pydict({"range": pa.array([open_at], pa.int32()), "name": pa.array([name], pa.string()), "n_docs": pa.array([len(index)], pa.int64()), "n_tokens": pa.array([total], pa.int64())})
 
         for batch in batches:
             for at, doc, raw in zip(*(batch.column(c).to_pylist() for c in ("range", "doc_id", "ids")), strict=True):
                 if at != open_at:
                     if out is not None:
                         yield finish()
-                    open_at, index, total = at, [], 0
-                    out = FixedListWriter(f"{folder}/part-{at:07d}.arrows", row, dtype=np.dtype(dtype).type)
+                    # A name of its own for each attempt: only files of the attempt that counts are listed.
+                    open_at, index, total, name = at, [], 0, f"part-{at:07d}-{os.urandom(8).hex()}"
+                    out = FixedListWriter(f"{folder}/{name}.arrows", row, dtype=np.dtype(dtype).type)
                 ids = np.frombuffer(raw, dtype)
                 out.append(ids)
                 index.append((doc, len(ids)))
@@ -217,9 +231,9 @@ def _write(folder: str, row: int, dtype: str):
 def _read(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, start in zip(batch.column("range").to_pylist(), batch.column("start").to_pylist(), strict=True):
-                reader = FixedListReader(f"{folder}/part-{at:07d}.arrows")
-                fs, path = _open(f"{folder}/part-{at:07d}.index")
+            for name, start in zip(batch.column("name").to_pylist(), batch.column("start").to_pylist(), strict=True):
+                reader = FixedListReader(f"{folder}/{name}.arrows")
+                fs, path = _open(f"{folder}/{name}.index")
                 with fs.open_input_stream(path) as source:
                     index = pa.ipc.open_stream(source).read_all()
                 counts = index.column("n_tokens").to_numpy()
@@ -236,16 +250,16 @@ def write_token_files(docs: DataFrame, tokenizer: str, end: int = 2, row: int =
     """Encode every text, write the ids in ascending doc_id order; returns the folder and its list of files.
 
     Texts are encoded where they are read; only their ids move, to one range of
-    doc_id per file.  The list has a row per file: range, n_docs, n_tokens, start (ids in all files before it); it is
-    as long as there are partitions.  Rows with one doc_id stand side by side, ordered by their ids; a
-    null doc_id comes first.  An empty table gives no files.  Ids are 16-bit where the vocabulary allows it.
+    doc_id per file.  The list has a row per file: range, name, n_docs, n_tokens, start (ids in all files before it); it is
+    as long as there are partitions.  A task that runs again writes files of other names, and those of lost attempts are in no list.  Rows with one doc_id stand side by side, ordered by their ids; a
+    null doc_id comes first.  An empty table gives no files; other columns, whatever their names, aren't read.  Ids are 16-bit where the vocabulary allows it.
     """
     spark = docs.sparkSession
     folder = folder or Stage(spark, "tokens").path
     parts = n_parts(docs)
     docs = documents(docs)
     _, highs = id_ranges(docs, parts)
-    schema = "range int, n_docs long, n_tokens long"
+    schema = "range int, name string, n_docs long, n_tokens long"
     if not highs:
         return folder, spark.createDataFrame([], schema + ", start long")
     dtype = np.dtype(encoder(tokenizer).dtype).name
@@ -254,7 +268,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end: int = 2, row: int =
     files = sorted(dealt.mapInArrow(_write(folder, row, dtype), schema).collect())
     start, rows = 0, []
     for f in files:
-        rows.append((f.range, f.n_docs, f.n_tokens, start))
+        rows.append((f.range, f.name, f.n_docs, f.n_tokens, start))
         start += f.n_tokens
     return folder, spark.createDataFrame(rows, schema + ", start long")
 
