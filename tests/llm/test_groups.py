@@ -1,6 +1,7 @@
 """Operators that compare documents, against brute force."""
 
 import hashlib
+import json
 import random
 import re
 from collections import defaultdict
@@ -8,11 +9,12 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from peaklight.llm import dedup, jaccard, packing, toolcalls
 from peaklight.llm.components import connected_components
 from peaklight.llm._base import Stage
-from peaklight.llm.queries import QUERIES
+from peaklight.llm.queries import ORACLE_SQL, QUERIES
 
 BLANK = re.compile(r"[\x20\x09-\x0D]")
 
@@ -235,7 +237,79 @@ def test_tool_calls(spark):
     by = {(r.conv_id, r.turn): r for r in rows}
     assert by[1, 0].canonical == '{"arguments":{"a":1.5,"b":2},"id":"x","name":"add"}' and (by[1, 0].content, by[1, 0].result_turn, by[1, 0].n_results) == ("3.5", 1, 2)
     assert by[1, 4].errors == ["$: identifier used before"] and by[1, 4].content is None and by[1, 6].errors == ["$: no identifier"]
+    assert (by[1, 0].level, by[1, 2].level, by[4, 1].level) == (0, 1, 0)
     assert [by[2, i].level for i in range(3)] == [2, 1, 0] and by[2, 2].errors == ["$.a: missing", "$.b: not of type number", "$.c: not allowed"]
     assert [by[3, i].level for i in range(2)] == [-1, -1] and by[2, 1].n_results == 1
     assert by[4, 0].errors == ["$: not JSON"] and by[4, 1].errors == ["$: refers to no call zz"] and by[None, 0].content is None
     assert toolcalls.link_tool_calls(calls.where("false"), results.where("false"), tools).count() == 0
+
+
+def brute_levels(edges):
+    """The longest chain behind each call by depth-first search; -1 on or behind a cycle."""
+    known, needs = {}, defaultdict(set)
+    for u, r in edges:
+        needs[u].add(r)
+
+    def level(x, path):
+        if x in path:
+            return -1
+        if x not in known:
+            below = [level(r, path | {x}) for r in needs[x]]
+            out = -1 if -1 in below else 1 + max(below, default=-1)
+            if out < 0:
+                return -1
+            known[x] = out
+        return known[x]
+
+    return {x: level(x, frozenset()) for e in edges for x in e}
+
+
+@pytest.mark.parametrize("most", [100_000, 5, 0])
+def test_levels_of_chains_cycles_and_graphs(spark, most):
+    rng, calls, want = random.Random(8), [], {}
+    for conv in range(7):
+        n = 60 if conv < 2 else 12
+        needs = defaultdict(set)
+        for i in range(n):
+            if conv == 0 and i:
+                needs[i] = {i - 1}  # one long chain
+            elif conv == 1 and i > 1:
+                needs[i] = {i - 1, i - 2}  # no chain to jump along
+            elif conv > 1:
+                needs[i] = {rng.randrange(n) if rng.random() < 0.15 else rng.randrange(i) for _ in range(rng.randrange(3)) if i}
+        calls += [(conv, i, f"c{i}", "t", "{" + f'"x": {[f"$ref:c{r}" for r in needs[i]]}'.replace("'", '"') + "}") for i in range(n)]
+        levels = brute_levels([(i, r) for i in range(n) for r in needs[i]])
+        want |= {(conv, i): levels.get(i, 0) for i in range(n)}
+    table = spark.createDataFrame(calls, "conv_id long, turn long, call_id string, name string, arguments string").withColumn("own", F.lit(1)).withColumn("n", F.lit(2)).repartition(4)
+    results = spark.createDataFrame([], "conv_id long, turn long, call_id string, content string, level long")
+    rows = toolcalls.link_tool_calls(table, results, {"t": {}}, most).collect()
+    assert {(r.conv_id, r.turn): r.level for r in rows} == want and len(rows) == len(want)
+    assert {-1, 59} <= set(want.values()) and all(not r.errors for r in rows)
+
+
+def test_tool_call_query_equals_its_sql(spark, sf_dir):
+    duckdb = pytest.importorskip("duckdb")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW conversations AS SELECT * FROM '{sf_dir}/conversations.parquet'")
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    for name in ("op2_tool_call_linking", "op7_exact_dedup"):
+        out = QUERIES[name](spark, sf_dir)
+        want = db.execute(ORACLE_SQL[name]).fetch_arrow_table().select(out.columns).to_pylist()
+        got = [r.asDict() for r in out.collect()]
+        assert sorted(map(repr, got)) == sorted(map(repr, want)), name
+    rows = QUERIES["op2_tool_call_linking"](spark, "/root/testdata/sf0.01").collect()
+    assert {-1, 0, 1} <= {r.level for r in rows} and any("above maximum" in r.errors for r in rows) and any("not JSON" in r.errors for r in rows)
+
+
+def test_tool_calls_with_long_and_odd_arguments(spark):
+    """Very long texts are read whole; repeated rows, null names and clashing columns have defined results."""
+    long_text = "x" * 300_000 + '"$ref:b"'
+    calls = spark.createDataFrame([(1, 0, "a", "t", json.dumps({"x": [long_text, "$ref:b"]})), (1, 1, "b", "t", "{}"), (1, 1, "b", "t", "{}"), (1, 2, "d", None, "[]"), (1, None, "e", "t", "{}")], "conv_id long, turn long, call_id string, name string, arguments string")
+    results = spark.createDataFrame([(1, 5, "b", "y" * 300_000)], "conv_id long, turn long, call_id string, content string")
+    rows = toolcalls.link_tool_calls(calls, results, {"t": {"type": "object"}}).collect()
+    by = defaultdict(list)
+    for r in rows:
+        by[r.call_id].append(r)
+    assert by["a"][0].level == 1 and len(by["a"][0].canonical) > 300_000
+    assert sorted((r.errors, r.n_results) for r in by["b"]) == [([], 1), (["$: identifier used before"], 0)]
+    assert by["d"][0].errors == ["$: unknown tool"] and by["e"][0].errors == []
