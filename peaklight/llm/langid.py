@@ -229,10 +229,10 @@ def identify(docs: DataFrame, model: ByteCNN | None) -> DataFrame:
     return out.select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
-def drop_unidentified(docs: DataFrame, model: ByteCNN | None, least: float = 0.5) -> DataFrame:
+def drop_unidentified(docs: DataFrame, model: ByteCNN | None, least: float = 0.4) -> DataFrame:
     """The rows in whose text the network sees one language with a probability of ``least`` or more.
 
-    At 0.5 that is a majority over all other languages together.  A null ``lang`` becomes the
+    A text of one language scores near 1, one without any language about 1 by their number, and one that mixes several in between.  A null ``lang`` becomes the
     language that was found; all else stays as it is, other columns included.
     A row is judged by its text alone, so repeated rows stay or go together; rows without letters go.  Without a
     model nothing can be scored, and every row with a letter stays, whatever ``least`` is.  An empty table gives an empty one.

@@ -294,7 +294,7 @@ def test_tool_call_query_equals_its_sql(spark, sf_dir):
     db.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
     for name in ("op2_tool_call_linking", "op7_exact_dedup"):
         out = QUERIES[name](spark, sf_dir)
-        want = db.execute(ORACLE_SQL[name]).fetch_arrow_table().select(out.columns).to_pylist()
+        want = db.execute(ORACLE_SQL[name]).fetchdf()[out.columns].to_dict('records')
         got = [r.asDict() for r in out.collect()]
         assert sorted(map(repr, got)) == sorted(map(repr, want)), name
     rows = QUERIES["op2_tool_call_linking"](spark, "/root/testdata/sf0.01").collect()

@@ -15,7 +15,9 @@ def test_pipeline(spark, tmp_path):
     docs.unionByName(extra).write.parquet(f"file://{tmp_path}/in/documents.parquet")
     step = spark.read.parquet(f"file://{tmp_path}/in/documents.parquet")
     rows = {r.doc_id: r.text for r in step.collect()}
-    want = {d: t for d, t in rows.items() if t and re.search(r"[^\W\d_]", t)}
+    judged = {r.doc_id: r for r in langid.identify(step, langid.train(step)).collect()}
+    want = {d: t for d, t in rows.items() if t and re.search(r"[^\W\d_]", t) and judged[d].score >= 0.4}
+    assert len(want) > 0.95 * len(rows)
     groups = brute_groups(want.items())
     want = {d: want[d] for d, _, _, kept, _ in groups if kept}
     classes = brute_classes(list(want.items()), 5, 80, 100)
@@ -33,3 +35,14 @@ def test_pipeline(spark, tmp_path):
     out = corpus_pipeline.run(spark, f"{tmp_path}/in").groupBy("doc_id").sum("n_tokens").collect()
     assert {r[0]: r[1] for r in out} == {d: len(t.encode()) + 1 for d, t in want.items()}
     assert langid.SAMPLE and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_pipeline_without_languages_and_rows(spark, tmp_path):
+    """Nothing to learn from: all rows with a letter stay; clashing columns pass; an empty table gives no rows."""
+    rows = [(1, "some words of a text", None), (2, "12 34", None), (3, None, None), (4, "other words stand here, many of them indeed", None), (5, "some  words of a text", None)]
+    docs = spark.createDataFrame([(*r, "s", len(r[1] or ""), 1, "x", 2.0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, node int, sha string, score double")
+    docs.write.parquet(f"file://{tmp_path}/a/documents.parquet")
+    out = corpus_pipeline.run(spark, f"file://{tmp_path}/a").collect()
+    assert {r.doc_id for r in out} == {4, 5}  # of 1 and 5 the longer one
+    docs.where("false").write.parquet(f"file://{tmp_path}/b/documents.parquet")
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}/b").count() == 0
