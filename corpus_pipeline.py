@@ -9,7 +9,10 @@ from peaklight.llm._base import Stage
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which no language can be told: null texts and texts without any letter."""
+    """Keeps documents in which the network sees one language with a probability of 0.4 or more, and fills in languages that are missing.
+
+    Null texts and texts without any letter go.  Where no document has a language nothing can be learned, and all others stay.
+    """
     return langid.drop_unidentified(docs, langid.train(docs))
 
 
@@ -40,7 +43,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each writes its rows to the shared folder, where the next one reads them."""
+    """All stages over documents; each writes its rows to the shared folder, where the next one reads them.
+
+    An empty table gives no rows; other columns of documents, whatever their names, are kept up to the last stage.
+    """
     docs, stage = spark.read.parquet(f"{sf_dir}/documents.parquet"), Stage(spark, "pipeline")
     for name, step in STAGES:
         docs = stage(step(spark, docs, sf_dir), name)
