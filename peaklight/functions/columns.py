@@ -1,9 +1,14 @@
-"""Column functions on arrays; all stay inside the JVM."""
+"""Column functions on arrays; all but the hash of their bytes stay inside the JVM."""
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def doubles(c: Column) -> Column:
@@ -104,7 +109,12 @@ def clipped_trace(values: Column, runs: Column, low: Column | int, high: Column
     return F.filter(points, lambda p: p["pos"].between(low, high) & F.exists(runs, lambda r: p["pos"].between(r["start"], r["end"])))
 
 
-def content_hash(values: Column, mask: Column) -> Column:
-    """SHA-1 over the values as 32-bit floats and the mask, independent of how they are stored."""
-    body = F.array_join(F.transform(values, lambda v: F.coalesce(v.cast("float").cast("string"), F.lit("null"))), ",")
-    return F.sha1(F.concat(body, F.lit("|"), F.array_join(F.transform(mask, lambda m: F.when(m, "1").otherwise("0")), "")))
+@F.pandas_udf(StringType())
+def content_hash(values: pd.Series, mask: pd.Series) -> pd.Series:
+    """SHA-256 over the values as little-endian 32-bit floats (NULL as not a number), then the mask as one byte each."""
+
+    def one(v, m) -> str:
+        body = np.array([np.nan if x is None else x for x in v], "<f4").tobytes() if v is not None else b""
+        return hashlib.sha256(body + (np.array([bool(x) for x in m], np.uint8).tobytes() if m is not None else b"")).hexdigest()
+
+    return pd.Series([one(v, m) for v, m in zip(values, mask, strict=True)])

@@ -81,3 +81,36 @@ def acquisition_group(explicit: Column, filename: Column, specimen: Column) -> C
     paired = stem.rlike(r"(?i)__raman_data_(raw|processed)(__[0-9a-f]+)?$")
     prefix = F.regexp_replace(stem, r"(?i)__raman_data_(raw|processed)(__[0-9a-f]+)?$", "")
     return first_text(explicit, F.when(paired, prefix), specimen)
+
+
+#: Names of the columns and provenance fields that tell which specimen a reference was measured on, best first.
+ACCESSION = ("accession", "rruff_id", "rod_id", "source_accession")
+SPECIMEN = ("independence_group", "specimen_id")
+ORIGIN = ("source_accession", "source")
+
+
+def independence_group(row: dict[str, Column], provenance: dict[str, Column], name: Column) -> Column:
+    """The group within which references don't count as independent.
+
+    ``row`` and ``provenance`` hold the known columns by field name.  A stated
+    group or specimen comes first, of the row before that of its provenance; then an accession of either; then the
+    source its provenance names; else all references of the phase are one unresolved group.
+    """
+
+    def first(fields: tuple[str, ...], *places: dict[str, Column]) -> Column:
+        return first_text(*(place[f] for place in places for f in fields if f in place))
+
+    origin, accession = first(ORIGIN, provenance), first(ACCESSION, row, provenance)
+    return first_text(first(SPECIMEN, row, provenance), accession, F.when(origin != "", F.concat(F.lit("provenance-source:"), origin)), F.concat(F.lit("unresolved:"), phase_key(name)))
+
+
+def element_tokens(text: Column) -> Column:
+    """Distinct sorted element symbols of a list typed with blanks, commas or semicolons, each in its usual spelling."""
+    tokens = F.filter(F.split(F.coalesce(text, F.lit("")), r"[\s,;]+"), lambda t: t != "")
+    return F.array_sort(F.array_distinct(F.transform(tokens, lambda t: F.concat(F.upper(F.substring(t, 1, 1)), F.lower(F.substring(t, 2, 10))))))
+
+
+def switched(text: Column) -> Column:
+    """true, yes, on, 1 as true and false, no, off, 0 and blank as false; any other text counts as true."""
+    t = F.lower(F.trim(F.coalesce(text, F.lit(""))))
+    return ~t.isin("false", "no", "off", "0", "")

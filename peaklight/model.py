@@ -56,6 +56,57 @@ class Grid(Settings):
         return int(math.floor((self.maximum - self.minimum) / self.step + 1e-9)) + 1
 
 
+#: Upper end of the range that is searched first.
+FIRST_HIGH = 2000
+
+
+def first_range(grid: Grid, high: float = FIRST_HIGH) -> tuple[float, float]:
+    """The range of a grid that is searched first: from its start to ``high``, or to its end where that leaves nothing."""
+    top = min(grid.maximum, high)
+    return grid.minimum, top if top > grid.minimum else grid.maximum
+
+
+@dataclass(frozen=True)
+class WhiteReference(Settings):
+    """Subtraction of a white reference that is known by the hash of its content."""
+
+    enabled: bool = False
+    scale: float = 1.0
+    content_sha1: str = ""
+
+    def payload(self) -> dict:
+        return {"kind": "WhiteReference", "version": 1, "enabled": self.enabled, "scale": round(float(self.scale), 6), "content_sha1": self.content_sha1}
+
+    def token(self) -> str:
+        return signature(self.payload(), 12)
+
+    def label(self) -> str:
+        return f"on (scale={self.scale:.3f})" if self.enabled else "off"
+
+
+@dataclass(frozen=True)
+class Upload(Settings):
+    """A file by name, hash and size, without its bytes."""
+
+    filename: str
+    sha1: str
+    size_bytes: int | None = None
+
+    def __post_init__(self):
+        if not self.filename.strip():
+            raise ValueError("an upload has a file name")
+        digest = self.sha1.strip().lower()
+        if len(digest) != 40 or any(c not in "0123456789abcdef" for c in digest):
+            raise ValueError("the hash of an upload has 40 hexadecimal digits")
+        if self.size_bytes is not None and self.size_bytes < 0:
+            raise ValueError("the size of an upload isn't negative")
+        object.__setattr__(self, "sha1", digest)
+
+    @classmethod
+    def of(cls, filename: str, content: bytes) -> Upload:
+        return cls(filename, hashlib.sha1(content).hexdigest(), len(content))
+
+
 @dataclass(frozen=True)
 class Matching(Settings):
     gradient_weight: float = 0.20

@@ -26,14 +26,27 @@ def class_pivot(rows: DataFrame, rules: list[tuple[str, Column]], source: str, o
     return out.select(F.when(F.col("_g").bitwiseAND(2) != 0, "total").otherwise(F.col("class")).alias("class"), F.when(F.col("_g").bitwiseAND(1) != 0, "total").otherwise(F.col(source)).alias("source"), "rows")
 
 
+def inventory_facts(roots: DataFrame, records: DataFrame, issues: DataFrame) -> DataFrame:
+    """What an inventory's signature covers, one row per fact: roots (alias) with their state, files, and issues by their code.
+
+    Messages of issues and paths of roots differ from machine to machine and don't count; a root with the issue 'missing root' is missing.
+    """
+    gone = issues.where("issue = 'missing root'").select("alias").distinct().withColumn("_gone", F.lit(True))
+    none = F.lit("")
+    state = roots.join(F.broadcast(gone), "alias", "left").select(F.lit("root").alias("fact"), "alias", F.when(F.col("_gone"), "missing").otherwise("present").alias("place"), none.alias("size"), none.alias("modified"))
+    files = records.select(F.lit("file").alias("fact"), "alias", F.col("relative_path").alias("place"), F.col("size").cast("string").alias("size"), F.col("modified").cast("string").alias("modified"))
+    coded = issues.select(F.lit("issue").alias("fact"), "alias", F.col("issue").alias("place"), none.alias("size"), none.alias("modified"))
+    return state.unionByName(files).unionByName(coded)
+
+
 def inventory_signature(rows: DataFrame, columns: list[str], buckets: int = 256) -> DataFrame:
     """One sha256 over all records in order, in two levels so that no task sees every record.
 
-    A record's digest picks its bucket; a bucket's digest is taken over its
-    sorted record digests, the result over the sorted bucket digests.
+    The first four digits of a record's digest, modulo ``buckets``, pick its bucket; a bucket's digest is taken over its
+    sorted record digests, the result over the sorted bucket digests.  Choose ``buckets`` (up to 65,536) with the number of records: a task sorts one bucket.
     """
     record = F.sha2(F.concat_ws("\u0000", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)), 256)
-    digests = rows.select(record.alias("_d")).withColumn("_b", F.substring("_d", 1, 2))
+    digests = rows.select(record.alias("_d")).withColumn("_b", F.conv(F.substring("_d", 1, 4), 16, 10).cast("int") % buckets)
     parts = digests.groupBy("_b").agg(F.sha2(F.concat_ws("", F.sort_array(F.collect_list("_d"))), 256).alias("_d"), F.count("*").alias("_n"))
     return parts.agg(F.sha2(F.concat_ws("", F.sort_array(F.collect_list("_d"))), 256).alias("signature"), F.sum("_n").alias("records"))
 

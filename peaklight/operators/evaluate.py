@@ -22,6 +22,66 @@ def unpivot_ranks(wide: DataFrame, ids: list[str], ranks: dict[str, list[str]])
     return every.withColumn("rank", F.col("rank") + 1).where("candidate is not null and trim(candidate) <> ''")
 
 
+def rank_number(cell: str | None) -> int | None:
+    """The whole number in a cell, or None."""
+    try:
+        return int(float(str(cell).strip())) if cell is not None else None
+    except ValueError:
+        return None
+
+
+def rank_blocks(header: list, ranks: list, labels: list[tuple[tuple[str, ...], str]] = (), size: int = 10) -> dict[str, list[int]]:
+    """Columns of each block of ranks 1, 2, ..., ``size``, by the block's name, from the two first rows of a sheet.
+
+    The name is the first of ``labels`` ((parts, name)) of which all parts stand in
+    the header's letters and digits, taken together with the cell beside it; else the header itself.  Blocks of
+    one name are numbered: name, name #2, ...
+    """
+    out, seen = {}, {}
+    numbers = [rank_number(c) for c in ranks]
+    for at in range(1, len(ranks) - size + 1):
+        if numbers[at : at + size] != list(range(1, size + 1)):
+            continue
+        own = [str(c).strip() for c in header[at : at + 2] if c is not None]
+        plain = "".join(ch for ch in " ".join(own).lower() if ch.isascii() and ch.isalnum())
+        name = next((label for parts, label in labels if all(p in plain for p in parts)), (str(header[at]).strip() if header[at] is not None else "") or "unknown")
+        seen[name] = seen.get(name, 0) + 1
+        out[name if seen[name] == 1 else f"{name} #{seen[name]}"] = list(range(at, at + size))
+    if not out:
+        raise ValueError(f"no block of ranks 1 to {size} in the sheet")
+    return out
+
+
+def ranked_sheet(sheet: DataFrame, labels: list[tuple[tuple[str, ...], str]] = (), size: int = 10) -> DataFrame:
+    """spectrum, app, rank, candidate from a sheet (line from 0, cells array<string>) whose two first lines are header and ranks.
+
+    Only these two come to the driver.  Cells that are blank or say x hold no candidate.
+    """
+    top = {r.line: list(r.cells) for r in sheet.where("line < 2").select("line", "cells").collect()}
+    if len(top) < 2:
+        raise ValueError("a sheet begins with a header and a row of ranks")
+    blocks = rank_blocks(top[0], top[1], labels, size)
+    rows = sheet.where("line >= 2").select(F.get("cells", F.lit(0)).alias("spectrum"), "cells").where("trim(spectrum) <> ''")
+    each = F.array(*(F.struct(F.lit(app).alias("app"), F.lit(i + 1).alias("rank"), F.get("cells", F.lit(c)).alias("candidate")) for app, columns in blocks.items() for i, c in enumerate(columns)))
+    return rows.select("spectrum", F.explode(each).alias("e")).select("spectrum", "e.*").where("candidate is not null and lower(trim(candidate)) not in ('', 'x')")
+
+
+def base_name(spectrum: Column) -> Column:
+    """The name up to a digit that follows an underscore or a blank; the whole name without one."""
+    return F.coalesce(F.nullif(F.regexp_extract(spectrum, r"^(.*?)(?:_\d|\s\d)", 1), F.lit("")), spectrum)
+
+
+def truth_set(spectrum: Column, aliases: dict[str, list[str]]) -> Column:
+    """Names that count as right: those that ``aliases`` has for the base name, else the base name and its parts of three letters or more."""
+    base = base_name(spectrum)
+    key = loose(base)
+    parts = F.filter(F.transform(F.filter(F.split(base, "[^a-zA-Z0-9]+"), lambda p: F.length(p) >= 3), loose), lambda p: p != "")
+    out = F.array_sort(F.array_distinct(F.concat(parts, F.when(key != "", F.array(key)).otherwise(F.array().cast("array<string>")))))
+    for name, truths in aliases.items():
+        out = F.when(key == name, F.array(*map(F.lit, sorted(truths)))).otherwise(out)
+    return out
+
+
 def hit(candidate: Column, truths: Column) -> Column:
     """A candidate names a truth when their letters and digits agree, or one of at least four holds the other."""
     name = loose(candidate)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,71 +32,127 @@ def _clean(x, y) -> tuple[np.ndarray, np.ndarray]:
     return u, np.bincount(at, y[ok], len(u)) / np.maximum(np.bincount(at, minlength=len(u)), 1) if len(u) else u
 
 
-def onto_grid(x, y, grid: Grid, how: Baseline | None) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Vector and support runs: per segment resampled to whole steps, corrected, projected, then scaled to 0..1 on the whole grid.
-
-    Nothing is interpolated across a gap, and nothing stands outside the segments but zeros.
-    """
+def even_segments(x: np.ndarray, y: np.ndarray, step: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Axis and values of each segment of two points or more, on whole multiples of the step; nothing is interpolated across a gap."""
     x, y = _clean(x, y)
-    out, runs, n = np.zeros(len(grid)), [], len(grid)
-    place = grid.minimum + grid.step * np.arange(n)
+    out = []
     for a, b in _segments(x):
-        if b - a < 2:
-            continue
-        own_x, own_y = x[a:b], y[a:b]
-        first, last = np.ceil(own_x[0] / grid.step - 1e-9), np.floor(own_x[-1] / grid.step + 1e-9)
-        even = np.arange(first, last + 1) * grid.step if last > first else own_x[[0, -1]]
-        value = np.interp(even, own_x, own_y)
-        if how is not None:
-            value = value - how.strength * kernels.baseline(value, how)[0]
-        lo = max(0, int(np.ceil((even[0] - grid.minimum) / grid.step)))
-        hi = min(n - 1, int(np.floor((even[-1] - grid.minimum) / grid.step)))
+        if b - a >= 2:
+            first, last = np.ceil(x[a] / step - 1e-9), np.floor(x[b - 1] / step + 1e-9)
+            even = np.arange(first, last + 1) * step if last > first else x[[a, b - 1]]
+            out.append((even, np.interp(even, x[a:b], y[a:b])))
+    return out
+
+
+def project(segments: list[tuple[np.ndarray, np.ndarray]], grid: Grid, shift: float = 0.0, normalise: bool = True) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Vector and support runs of segments on a grid; zeros outside of them.
+
+    ``shift`` calibrates the axis alone: it moves where values stand, never the values.
+    With ``normalise`` the vector is scaled to 0..1 on the whole grid.
+    """
+    n = len(grid)
+    out, runs, place = np.zeros(n), [], grid.minimum + grid.step * np.arange(n)
+    for axis, value in segments:
+        axis = axis + shift
+        lo = max(0, int(np.ceil((axis[0] - grid.minimum) / grid.step)))
+        hi = min(n - 1, int(np.floor((axis[-1] - grid.minimum) / grid.step)))
         if hi >= lo:
-            out[lo : hi + 1] = np.interp(place[lo : hi + 1], even, value)
+            out[lo : hi + 1] = np.interp(place[lo : hi + 1], axis, value)
             if runs and lo <= runs[-1][1] + 1:
                 runs[-1] = (runs[-1][0], max(hi, runs[-1][1]))
             else:
                 runs.append((lo, hi))
-    low = out.min()
-    top = (out - low).max()
-    return ((out - low) / top if top else out - low), runs
+    return (kernels.minmax(out)[0] if normalise else out), runs
+
+
+def corrected(segments: list[list[tuple[np.ndarray, np.ndarray]]], how: Baseline) -> list[list[tuple[np.ndarray, np.ndarray]]]:
+    """The segments of many spectra without their baselines; all of one length are solved together."""
+    by: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    for i, own in enumerate(segments):
+        for j, (axis, _) in enumerate(own):
+            by[len(axis)].append((i, j))
+    out = [list(own) for own in segments]
+    for at in by.values():
+        y = np.stack([segments[i][j][1] for i, j in at])
+        for (i, j), z in zip(at, y - how.strength * kernels.baseline(y, how), strict=True):
+            out[i][j] = (segments[i][j][0], z)
+    return out
+
+
+def onto_grid(x, y, grid: Grid, how: Baseline | None, shift: float = 0.0) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Vector and support runs of one spectrum: per segment resampled to whole steps, corrected, projected, then scaled to 0..1."""
+    segments = [even_segments(x, y, grid.step)]
+    return project((corrected(segments, how) if how is not None else segments)[0], grid, shift)
 
 
 def build_vectors(sources: DataFrame, grid: Grid, how: Baseline | None = None) -> DataFrame:
     """Two rows (DB-RAW, DB-BC) per source (row_id, name, flag, filename, already_processed, axis, intensity, error).
 
-    Each source is read once.  One that fails keeps its row numbers with a zero
-    vector and a failure category, so both variants stay aligned; a source that was
-    processed before is not corrected again.
+    Each source is read once, and the segments of a batch that are equally long are
+    corrected in one matrix.  A source that fails keeps its row numbers with a zero
+    vector and a failure category, so both variants stay aligned; one that
+    was processed before is not corrected again.
     """
     how = how or library_baseline()
     names = [c.split()[0] for c in VECTORS.split(", ")]
+    n = len(grid)
+    run_kind = pa.struct([("start", pa.int32()), ("end", pa.int32())])
+
+    def lists(column: pa.Array) -> list[np.ndarray]:
+        off, flat = column.offsets.to_numpy(), column.flatten().to_numpy(zero_copy_only=False)
+        off = off - off[0] if len(off) else off
+        return [flat[a:b] for a, b in zip(off[:-1], off[1:], strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for r in b.to_pylist():
-                done = bool(r["already_processed"])
-                for variant, method in (("DB-RAW", None), ("DB-BC", None if done else how)):
-                    vector, runs, failure = np.zeros(len(grid)), [], None
-                    if r["error"] is not None or r["axis"] is None:
-                        failure = f"parse: {r['error'] or 'no data'}"
-                    else:
-                        try:
-                            vector, runs = onto_grid(r["axis"], r["intensity"], grid, method)
-                        except (ValueError, FloatingPointError) as e:
-                            failure = f"{'raw' if method is None else 'baseline'}-preprocess: {e}"
-                        if failure is None and not (runs and vector.any()):
-                            failure = "validation:unmatchable-row"
-                    l2 = float(np.linalg.norm(vector)) if failure is None else 0.0
-                    if failure is not None:
-                        vector, runs = np.zeros(len(grid)), []
-                    rows.append((r["row_id"], variant, r["name"], r["flag"], r["filename"], done, method is not None and failure is None, vector.astype(np.float32), l2, runs[0][0] if runs else 0, runs[-1][1] if runs else -1, [{"start": p, "end": q} for p, q in runs], failure))
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.list_(pa.float32()), pa.float64(), pa.int32(), pa.int32(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
+            k = len(b)
+            errors, done = b.column("error").to_pylist(), [bool(x) for x in b.column("already_processed").to_pylist()]
+            axes, values = lists(b.column("axis")), lists(b.column("intensity"))
+            raw, broken = [], []
+            for i, (x, y) in enumerate(zip(axes, values, strict=True)):
+                message = None
+                if errors[i] is not None or not b.column("axis")[i].is_valid:
+                    message = f"parse: {errors[i] or 'no data'}"
+                elif len(x) != len(y):
+                    message = "raw-preprocess: axis and values differ in length"
+                broken.append(message)
+                raw.append(even_segments(x, y, grid.step) if message is None else [])
+            fixed = corrected([own if not done[i] else [] for i, own in enumerate(raw)], how)
+            vectors, l2, runs, failure, made = np.zeros((2 * k, n), np.float32), np.zeros(2 * k), [], [], []
+            for i in range(k):
+                for v, own in ((0, raw[i]), (1, raw[i] if done[i] else fixed[i])):
+                    vector, support = project(own, grid) if broken[i] is None else (None, [])
+                    message = broken[i]
+                    if message is None and not np.isfinite(vector).all():
+                        message = f"{'baseline' if v else 'raw'}-preprocess: no finite numbers"
+                    elif message is None and not (support and vector.any()):
+                        message = "validation:unmatchable-row"
+                    if message is None:
+                        vectors[2 * i + v], l2[2 * i + v] = vector, np.linalg.norm(vector)
+                    runs.append(support if message is None else [])
+                    failure.append(message)
+                    made.append(bool(v) and not done[i] and message is None)
+            twice = pa.array(np.repeat(np.arange(k), 2))
+            flat = [r for own in runs for r in own]
+            spread = pa.StructArray.from_arrays([pa.array([r[j] for r in flat], pa.int32()) for j in (0, 1)], fields=list(run_kind))
+            columns = [
+                b.column("row_id").take(twice),
+                pa.array(["DB-RAW", "DB-BC"] * k),
+                *(b.column(c).take(twice) for c in ("name", "flag", "filename")),
+                pa.array(np.repeat(np.array(done, bool), 2)),
+                pa.array(made, pa.bool_()),
+                pa.ListArray.from_arrays(pa.array(np.arange(2 * k + 1, dtype=np.int32) * n), pa.array(vectors.reshape(-1))),
+                pa.array(l2),
+                pa.array([own[0][0] if own else 0 for own in runs], pa.int32()),
+                pa.array([own[-1][1] if own else -1 for own in runs], pa.int32()),
+                pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, runs)]).astype(np.int32)), spread),
+                pa.array(failure, pa.string()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     wanted = ["row_id", "name", "flag", "filename", "already_processed", "axis", "intensity", "error"]
-    return sources.select(*wanted).mapInArrow(run, VECTORS)
+    typed = sources.select(*wanted).withColumn("axis", F.col("axis").cast("array<double>")).withColumn("intensity", F.coalesce(F.col("intensity").cast("array<double>"), F.array().cast("array<double>")))
+    return typed.mapInArrow(run, VECTORS)
 
 
 def build_pair(spark: SparkSession, sources: DataFrame, grid: Grid, folder: str, how: Baseline | None = None, inputs: str = "", failure_limit: float = 0.9) -> dict:

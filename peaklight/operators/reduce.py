@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,17 +21,75 @@ def medoid(library: DataFrame, group: str = "label", vector: str = "vector", row
     """Of each group the row of least mean cosine distance to all of it, and that mean; ties by row.
 
     The sum of cosines of a row with its group is its dot product with the sum of
-    the unit vectors, so two passes over the rows do, not all pairs.
+    the unit vectors, so no pairs are needed: each task sums the vectors of its groups,
+    only these sums are shuffled point by point, and one join brings a group's sum to its rows.
+    """
+    kind = library.schema[group].dataType.simpleString()
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict = {}
+        for b in batches:
+            for name, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                u = kernels.units(np.array(x, float)[None])[0]
+                n, seen = total.get(name, (0, 0.0))
+                total[name] = (n + 1, seen + u)
+        if total:
+            names = list(total)
+            yield pa.RecordBatch.from_arrays([pa.array(names, b.column(0).type), pa.array([total[x][0] for x in names], pa.int64()), pa.array([total[x][1] for x in names], pa.list_(pa.float64()))], names=["g", "n", "u"])
+
+    rows = library.where(F.col(vector).isNotNull()).select(F.col(group).alias("g"), F.col(vector).cast("array<double>").alias("v"), F.col(row).alias("r"))
+    parts = rows.select("g", "v").mapInArrow(sums, f"g {kind}, n long, u array<double>")
+    points = parts.select("g", "n", F.posexplode("u").alias("i", "x")).groupBy("g", "i").agg(F.sum("x").alias("t"), F.sum("n").alias("n"))
+    whole = points.groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "t"))), lambda p: p["t"]).alias("t"), F.max("n").alias("members"))
+    size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    dot = F.aggregate(F.zip_with("v", "t", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    ranked = rows.join(whole, rows["g"].eqNullSafe(whole["g"])).select(rows["g"], "r", "members", (1 - F.when(size > 0, dot / size).otherwise(0.0) / F.col("members")).alias("d"))
+    best = ranked.groupBy("g").agg(F.min(F.struct(F.round("d", 9).alias("d"), "r")).alias("m"), F.first("members").alias("members"))
+    return best.select(F.col("g").alias(group), F.col("m.r").alias(row), F.col("m.d").alias("mean_distance"), "members")
+
+
+def fingerprints(sources: DataFrame, how: Reduction | None = None) -> DataFrame:
+    """Adds fingerprint, x_min, x_max, outside and failure to rows with axis, intensity and error.
+
+    A spectrum in order of its axis is corrected by plain asymmetric least squares, scaled to 0..1,
+    interpolated on the grid of ``how`` with zeros outside, and divided by its length.  One whose axis misses the grid, or that
+    vanishes on it, is ``outside``; of one that can't be read, ``failure`` tells why.  Both have a NULL fingerprint, which decluster() keeps.
+    Rows stay where they are; spectra of one length are corrected together.
     """
-    v = F.col(vector).cast("array<double>")
-    size = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    unit = library.select(row, group, F.transform(v, lambda x: F.when(size > 0, x / size).otherwise(F.lit(0.0))).alias("_u"))
-    cells = unit.select(row, group, F.posexplode("_u").alias("_i", "_x"))
-    total = cells.groupBy(group, "_i").agg(F.sum("_x").alias("_t"))
-    count = unit.groupBy(group).agg(F.count("*").alias("members"))
-    mean = cells.join(total, [group, "_i"]).groupBy(group, row).agg(F.sum(F.col("_x") * F.col("_t")).alias("_s"))
-    ranked = mean.join(count, group).withColumn("mean_distance", 1 - F.col("_s") / F.col("members"))
-    return ranked.groupBy(group).agg(F.min(F.struct(F.round("mean_distance", 9).alias("d"), F.col(row).alias("r"))).alias("m"), F.first("members").alias("members")).select(group, F.col("m.r").alias(row), F.col("m.d").alias("mean_distance"), "members")
+    how = how or Reduction()
+    grid = np.arange(how.minimum, how.maximum + how.step / 2, how.step)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found: list = [None] * len(b)
+            for i, (x, y, error) in enumerate(zip(*(b.column(c).to_pylist() for c in ("axis", "intensity", "error")), strict=True)):
+                x, y = (np.array([] if v is None else v, float) for v in (x, y))
+                if error is not None or not len(x) or len(x) != len(y):
+                    found[i] = (None, None, None, False, error or "empty spectrum")
+                    continue
+                order = np.argsort(x, kind="stable")
+                x, y = x[order], y[order]
+                if x[-1] < grid[0] or x[0] > grid[-1]:
+                    found[i] = (None, float(x[0]), float(x[-1]), True, None)
+                elif not (np.isfinite(x).all() and np.isfinite(y).all()):
+                    found[i] = (None, float(x[0]), float(x[-1]), False, "non-finite values")
+                else:
+                    found[i] = (x, y)
+            open_rows = [i for i, f in enumerate(found) if len(f) == 2]
+            for n in {len(found[i][0]) for i in open_rows}:
+                at = [i for i in open_rows if len(found[i][0]) == n]
+                y = np.stack([found[i][1] for i in at])
+                flat = kernels.minmax(y - kernels.plain_als(y))
+                for i, z in zip(at, flat, strict=True):
+                    x = found[i][0]
+                    vector = kernels.on_axis(x, z, grid)
+                    length = float(np.linalg.norm(vector))
+                    found[i] = (vector / length if length > 0 else None, float(x[0]), float(x[-1]), length == 0, None)
+            kinds = [pa.list_(pa.float64()), pa.float64(), pa.float64(), pa.bool_(), pa.string()]
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([f[i] for f in found], k) for i, k in enumerate(kinds))], names=[*b.schema.names, "fingerprint", "x_min", "x_max", "outside", "failure"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sources.schema)
+    return sources.mapInArrow(run, f"{kinds}, fingerprint array<double>, x_min double, x_max double, outside boolean, failure string")
 
 
 def decluster(library: DataFrame, how: Reduction | None = None, group: str = "name") -> DataFrame:

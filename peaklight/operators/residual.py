@@ -1,10 +1,15 @@
-"""What a query keeps when its best match is taken off, as aggregates over grid points."""
+"""What a query keeps when its best match is taken off: from points in long form, or from whole vectors."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from peaklight.functions import kernels
 from peaklight.model import Residual
 
 
@@ -39,3 +44,34 @@ def project(points: DataFrame, how: Residual | None = None, key: str = "signal")
 
 def worth_searching(summary: DataFrame, how: Residual | None = None) -> DataFrame:
     return summary.withColumn("worth", F.col("improvement") >= (how or Residual()).min_improvement)
+
+
+def project_vectors(rows: DataFrame, how: Residual | None = None) -> DataFrame:
+    """project() for whole vectors: columns q, c (array<double>), mask, support (array<boolean>) give their place to
+    scale, common_points, improvement, negative_points, negative_energy, residual, usable and matching.
+
+    Rows stay where they are; nothing is exploded or shuffled.  Rows of a batch
+    may differ in length.  Those with too few common points or no energy drop out.
+    """
+    how = how or Residual()
+    keep = [c for c in rows.columns if c not in ("q", "c", "mask", "support")]
+
+    def matrix(column: pa.ListArray, at: np.ndarray, n: int, kind) -> np.ndarray:
+        return column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(len(at), n)
+
+    def lists(x: np.ndarray) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.reshape(-1)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size = np.diff(b.column("c").offsets.to_numpy())
+            for n in np.unique(size).tolist():
+                at = np.flatnonzero(size == n)
+                out = kernels.residuals(*(matrix(b.column(c), at, n, kind) for c, kind in (("q", float), ("mask", bool), ("c", float), ("support", bool))), how.edge_guard)
+                fine = (out["common_points"] >= how.min_common) & (out.pop("energy") > kernels.TINY)
+                columns = [pa.array(x) if x.ndim == 1 else lists(x) for x in out.values()]
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(at)) for c in keep), *columns], names=[*keep, *out]).filter(pa.array(fine))
+
+    kinds = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep]
+    added = "scale double, common_points long, improvement double, negative_points double, negative_energy double, residual array<double>, usable array<boolean>, matching array<double>"
+    return rows.mapInArrow(run, ", ".join([*kinds, added]))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from peaklight.functions import columns as C
 from peaklight.functions import kernels
-from peaklight.functions.text import first_text, phase_key
+from peaklight.functions.text import acquisition_group, first_text, independence_group, phase_key
 from peaklight.model import Matching
 
 
@@ -104,7 +104,7 @@ def shortlist(screened: DataFrame, size: int) -> DataFrame:
     return screened.orderBy(F.col("screen").desc(), "row_id").limit(size)
 
 
-ALIGNED = "similarity double, shape double, gradient double, shift int, common int, requested int, coverage_fraction double, shift_boundary boolean, grid_clipped boolean, pcs double, pcs_f1 double, pcs_rho double, rank_score double"
+ALIGNED = "similarity double, shape double, gradient double, shift int, common int, requested int, support_points int, shifted_support_points int, coverage_fraction double, reference_overlap_fraction double, shift_boundary boolean, grid_clipped boolean, pcs double, pcs_f1 double, pcs_rho double, rank_score double"
 
 
 def refine(rows: DataFrame, vector: list[float], mask: list[bool], how: Matching, keep: list[str]) -> DataFrame:
@@ -128,7 +128,9 @@ def refine(rows: DataFrame, vector: list[float], mask: list[bool], how: Matching
                 peaks[i] = kernels.peak_consistency(q, kernels.shifted(v[one], int(k[i]))[0], m & kernels.shifted(s[one], int(k[i]))[0], how)
             first = np.where(s.any(1), s.argmax(1), n)
             last = np.where(s.any(1), n - 1 - s[:, ::-1].argmax(1), -1)
-            requested = int(m.sum())
+            requested, points = int(m.sum()), s.sum(1)
+            place = np.arange(n)[None] + k[:, None]
+            moved = (s & (place >= 0) & (place < n)).sum(1)
             columns = {
                 "similarity": best["score"],
                 "shape": best["shape"],
@@ -136,7 +138,10 @@ def refine(rows: DataFrame, vector: list[float], mask: list[bool], how: Matching
                 "shift": pa.array(k, pa.int32()),
                 "common": pa.array(best["common"], pa.int32()),
                 "requested": pa.array(np.full(len(b), requested), pa.int32()),
+                "support_points": pa.array(points, pa.int32()),
+                "shifted_support_points": pa.array(moved, pa.int32()),
                 "coverage_fraction": best["common"] / max(1, requested),
+                "reference_overlap_fraction": best["common"] / np.maximum(1, moved),
                 "shift_boundary": (np.abs(k) == how.max_shift) & (how.max_shift > 0),
                 "grid_clipped": s.any(1) & ((first + k < 0) | (last + k > n - 1)),
                 "pcs": peaks[:, 0],
@@ -152,6 +157,29 @@ def refine(rows: DataFrame, vector: list[float], mask: list[bool], how: Matching
     return rows.select(*needed).mapInArrow(run, f"{kinds}, {ALIGNED}")
 
 
+def result_rows(refined: DataFrame, how: Matching, step: float = 1.0) -> DataFrame:
+    """Adds to refined rows all that a result states about its alignment and its rank.
+
+    The shift in axis units, the largest shift tried, the three weights, the contributions of shape, gradient and peaks to the rank
+    score (they add up to it), and the acquisition and independence groups where the columns they need are there.
+    """
+    w, g = how.similarity_weight, how.gradient_weight
+    out = refined.withColumn("shift_cm1", F.col("shift") * F.lit(float(step))).withColumn("maximum_shift_points", F.lit(how.max_shift))
+    for name, value in (("gradient_weight_within_similarity", g), ("spectral_similarity_weight", w), ("peak_consistency_weight", 1 - w)):
+        out = out.withColumn(name, F.lit(float(value)))
+    for name, share in (("shape", w * (1 - g)), ("gradient", w * g), ("pcs", 1 - w)):
+        out = out.withColumn(f"{name}_contribution", share * F.col(name))
+    fields = ("independence_group", "specimen_id", "accession", "rruff_id", "rod_id", "source_accession")
+    row = {c: F.col(c) for c in fields if c in refined.columns}
+    stated = {f.name for f in refined.schema["provenance"].dataType.fields} if "provenance" in refined.columns else set()
+    provenance = {c: F.col(f"provenance.{c}") for c in (*fields, "source") if c in stated}
+    if "name" in refined.columns:
+        out = out.withColumn("independence_group", independence_group(row, provenance, F.col("name")))
+        explicit = F.col("acquisition_group") if "acquisition_group" in refined.columns else F.lit("")
+        out = out.withColumn("acquisition_group", acquisition_group(explicit, F.col("filename") if "filename" in refined.columns else F.lit(""), F.col("independence_group")))
+    return out
+
+
 def rank_components(rows: DataFrame, weight: float = 0.88, similarity: str = "similarity", pcs: str = "pcs") -> DataFrame:
     """Adds the two contributions, their sum, and a check that they reproduce a given rank_score within 1e-9."""
     out = rows.withColumn("similarity_part", weight * F.col(similarity)).withColumn("pcs_part", (1 - weight) * F.col(pcs))
@@ -205,8 +233,38 @@ def self_consistency(rows: DataFrame, weight: float = 0.88) -> DataFrame:
     return rows.withColumn("broken", F.array_compact(F.array(*(F.when(rule, name) for name, rule in rules.items()))))
 
 
+def legacy_search(library: DataFrame, x: list[float], y: list[float], top: int = 30, axis: str = "axis", intensity: str = "intensity") -> DataFrame:
+    """The older ranking: adds score to the ``top`` rows of a library of spectra with axes of their own.
+
+    The query is put on whole units of the axis, its baseline by plain asymmetric least squares goes, it is smoothed
+    (window 11, order 3) and scaled to 0..1; a library spectrum is only interpolated on the query's axis, with zeros outside, and scaled.
+    """
+    place, value = np.array(x, float), np.array(y, float)
+    order = np.argsort(place, kind="stable")
+    place, value = place[order], value[order]
+    first, last = np.ceil(place[0] - 1e-9), np.floor(place[-1] + 1e-9)
+    grid = np.arange(first, last + 1)
+    q = np.interp(grid, place, value)[None]
+    q = kernels.minmax(kernels.savgol(q - kernels.plain_als(q), 11, 3))[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v = np.zeros((len(b), len(grid)))
+            for i, (own_x, own_y) in enumerate(zip(b.column(axis).to_pylist(), b.column(intensity).to_pylist(), strict=True)):
+                if own_x:
+                    at = np.argsort(own_x, kind="stable")
+                    v[i] = kernels.minmax(kernels.on_axis(np.array(own_x, float)[at], np.array(own_y, float)[at], grid))[0]
+            size = np.linalg.norm(v, axis=1) * np.linalg.norm(q)
+            score = np.where(size > 0, v @ q / np.where(size > 0, size, 1.0), 0.0)
+            keep = [i for i, n in enumerate(b.schema.names) if n not in (axis, intensity)]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), pa.array(score)], names=[*(b.schema.names[i] for i in keep), "score"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in library.schema if f.name not in (axis, intensity))
+    return library.mapInArrow(run, f"{kinds}, score double").orderBy(F.col("score").desc(), "row_id").limit(top)
+
+
 def legacy_rank(library: DataFrame, vector: list[float], top: int = 30, vectors: str = "vector") -> DataFrame:
-    """Plain cosine of min-max vectors; 0 where a norm vanishes."""
+    """Plain cosine of min-max vectors, of spectra that are prepared already; 0 where a norm vanishes."""
     q = C.minmax(F.array(*map(F.lit, map(float, vector))))
     return library.withColumn("score", C.cosine(C.minmax(C.doubles(F.col(vectors))), q)).orderBy(F.col("score").desc(), "row_id").limit(top)
 

@@ -7,6 +7,7 @@ reuse that partitioning.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from peaklight.functions import kernels
+from peaklight.functions.text import NUMBER, NUMERIC_LINE
 from peaklight.model import Baseline, Denoise, Smoothing
 
 
@@ -214,28 +216,35 @@ def smooth(df: DataFrame, how: Smoothing, column: str = "intensity") -> DataFram
     return _kernel(df, run, "smoothed array<double>")
 
 
+#: Diagnostics of preprocess().
+DIAGNOSTICS = ("negative_fraction", "material_negative_fraction", "material_negative_threshold", "noise_sigma", "change_rms_fraction", "peak_change_fraction")
+
+
 def preprocess(df: DataFrame, baseline: Baseline, smoothing: Smoothing | None = None, column: str = "intensity") -> DataFrame:
-    """Baseline, then smoothing, with diagnostics: share of negative points, noise before and after, RMS change."""
+    """Baseline, then smoothing, with diagnostics.
+
+    A corrected noisy signal crosses zero often, so before smoothing two shares of negative points are taken: all, and those
+    below material_negative_threshold = max(3 sigma of the corrected signal's steps, 0.5 % of the raw range).  The changes of the
+    whole (root mean square, and of the highest point) are shares of the raw range.  All zero for an empty signal.
+    """
 
     def run(b: pa.RecordBatch) -> dict:
-        y = _rows(b.column(column))
-        z = _by_length(y, lambda m: kernels.baseline(m, baseline))
-        plain = [a - baseline.strength * c for a, c in zip(y, z, strict=True)]
+        raw = _rows(b.column(column))
+        z = _by_length(raw, lambda m: kernels.baseline(m, baseline))
+        plain = [a - baseline.strength * c for a, c in zip(raw, z, strict=True)]
         done = _by_length(plain, lambda m: kernels.savgol(m, smoothing.window, smoothing.order)) if smoothing and smoothing.method == "savgol" else plain
+        found = []
+        for y, p, d in zip(raw, plain, done, strict=True):
+            if not len(y):
+                found.append((0.0,) * len(DIAGNOSTICS))
+                continue
+            size, sigma = max(float(np.ptp(y)), kernels.TINY), kernels.difference_sigma([p])
+            limit = max(3 * sigma, 0.005 * size, kernels.TINY)
+            found.append((float((p < 0).mean()), float((p < -limit).mean()), limit, sigma, float(np.sqrt(((d - y) ** 2).mean())) / size, float(d.max() - y.max()) / size))
         kind = pa.list_(pa.float64())
-        return {
-            "baseline": pa.array(z, kind),
-            "processed": pa.array(done, kind),
-            "negative_fraction": pa.array([float((d < 0).mean()) if len(d) else 0.0 for d in done]),
-            "material_negative_fraction": pa.array([float((d < -0.02 * np.ptp(d)).mean()) if len(d) else 0.0 for d in done]),
-            "sigma_before": pa.array([kernels.noise_sigma(a) for a in y]),
-            "sigma_after": pa.array([kernels.noise_sigma(d) for d in done]),
-            "rms_change": pa.array([float(np.sqrt(((d - p) ** 2).mean())) if len(d) else 0.0 for d, p in zip(done, plain, strict=True)]),
-            "peak_change": pa.array([float(d.max() - p.max()) if len(d) else 0.0 for d, p in zip(done, plain, strict=True)]),
-        }
+        return {"baseline": pa.array(z, kind), "processed": pa.array(done, kind)} | {n: pa.array([f[i] for f in found], pa.float64()) for i, n in enumerate(DIAGNOSTICS)}
 
-    extra = ", ".join(f"{n} double" for n in ("negative_fraction", "material_negative_fraction", "sigma_before", "sigma_after", "rms_change", "peak_change"))
-    return _kernel(df, run, f"baseline array<double>, processed array<double>, {extra}")
+    return _kernel(df, run, f"baseline array<double>, processed array<double>, {', '.join(f'{n} double' for n in DIAGNOSTICS)}")
 
 
 def denoise(df: DataFrame, runner, how: Denoise | None = None, step: float = 1.0, column: str = "intensity") -> DataFrame:
@@ -257,3 +266,30 @@ def trim_edges(df: DataFrame, how, axis: str = "axis", column: str = "intensity"
         return {"keep_from": pa.array([a for a, _ in out], pa.int32()), "keep_to": pa.array([c for _, c in out], pa.int32())}
 
     return _kernel(df, run, "keep_from int, keep_to int")
+
+
+def trim_files(files: DataFrame, how, key: str = "path", text: str = "value") -> DataFrame:
+    """Adds trimmed, kept and error: the text with the numeric lines that stay, scaled anew; all other lines as they were.
+
+    A numeric line gives its first and last number, and is written as these with up to ten significant digits and a tab between.
+    Where no line is numeric, trimmed is NULL and error tells so.  A file is one row and is trimmed where it is.
+    """
+    line, numbers = re.compile(NUMERIC_LINE), re.compile(NUMBER)
+
+    def one(value: str | None) -> tuple[str | None, int, str | None]:
+        lines = (value or "").splitlines(keepends=True)
+        found = [(i, numbers.findall(x)) for i, x in enumerate(lines) if line.match(x.rstrip("\r\n"))]
+        if not found:
+            return None, 0, "no numeric lines"
+        x, y = (np.array([float(n[j]) for _, n in found]) for j in (0, -1))
+        a, b = kernels.edge_range(x, y, how)
+        scaled = kernels.scaled(y[a:b], how.low, how.high)
+        kept = {found[i][0]: f"{x[i]:.10g}\t{scaled[i - a]:.10g}\n" for i in range(a, b)}
+        gone = {i for i, _ in found} - set(kept)
+        return "".join(kept.get(i, x) for i, x in enumerate(lines) if i not in gone), b - a, None
+
+    def run(b: pa.RecordBatch) -> dict:
+        out = [one(x) for x in b.column(text).to_pylist()]
+        return {"trimmed": pa.array([o[0] for o in out], pa.string()), "kept": pa.array([o[1] for o in out], pa.int32()), "error": pa.array([o[2] for o in out], pa.string())}
+
+    return _kernel(files.select(key, text), run, "trimmed string, kept int, error string")

@@ -48,11 +48,28 @@ class Workflow:
         return self.result is not None and self.result != self.approved.get("matching")
 
 
+def signature_chain(events: DataFrame, key: str, order: str, stage: str, content: str, names: list[str]) -> DataFrame:
+    """key, stage, place, parent, signature of the latest approval of each stage.
+
+    A signature is the hash of its parent's signature, the stage and its content, so a change shows in all stages after it.
+    The chain ends where a stage has no approval, or one older than its parent's.  A key has one row for each stage
+    at most, whatever the length of its log: the latest are taken by partial aggregation, and the chain runs over those.
+    """
+    last = events.where(F.col(stage).isin(names)).groupBy(key).agg(*(F.max(F.when(F.col(stage) == n, F.struct(F.col(order).alias("at"), F.coalesce(F.col(content).cast("string"), F.lit("")).alias("content")))).alias(f"_s{i}") for i, n in enumerate(names)))
+    rows, parent, before, open_ = [], F.lit(""), None, F.lit(True)
+    for i, n in enumerate(names):
+        own = F.col(f"_s{i}")
+        open_ = open_ & own.isNotNull() & (F.lit(True) if before is None else F.coalesce(own["at"] >= before, F.lit(False)))
+        last = last.withColumn(f"_g{i}", F.when(open_, F.sha1(F.concat_ws("|", parent, F.lit(n), own["content"]))))
+        rows.append(F.struct(F.lit(n).alias("stage"), F.lit(i).alias("place"), parent.alias("parent"), F.col(f"_g{i}").alias("signature")))
+        parent, before = F.col(f"_g{i}"), own["at"]
+    return last.select(key, F.explode(F.array(*rows)).alias("_r")).where("_r.signature is not null").select(key, "_r.*")
+
+
 def chained(events: DataFrame, key: str, order: str, content: Column) -> DataFrame:
-    """Adds the signature of each event, its parent's, and whether it repeats it.
+    """Adds the signature of each event of a log, that of the one before, and whether it repeats it.
 
-    A chain over hashes can't be a window; so an event's signature is the hash of its position and
-    content, and its parent is the one before.
+    A log may be of any length, so its events are hashed one by one, with their position; signature_chain() chains the stages.
     """
     w = Window.partitionBy(key).orderBy(order)
     rows = events.withColumn("signature", F.sha1(F.concat_ws("|", F.col(order).cast("string"), content)))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peaklight.model import Evidence, Matching, Query
-from peaklight.operators import evidence, search
+from peaklight.functions import columns as C
+from peaklight.model import Evidence, Matching, Query, Residual
+from peaklight.operators import evidence, residual, search
 
 #: Columns that a result row carries from the library.
 CARRIED = ["row_id", "name", "variant", "specimen", "acquisition", "reference_id"]
@@ -49,6 +50,35 @@ def match(packs: dict[str, DataFrame], query: Query, top_n: int = 60, how: Match
     return search.diverse_top(rows, top_n, how), phases, decision
 
 
+@dataclass(frozen=True)
+class Left:
+    """What a query keeps of itself when a result is taken off, with the exact row that was subtracted."""
+
+    vector: list[float]
+    usable: list[bool]
+    variant: str
+    row_id: int
+    phase: str
+    scale: float
+    improvement: float
+
+
+def residual_of(packs: dict[str, DataFrame], query: Query, result: DataFrame, how: Residual | None = None) -> Left:
+    """The residual of a query after the first of ``result`` (variant, row_id, shift): that row's vector, moved by the shift, is subtracted.
+
+    The row is looked up by (variant, row_id) in the pack it was found in; one vector comes to the driver, as the query of the next search.
+    """
+    chosen = result.select("variant", "row_id", "shift").first()
+    rows, n, k = packs[chosen.variant].where(F.col("row_id") == chosen.row_id), len(query.vector), int(chosen.shift)
+    support = C.mask_of(C.support_runs(F.col("support_runs"), F.col("start_idx"), F.col("end_idx")), n)
+    q, mask = F.array(*map(F.lit, map(float, query.vector))), F.array(*map(F.lit, query.mask))
+    points = rows.select(F.lit(chosen.variant).alias("variant"), "row_id", "name", q.alias("q"), C.shift(C.doubles(F.col("vector")), k).alias("c"), mask.alias("mask"), C.shift(support, k, False).alias("support"))
+    left = residual.project_vectors(points, how).withColumn("phase", search.phase_key(F.col("name"))).first()
+    if left is None:
+        raise ValueError("the result shares too few points with the query to be subtracted")
+    return Left(list(left.matching), list(left.usable), left.variant, left.row_id, left.phase, left.scale, left.improvement)
+
+
 def residual_match(packs: dict[str, DataFrame], residual: list[float], usable: list[bool], primary: str, top_n: int = 60, how: Matching | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Search what is left: signed, so its offset stays; its phase is out; peaks must agree."""
     how = replace(how or Matching(), offset_query=False, min_pcs=0.15)

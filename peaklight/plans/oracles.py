@@ -86,6 +86,12 @@ SELECT p_partkey AS row_id, p_name AS name, 'Fe2O' || (p_size % 5) AS formula, '
   CASE WHEN p_partkey % 3 = 0 THEN 'oriented' ELSE 'unoriented' END AS sample_orientation, p_partkey % 2 = 1 AS already_processed, 'Quartz__R' || p_partkey || '__Raman__514-5__90-000__ccw' AS acquisition FROM part
 """
 
+#: Window 5, order 3; needs v, the list of each row's values.
+SMOOTHED = """smoothed AS (SELECT row_id, unnest(range(0, 64))::BIGINT AS pos, unnest(list_concat(
+  [(69 * v[1] + 4 * v[2] - 6 * v[3] + 4 * v[4] - v[5]) / 70, (2 * v[1] + 27 * v[2] + 12 * v[3] - 8 * v[4] + 2 * v[5]) / 35],
+  list_transform(range(3, 63), lambda i: (-3 * v[i - 2] + 12 * v[i - 1] + 17 * v[i] + 12 * v[i + 1] - 3 * v[i + 2]) / 35),
+  [(2 * v[60] - 8 * v[61] + 12 * v[62] + 27 * v[63] + 2 * v[64]) / 35, (-v[60] + 4 * v[61] - 6 * v[62] + 4 * v[63] + 69 * v[64]) / 70])) AS y FROM v)"""
+
 ORACLE_SQL = {
     "screen_topk": _screen("true") + " SELECT row_id, 'Phase ' || label AS name, round(screen, 6) AS screen FROM s ORDER BY s.screen DESC, row_id LIMIT 50",
     "screen_topk_ranged": _screen(f"{SUPPORT} AND {MASK}") + " SELECT row_id, 'Phase ' || label AS name, round(screen, 6) AS screen FROM s ORDER BY s.screen DESC, row_id LIMIT 50",
@@ -192,18 +198,9 @@ SELECT owner, entry, protected, CASE WHEN inc THEN 'quarantine incomplete' WHEN
     "twin_check": "SELECT count(*) AS raw_rows, count(*) FILTER (p_partkey % 10 <> 3) AS corrected_rows, count(*) FILTER (p_partkey % 10 = 3) AS without_twin, count(*) FILTER (p_partkey % 20 = 1) AS different FROM part",
     "broken_rows": """WITH r AS (SELECT vec_id AS row_id, vec_id % 31 = 0 AS a, vec_id % 29 = 0 AND vec_id % 3 = 0 AS g, vec_id % 29 = 0 AND vec_id % 3 <> 0 AS s FROM embeddings)
 SELECT row_id, concat_ws(',', CASE WHEN a THEN 'norm' END, CASE WHEN g THEN 'grid' END, CASE WHEN s THEN 'summary' END) AS broken FROM r WHERE a OR g OR s""",
-    "name_lookup": """WITH n AS (SELECT lower(p_name) AS key, ['x', 's', ''][p_partkey % 3 + 1] AS flag, lpad(p_partkey::VARCHAR, 7, '0') AS filename FROM part WHERE lower(p_name) IN ('red widget', 'small ring', 'blue bolt')),
-r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY CASE flag WHEN 's' THEN 0 WHEN '' THEN 1 ELSE 2 END, filename) AS nth FROM n)
-SELECT key, nth, filename, flag FROM r WHERE nth <= 5 UNION ALL SELECT k, 0, '', 'missing' FROM (SELECT unnest(['red widget', 'small ring', 'no such', 'blue bolt']) AS k) WHERE k NOT IN (SELECT key FROM n)""",
     "name_lookup_all": """WITH n AS (SELECT lower(p_name) AS key, ['x', 's', ''][p_partkey % 3 + 1] AS flag, lpad(p_partkey::VARCHAR, 7, '0') AS filename FROM part WHERE lower(p_name) IN ('red widget', 'small ring', 'blue bolt')),
 r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY CASE flag WHEN 's' THEN 0 WHEN '' THEN 1 ELSE 2 END, filename) AS nth FROM n)
 SELECT key, nth, filename, flag FROM r UNION ALL SELECT k, 0, '', 'missing' FROM (SELECT unnest(['red widget', 'small ring', 'no such', 'blue bolt']) AS k) WHERE k NOT IN (SELECT key FROM n)""",
-    "recall_at_k": f"""WITH {LONG}, p AS (SELECT q.row_id AS query, l.row_id, any_value(l.label = q.label) AS hit, round(sum(l.v * q.v) / (sqrt(sum(l.v * l.v)) * sqrt(sum(q.v * q.v))), 9) AS c, -round(sum(abs(l.v - q.v)), 9) AS d FROM lib l JOIN lib q ON l.pos = q.pos AND q.row_id < 20 AND l.row_id <> q.row_id GROUP BY q.row_id, l.row_id),
-r AS (SELECT 'cosine' AS app, query, hit, row_number() OVER (PARTITION BY query ORDER BY c DESC, row_id) AS rank FROM p UNION ALL SELECT 'city block', query, hit, row_number() OVER (PARTITION BY query ORDER BY d DESC, row_id) FROM p),
-t AS (SELECT * FROM r WHERE rank <= 10), e AS (SELECT app, query, rank, hit FROM t UNION ALL SELECT 'either', query, rank, bool_or(hit) FROM t GROUP BY query, rank),
-f AS (SELECT app, query, min(rank) FILTER (hit) AS first FROM e GROUP BY ALL), k AS (SELECT unnest([1, 3, 6, 10])::BIGINT AS k),
-s AS (SELECT app, k, count(*) FILTER (first <= k) AS hits, count(*) AS total FROM f, k GROUP BY ALL)
-SELECT app, k, hits, total, round((100.0 * hits / total)::DOUBLE, 6) AS percent, round(100 * 1.96 / (1 + 1.96 * 1.96 / total) * sqrt((hits / total) * (1 - hits / total) / total + 1.96 * 1.96 / (4 * total * total)), 6) AS half_width FROM s""",
     "recall_at_k_all": f"""WITH {LONG}, p AS (SELECT q.row_id AS query, l.row_id, any_value(l.label = q.label) AS hit, round(sum(l.v * q.v) / (sqrt(sum(l.v * l.v)) * sqrt(sum(q.v * q.v))), 9) AS c, -round(sum(abs(l.v - q.v)), 9) AS d FROM lib l JOIN lib q ON l.pos = q.pos AND q.row_id % 50 = 0 AND l.row_id <> q.row_id GROUP BY q.row_id, l.row_id),
 r AS (SELECT 'cosine' AS app, query, hit, row_number() OVER (PARTITION BY query ORDER BY c DESC, row_id) AS rank FROM p UNION ALL SELECT 'city block', query, hit, row_number() OVER (PARTITION BY query ORDER BY d DESC, row_id) FROM p),
 t AS (SELECT * FROM r WHERE rank <= 10), e AS (SELECT app, query, rank, hit FROM t UNION ALL SELECT 'either', query, rank, bool_or(hit) FROM t GROUP BY query, rank),
@@ -218,11 +215,52 @@ SELECT label, row_id, round(d, 6) AS mean_distance, members FROM d QUALIFY row_n
     "workflow_stage": """WITH l AS (SELECT conv_id, count(*) AS events, max(turn) FILTER (role = 'system') AS s, max(turn) FILTER (role = 'user') AS u, max(turn) FILTER (role = 'assistant') AS a FROM conversations GROUP BY conv_id)
 SELECT conv_id, events, CASE WHEN s IS NULL THEN 'system' WHEN u IS NULL THEN 'user' WHEN a IS NULL THEN 'assistant' ELSE 'done' END AS next_stage, coalesce(u < s, false) OR coalesce(a < greatest(s, u), false) AS stale FROM l""",
     "workflow_chain": """SELECT conv_id, turn, sha1(turn || '|' || role) AS signature, coalesce(lag(sha1(turn || '|' || role)) OVER w, '') AS parent, coalesce(lag(role) OVER w = role, false) AS content_repeated FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""",
-    "savgol": f"""WITH {LONG}, s AS (SELECT row_id, pos, (-3 * lag(v, 2) OVER w + 12 * lag(v) OVER w + 17 * v + 12 * lead(v) OVER w - 3 * lead(v, 2) OVER w) / 35 AS y FROM lib WINDOW w AS (PARTITION BY row_id ORDER BY pos))
-SELECT row_id, pos, round(y, 6) AS y FROM s WHERE pos BETWEEN 2 AND 61""",
     "savgol_edges": f"""WITH {LONG}, e AS (SELECT row_id, list(v ORDER BY pos) AS v FROM lib GROUP BY row_id),
 s AS (SELECT row_id, unnest([0, 1, 62, 63]) AS pos, unnest([
   (69 * v[1] + 4 * v[2] - 6 * v[3] + 4 * v[4] - v[5]) / 70, (2 * v[1] + 27 * v[2] + 12 * v[3] - 8 * v[4] + 2 * v[5]) / 35,
   (2 * v[60] - 8 * v[61] + 12 * v[62] + 27 * v[63] + 2 * v[64]) / 35, (-v[60] + 4 * v[61] - 6 * v[62] + 4 * v[63] + 69 * v[64]) / 70]) AS y FROM e)
 SELECT row_id, pos::BIGINT AS pos, round(y, 6) AS y FROM s""",
+    "preprocess_plain": f"""WITH {LONG}, v AS (SELECT row_id, list(v ORDER BY pos) AS v FROM lib GROUP BY row_id), {SMOOTHED},
+d AS (SELECT row_id, v - lag(v) OVER (PARTITION BY row_id ORDER BY pos) AS d FROM lib), m AS (SELECT row_id, median(d) AS m FROM d GROUP BY row_id), n AS (SELECT row_id, 1.4826 * median(abs(d - m)) / sqrt(2) AS sigma FROM d JOIN m USING (row_id) GROUP BY row_id),
+r AS (SELECT row_id, max(v) - min(v) AS size, max(v) AS top, greatest(3 * any_value(sigma), 0.005 * (max(v) - min(v)), 1e-12) AS lim, any_value(sigma) AS sigma FROM lib JOIN n USING (row_id) GROUP BY row_id)
+SELECT row_id, round(avg((v < 0)::INT), 6) AS negative_fraction, round(avg((v < -lim)::INT), 6) AS material_negative_fraction, round(any_value(lim), 6) AS material_negative_threshold, round(any_value(sigma), 6) AS noise_sigma,
+  round(sqrt(avg((y - v) * (y - v))) / any_value(size), 6) AS change_rms_fraction, round((max(y) - any_value(top)) / any_value(size), 6) AS peak_change_fraction, round(sum(y), 6) AS processed_sum
+FROM smoothed JOIN lib USING (row_id, pos) JOIN r USING (row_id) GROUP BY row_id""",
+    "savgol": f"""WITH {LONG}, v AS (SELECT row_id, list(v ORDER BY pos) AS v FROM lib GROUP BY row_id), {SMOOTHED} SELECT row_id, pos, round(y, 6) AS y FROM smoothed""",
+    "library_build_raw": f"""WITH {LONG}, g AS (SELECT DISTINCT row_id, unnest(range(0, 91))::BIGINT AS place FROM lib),
+x AS (SELECT g.row_id, place, coalesce(v, 0) AS v FROM g LEFT JOIN lib l ON l.row_id = g.row_id AND place = pos + CASE WHEN pos >= 40 THEN 15 ELSE 0 END),
+s AS (SELECT row_id, (v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w) AS u FROM x WINDOW w AS (PARTITION BY row_id)),
+t AS (SELECT row_id, sqrt(sum(u * u)) AS l2, sum(u) AS total FROM s GROUP BY row_id)
+SELECT row_id, variant, false AS db_baseline, CASE WHEN row_id % 50 = 7 THEN 0 ELSE round(l2, 6) END AS l2, CASE WHEN row_id % 50 = 7 THEN 0 ELSE 0 END::BIGINT AS start_idx, CASE WHEN row_id % 50 = 7 THEN -1 ELSE 78 END::BIGINT AS end_idx,
+  CASE WHEN row_id % 50 = 7 THEN 0 ELSE 2 END::BIGINT AS runs, CASE WHEN row_id % 50 = 7 THEN 'parse: no numeric rows' ELSE '' END AS failure, CASE WHEN row_id % 50 = 7 THEN 0 ELSE round(total, 3) END AS total
+FROM t, (SELECT unnest(['DB-RAW', 'DB-BC']) AS variant) WHERE variant = 'DB-RAW' OR row_id % 4 = 0""",
+    "result_rows": ALIGN
+    + f""", n AS (SELECT row_id, any_value(label) AS label, count(*) FILTER ({SUPPORT}) AS points FROM lib GROUP BY row_id),
+mv AS (SELECT b.row_id, count(*) AS moved FROM best b JOIN lib2 l ON l.row_id = b.row_id AND l.s AND l.pos + b.shift BETWEEN 0 AND 63 GROUP BY b.row_id)
+SELECT row_id, 'unresolved:phase ' || label AS independence_group, 'unresolved:phase ' || label AS acquisition_group, points::BIGINT AS support_points, moved::BIGINT AS shifted_support_points, 5::BIGINT AS maximum_shift_points,
+  2.0::DOUBLE * shift AS shift_cm1, round(common / moved, 6) AS reference_overlap_fraction, round(0.88 * 0.8 * shape, 6) AS shape_contribution, round(0.88 * 0.2 * gradient, 6) AS gradient_contribution, 0.0::DOUBLE AS pcs_contribution, 0.88::DOUBLE AS spectral_similarity_weight
+FROM best JOIN n USING (row_id) JOIN mv USING (row_id)""",
+    "independence_groups": """SELECT p_partkey AS row_id, CASE WHEN p_partkey % 11 <> 0 AND p_partkey % 4 = 0 THEN 'G' || p_partkey % 50 WHEN p_partkey % 5 = 0 THEN 'S' || p_partkey % 50 WHEN p_partkey % 13 = 0 THEN 'R' || p_partkey % 50
+  WHEN p_partkey % 7 = 0 THEN 'A' || p_partkey % 50 WHEN p_partkey % 3 = 0 THEN 'provenance-source:source ' || p_partkey % 50 ELSE 'unresolved:' || lower(p_name) END AS independent FROM part""",
+    "signature_chain": """WITH l AS (SELECT conv_id, role, max(turn) AS turn, arg_max(length(text), turn)::VARCHAR AS size FROM conversations GROUP BY ALL),
+p AS (SELECT conv_id, max(turn) FILTER (role = 'system') AS t0, max(turn) FILTER (role = 'user') AS t1, max(turn) FILTER (role = 'assistant') AS t2, any_value(size) FILTER (role = 'system') AS s0, any_value(size) FILTER (role = 'user') AS s1, any_value(size) FILTER (role = 'assistant') AS s2 FROM l GROUP BY conv_id),
+a AS (SELECT *, sha1('|system|' || coalesce(s0, '')) AS g0 FROM p WHERE t0 IS NOT NULL), b AS (SELECT *, sha1(g0 || '|user|' || coalesce(s1, '')) AS g1 FROM a WHERE t1 >= t0), c AS (SELECT *, sha1(g1 || '|assistant|' || coalesce(s2, '')) AS g2 FROM b WHERE t2 >= t1)
+SELECT conv_id, 'system' AS stage, 0::BIGINT AS place, '' AS parent, g0 AS signature FROM a UNION ALL SELECT conv_id, 'user', 1, g0, g1 FROM b UNION ALL SELECT conv_id, 'assistant', 2, g1, g2 FROM c""",
+    "truth_sets": r"""WITH n AS (SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') || CASE WHEN p_partkey % 3 = 0 THEN '_' ELSE ' ' END || CASE WHEN p_partkey % 4 <> 0 THEN (p_partkey % 9)::VARCHAR ELSE 'run' END AS s FROM part),
+b AS (SELECT p_partkey, CASE WHEN regexp_extract(s, '^(.*?)(?:_\d|\s\d)', 1) <> '' THEN regexp_extract(s, '^(.*?)(?:_\d|\s\d)', 1) ELSE s END AS base FROM n),
+k AS (SELECT *, regexp_replace(lower(base), '[^a-z0-9]', '', 'g') AS key FROM b)
+SELECT p_partkey, base, CASE WHEN key = 'redwidget' THEN 'red widget|widget' ELSE array_to_string(list_sort(list_distinct(list_append(list_transform(list_filter(regexp_split_to_array(base, '[^a-zA-Z0-9]+'), lambda p: length(p) >= 3), lambda p: lower(p)), key))), '|') END AS truths FROM k""",
+    "ranked_sheet": """WITH c AS (SELECT p_partkey, p_name, unnest(range(0, 9)) AS k FROM part)
+SELECT 's' || p_partkey AS spectrum, ['Alpha Search', 'Beta', 'Alpha Search #2'][k // 3 + 1] AS app, (k % 3 + 1)::BIGINT AS rank, 'c' || k || ' ' || p_name AS candidate FROM c WHERE (p_partkey + k) % 5 <> 0""",
+    "resolve_sources": """WITH p AS (SELECT p_partkey AS i, 'sub/f' || p_partkey || '.txt' AS r, p_partkey % 6 <> 5 AS there, CASE WHEN p_partkey % 2 = 0 THEN 'Own' ELSE 'ref' END AS a FROM part),
+w AS (SELECT *, CASE WHEN i % 8 = 0 THEN 'stated' WHEN i % 5 = 0 THEN 'below root' WHEN i % 3 = 0 AND there AND a = 'ref' THEN 'known tail' WHEN there THEN 'unique name' ELSE 'unresolved' END AS how FROM p),
+s AS (SELECT *, CASE how WHEN 'stated' THEN 'Own' WHEN 'below root' THEN 'Own' WHEN 'known tail' THEN 'ref' WHEN 'unique name' THEN a ELSE '' END AS alias FROM w)
+SELECT i AS row_id, alias, CASE WHEN alias = '' THEN '' ELSE r END AS relative_path, how, CASE WHEN alias = '' THEN '' WHEN there AND a = alias THEN 'true' ELSE 'false' END AS known FROM s""",
+    "cached_provenance": """WITH p AS (SELECT p_partkey AS i, p_partkey % 100 AS f, p_partkey % 3 AS m FROM part), s AS (SELECT *, CASE WHEN i % 4 = 0 THEN 'own' WHEN f % 2 = 0 AND m = 1 THEN 'cache' ELSE 'none' END AS source FROM p)
+SELECT i::VARCHAR AS item, source FROM s UNION ALL (SELECT DISTINCT f || '/' || m, 'to parse' FROM s WHERE source = 'none')""",
+    "plain_columns": "SELECT p_partkey AS path, 2::BIGINT AS points, p_partkey::DOUBLE AS first_x, 10.0::DOUBLE AS first_y, 3.5::DOUBLE AS last_y FROM part",
+    "config_values": """WITH t AS (SELECT p_partkey, [p_name[1:2], 'o', p_type[1:2]] AS e FROM part)
+SELECT p_partkey, array_to_string(list_sort(list_distinct(list_transform(e, lambda x: upper(x[1]) || lower(x[2:])))), ',') AS elements, p_partkey % 6 IN (0, 3, 4) AS on FROM t""",
+    "quoted_fields": """SELECT p_partkey, p_name || ', "' || p_partkey || '"|' || p_partkey || '|' || p_partkey || '||x' AS fields FROM part""",
 }
+ORACLE_SQL |= {name: ORACLE_SQL[f"{name}_all"] for name in ("name_lookup", "recall_at_k")}

@@ -15,7 +15,7 @@ from peaklight.functions import columns as C
 from peaklight.functions import text as T
 from peaklight.model import Baseline, Grid, Matching, Query, Reduction, Smoothing, Trim
 from peaklight.operators import catalog, evaluate, evidence, library, reduce, residual, search, signal, workflow
-from peaklight.plans.match import match, residual_match
+from peaklight.plans.match import match, residual_match, residual_of
 from peaklight.sources import headers, inventory, measurement, writers
 
 POINTS = 64
@@ -145,23 +145,20 @@ def match_query(spark, sf_dir):
 def residual_search(spark, sf_dir):
     """Subtract the query's best other row and search what is left without its phase."""
     rows = whole(lib(spark, sf_dir)).withColumn("variant", F.lit("DB-RAW"))
-    q = query_vector(spark, sf_dir)
-    best = search.shortlist(search.screen(rows.where("row_id > 0"), q, FULL, ["row_id", "name", "vector"]), 1).first()
-    points = spark.createDataFrame([(0, i, float(a), float(b), True, True) for i, (a, b) in enumerate(zip(q, best.vector, strict=True))], "signal long, pos int, q double, c double, mask boolean, support boolean")
-    _, vectors = residual.project(points)
-    left = vectors.orderBy("pos").select("matching", "usable").collect()
-    shown, _, _ = residual_match({"DB-RAW": rows}, [r[0] for r in left], [r[1] for r in left], best.name.lower())
+    query = Query(query_vector(spark, sf_dir), FULL)
+    best = search.shortlist(search.screen(rows.where("row_id > 0"), query.vector, FULL, ["variant", "row_id", "name"]), 1)
+    left = residual_of({"DB-RAW": rows}, query, best.withColumn("shift", F.lit(0)))
+    shown, _, _ = residual_match({"DB-RAW": rows}, left.vector, left.usable, left.phase)
     return shown.select("place", "row_id", "name", "shift", *r6("rank_score", "similarity", "pcs"), "evidence_status")
 
 
 def residual_projection(spark, sf_dir):
-    q = query_vector(spark, sf_dir)
+    """What the query keeps when each row of the library in turn is taken off."""
     runs = C.support_runs(F.col("support_runs"), F.col("start_idx"), F.col("end_idx"))
-    rows = lib(spark, sf_dir).select("row_id", F.posexplode(F.arrays_zip(C.doubles(F.col("vector")).alias("c"), C.mask_of(runs, POINTS).alias("s"))).alias("pos", "p"))
-    points = rows.select("row_id", "pos", F.get(F.array(*map(F.lit, q)), F.col("pos")).alias("q"), F.col("p.c").alias("c"), F.get(F.array(*map(F.lit, MASK)), F.col("pos")).alias("mask"), F.col("p.s").alias("support"))
-    summary, vectors = residual.project(points, key="row_id")
-    usable = vectors.groupBy("row_id").agg(F.count_if("usable").alias("usable"), F.round(F.sum(F.abs("matching")), 6).alias("matching_size"))
-    return residual.worth_searching(summary).join(usable, "row_id").select("row_id", "common_points", *r6("scale", "improvement", "negative_points", "negative_energy"), "worth", "usable", "matching_size")
+    rows = lib(spark, sf_dir).select("row_id", C.doubles(F.array(*map(F.lit, query_vector(spark, sf_dir)))).alias("q"), C.doubles(F.col("vector")).alias("c"), F.array(*map(F.lit, MASK)).alias("mask"), C.mask_of(runs, POINTS).alias("support"))
+    out = residual.worth_searching(residual.project_vectors(rows))
+    usable, size = F.size(F.filter("usable", lambda u: u)).cast("long"), F.aggregate("matching", F.lit(0.0), lambda s, x: s + F.abs(x))
+    return out.select("row_id", "common_points", *r6("scale", "improvement", "negative_points", "negative_energy"), "worth", usable.alias("usable"), F.round(size, 6).alias("matching_size"))
 
 
 def gap_segments(spark, sf_dir):
@@ -402,30 +399,20 @@ def _candidates(spark, sf_dir):
 
 
 def name_lookup(spark, sf_dir):
-    """The first five candidates of each name."""
-    return _candidates(spark, sf_dir).where("nth <= 5")
+    """Every candidate of each name, and the names without any."""
+    return _candidates(spark, sf_dir)
 
 
-def name_lookup_all(spark, sf_dir):
-    """Every candidate of each name."""
-    return _candidates(spark, sf_dir)
+name_lookup_all = name_lookup
 
 
 def recall_at_k(spark, sf_dir):
-    """Neighbours of twenty query rows by two rankings, against the query's phase, and the two together."""
-    rows = lib(spark, sf_dir)
-    v = C.doubles(F.col("vector"))
-    queries = rows.where("row_id < 20").select(F.col("row_id").alias("query"), F.col("label").alias("truth"), v.alias("q"))
-    pairs = rows.select("row_id", "label", v.alias("v")).join(F.broadcast(queries), F.col("row_id") != F.col("query"))  # twenty fixed queries against all rows
-    plain = pairs.withColumn("score", F.round(C.cosine(F.col("v"), F.col("q")), 9)).withColumn("app", F.lit("cosine"))
-    near = pairs.withColumn("score", -F.round(F.aggregate(F.zip_with("v", "q", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, x: s + x), 9)).withColumn("app", F.lit("city block"))
-    ranked = plain.unionByName(near).withColumn("rank", F.row_number().over(Window.partitionBy("app", "query").orderBy(F.col("score").desc(), "row_id"))).where("rank <= 10")
-    ranked = ranked.withColumn("hit", F.col("label") == F.col("truth"))
-    return evaluate.recall_at_k(evaluate.combined(ranked, ["cosine", "city block"], "either")).select("app", F.col("k").cast("long").alias("k"), "hits", "total", *r6("percent", "half_width"))
+    """Neighbours by two rankings of every row whose id is divisible by 50, against all rows; right when they share its phase; and the two together."""
+    return recall_at_k_all(spark, sf_dir)
 
 
 def recall_at_k_all(spark, sf_dir):
-    """As recall_at_k, for every row whose id is divisible by 50 as a query, against all rows."""
+    """As recall_at_k, under its former name."""
     rows = lib(spark, sf_dir)
     asked = rows.where("row_id % 50 = 0")
     found = evaluate.nearest(rows.select("row_id", "vector"), asked.select("row_id", "vector"))
@@ -477,9 +464,8 @@ def iasls(spark, sf_dir):
 
 
 def savgol(spark, sf_dir):
-    """Window 5, order 3: the middle is a fixed weighted sum."""
-    rows = signal.smooth(_vectors(spark, sf_dir), Smoothing()).select("row_id", F.posexplode("smoothed").alias("pos", "y"))
-    return rows.where("pos between 2 and 61").select("row_id", F.col("pos").cast("long").alias("pos"), *r6("y"))
+    """Window 5, order 3: a fixed weighted sum in the middle, the cubic of the first or last five points at the ends."""
+    return signal.smooth(_vectors(spark, sf_dir), Smoothing()).select("row_id", F.posexplode("smoothed").alias("pos", "y")).select("row_id", F.col("pos").cast("long").alias("pos"), *r6("y"))
 
 
 def savgol_edges(spark, sf_dir):
@@ -488,9 +474,17 @@ def savgol_edges(spark, sf_dir):
     return rows.where("pos not between 2 and 61").select("row_id", F.col("pos").cast("long").alias("pos"), *r6("y"))
 
 
+def _diagnosed(rows: DataFrame) -> DataFrame:
+    return rows.select("row_id", *r6(*signal.DIAGNOSTICS), _total("processed").alias("processed_sum"))
+
+
 def preprocess(spark, sf_dir):
-    rows = signal.preprocess(_vectors(spark, sf_dir), Baseline(), Smoothing())
-    return rows.select("row_id", *r6("negative_fraction", "material_negative_fraction", "sigma_before", "sigma_after", "rms_change", "peak_change"), _total("processed").alias("processed_sum"))
+    return _diagnosed(signal.preprocess(_vectors(spark, sf_dir), Baseline(), Smoothing()))
+
+
+def preprocess_plain(spark, sf_dir):
+    """Without a baseline: smoothing and the diagnostics."""
+    return _diagnosed(signal.preprocess(_vectors(spark, sf_dir), Baseline.named("none"), Smoothing()))
 
 
 def denoise_guard(spark, sf_dir):
@@ -506,12 +500,134 @@ def peak_consistency(spark, sf_dir):
     return search.self_consistency(rows).select("row_id", *r6("pcs", "pcs_f1", "pcs_rho", "rank_score"), F.size("broken").alias("broken_rules"))
 
 
-def library_build(spark, sf_dir):
+def _built(spark, sf_dir):
     rows = lib(spark, sf_dir).select("row_id", "name", F.lit("").alias("flag"), "reference_id", (F.col("row_id") % 4 == 0).alias("already_processed"), C.doubles(F.col("vector")).alias("intensity"))
     axis = F.transform(F.sequence(F.lit(0), F.lit(POINTS - 1)), lambda i: (i + F.when(i >= 40, 15).otherwise(0)).cast("double"))
     rows = rows.withColumnRenamed("reference_id", "filename").withColumn("axis", F.when(F.col("row_id") % 50 != 7, axis)).withColumn("error", F.when(F.col("row_id") % 50 == 7, "no numeric rows"))
-    out = library.build_vectors(rows, Grid(0, 90, 1))
-    return out.select("row_id", "variant", "db_baseline", *r6("l2"), "start_idx", "end_idx", F.size("support_runs").alias("runs"), F.coalesce("failure", F.lit("")).alias("failure"))
+    return library.build_vectors(rows, Grid(0, 90, 1))
+
+
+def library_build(spark, sf_dir):
+    return _built(spark, sf_dir).select("row_id", "variant", "db_baseline", *r6("l2"), "start_idx", "end_idx", F.size("support_runs").alias("runs"), F.coalesce("failure", F.lit("")).alias("failure"))
+
+
+def library_build_raw(spark, sf_dir):
+    """The variant as measured, and of the corrected one the rows that were processed before and so equal it."""
+    rows = _built(spark, sf_dir).where("variant = 'DB-RAW' or already_processed")
+    long_ = lambda c: F.col(c).cast("long").alias(c)
+    return rows.select("row_id", "variant", "db_baseline", *r6("l2"), long_("start_idx"), long_("end_idx"), F.size("support_runs").cast("long").alias("runs"), F.coalesce("failure", F.lit("")).alias("failure"), F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x), 3).alias("total"))
+
+
+def result_rows(spark, sf_dir):
+    """What a result states about its alignment and the parts of its rank."""
+    how = Matching(min_support=POINTS + 1)  # no peaks: all of it can be said in SQL
+    rows = search.refine(lib(spark, sf_dir), query_vector(spark, sf_dir), MASK, how, ["row_id", "name"])
+    out = search.result_rows(rows, how, 2.0)
+    counts = [F.col(c).cast("long").alias(c) for c in ("support_points", "shifted_support_points", "maximum_shift_points")]
+    return out.select("row_id", "independence_group", "acquisition_group", *counts, *r6("shift_cm1", "reference_overlap_fraction", "shape_contribution", "gradient_contribution", "pcs_contribution", "spectral_similarity_weight"))
+
+
+def legacy_search(spark, sf_dir):
+    q = query_vector(spark, sf_dir)
+    return search.legacy_search(_vectors(spark, sf_dir), [float(i) for i in range(POINTS)], q).select("row_id", *r6("score"))
+
+
+def fingerprints(spark, sf_dir):
+    """Fingerprints of the library's spectra on an axis of their own; some can't be read, some lie outside of the grid."""
+    i = F.col("row_id")
+    axis = F.transform("axis", lambda x: x * 4 + F.when(i % 13 == 0, 5000.0).otherwise(40.0))
+    rows = _vectors(spark, sf_dir).withColumn("axis", F.when(i % 17 != 0, axis)).withColumn("error", F.when(i % 17 == 0, "no numeric lines"))
+    out = reduce.fingerprints(rows, Reduction())
+    return out.select("row_id", "outside", F.coalesce("failure", F.lit("")).alias("failure"), *r6("x_min", "x_max"), F.coalesce(F.size("fingerprint"), F.lit(-1)).alias("points"), _total("fingerprint").alias("fingerprint_sum"))
+
+
+def _references(spark, sf_dir):
+    """Parts as references whose specimen, accession and source are stated here or there, or nowhere."""
+    i, none = F.col("p_partkey"), F.lit(None).cast("string")
+    text = lambda cond, prefix: F.when(cond, F.concat(F.lit(prefix), (i % 50).cast("string"))).otherwise(none)
+    provenance = F.struct(text(i % 5 == 0, "S").alias("specimen_id"), text(i % 7 == 0, "A").alias("accession"), text(i % 3 == 0, " source ").alias("source"))
+    return table(spark, sf_dir, "part").select(i.alias("row_id"), F.col("p_name").alias("name"), F.when(i % 11 == 0, "  ").otherwise(text(i % 4 == 0, "G")).alias("independence_group"), text(i % 13 == 0, "R").alias("rruff_id"), provenance.alias("provenance"))
+
+
+def independence_groups(spark, sf_dir):
+    """The group of each reference and how many references each kind of statement decides."""
+    rows = _references(spark, sf_dir)
+    row = {c: F.col(c) for c in ("independence_group", "rruff_id")}
+    provenance = {c: F.col(f"provenance.{c}") for c in ("specimen_id", "accession", "source")}
+    return rows.select("row_id", T.independence_group(row, provenance, F.col("name")).alias("independent"))
+
+
+def signature_chain(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").withColumn("size", F.length("text"))
+    return workflow.signature_chain(rows, "conv_id", "turn", "role", "size", ["system", "user", "assistant"]).select("conv_id", "stage", F.col("place").cast("long").alias("place"), "parent", "signature")
+
+
+def truth_sets(spark, sf_dir):
+    """Base names and the names that count as right, for spectra named after parts."""
+    i = F.col("p_partkey")
+    spectrum = F.concat(F.initcap("p_name"), F.when(i % 3 == 0, F.lit("_")).otherwise(F.lit(" ")), F.when(i % 4 != 0, (i % 9).cast("string")).otherwise(F.lit("run")))
+    truths = evaluate.truth_set(spectrum, {"redwidget": ["widget", "red widget"]})
+    return table(spark, sf_dir, "part").select("p_partkey", evaluate.base_name(spectrum).alias("base"), F.array_join(truths, "|").alias("truths"))
+
+
+def ranked_sheet(spark, sf_dir):
+    """A sheet with two blocks of three ranks per app, read into one row per candidate."""
+    top = [(0, ["", "Alpha", "Search", "", "Beta", "", "", "Alpha", "search", ""]), (1, ["", "1", "2", "3", "1.0", "2", "3", "1", "2", "3"])]
+    head = spark.createDataFrame(top, "line long, cells array<string>")
+    i, text = F.col("p_partkey"), lambda k: F.when((F.col("p_partkey") + k) % 5 == 0, "x").otherwise(F.concat(F.lit(f"c{k} "), F.col("p_name")))
+    rows = table(spark, sf_dir, "part").select((i + 10).alias("line"), F.array(F.concat(F.lit("s"), i.cast("string")), *(text(k) for k in range(9))).alias("cells"))
+    out = evaluate.ranked_sheet(head.unionByName(rows), [(("alpha", "search"), "Alpha Search")], 3)
+    return out.select("spectrum", "app", F.col("rank").cast("long").alias("rank"), "candidate")
+
+
+def resolve_sources(spark, sf_dir):
+    """Where parts' files are, by what is stated, by old paths and by unique names."""
+    i = F.col("p_partkey")
+    name = F.concat(F.lit("f"), i.cast("string"), F.lit(".txt"))
+    parts = table(spark, sf_dir, "part")
+    records = parts.where("p_partkey % 6 <> 5").select(F.when(i % 2 == 0, "Own").otherwise("ref").alias("alias"), F.concat(F.lit("sub/"), name).alias("relative_path"))
+    rows = parts.select(
+        i.alias("row_id"),
+        F.when(i % 4 == 0, "OWN").alias("source_alias"),
+        F.when(i % 8 == 0, F.concat(F.lit("sub/"), name)).when(i % 4 == 0, "../x").alias("source_path"),
+        F.when(i % 5 == 0, F.concat(F.lit("/DATA/own/sub/"), name)).when(i % 3 == 0, F.concat(F.lit("C:\\old\\ref\\sub\\"), name)).alias("path"),
+        name.alias("filename"),
+    )
+    out = inventory.resolve_sources(rows, {"Own": "/data/own", "ref": "/data/lib/reference"}, records)
+    return out.select("row_id", F.coalesce("alias", F.lit("")).alias("alias"), F.coalesce("relative_path", F.lit("")).alias("relative_path"), "how", F.coalesce(F.col("known").cast("string"), F.lit("")).alias("known"))
+
+
+def cached_provenance(spark, sf_dir):
+    """Rows with the provenance they hold or that was parsed of the same file before; the rest is to be parsed."""
+    i = F.col("p_partkey")
+    rows = table(spark, sf_dir, "part").select(i.alias("row_id"), (i % 100).cast("string").alias("path"), (i % 100).alias("size"), (i % 3).alias("modified"), F.when(i % 4 == 0, F.struct(F.lit("own").alias("source"))).alias("provenance"))
+    cached = spark.range(0, 100, 2).select(F.col("id").cast("string").alias("path"), F.col("id").alias("size"), F.lit(1).alias("modified"), F.struct(F.lit("cache").alias("source")).alias("provenance"))
+    known, rest = headers.with_provenance(rows.withColumn("modified", F.col("modified").cast("int")), cached)
+    out = known.select(F.col("row_id").cast("string").alias("item"), F.coalesce("provenance.source", F.lit("none")).alias("source"))
+    return out.unionByName(rest.select(F.concat_ws("/", "path", F.col("modified").cast("string")).alias("item"), F.lit("to parse").alias("source")))
+
+
+def plain_columns(spark, sf_dir):
+    """Blank-separated columns with comments and lines that aren't numbers."""
+    i = F.col("p_partkey")
+    text = F.concat(F.lit("# "), F.col("p_name"), F.lit("\nx y\n"), (i + 2).cast("string"), F.lit("  3.5 9 # end\n"), i.cast("string"), F.lit("\t1e1\r\nnan 4\n7\n"))
+    out = headers.plain_columns(table(spark, sf_dir, "part").select(i.alias("path"), text.alias("value")))
+    return out.select("path", F.size("axis").cast("long").alias("points"), F.get("axis", F.lit(0)).alias("first_x"), F.get("intensity", F.lit(0)).alias("first_y"), F.get("intensity", F.lit(1)).alias("last_y"))
+
+
+def config_values(spark, sf_dir):
+    """Element lists as typed and switches as text."""
+    i = F.col("p_partkey")
+    typed = F.concat(F.upper(F.substring("p_name", 1, 2)), F.lit("; o,"), F.lower(F.substring("p_type", 1, 2)), F.lit("  O "))
+    switch = F.element_at(F.array(*map(F.lit, [" Yes", "off", "", "1", "maybe", "FALSE"])), (i % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(T.element_tokens(typed), ",").alias("elements"), T.switched(switch).alias("on"))
+
+
+def quoted_fields(spark, sf_dir):
+    """Fields of lines with quotes that hold the delimiter."""
+    i = F.col("p_partkey").cast("string")
+    line = F.concat(F.lit('"'), F.col("p_name"), F.lit(', ""'), i, F.lit('""" , '), i, F.lit(',"'), i, F.lit('",,x'))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(measurement.fields(line, "comma"), "|").alias("fields"))
 
 
 element_filter_all = _element_filter("must_include_all", ["O", "Re"], ["Sm"], True, False)

@@ -124,3 +124,44 @@ def loop_pairs(text: Column, least: int = 5) -> Column:
 
     own, every = pairs(F.get(named, F.lit(0))), pairs(text)
     return F.when(F.size(own) >= least, own).when(F.size(every) >= least, every)
+
+
+def load_folder(spark, roots) -> tuple[DataFrame, DataFrame]:
+    """(spectra, skipped) of the library files under the roots, in any depth.
+
+    spectra: alias, path, stem, flag, name, formula, axis, intensity, in the order of the stems without their leading quality
+    letters; skipped: path and error of those without numbers.  Texts are read as Latin-1, so no byte is an error.
+    """
+    from peaklight.sources.inventory import scan
+
+    records, _ = scan(spark, roots)
+    texts = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    files = None
+    for folder in [p for _, p in (roots.items() if isinstance(roots, dict) else roots)]:
+        own = texts.load(folder).select("path", F.decode("content", "ISO-8859-1").alias("value"))
+        files = own if files is None else files.unionByName(own)
+    files = files.join(records.select("path", "alias"), "path")
+    stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
+    known = files.select("path", "alias", stem.alias("stem"), meta(F.col("value"), F.col("path")).alias("m"))
+    rows = known.join(body(files), "path")
+    spectra = rows.where("error is null").select("alias", "path", "stem", quality_flag(F.col("stem")).alias("flag"), "m.name", "m.formula", "axis", "intensity")
+    return spectra.orderBy(F.lower(sort_stem(F.col("stem"))), "path"), rows.where("error is not null").select("path", "error")
+
+
+def plain_columns(files: DataFrame, key: str = "path", text: str = "value") -> DataFrame:
+    """key, axis, intensity of texts of blank-separated columns: # starts a comment, the first two columns count, lines where these aren't numbers go, the axis ascends."""
+    cut = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\r\n|\r|\n"), lambda x: F.split(F.trim(F.regexp_replace(x, "#.*$", "")), r"\s+"))
+    pairs = F.transform(cut, lambda p: F.struct(F.get(p, F.lit(0)).try_cast("double").alias("x"), F.get(p, F.lit(1)).try_cast("double").alias("y")))
+    good = F.array_sort(F.filter(pairs, lambda p: p["x"].isNotNull() & p["y"].isNotNull() & ~F.isnan(p["x"]) & ~F.isnan(p["y"])))
+    return files.select(key, good.alias("p")).select(key, F.col("p.x").alias("axis"), F.col("p.y").alias("intensity"))
+
+
+def with_provenance(rows: DataFrame, cached: DataFrame, key: str = "row_id") -> tuple[DataFrame, DataFrame]:
+    """(rows with provenance, what is still to be parsed).
+
+    rows: key, path, size, modified and provenance (NULL where none is embedded); cached: path, size, modified, provenance, of
+    files parsed before.  An embedded one comes first; a cached one counts only while size and time are the same.
+    """
+    known = cached.select("path", "size", "modified", F.col("provenance").alias("_cached"))
+    out = rows.join(known, ["path", "size", "modified"], "left").withColumn("provenance", F.coalesce("provenance", "_cached")).drop("_cached")
+    return out.select(rows.columns), out.where("provenance is null").select("path", "size", "modified").distinct()

@@ -85,3 +85,47 @@ def root_of(paths: DataFrame, roots: DataFrame, path: str = "path") -> DataFrame
     nth = F.row_number().over(Window.partitionBy(path).orderBy(F.length("root").desc_nulls_last(), "alias"))
     below = F.expr(f"substring({path}, length(regexp_replace(root, '/+$', '')) + 2)")
     return hit.withColumn("_n", nth).where("_n = 1").drop("_n").withColumn("relative_path", below)
+
+
+def resolve_sources(rows: DataFrame, roots, records: DataFrame | None = None, key: str = "row_id") -> DataFrame:
+    """Where each row's file is: key, alias, relative_path, how, known.
+
+    rows: key, source_alias, source_path (as stated), path (as it once was), filename.  In this order: "stated" (alias and a safe relative
+    path); "below root" (the path starts with a root's); "known tail" (a part of the path is a root's alias or folder name, the last such part first, and
+    what follows is a file of the inventory, or any safe path without one); "unique name" (only one file of the inventory has that name);
+    else "unresolved".  ``known`` tells whether the inventory has the file, NULL without one.  Case doesn't matter for aliases, roots and names.
+    """
+    pairs = coerce_roots(roots)
+    canonical = F.coalesce(*(F.when(F.lower(F.trim("source_alias")) == a.lower(), F.lit(a)) for a, _ in pairs), F.trim("source_alias"))
+    stated = F.when((F.trim(F.coalesce("source_alias", F.lit(""))) != "") & F.coalesce(safe_relative(F.col("source_path")), F.lit(False)), F.struct(canonical.alias("alias"), F.col("source_path").alias("relative_path")))
+    plain = F.regexp_replace(F.trim(F.coalesce("path", F.lit(""))), r"\\", "/")
+    below = [F.when(F.lower(plain).startswith(root.lower() + "/"), F.struct(F.lit(a).alias("alias"), F.substring(plain, len(root) + 2, 1 << 20).alias("relative_path"))) for a, root in pairs]
+    out = rows.select(key, stated.alias("_stated"), F.coalesce(*below).alias("_below"), plain.alias("_plain"), F.element_at(F.split(F.coalesce(F.trim("filename"), F.lit("")), r"[/\\]"), -1).alias("_name"))
+    parts = F.filter(F.split("_plain", "/"), lambda p: p != "")
+
+    def tails(order: int, a: str, root: str):
+        names = {a.lower(), root.rsplit("/", 1)[-1].lower()}
+        hits = F.filter(F.transform("_parts", lambda p, i: F.struct(F.lit(order).alias("order"), (-i).alias("late"), F.lit(a).alias("alias"), F.when(F.lower(p).isin(*names), F.concat_ws("/", F.slice("_parts", i + 2, 1 << 16))).alias("relative_path"))), lambda t: t["relative_path"].isNotNull())
+        return F.filter(hits, lambda t: t["relative_path"] != "")
+
+    open_rows = out.where("_stated is null and _below is null").withColumn("_parts", parts)
+    tried = open_rows.select(key, F.explode(F.concat(*(tails(i, a, r) for i, (a, r) in enumerate(pairs)))).alias("_t")).where(safe_relative(F.col("_t.relative_path")))
+    if records is not None:
+        there = records.select(F.lower("alias").alias("_a"), F.col("relative_path").alias("_r"))
+        tried = tried.join(there, (F.lower("_t.alias") == F.col("_a")) & (F.col("_t.relative_path") == F.col("_r")), "left_semi")
+    tail = tried.groupBy(key).agg(F.min("_t").alias("_tail"))
+    out = out.join(tail, key, "left")
+    if records is not None:
+        unique = records.withColumn("_name", F.lower(F.element_at(F.split("relative_path", "/"), -1))).groupBy("_name").agg(F.count("*").alias("_n"), F.first(F.struct("alias", "relative_path")).alias("_only")).where("_n = 1").drop("_n")
+        out = out.withColumn("_name", F.lower("_name")).join(unique, "_name", "left")
+    else:
+        out = out.withColumn("_only", F.lit(None).cast("struct<alias:string,relative_path:string>"))
+    tail = F.when(F.col("_tail").isNotNull(), F.struct("_tail.alias", "_tail.relative_path"))
+    ways = {"stated": F.col("_stated"), "below root": F.col("_below"), "known tail": tail, "unique name": F.col("_only")}
+    how = F.coalesce(*(F.when(way.isNotNull(), name) for name, way in ways.items()), F.lit("unresolved"))
+    out = out.select(key, F.coalesce(*ways.values()).alias("_s"), how.alias("how")).select(key, "_s.alias", "_s.relative_path", "how")
+    if records is None:
+        return out.withColumn("known", F.lit(None).cast("boolean"))
+    there = records.select(F.lower("alias").alias("_a"), F.col("relative_path").alias("_r"), F.lit(True).alias("_there")).distinct()
+    out = out.join(there, (F.lower("alias") == F.col("_a")) & (F.col("relative_path") == F.col("_r")), "left")
+    return out.select(key, "alias", "relative_path", "how", F.when(F.col("alias").isNotNull(), F.coalesce("_there", F.lit(False))).alias("known"))

@@ -17,10 +17,13 @@ def lines_of(files: DataFrame, key: str = "path", text: str = "value") -> DataFr
 
 
 def fields(content: Column, delimiter: str) -> Column:
-    """Fields of a line; quotes around a field go."""
+    """Fields of a line; quotes around a field go, and a delimiter inside of them doesn't part it ("" stands for a quote there)."""
     sign = dict(DELIMITERS)[delimiter]
-    parts = F.split(F.trim(content), r"\s+") if sign is None else F.split(content, sign)
-    return F.transform(parts, lambda p: F.trim(F.regexp_replace(F.trim(p), '^"(.*)"$', "$1")))
+    if sign is None:
+        return F.transform(F.split(F.trim(content), r"\s+"), lambda p: F.trim(F.regexp_replace(F.trim(p), '^"(.*)"$', "$1")))
+    # A field and the delimiter before it; the line gets one in front, so that no match is empty.
+    parts = F.regexp_extract_all(F.concat(F.lit(sign), content), F.lit(rf'{sign}(\s*"(?:[^"]|"")*"\s*(?={sign}|$)|[^{sign}]*)'), 1)
+    return F.transform(parts, lambda p: F.trim(F.replace(F.regexp_replace(F.trim(p), '^"(.*)"$', "$1"), F.lit('""'), F.lit('"'))))
 
 
 def number(field: Column, delimiter: str) -> Column:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import pathlib
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from peaklight.functions.text import slug
 from peaklight.model import canonical_json
 
 
@@ -39,16 +43,24 @@ def _fs(spark: SparkSession, path: str):
 
 
 def write_json(spark: SparkSession, path: str, value) -> None:
-    """Written beside its place and moved there, so readers see all or nothing."""
-    fs, at = _fs(spark, path)
-    temp = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.writing")
+    """Written beside its place and moved over it in one step, so readers see the old content or the new one."""
+    _, at = _fs(spark, path)
+    jvm = spark._jvm
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), spark._jsc.hadoopConfiguration())
+    temp = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.writing")
+    fs, _ = _fs(spark, path)
     out = fs.create(temp, True)
     out.write(bytearray(canonical_json(value).encode()))
+    out.hsync() if hasattr(out, "hsync") else out.flush()
     out.close()
-    if fs.exists(at):
-        fs.delete(at, False)
-    if not fs.rename(temp, at):
-        raise OSError(f"can't put {path} in place")
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    try:
+        context.rename(temp, at, options)
+    except Exception:
+        fs.delete(temp, False)
+        raise
 
 
 def read_json(spark: SparkSession, path: str):
@@ -99,10 +111,46 @@ def quarantine(spark: SparkSession, path: str, folder: str) -> str | None:
     return to
 
 
-def manifest(spark: SparkSession, settings: dict, inputs: dict, outputs: dict) -> dict:
-    """What is needed to repeat a run; keys sorted, no NaN."""
+def code_identity(folder: str) -> dict:
+    """SHA-256 of the library's own files by relative path, and the commit that a plain .git folder above them names (None without one)."""
+    root = pathlib.Path(folder).resolve()
+    files = {p.relative_to(root).as_posix(): hashlib.sha256(p.read_bytes()).hexdigest() for p in sorted(root.rglob("*.py"))}
+    commit = None
+    for place in (root, *root.parents):
+        head = place / ".git" / "HEAD"
+        if head.is_file():
+            text = head.read_text().strip()
+            ref = place / ".git" / text.removeprefix("ref: ")
+            commit = ref.read_text().strip() if text.startswith("ref: ") and ref.is_file() else None if text.startswith("ref: ") else text
+            break
+    return {"files": files, "commit": commit}
+
+
+def manifest(spark: SparkSession, settings: dict, inputs: dict, outputs: dict, code: str | None = None) -> dict:
+    """What is needed to repeat a run; keys sorted, no NaN: settings, inputs, outputs, versions, time in UTC, and the code in the folder ``code``."""
+    import datetime
     import platform
 
     import numpy
+    import pandas
+    import pyarrow
+
+    versions = {"spark": spark.version, "python": platform.python_version(), "numpy": numpy.__version__, "pandas": pandas.__version__, "pyarrow": pyarrow.__version__}
+    made = datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+    out = {"settings": settings, "inputs": inputs, "outputs": outputs, "versions": versions, "created_utc": made}
+    return json.loads(canonical_json(out | ({"code": code_identity(code)} if code else {})))
+
+
+def write_reports(declustered: DataFrame, folder: str, group: str = "name") -> None:
+    """The reports of a thinned library as CSV: all spectra, the groups, and the detail of each group in a folder of its own."""
+    from peaklight.operators.reduce import reduction_report
+
+    rows = declustered.withColumn("group_slug", slug(F.col(group)))
+    rows.orderBy(F.lower(group), "row_id").write.mode("errorifexists").option("header", "true").csv(f"{folder}/all_spectra")
+    reduction_report(declustered, group).orderBy(F.lower(group)).write.mode("errorifexists").option("header", "true").csv(f"{folder}/groups")
+    rows.repartition("group_slug").sortWithinPartitions("group_slug", "cluster", "row_id").write.mode("errorifexists").option("header", "true").partitionBy("group_slug").csv(f"{folder}/detail")
+
 
-    return json.loads(canonical_json({"settings": settings, "inputs": inputs, "outputs": outputs, "versions": {"spark": spark.version, "python": platform.python_version(), "numpy": numpy.__version__}}))
+def write_recall(summary: DataFrame, folder: str) -> None:
+    """Recall by app and k as one CSV with a header; as long as there are apps and ks."""
+    summary.coalesce(1).orderBy("app", "k").write.mode("errorifexists").option("header", "true").csv(folder)
