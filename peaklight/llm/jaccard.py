@@ -1,16 +1,19 @@
 """Similarity join of documents on their sets of word shingles, by parity sketches.
 
 Each shingle hash is XORed into one of m segments.  Two sets whose symmetric
-difference is at most D leave, with m = D + 1 segments, at least one segment
+difference is at most D leave, of any D + 1 segments, at least one
 untouched, so its XOR is equal in both (pigeonhole); D follows from the size
-band and the wanted Jaccard similarity.  Equal segments propose links, for sets
-of every size.  A 512-bit parity sketch (each shingle flips one bit) then bounds
+band and the wanted Jaccard similarity.  A set names the D + 1 segments that hold
+most of its shingles, and all that hold as many as the last of these.  Of two linked sets take the
+one whose last count is larger: one of the segments it names is untouched, and as the other set has as many shingles
+there, it names it too.  So few or no shingles seldom propose a link, and none is lost, for sets of every size.
+A parity sketch (each shingle flips one bit), of more bits for larger sets, then bounds
 the symmetric difference from below by its Hamming distance, and what is left is
 verified on the sets themselves.
 
-A segment may be equal by chance (few or no shingles fall in it) or because
+A segment may be equal by chance or because
 of a passage that many documents share.  A bucket with many classes that don't link is
-therefore split by a second, independent division into D + 1 segments, of
+therefore split by a second, independent division into segments, of
 which a linked pair again leaves one untouched, and so on: no link is lost,
 and what meets by chance is parted.
 """
@@ -29,16 +32,19 @@ from peaklight.llm._base import Stage, blocks, documents, id_filter, join_counte
 from peaklight.llm._words import U, mix, shingle_sets
 from peaklight.llm.components import connected_components
 
-#: Bits of the parity sketch.
-SKETCH_BITS = 512
+#: Least bits of a parity sketch, and least bits for each member that two linked sets may differ in; sizes are powers of two.
+SKETCH_BITS, SPREAD = 512, 4
+#: Segments for each of the D + 1 that a set names at least.
+SLACK = 1.25
 #: Ratio of the upper to the lower end of a size band.
 BAND_RATIO = 1.3
 #: Rounds in which each bucket links its classes to one centre only, before pairs of classes left are compared.
 ROUNDS = 3
-#: A bucket of more nodes than this is split by a further division, at most so many times while that parts it.
-LIGHT, SPLITS = 32, 8
-#: Keys that a task gathers before it sends them off.
-GATHER = 1 << 20
+#: A bucket of more nodes than LIGHT times the segments of its band is split by a further division, at most so many times while
+#: that parts it.  In a smaller one a node meets at most LIGHT times as many others as it has keys, so comparing all follows the input.
+LIGHT, SPLITS = 8, 8
+#: Keys that a task gathers before it sends them off (64 for each range at least), and bytes of text it works on at once.
+GATHER, BLOCK = 1 << 18, 1 << 19
 #: The size band of a key stands in its highest bits.
 LOW = U((1 << 56) - 1)
 
@@ -75,31 +81,37 @@ def signatures(tokens: np.ndarray, sizes: np.ndarray, num: int, den: int, level:
     first = np.searchsorted(BANDS, sizes, "right") - 1
     for step in range(1 if only is not None else len(BANDS)):
         band = only if only is not None else np.minimum(first + step, len(BANDS) - 2)
-        m = max_difference(2 * (BANDS[band + 1] - 1), num, den) + 1
+        most = max_difference(2 * (BANDS[band + 1] - 1), num, den)
         fits = (BANDS[band] <= sizes * den // num) & (sizes > 0)
         if not fits.any():
             break
-        at = np.flatnonzero(fits & (m > 1))
+        at = np.flatnonzero(fits & (most > 0))
         if not len(at):
             continue
-        m, n = m[at], sizes[at]
+        most, n = most[at], sizes[at]
+        m = np.ceil((most + 1) * SLACK).astype(np.int64)
         base = np.cumsum(m) - m
         # Sorted tokens fall in ascending segments, so each segment is one run.
         inside = np.repeat(starts[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         token = tokens[inside]
         segment = ((token >> U(32)) * np.repeat(m, n).astype(U) >> U(32)).astype(np.int64) + np.repeat(base, n)
         runs = np.flatnonzero(np.diff(segment, prepend=-1))
-        parity, count = np.zeros(int(m.sum()), U), np.bincount(segment, minlength=int(m.sum())).astype(U)
+        parity, count = np.zeros(int(m.sum()), U), np.bincount(segment, minlength=int(m.sum()))
         parity[segment[runs]] = np.bitwise_xor.reduceat(token, runs)
-        owner = np.repeat(at, m)
-        name = (np.arange(len(parity)) - np.repeat(base, m)).astype(U) + (band[owner].astype(U) << U(32))
+        which = np.repeat(np.arange(len(at)), m)
+        falling = count[np.lexsort((-count, which))]
+        named = np.flatnonzero(count >= falling[base + most][which])
+        owner, parity, count = at[which[named]], parity[named], count[named].astype(U)
+        name = (named - base[which[named]]).astype(U) + (band[owner].astype(U) << U(32))
         keys.append(((mix(parity + mix(name) + mix(count)) + U(level)) & LOW) | (band[owner].astype(U) << U(56)))
         owners.append(owner)
     return np.concatenate(keys), np.concatenate(owners)
 
 
-def sketch(tokens: np.ndarray) -> np.ndarray:
-    bits = np.bincount((tokens >> U(17)).astype(np.int64) & (SKETCH_BITS - 1), minlength=SKETCH_BITS) & 1
+def sketch(tokens: np.ndarray, num: int = 80, den: int = 100) -> np.ndarray:
+    """The parity sketch as words of 64 bits; half as long a one is its first half XOR its second."""
+    size = max(SKETCH_BITS, 1 << int(SPREAD * max_difference(2 * len(tokens), num, den)).bit_length())
+    bits = np.bincount((tokens >> U(17)).astype(np.int64) & (size - 1), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
@@ -173,17 +185,17 @@ def _emit(k: int, num: int, den: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
-            for i, j, data, off in blocks(batch.column("text")):
+            for i, j, data, off in blocks(batch.column("text"), BLOCK):
                 sets = shingle_sets(data, off, k)
                 sizes = np.array([len(x) for x in sets], np.int64)
                 nodes = np.array([node_of(x) if len(x) else 0 for x in sets], np.int64)
                 docs = batch.column("doc_id").slice(i, j - i)
                 spread = part_of(np.arange(len(sets), dtype=U) + U(1 + n + i))
-                yield rows(spread, docs, pa.array(sizes), pa.array(nodes, mask=sizes == 0), pa.array([sketch(x) for x in sets], pa.list_(pa.int64())))
+                yield rows(spread, docs, pa.array(sizes), pa.array(nodes, mask=sizes == 0), pa.array([sketch(x, num, den) for x in sets], pa.list_(pa.int64())))
                 key, owner = signatures(np.concatenate(sets), sizes, num, den)
                 held.append((key, nodes[owner]))
                 n += len(key)
-                if n >= GATHER:
+                if n >= max(GATHER, 64 * parts):
                     yield from send(held)
                     held, n = [], 0
         if held:
@@ -237,7 +249,7 @@ def _sets(k: int, known):
         words = known.value
         for batch in batches:
             batch = batch.filter(pa.array(maybe(words, batch.column("doc_id").fill_null(-(2**63)).to_numpy())))
-            for _, _, data, off in blocks(batch.column("text")):
+            for _, _, data, off in blocks(batch.column("text"), BLOCK):
                 sets = [s for s in shingle_sets(data, off, k) if len(s)]
                 yield pa.RecordBatch.from_pydict({"node": pa.array([node_of(s) for s in sets], pa.int64()), "tokens": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))})
 
@@ -270,8 +282,13 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     sets = stage(docs.mapInArrow(_sets(k, known), "node long, tokens array<long>").join(info.select("node"), "node").dropDuplicates(["node"]), "tokens")
 
     def near(a: str, b: str) -> str:
-        distance = " + ".join(f"bit_count({a}.sketch[{i}] ^ {b}.sketch[{i}])" for i in range(SKETCH_BITS // 64))
-        return f"{distance} <= (({a}.n + {b}.n) * {den - num}) div {den + num} AND {den} * least({a}.n, {b}.n) >= {num} * greatest({a}.n, {b}.n)"
+        def fold(own: str, other: str) -> str:
+            half = f"size({other}.sketch)"
+            return f"if(size({own}.sketch) > {half}, zip_with(slice({own}.sketch, 1, {half}), slice({own}.sketch, 1 + {half}, {half}), (p, q) -> p ^ q), {own}.sketch)"
+
+        distance = f"aggregate(zip_with({fold(a, b)}, {fold(b, a)}, (p, q) -> bit_count(p ^ q)), 0, (s, x) -> s + x)"
+        # Sizes of linked sets are near each other, so one sketch is twice as long as the other at most.
+        return f"{den} * least({a}.n, {b}.n) >= {num} * greatest({a}.n, {b}.n) AND {distance} <= (({a}.n + {b}.n) * {den - num}) div {den + num}"
 
     def verified(pairs: DataFrame) -> DataFrame:
         x = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b")
@@ -305,23 +322,27 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
         tried = pairs if tried is None else tried.unionByName(pairs)
         close = pairs.alias("p").join(info.alias("x"), F.expr("p.a = x.node")).join(info.alias("y"), F.expr("p.b = y.node")).where(near("x", "y")).select("a", "b")
         found = stage(verified(close), "found")
+        if label is not None and found.isEmpty():
+            break
         links = found if links is None else links.unionByName(found)
         label = labels(links)
 
     # What is left: large buckets are divided until they are small; then every pair of different classes in a bucket,
     # cut down by the sketches inside the join.
+    widths = F.array(*(F.lit(LIGHT * (max_difference(2 * (b - 1), num, den) + 1)) for b in BANDS[1:].tolist()))
+    few = F.col("size") <= F.element_at(widths, (F.shiftrightunsigned("key", 56) + 1).cast("int"))
     left = stage(several(open_buckets(label).distinct()), "left")
-    ready, most = left.where(f"size <= {LIGHT}"), None
+    ready, most = left.where(few), None
     for level in range(1, SPLITS + 1):
-        heavy = left.where(f"size > {LIGHT}").drop("size")
+        heavy = left.where(~few).drop("size")
         n = heavy.count()
         if not n or (most is not None and n > most / 2):
             break
         most = n
         divided = heavy.join(sets, "node").mapInArrow(_split(level, num, den), "key long, node long, label long")
         left = stage(several(divided), "left")
-        ready = ready.unionByName(left.where(f"size <= {LIGHT}"))
-    ready = ready.unionByName(left.where(f"size > {LIGHT}")).drop("size")
+        ready = ready.unionByName(left.where(few))
+    ready = ready.unionByName(left.where(~few)).drop("size")
     ready = stage(ready.join(info.select("node", "n", "sketch"), "node"), "ready")
     pairs = ready.alias("x").join(ready.alias("y"), F.expr(f"x.key = y.key AND x.label < y.label AND {near('x', 'y')}"))
     pairs = pairs.select(F.expr("least(x.node, y.node)").alias("a"), F.expr("greatest(x.node, y.node)").alias("b")).distinct()
