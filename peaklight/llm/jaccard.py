@@ -6,7 +6,8 @@ untouched, so its XOR is equal in both (pigeonhole); D follows from the size
 band and the wanted Jaccard similarity.  A set names the D + 1 segments that hold
 most of its shingles, and all that hold as many as the last of these.  Of two linked sets take the
 one whose last count is larger: one of the segments it names is untouched, and as the other set has as many shingles
-there, it names it too.  So few or no shingles seldom propose a link, and none is lost, for sets of every size.
+there, it names it too.  So few shingles seldom propose a link, and none is lost, for sets of every size.  A set that has to
+name empty segments joins each of these with its keys by another division, as two linked sets agree there too.
 A parity sketch (each shingle flips one bit), of more bits for larger sets, then bounds
 the symmetric difference from below by its Hamming distance, and what is left is
 verified on the sets themselves.
@@ -34,8 +35,8 @@ from peaklight.llm.components import connected_components
 
 #: Least bits of a parity sketch, and least bits for each member that two linked sets may differ in; sizes are powers of two.
 SKETCH_BITS, SPREAD = 512, 4
-#: Segments for each of the D + 1 that a set names at least.
-SLACK = 1.25
+#: Segments for each of the D + 1 that a set names at least; levels of division that empty segments are followed into.
+SLACK, DEEP = 1.25, 12
 #: Ratio of the upper to the lower end of a size band.
 BAND_RATIO = 1.3
 #: Rounds in which each bucket links its classes to one centre only, before pairs of classes left are compared.
@@ -101,9 +102,28 @@ def signatures(tokens: np.ndarray, sizes: np.ndarray, num: int, den: int, level:
         which = np.repeat(np.arange(len(at)), m)
         falling = count[np.lexsort((-count, which))]
         named = np.flatnonzero(count >= falling[base + most][which])
-        owner, parity, count = at[which[named]], parity[named], count[named].astype(U)
-        name = (named - base[which[named]]).astype(U) + (band[owner].astype(U) << U(32))
-        keys.append(((mix(parity + mix(name) + mix(count)) + U(level)) & LOW) | (band[owner].astype(U) << U(56)))
+        set_of, parity, count = which[named], parity[named], count[named]
+        owner = at[set_of]
+        name = (named - base[set_of]).astype(U) + (band[owner].astype(U) << U(32))
+        key = ((mix(parity + mix(name) + mix(count.astype(U))) + U(level)) & LOW) | (band[owner].astype(U) << U(56))
+        # (Bands of more segments leave too few of them empty for that to matter.)
+        bare = np.flatnonzero((count == 0) & (m[set_of] <= 64))
+        if len(bare) and level < DEEP:
+            # Both of two linked sets may have nothing in common but empty segments: there the keys of another division count too.
+            few, place = np.unique(set_of[bare], return_inverse=True)
+            picked = np.isin(np.repeat(np.arange(len(at)), n), few)
+            more, of = signatures(token[picked], n[few], num, den, level + 1, band[at[few]])
+            more = more[np.argsort(of, kind="stable")]
+            each = np.bincount(of, minlength=len(few))
+            times = each[place]
+            spot = np.repeat((np.cumsum(each) - each)[place] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+            refined = (mix(np.repeat(key[bare], times) + mix(more[spot])) & LOW) | (np.repeat(key[bare], times) & ~LOW)
+            keys.append(refined)
+            owners.append(np.repeat(owner[bare], times))
+            kept = np.ones(len(key), bool)
+            kept[bare] = False
+            key, owner = key[kept], owner[kept]
+        keys.append(key)
         owners.append(owner)
     return np.concatenate(keys), np.concatenate(owners)
 

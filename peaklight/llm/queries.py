@@ -106,6 +106,25 @@ SELECT c.conv_id, c.turn, c.call_id, c.name, coalesce(r.result_turn, -1) AS resu
     || '},"id":"' || c.call_id || '","name":"' || c.name || '"}' END AS canonical
 FROM parts c JOIN levels l ON l.conv_id = c.conv_id AND l.turn = c.turn
 LEFT JOIN results r ON r.conv_id = c.conv_id AND r.turn = c.turn LEFT JOIN refs f ON f.conv_id = c.conv_id AND f.turn = c.turn
+""",
+    "op6_jaccard_join": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS g FROM d
+), u AS (
+  SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS common FROM u a JOIN u b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2
+), e AS (
+  SELECT a, b FROM p WHERE 100 * common >= 90 * (na + nb - common) UNION ALL SELECT b, a FROM p WHERE 100 * common >= 90 * (na + nb - common)
+), reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM reach r JOIN e ON e.a = r.other
+), least AS (
+  SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1
+)
+SELECT doc_id, len(g)::BIGINT AS n_shingles, component_id FROM s JOIN least USING (doc_id)
 """,
     "op7_exact_dedup": r"""
 WITH d AS (

@@ -99,8 +99,8 @@ def test_pigeonhole_never_misses():
     rng = np.random.default_rng(4)
     for turn in range(3000):
         n = int(rng.integers(1, 300 if turn < 2900 else 12_000))
-        a = rng.integers(0, 2**63, n).astype(np.uint64)
-        b = np.concatenate([a[int(rng.integers(0, n // 8 + 1)) :], rng.integers(0, 2**63, int(rng.integers(0, n // 8 + 1))).astype(np.uint64)])
+        a = rng.integers(0, 2**64, n, dtype=np.uint64)
+        b = np.concatenate([a[int(rng.integers(0, n // 8 + 1)) :], rng.integers(0, 2**64, int(rng.integers(0, n // 8 + 1)), dtype=np.uint64)])
         a, b = np.unique(a), np.unique(b)
         both = len(np.intersect1d(a, b))
         for num in (80, 90):
@@ -292,12 +292,12 @@ def test_levels_of_chains_cycles_and_graphs(spark, most):
     assert {-1, 59} <= set(want.values()) and all(not r.errors for r in rows)
 
 
-def test_tool_call_query_equals_its_sql(spark, sf_dir):
+def test_queries_equal_their_sql(spark, sf_dir):
     duckdb = pytest.importorskip("duckdb")
     db = duckdb.connect()
     db.execute(f"CREATE VIEW conversations AS SELECT * FROM '{sf_dir}/conversations.parquet'")
     db.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
-    for name in ("op2_tool_call_linking", "op7_exact_dedup"):
+    for name in ORACLE_SQL:
         out = QUERIES[name](spark, sf_dir)
         want = db.execute(ORACLE_SQL[name]).fetchdf()[out.columns].to_dict('records')
         got = [r.asDict() for r in out.collect()]
@@ -318,3 +318,48 @@ def test_tool_calls_with_long_and_odd_arguments(spark):
     assert by["a"][0].level == 1 and len(by["a"][0].canonical) > 300_000
     assert sorted((r.errors, r.n_results) for r in by["b"]) == [([], 1), (["$: identifier used before"], 0)]
     assert by["d"][0].errors == ["$: unknown tool"] and by["e"][0].errors == []
+
+
+def unrelated(n, seed):
+    """Short sets of shingles that have nothing to do with each other."""
+    rng = np.random.default_rng(seed)
+    return [np.unique(rng.integers(0, 2**64, int(rng.integers(9, 16)), dtype=np.uint64)) for _ in range(n)]
+
+
+def bucket_pairs(sets, num, den):
+    sizes = np.array([len(s) for s in sets])
+    keys, _ = jaccard.signatures(np.concatenate(sets), sizes, num, den)
+    counts = np.unique(keys, return_counts=True)[1].astype(float)
+    return float((counts * (counts - 1) / 2).sum())
+
+
+def test_pairs_of_unrelated_short_sets_stay_few():
+    """Few shingles of a segment seldom propose a link: pairs of unrelated sets grow little more than with their number."""
+    few, many = (bucket_pairs(unrelated(n, n), 80, 100) for n in (5_000, 20_000))
+    assert few < 50 and many < 8 * max(few, 25)
+
+
+def test_large_sets_lose_no_link():
+    """Sets of 500 to 20,000 shingles at the threshold: every link is proposed, at every level."""
+    rng = np.random.default_rng(12)
+    for num in (80, 90):
+        for n in (500, 1700, 5_000, 20_000):
+            for _ in range(4):
+                whole = np.unique(rng.integers(0, 2**64, 2 * n, dtype=np.uint64))
+                rng.shuffle(whole)
+                apart = 0  # the most members that a linked pair of this size may lose and gain
+                while 100 * (n - apart - 1) >= num * (n + apart + 1):
+                    apart += 1
+                a, b = np.sort(whole[:n]), np.sort(np.concatenate([whole[apart:n], whole[n : n + apart]]))
+                for level in (0, 1):
+                    x, y = (jaccard.signatures(t, np.array([len(t)]), num, 100, level)[0] for t in (a, b))
+                    assert np.intersect1d(x, y).size
+
+
+def test_heavy_buckets_are_split_without_loss(spark, monkeypatch):
+    """With buckets that count as heavy from two nodes on, further divisions find what comparing all finds."""
+    monkeypatch.setattr(jaccard, "LIGHT", 0.1)
+    monkeypatch.setattr(jaccard, "ROUNDS", 1)
+    rows = near_copies(9, groups=8, copies=8, drift=4)
+    out = jaccard.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80, 100).collect()
+    assert {tuple(r) for r in out} == brute_classes(rows, 5, 80, 100)
