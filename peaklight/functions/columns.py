@@ -111,10 +111,11 @@ def clipped_trace(values: Column, runs: Column, low: Column | int, high: Column
 
 @F.pandas_udf(StringType())
 def content_hash(values: pd.Series, mask: pd.Series) -> pd.Series:
-    """SHA-256 over the values as little-endian 32-bit floats (NULL as not a number), then the mask as one byte each."""
+    """SHA-256 over the number of values (8 bytes), the values as little-endian 32-bit floats (NULL as not a number), and the mask as one byte each."""
 
     def one(v, m) -> str:
-        body = np.array([np.nan if x is None else x for x in v], "<f4").tobytes() if v is not None else b""
+        v = [] if v is None else v
+        body = len(v).to_bytes(8, "little") + np.array([np.nan if x is None else x for x in v], "<f4").tobytes()
         return hashlib.sha256(body + (np.array([bool(x) for x in m], np.uint8).tobytes() if m is not None else b"")).hexdigest()
 
     return pd.Series([one(v, m) for v, m in zip(values, mask, strict=True)])

@@ -33,7 +33,7 @@ def inventory_facts(roots: DataFrame, records: DataFrame, issues: DataFrame) ->
     """
     gone = issues.where("issue = 'missing root'").select("alias").distinct().withColumn("_gone", F.lit(True))
     none = F.lit("")
-    state = roots.join(F.broadcast(gone), "alias", "left").select(F.lit("root").alias("fact"), "alias", F.when(F.col("_gone"), "missing").otherwise("present").alias("place"), none.alias("size"), none.alias("modified"))
+    state = roots.join(gone, "alias", "left").select(F.lit("root").alias("fact"), "alias", F.when(F.col("_gone"), "missing").otherwise("present").alias("place"), none.alias("size"), none.alias("modified"))
     files = records.select(F.lit("file").alias("fact"), "alias", F.col("relative_path").alias("place"), F.col("size").cast("string").alias("size"), F.col("modified").cast("string").alias("modified"))
     coded = issues.select(F.lit("issue").alias("fact"), "alias", F.col("issue").alias("place"), none.alias("size"), none.alias("modified"))
     return state.unionByName(files).unionByName(coded)

@@ -91,10 +91,12 @@ def build_vectors(sources: DataFrame, grid: Grid, how: Baseline | None = None) -
     Each source is read once, and the segments of a batch that are equally long are
     corrected in one matrix.  A source that fails keeps its row numbers with a zero
     vector and a failure category, so both variants stay aligned; one that
-    was processed before is not corrected again.
+    was processed before is not corrected again.  Other columns of the sources (formula, elements, provenance) go with both rows.
     """
     how = how or library_baseline()
-    names = [c.split()[0] for c in VECTORS.split(", ")]
+    wanted = ["row_id", "name", "flag", "filename", "already_processed", "axis", "intensity", "error"]
+    more = [c for c in sources.columns if c not in wanted]
+    names = [c.split()[0] for c in VECTORS.split(", ")] + more
     n = len(grid)
     run_kind = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 
@@ -147,12 +149,13 @@ def build_vectors(sources: DataFrame, grid: Grid, how: Baseline | None = None) -
                 pa.array([own[-1][1] if own else -1 for own in runs], pa.int32()),
                 pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, runs)]).astype(np.int32)), spread),
                 pa.array(failure, pa.string()),
+                *(b.column(c).take(twice) for c in more),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    wanted = ["row_id", "name", "flag", "filename", "already_processed", "axis", "intensity", "error"]
-    typed = sources.select(*wanted).withColumn("axis", F.col("axis").cast("array<double>")).withColumn("intensity", F.coalesce(F.col("intensity").cast("array<double>"), F.array().cast("array<double>")))
-    return typed.mapInArrow(run, VECTORS)
+    typed = sources.select(*wanted, *more).withColumn("axis", F.col("axis").cast("array<double>")).withColumn("intensity", F.coalesce(F.col("intensity").cast("array<double>"), F.array().cast("array<double>")))
+    kinds = ", ".join([VECTORS, *(f"`{c}` {sources.schema[c].dataType.simpleString()}" for c in more)])
+    return typed.mapInArrow(run, kinds)
 
 
 def build_pair(spark: SparkSession, sources: DataFrame, grid: Grid, folder: str, how: Baseline | None = None, inputs: str = "", failure_limit: float = 0.9) -> dict:
@@ -192,7 +195,17 @@ def build_pair(spark: SparkSession, sources: DataFrame, grid: Grid, folder: str,
     return out
 
 
-def load_pair(spark: SparkSession, manifest: dict) -> tuple[DataFrame, DataFrame]:
-    """(raw, corrected) of a published pair; reading one variant touches only its partition."""
+def load_pair(spark: SparkSession, manifest: dict, check: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(raw, corrected) of a published pair; reading one variant touches only its partition.
+
+    With ``check`` the files must hold what the manifest says: both variants with its number of rows, each id once, and vectors as long as its grid.
+    """
     rows = spark.read.parquet(manifest["path"])
+    if check:
+        grid = Grid(**{k: v for k, v in manifest["grid"].items() if k != "kind"})
+        facts = rows.groupBy("variant").agg(F.count("*").alias("n"), F.countDistinct("row_id").alias("ids"), F.min(F.size("vector")).alias("least"), F.max(F.size("vector")).alias("most"))
+        found = {r.variant: (r.n, r.ids, r.least, r.most) for r in facts.collect()}
+        want = (manifest["rows"], manifest["rows"], len(grid), len(grid))
+        if found != {"DB-RAW": want, "DB-BC": want} or manifest["bytes_per_variant"] != manifest["rows"] * len(grid) * 4:
+            raise ValueError(f"the pair at {manifest['path']} isn't what its manifest says: {found}")
     return rows.where("variant = 'DB-RAW'"), rows.where("variant = 'DB-BC'")

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from peaklight.functions import columns as C
-from peaklight.model import Evidence, Matching, Query, Residual
-from peaklight.operators import evidence, residual, search
+from peaklight.model import Baseline, Evidence, Grid, Matching, Query, Residual
+from peaklight.operators import evidence, library, residual, search
 
 #: Columns that a result row carries from the library.
 CARRIED = ["row_id", "name", "variant", "specimen", "acquisition", "reference_id"]
@@ -22,15 +23,15 @@ def pooled(packs: dict[str, DataFrame], query: Query, top_n: int, how: Matching)
     shortlist with a top-k, and only then aligned.
     """
     out = None
-    for variant, library in packs.items():
-        rows = library.where("l2 > 0") if "l2" in library.columns else library
+    for variant, pack in packs.items():
+        rows = pack.where("l2 > 0") if "l2" in pack.columns else pack
         rows = search.covered_enough(rows, query.mask, how.min_coverage).drop("requested", "covered", "coverage")
         if query.exclude:
             rows = rows.where(~search.phase_key(F.col("name")).isin(sorted(query.exclude)))
         keep = [c for c in CARRIED if c in rows.columns] + [c for c in search.NEEDS if c != "row_id"]
         short = search.shortlist(search.screen(rows, query.vector, query.mask, keep, how.offset_query), how.shortlist(variant, top_n))
         # The shortlist is one partition of bounded size; alignment is worth all cores.
-        short = short.repartition(min(64, library.sparkSession.sparkContext.defaultParallelism))
+        short = short.repartition(min(64, pack.sparkSession.sparkContext.defaultParallelism))
         refined = search.refine(short, query.vector, query.mask, how, [c for c in keep if c not in search.NEEDS or c == "row_id"])
         out = refined if out is None else out.unionByName(refined)
     return out
@@ -39,15 +40,38 @@ def pooled(packs: dict[str, DataFrame], query: Query, top_n: int, how: Matching)
 def match(packs: dict[str, DataFrame], query: Query, top_n: int = 60, how: Matching | None = None, policy: Evidence | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows to show, phases, decision).
 
-    The pool holds the shortlists at most, whatever the size of the library; so it is
-    cached for its three uses in one partition, and all that follows needs no shuffle.
+    The pool holds the shortlists at most, whatever the size of the library; so it, its phases and its annotated rows are
+    cached for their several uses in one partition, and all that follows needs no shuffle.  release() frees them.
     """
     how = how or Matching()
     pool = pooled(packs, query, top_n, how).repartition(1).persist()
-    phases = evidence.rank_phases(pool)
-    decision = evidence.decide(phases, policy)
-    rows = evidence.annotate(pool, phases, decision).withColumn("identity", search.presentation_identity(F.lit(""), F.col("reference_id"), F.col("row_id")))
-    return search.diverse_top(rows, top_n, how), phases, decision
+    phases = evidence.rank_phases(pool).persist()
+    decision = evidence.decide(phases, policy).persist()
+    rows = evidence.annotate(pool, phases, decision).withColumn("identity", search.presentation_identity(F.lit(""), F.col("reference_id"), F.col("row_id"))).persist()
+    shown = search.diverse_top(rows, top_n, how)
+    shown.held = [pool, phases, decision, rows]
+    return shown, phases, decision
+
+
+def release(shown: DataFrame) -> None:
+    """Free what match() has cached, once its results have been read or written."""
+    for df in getattr(shown, "held", []):
+        df.unpersist()
+
+
+def query_of(x, y, grid: Grid, baseline: Baseline | None = None, low: float | None = None, high: float | None = None, shift: float = 0.0, **more) -> Query:
+    """A query from one spectrum: preprocessed segment by segment on its own axis, moved by the calibration shift, put on the grid.
+
+    The mask is taken after that: the points of the grid that lie in a segment and in low..high (all by default); the vector is zero elsewhere.
+    """
+    segments = [library.even_segments(x, y, grid.step)]
+    vector, runs = library.project((library.corrected(segments, baseline) if baseline else segments)[0], grid, shift)
+    place = grid.minimum + grid.step * np.arange(len(grid))
+    mask = np.zeros(len(grid), bool)
+    for a, b in runs:
+        mask[a : b + 1] = True
+    mask &= (place >= (grid.minimum if low is None else low)) & (place <= (grid.maximum if high is None else high))
+    return Query(np.where(mask, vector, 0.0).tolist(), mask.tolist(), **more)
 
 
 @dataclass(frozen=True)

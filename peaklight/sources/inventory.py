@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SUFFIXES = (".rod", ".txt")
+#: A longer list of roots isn't a list of named folders.
+MOST_ROOTS = 1000
 SCHEMA = "alias string, relative_path string, size long, modified timestamp, path string"
 
 
@@ -79,8 +81,10 @@ class Inventory:
 def root_of(paths: DataFrame, roots: DataFrame, path: str = "path") -> DataFrame:
     """The deepest root (alias, root) that holds each path, and the path below it; NULL without one.
 
-    Roots are a handful of named folders, joined on the start of the path.
+    Roots are named folders, MOST_ROOTS at most, so they are sent to all tasks; they join on the start of the path.
     """
+    if roots.limit(MOST_ROOTS + 1).count() > MOST_ROOTS:
+        raise ValueError(f"more than {MOST_ROOTS} roots")
     hit = paths.join(F.broadcast(roots), F.col(path).startswith(F.concat(F.regexp_replace("root", "/+$", ""), F.lit("/"))), "left")
     nth = F.row_number().over(Window.partitionBy(path).orderBy(F.length("root").desc_nulls_last(), "alias"))
     below = F.expr(f"substring({path}, length(regexp_replace(root, '/+$', '')) + 2)")

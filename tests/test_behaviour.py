@@ -14,7 +14,7 @@ from peaklight.functions import kernels as K
 from peaklight.functions import text as T
 from peaklight.model import Baseline, Grid, Matching, Query, Reduction, Smoothing, Trim
 from peaklight.operators import evaluate, library, reduce, search, signal, workflow
-from peaklight.plans.match import residual_of
+from peaklight.plans.match import query_of, residual_of
 from peaklight.sources import headers, inventory, writers
 
 
@@ -140,7 +140,7 @@ def test_legacy_search_equals_plain_version(spark):
 def test_content_hash_is_over_bytes(spark):
     v, m = [1.5, None, -0.25], [True, False, True]
     got = spark.createDataFrame([(v, m), (None, None)], "v array<double>, m array<boolean>").select(C.content_hash("v", "m").alias("h")).collect()
-    assert got[0].h == hashlib.sha256(np.array([1.5, np.nan, -0.25], "<f4").tobytes() + bytes([1, 0, 1])).hexdigest() and got[1].h == hashlib.sha256(b"").hexdigest()
+    assert got[0].h == hashlib.sha256((3).to_bytes(8, "little") + np.array([1.5, np.nan, -0.25], "<f4").tobytes() + bytes([1, 0, 1])).hexdigest() and got[1].h == hashlib.sha256(bytes(8)).hexdigest()
 
 
 def test_json_is_replaced_in_one_step(spark, tmp_path):
@@ -299,3 +299,25 @@ def test_sources_without_an_inventory(spark):
     rows = spark.createDataFrame([(1, None, None, "/elsewhere/reference/a/b.txt", None), (2, "own", "a/b.txt", None, None), (3, "own", "/abs", "x.txt", "x.txt"), (4, None, None, None, None)], "row_id long, source_alias string, source_path string, path string, filename string")
     out = {r.row_id: (r.alias, r.relative_path, r.how, r.known) for r in inventory.resolve_sources(rows, {"Own": "/data/own", "ref": "/x/reference"}).collect()}
     assert out == {1: ("ref", "a/b.txt", "known tail", None), 2: ("Own", "a/b.txt", "stated", None), 3: (None, None, "unresolved", None), 4: (None, None, "unresolved", None)}
+
+
+def test_query_of_a_spectrum_is_masked_after_preprocessing():
+    x = np.concatenate([np.arange(10, 30.0), np.arange(60, 80.0)])
+    y = np.concatenate([np.linspace(1, 3, 20), 2 + np.sin(np.arange(20))])
+    grid, how = Grid(0, 100, 1), Baseline(lam=1e3)
+    q = query_of(x, y, grid, how, 15, 70, shift=2.0)
+    whole, runs = library.onto_grid(x, y, grid, how, 2.0)
+    assert runs == [(12, 31), (62, 81)]
+    want = np.zeros(101, bool)
+    want[15:32] = want[62:71] = True
+    assert q.mask == want.tolist() and np.allclose(q.vector, np.where(want, whole, 0)) and query_of(x, y, grid).mask[60]
+
+
+def test_a_pair_must_be_what_its_manifest_says(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"n{i}", "", f"f{i}", False, [float(k) for k in range(20)], [float((k * i) % 7) for k in range(20)], None, ["O"]) for i in range(1, 5)], "row_id long, name string, flag string, filename string, already_processed boolean, axis array<double>, intensity array<double>, error string, elements array<string>")
+    made = library.build_pair(spark, rows, Grid(0, 19, 1), f"file://{tmp_path}/lib")
+    raw, corrected = library.load_pair(spark, made)
+    assert raw.count() == corrected.count() == 4 and raw.first().elements == ["O"]
+    for wrong in ({"rows": 5}, {"grid": Grid(0, 20, 1).payload()}, {"bytes_per_variant": 1}):
+        with pytest.raises(ValueError):
+            library.load_pair(spark, made | wrong)

@@ -318,7 +318,7 @@ def test_small_helpers(spark, tmp_path):
     one = spark.createDataFrame([(text, [1.0, 2.0, 3.0], [True, False, True], [(1, 2)])], "t string, v array<double>, m array<boolean>, r array<struct<start:int,end:int>>")
     got = one.select(headers.loop_pairs(F.col("t")).alias("p"), C.gap_masked(F.col("v"), F.col("m")).alias("g"), C.clipped_trace(F.col("v"), F.col("r"), 0, 1).alias("c"), C.content_hash(F.col("v"), F.col("m")).alias("h")).first()
     assert [tuple(p) for p in got.p] == [(float(i), i * 2 + 0.5) for i in range(5)] and got.g == [1.0, None, 3.0]
-    assert [tuple(p) for p in got.c] == [(1, 2.0)] and len(got.h) == 40
+    assert [tuple(p) for p in got.c] == [(1, 2.0)] and len(got.h) == 64
     lock = f"file://{tmp_path}/pair.lock"
     assert writers.claim(spark, lock) and not writers.claim(spark, lock)
     writers.release(spark, lock)
