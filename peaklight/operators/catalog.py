@@ -42,11 +42,11 @@ def inventory_facts(roots: DataFrame, records: DataFrame, issues: DataFrame) ->
 def inventory_signature(rows: DataFrame, columns: list[str], buckets: int = 256) -> DataFrame:
     """One sha256 over all records in order, in two levels so that no task sees every record.
 
-    The first four digits of a record's digest, modulo ``buckets``, pick its bucket; a bucket's digest is taken over its
+    The first four digits of a record's digest, as a share of 65,536, pick one of ``buckets`` even ranges; a bucket's digest is taken over its
     sorted record digests, the result over the sorted bucket digests.  Choose ``buckets`` (up to 65,536) with the number of records: a task sorts one bucket.
     """
     record = F.sha2(F.concat_ws("\u0000", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)), 256)
-    digests = rows.select(record.alias("_d")).withColumn("_b", F.conv(F.substring("_d", 1, 4), 16, 10).cast("int") % buckets)
+    digests = rows.select(record.alias("_d")).withColumn("_b", F.floor(F.conv(F.substring("_d", 1, 4), 16, 10).cast("long") * buckets / 65536))
     parts = digests.groupBy("_b").agg(F.sha2(F.concat_ws("", F.sort_array(F.collect_list("_d"))), 256).alias("_d"), F.count("*").alias("_n"))
     return parts.agg(F.sha2(F.concat_ws("", F.sort_array(F.collect_list("_d"))), 256).alias("signature"), F.sum("_n").alias("records"))
 
