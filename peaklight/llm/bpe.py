@@ -268,6 +268,7 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
     A null text counts as empty and has no ids.  Each row is coded where it is
-    read; nothing is shuffled, so ties, repeated rows and hot sources don't matter.
+    read; nothing is shuffled, so ties, repeated rows and hot sources don't matter.  A null doc_id stays null; other
+    columns, whatever their names, aren't read; an empty table gives no rows.
     """
     return documents(docs).mapInArrow(_code(ranks, pattern), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

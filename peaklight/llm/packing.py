@@ -76,7 +76,7 @@ def pack(docs: DataFrame, tokens: Column | None = None, longest: int = LONGEST,
 
     A bucket may hold any share of the rows: places in it come from counts for
     each range of doc_id, so no task sees more than its range.  A null text is an empty one (one end
-    token); a null doc_id comes first.  An empty table gives no rows.
+    token); a null doc_id comes first.  Other columns, whatever their names, aren't read.  An empty table gives no rows.
     """
     spark = docs.sparkSession
     n = n_parts(docs)

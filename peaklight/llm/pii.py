@@ -137,7 +137,8 @@ def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_email, n_ip, n_card, n_phone, n_iban, base_sha256, spans, scores.
 
-    A null text counts as empty and has no spans.  Offsets are code points.
+    A null text counts as empty and has no spans.  Offsets are code points.  Spans of two kinds may overlap, and all are
+    given.  Repeated rows and a null doc_id have rows of their own; other columns, whatever their names, aren't read; an empty table gives no rows.
     Rows are read where they are; nothing is shuffled.
     """
     counts = ", ".join(f"n_{k} long" for k in KINDS)

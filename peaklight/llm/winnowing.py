@@ -127,7 +127,8 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
     near_edited, near_next.  The next document is the one that follows by
     descending doc_id, after the last the first; rows with one doc_id follow each other by their
     texts, and a null doc_id stands at the end.  A null text counts as empty; an empty fingerprint is
-    like an empty one only (1) and unlike others (0).  An only row is its own next.
+    like an empty one only (1) and unlike others (0).  An only row is its own next.  Other columns, whatever their
+    names, aren't read.  An empty table gives no rows.
 
     Texts move once, to even ranges of doc_id; the first rows of each range
     also go, as context, to the end of the range before it.
