@@ -23,6 +23,8 @@ from peaklight.llm._base import documents, small
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 8, 8
 #: Labelled documents per language that the network is fitted on (about), and windows of each, spread evenly over the whole text.
 SAMPLE, SAMPLE_WINDOWS = 1500, 4
+#: A language stands out if its probability is this many times 1 / (number of languages).
+CHANCE = 1.2
 EPOCHS, BATCH, RATE, SEED = 8, 128, 0.01, 7
 #: Bytes of padded windows that are scored at once.
 CHUNK = 1 << 18
@@ -229,15 +231,17 @@ def identify(docs: DataFrame, model: ByteCNN | None) -> DataFrame:
     return out.select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
-def drop_unidentified(docs: DataFrame, model: ByteCNN | None, least: float = 0.4) -> DataFrame:
+def drop_unidentified(docs: DataFrame, model: ByteCNN | None, least: float | None = None) -> DataFrame:
     """The rows in whose text the network sees one language with a probability of ``least`` or more.
 
-    A text of one language scores near 1, one without any language about 1 by their number, and one that mixes several in between.  A null ``lang`` becomes the
+    By default that is CHANCE times what guessing gives: a text goes in which no language stands out.  A null ``lang`` becomes the
     language that was found; all else stays as it is, other columns included.
     A row is judged by its text alone, so repeated rows stay or go together; rows without letters go.  Without a
     model nothing can be scored, and every row with a letter stays, whatever ``least`` is.  An empty table gives an empty one.
     """
     kinds = docs.schema
+    if model is not None and least is None:
+        least = CHANCE / len(model.labels) if len(model.labels) > 1 else 0.0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):

@@ -15,8 +15,9 @@ def test_pipeline(spark, tmp_path):
     docs.unionByName(extra).write.parquet(f"file://{tmp_path}/in/documents.parquet")
     step = spark.read.parquet(f"file://{tmp_path}/in/documents.parquet")
     rows = {r.doc_id: r.text for r in step.collect()}
-    judged = {r.doc_id: r for r in langid.identify(step, langid.train(step)).collect()}
-    want = {d: t for d, t in rows.items() if t and re.search(r"[^\W\d_]", t) and judged[d].score >= 0.4}
+    model = langid.train(step)
+    judged = {r.doc_id: r for r in langid.identify(step, model).collect()}
+    want = {d: t for d, t in rows.items() if t and re.search(r"[^\W\d_]", t) and judged[d].score >= langid.CHANCE / len(model.labels)}
     assert len(want) > 0.95 * len(rows)
     groups = brute_groups(want.items())
     want = {d: want[d] for d, _, _, kept, _ in groups if kept}
