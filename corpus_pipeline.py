@@ -9,7 +9,7 @@ from peaklight.llm._base import Stage
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in which the network sees one language with a probability of 0.4 or more, and fills in languages that are missing.
+    """Keeps documents in which the network sees one language clearly likelier than guessing would, and fills in languages that are missing.
 
     Null texts and texts without any letter go.  Where no document has a language nothing can be learned, and all others stay.
     """
