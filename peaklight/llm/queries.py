@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peaklight.llm import bpe, dedup, jaccard, langid, packing, pii, quality, tokenfile, toolcalls, winnowing
+from peaklight.llm import bpe, collocations, dedup, jaccard, langid, negatives, packing, pii, quality, tokencount, tokenfile, toolcalls, winnowing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,20 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_token_files(folder, files)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine_negatives(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -71,7 +85,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_winnowing, op2_tool_call_linking, op3_language_id, op4_personal_data, op5_length_buckets, op6_jaccard_join, op7_exact_dedup, op8_byte_bpe, op9_quality, op10_token_files, pipeline)
+    f.__name__: f for f in (op1_winnowing, op2_tool_call_linking, op3_language_id, op4_personal_data, op5_length_buckets, op6_jaccard_join, op7_exact_dedup, op8_byte_bpe, op9_quality, op10_token_files, op11_collocations, op12_token_counts, op13_hard_negatives, pipeline)
 }
 
 ORACLE_SQL = {
@@ -133,5 +147,47 @@ WITH d AS (
 SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
   doc_id = first_value(doc_id) OVER w AS kept, sha256(t) AS text_sha256
 FROM d WINDOW w AS (PARTITION BY t ORDER BY n DESC, doc_id)
+""",
+    "op11_collocations": r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p
+), g AS (
+  SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i : i + m - 1], ' '))) AS phrase FROM w, (VALUES (1), (2), (3), (4)) v(m)
+), f AS (
+  SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY ALL
+), n AS (
+  SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang
+), c AS (
+  SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND f >= 30
+), cuts AS (
+  SELECT lang, m, phrase, a, k, array_to_string(w[:k], ' ') AS lp, array_to_string(w[k + 1 :], ' ') AS rp FROM c, (VALUES (1), (2), (3)) v(k) WHERE k < m
+), scored AS (
+  SELECT cuts.*, x.f AS l, y.f AS r, (2000000::HUGEINT * a // (x.f + y.f))::BIGINT AS score FROM cuts
+  JOIN f x ON x.lang = cuts.lang AND x.phrase = lp AND x.m = k JOIN f y ON y.lang = cuts.lang AND y.phrase = rp AND y.m = cuts.m - k
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, m, phrase ORDER BY score, k) = 1
+), inside AS (
+  SELECT lang, a AS fa, unnest(list_transform(range(1, m - s + 2), lambda i: array_to_string(w[i : i + s - 1], ' '))) AS phrase, s FROM c, (VALUES (2), (3)) v(s) WHERE s < m
+), dropped AS (
+  SELECT DISTINCT b.lang, b.m, b.phrase FROM best b JOIN inside i ON i.lang = b.lang AND i.phrase = b.phrase AND i.s = b.m AND 100::HUGEINT * i.fa >= 80::HUGEINT * b.a
+), ranked AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, score FROM best ANTI JOIN dropped USING (lang, m, phrase)
+)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+""",
+    "op13_hard_negatives": r"""
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS other, list_inner_product(a.v, b.v)::BIGINT AS score FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5
+)
+SELECT anchor_id, positive_id, row_number() OVER w AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) QUALIFY row_number() OVER w <= 10
 """,
 }
