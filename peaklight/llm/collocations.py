@@ -28,7 +28,7 @@ from peaklight.llm._base import Stage, blocks, id_filter, join_counted, maybe, n
 from peaklight.llm._words import BYTE, U, mix, segment_hashes, spans
 
 #: Words that one trie of the first kind counts, and nodes that a range of the merge should hold.
-SHARD, RANGE = 1 << 22, 1 << 22
+SHARD, RANGE = 1 << 21, 1 << 20
 #: Prefixes that each shard names as possible bounds of ranges.
 SAMPLE = 64
 #: Words of a phrase at most.
@@ -264,8 +264,8 @@ class Shard:
         hashed, _ = _chain(Trie(words, [(np.zeros(0, np.int64),) * 3]))
         good = joined.copy()
         at = np.flatnonzero(joined)
-        for a in range(0, len(at), 1 << 20):
-            i = at[a : a + (1 << 20)]
+        for a in range(0, len(at), 1 << 18):
+            i = at[a : a + (1 << 18)]
             good[i] = maybe(pairs, pair_hash(pair_hash(hashed[lang[i]], hashed[code[i]]), hashed[code[i + 1]]).view(np.int64))
         runs = [good]
         for d in range(1, DEPTH - 1):
