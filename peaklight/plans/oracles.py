@@ -95,6 +95,13 @@ SMOOTHED = """smoothed AS (SELECT row_id, unnest(range(0, 64))::BIGINT AS pos, u
 ORACLE_SQL = {
     "screen_topk": _screen("true") + " SELECT row_id, 'Phase ' || label AS name, round(screen, 6) AS screen FROM s ORDER BY s.screen DESC, row_id LIMIT 50",
     "screen_topk_ranged": _screen(f"{SUPPORT} AND {MASK}") + " SELECT row_id, 'Phase ' || label AS name, round(screen, 6) AS screen FROM s ORDER BY s.screen DESC, row_id LIMIT 50",
+    "index_screen": f"""
+WITH {LONG}, c AS (SELECT a.row_id AS query, b.row_id, b.label, b.v, a.v AS qv FROM lib a JOIN lib b USING (pos) WHERE a.row_id % 50 = 0
+  AND pos BETWEEN 2 AND 61 AND pos BETWEEN b.row_id % 8 AND 63 - b.row_id % 5 AND (b.row_id % 3 = 0 OR NOT pos BETWEEN 20 + b.row_id % 7 AND 22 + b.row_id % 7)),
+o AS (SELECT query, row_id, label, v - min(v) OVER w AS a, qv - min(qv) OVER w AS b FROM c WINDOW w AS (PARTITION BY query, row_id)),
+s AS (SELECT query, row_id, label, round(sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b))), 9) AS screen FROM o GROUP BY ALL HAVING count(*) >= 2 AND sum(a * a) * sum(b * b) > 0)
+SELECT query, row_number() OVER (PARTITION BY query ORDER BY s.screen DESC, row_id) AS rank, row_id, 'Phase ' || label AS name, round(s.screen, 6) AS screen FROM s
+QUALIFY row_number() OVER (PARTITION BY query ORDER BY s.screen DESC, row_id) <= 50""",
     "coverage_filter": f"""WITH {LONG}, c AS (SELECT row_id, count(*) FILTER (pos BETWEEN 3 AND 58) AS requested, count(*) FILTER (pos BETWEEN 3 AND 58 AND {SUPPORT}) AS covered FROM lib GROUP BY row_id)
 SELECT row_id, requested, covered, round(covered / requested, 6) AS coverage FROM c WHERE covered / requested >= 0.85""",
     "legacy_rank": f"""WITH {LONG}, n AS (SELECT row_id, pos, (v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w) AS v FROM lib WINDOW w AS (PARTITION BY row_id))

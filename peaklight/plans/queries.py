@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from peaklight.functions import columns as C
 from peaklight.functions import text as T
 from peaklight.model import Baseline, Grid, Matching, Query, Reduction, Smoothing, Trim
-from peaklight.operators import catalog, evaluate, evidence, library, reduce, residual, search, signal, workflow
+from peaklight.operators import catalog, evaluate, evidence, index, library, reduce, residual, search, signal, workflow
 from peaklight.plans.match import match, residual_match, residual_of
 from peaklight.sources import headers, inventory, measurement, writers
 
@@ -79,6 +79,18 @@ def screen_topk_ranged(spark, sf_dir):
     return rows.select("row_id", "name", *r6("screen"))
 
 
+def index_screen(spark, sf_dir):
+    """Every row whose id is divisible by 50, as a table of queries against an index of all rows: the first 50 of each."""
+    rows = lib(spark, sf_dir)
+    built = index.build(rows, writers.shared_folder(spark, "index"), POINTS, ["name"])
+    asked = rows.where("row_id % 50 = 0").select(F.col("row_id").alias("query"), "vector", F.array(*map(F.lit, MASK)).alias("mask"))
+    blocks, _ = index.screen_many(built, asked)
+    out = blocks[0]
+    for block in blocks[1:]:
+        out = out.union(block)
+    return out.select("query", F.col("rank").cast("long").alias("rank"), "row_id", "name", *r6("screen"))
+
+
 def coverage_filter(spark, sf_dir):
     return search.covered_enough(lib(spark, sf_dir), MASK, 0.85, 3, 58).select("row_id", "requested", "covered", *r6("coverage"))
 

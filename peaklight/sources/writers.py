@@ -42,6 +42,17 @@ def _fs(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new place for ``name`` in the folder that driver and executors share: what spark.checkpoint.dir names, or on a machine of its own (master local) a temporary one."""
+    import getpass
+    import tempfile
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(root or f'file://{tempfile.gettempdir()}/peaklight-core-{getpass.getuser()}').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def write_json(spark: SparkSession, path: str, value) -> None:
     """Written beside its place and moved over it in one step, so readers see the old content or the new one."""
     _, at = _fs(spark, path)
