@@ -177,6 +177,11 @@ SELECT row_id AS signal, round(sum(v - 0.5 * m), 6) AS sum_y, 0.75::DOUBLE AS ov
     "element_filter_only": ELEMENTS + "SELECT row_id, formula, array_to_string(elements, ',') AS elements FROM e WHERE has_formula AND NOT already_processed AND list_has_all(['O', 'Re', 'Bl', 'Ec', 'Sm', 'St'], elements)",
     "element_filter_exact": ELEMENTS + "SELECT row_id, formula, array_to_string(elements, ',') AS elements FROM e WHERE has_formula AND elements = ['Ec', 'O', 'Re']",
     "element_index": ELEMENTS + ", x AS (SELECT row_id, unnest(elements) AS element FROM e) SELECT element, count(*) AS rows, min(row_id) AS first_row, max(row_id) AS last_row FROM x GROUP BY element",
+    "posting_filter_all": ELEMENTS + "SELECT row_id FROM e WHERE NOT has_formula OR (NOT list_contains(elements, 'Sm') AND list_has_all(elements, ['O', 'Re']))",
+    "posting_filter_only": ELEMENTS + "SELECT row_id FROM e WHERE has_formula AND NOT already_processed AND list_has_all(['O', 'Re', 'Bl', 'Ec', 'Sm', 'St'], elements)",
+    "posting_filter_exact": ELEMENTS + "SELECT row_id FROM e WHERE has_formula AND elements = ['Ec', 'O', 'Re']",
+    "posting_counts": ELEMENTS + ", x AS (SELECT row_id, unnest(elements) AS element FROM e) SELECT element, count(*) AS rows, count(DISTINCT CASE WHEN row_id > 0 THEN 1 + (row_id - 1) // 32768 ELSE 0 END) AS buckets FROM x GROUP BY element",
+    "posting_join": ELEMENTS + "SELECT row_id, name, formula FROM e WHERE has_formula AND NOT already_processed AND NOT list_contains(elements, 'Sm')",
     "formula_display": ELEMENTS + "SELECT row_id, translate(formula, '0123456789', '₀₁₂₃₄₅₆₇₈₉') AS shown FROM e",
     "phase_keys": """WITH n AS (SELECT p_partkey, CASE WHEN p_partkey % 50 = 0 THEN '?' ELSE lower(p_name) || ' ' || lower(p_brand) END AS phase_key, regexp_replace(upper(p_name) || '   ' || lower(p_brand), '[^A-Za-z0-9._-]+', '_', 'g') AS slug FROM part)
 SELECT phase_key, count(*) AS rows, min(slug) AS slug, min(p_partkey) AS first_row FROM n GROUP BY phase_key""",

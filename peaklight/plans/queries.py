@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from peaklight.functions import columns as C
 from peaklight.functions import text as T
 from peaklight.model import Baseline, Grid, Matching, Query, Reduction, Smoothing, Trim
-from peaklight.operators import catalog, evaluate, evidence, index, library, reduce, residual, search, signal, workflow
+from peaklight.operators import catalog, evaluate, evidence, index, library, postings, reduce, residual, search, signal, workflow
 from peaklight.plans.match import match, residual_match, residual_of
 from peaklight.sources import headers, inventory, measurement, writers
 
@@ -291,6 +291,25 @@ def element_index(spark, sf_dir):
     return rows.groupBy("element").agg(F.count("*").alias("rows"), F.min("row_id").alias("first_row"), F.max("row_id").alias("last_row"))
 
 
+def _posting_filter(mode: str, include: list[str], exclude: list[str], missing: bool, drop: bool):
+    def run(spark, sf_dir):
+        rows = _elements(spark, sf_dir)
+        return postings.row_ids(postings.fitting(postings.postings(rows), include, exclude, mode, missing, drop))
+
+    return run
+
+
+def posting_counts(spark, sf_dir):
+    return postings.counted(postings.postings(_elements(spark, sf_dir)))
+
+
+def posting_join(spark, sf_dir):
+    """References that hold no Sm and were not processed before, by their bits."""
+    rows = _elements(spark, sf_dir)
+    fits = postings.fitting(postings.postings(rows), [], ["Sm"], allow_missing=False, drop_processed=True)
+    return postings.within(rows, fits).select("row_id", "name", "formula")
+
+
 def formula_display(spark, sf_dir):
     return _elements(spark, sf_dir).select("row_id", T.formula_display(F.col("formula")).alias("shown"))
 
@@ -644,6 +663,9 @@ def quoted_fields(spark, sf_dir):
 
 element_filter_all = _element_filter("must_include_all", ["O", "Re"], ["Sm"], True, False)
 element_filter_only = _element_filter("only_from_list", ["O", "Re", "Bl", "Ec", "Sm", "St"], [], False, True)
+posting_filter_all = _posting_filter("must_include_all", ["O", "Re"], ["Sm"], True, False)
+posting_filter_only = _posting_filter("only_from_list", ["O", "Re", "Bl", "Ec", "Sm", "St"], [], False, True)
+posting_filter_exact = _posting_filter("exact_set", ["O", "Re", "Ec"], [], False, False)
 element_filter_exact = _element_filter("exact_set", ["O", "Re", "Ec"], [], False, False)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
