@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from peaklight.functions import kernels
 from peaklight.model import Reduction
+from peaklight.operators import cluster
 
 #: Order of quality flags, better first.
 FLAG_RANK = {"s": 0, "": 1, "x": 2}
@@ -92,13 +93,17 @@ def fingerprints(sources: DataFrame, how: Reduction | None = None) -> DataFrame:
     return sources.mapInArrow(run, f"{kinds}, fingerprint array<double>, x_min double, x_max double, outside boolean, failure string")
 
 
-def decluster(library: DataFrame, how: Reduction | None = None, group: str = "name") -> DataFrame:
+#: Rows of a name that one task clusters at most; larger names are clustered in passes over all tasks.
+TASK_ROWS = 20_000
+
+
+def decluster(library: DataFrame, how: Reduction | None = None, group: str = "name", task_rows: int = TASK_ROWS) -> DataFrame:
     """Adds cluster, keep and reason to rows with row_id, name, flag, fingerprint (NULL: failed or out of range).
 
     Groups of up to keep_all rows stay whole; rows without a usable fingerprint
     always stay; of the others one medoid per cluster, at most ``representatives``.
-    One name's fingerprints come to one task, which holds them once or twice over
-    and makes no matrix of all pairs, so its memory and time follow their number.
+    The fingerprints of a name of up to ``task_rows`` rows come to one task, which holds them once or twice over and makes no matrix of all
+    pairs.  The rows of larger names, of which there can't be many, stay dealt over all tasks: ``cluster.thinned`` takes the same steps in passes.
     """
     how = how or Reduction()
     rank = FLAG_RANK
@@ -119,6 +124,23 @@ def decluster(library: DataFrame, how: Reduction | None = None, group: str = "na
         return out
 
     rows = library.select("row_id", group, "flag", "fingerprint")
+    large = [r[0] for r in rows.groupBy(group).count().where(F.col("count") > task_rows).select(group).collect()]
+    if large:
+        size = F.aggregate("fingerprint", F.lit(0.0), lambda s, x: s + x * x)
+        usable = F.coalesce((size > 0) & ~F.isnan(size), F.lit(False))
+        typed = rows.withColumn("fingerprint", F.col("fingerprint").cast("array<double>"))
+        parts = [cluster.thinned(typed.where(F.col(group).eqNullSafe(F.lit(name))), how, group, usable, rank) for name in large]
+        small = F.lit(True)
+        for name in large:
+            small = small & ~F.col(group).eqNullSafe(F.lit(name))
+        out = _grouped(rows.where(small), one, group, library)
+        for part in parts:
+            out = out.unionByName(part)
+        return out
+    return _grouped(rows, one, group, library)
+
+
+def _grouped(rows: DataFrame, one, group: str, library: DataFrame) -> DataFrame:
     return rows.groupBy(group).applyInPandas(one, f"row_id long, `{group}` {library.schema[group].dataType.simpleString()}, cluster int, keep boolean, reason string")
 
 
