@@ -28,7 +28,7 @@ from peaklight.llm._base import Stage, blocks, id_filter, join_counted, maybe, n
 from peaklight.llm._words import BYTE, U, mix, segment_hashes, spans
 
 #: Words that one trie of the first kind counts, and nodes that a range of the merge should hold.
-SHARD, RANGE = 1 << 21, 1 << 20
+SHARD, RANGE = 1 << 19, 1 << 20
 #: Prefixes that each shard names as possible bounds of ranges.
 SAMPLE = 64
 #: Words of a phrase at most.
