@@ -25,7 +25,7 @@ from peaklight.sources.writers import read_json, write_json
 #: Rows that a cell should hold, rows that the centres are fitted on at most, centres at most, segments that a cell is bounded by.
 CELL_ROWS, SAMPLE, CENTRES, SEGMENTS = 4096, 4096, 1024, 64
 #: Bytes of query vectors and number of queries that go to the tasks at once; rows of a tile of bounds.
-QUERY_BYTES, QUERIES, TILE = 1 << 24, 2048, 1024
+QUERY_BYTES, QUERIES, TILE = 1 << 22, 2048, 1024
 #: Slack for the rounding of sums; scores are ranked after rounding to this many decimals.
 SLACK, DECIMALS = 1e-7, 9
 #: Cells that each query looks into first.
@@ -91,6 +91,29 @@ class Queries:
         self.q = np.where(self.m, self.q, 0.0)
         self.masks, self.which = np.unique(self.m, axis=0, return_inverse=True)
         self.which = self.which.reshape(-1)
+        #: Least values of the stretches of 1, 2, 4, ... points that begin at each point.
+        self.stretches: list[np.ndarray] = []
+
+    def least_on(self, patterns: np.ndarray) -> np.ndarray:
+        """For each query and each pattern of points the least value on both; 0 where they share nothing.  Two stretches cover a run."""
+        if not self.stretches:
+            self.stretches = [np.where(self.m, self.q, np.inf)]
+            while (half := 1 << (len(self.stretches) - 1)) * 2 <= self.q.shape[1]:
+                below = self.stretches[-1]
+                self.stretches.append(np.minimum(below[:, :-half], below[:, half:]))
+        steps = np.diff(np.pad(patterns.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+        row, a = np.nonzero(steps > 0)
+        b = np.nonzero(steps < 0)[1]
+        run = np.empty((len(self.q), len(row)))
+        level = np.frexp(b - a)[1] - 1
+        for k in np.unique(level).tolist():
+            at = level == k
+            run[:, at] = np.minimum(self.stretches[k][:, a[at]], self.stretches[k][:, b[at] - (1 << k)])
+        out = np.full((len(self.q), len(patterns)), np.inf)
+        if len(row):
+            held, first = np.unique(row, return_index=True)
+            out[:, held] = np.minimum.reduceat(run, first, axis=1)
+        return np.where(np.isfinite(out), out, 0.0)
 
 
 def lows(v: np.ndarray, m: np.ndarray, s: np.ndarray) -> np.ndarray:
@@ -107,7 +130,7 @@ def sums(queries: Queries, rows: Rows) -> tuple[np.ndarray, ...]:
     m, s = queries.m.astype(float), rows.s.astype(float)
     patterns, of_row = np.unique(rows.s, axis=0, return_inverse=True)
     common = m @ s.T
-    a = lows(queries.q, patterns, queries.m).T[:, of_row.reshape(-1)] if queries.offset else np.zeros_like(common)
+    a = queries.least_on(patterns)[:, of_row.reshape(-1)] if queries.offset else np.zeros_like(common)
     b = lows(rows.v, queries.masks, rows.s)[queries.which]
     sum_q, sum_v = queries.q @ s.T, m @ rows.v.T
     product = queries.q @ rows.v.T - a * sum_v - b * sum_q + common * a * b
@@ -196,7 +219,7 @@ def cell_bounds(queries: Queries, most: np.ndarray, least: np.ndarray, floor: np
         # Where the mask holds all points of all rows, lengths are 1 and offsets those of the rows.
         length[(queries.m | ~ever[j][None]).all(1), j] = 1.0
     both = queries.m.astype(float) @ always.T.astype(float)
-    at = lows(queries.q, always, queries.m).T if queries.offset else np.zeros_like(both)
+    at = queries.least_on(always) if queries.offset else np.zeros_like(both)
     sum_q = queries.q @ always.T.astype(float)
     size = np.sqrt(np.maximum((queries.q**2) @ always.T.astype(float) - 2 * at * sum_q + both * at * at, 0))
     return np.where((length > 1e-5) & (size > 1e-5), np.minimum(quotient(top, size * length, 1.0), 1.0), 1.0) + SLACK
@@ -385,7 +408,8 @@ def screen_many(index: Index, queries: DataFrame, k: int = 50, offset_query: boo
         block = Queries(part["query"].to_numpy(), np.where(np.isfinite(v), v, 0.0), m, offset_query, k)
         least = np.full(len(block.ids), -1.0)
         seeds = _seeds(index, block, probes)
-        if seeds and len(seeds) < index.facts["cells"]:
+        # Looking twice pays where few cells are looked into first.
+        if seeds and 4 * len(seeds) <= index.facts["cells"]:
             least, _ = _surely(spark, index.table("codes", seeds), block, least)
         sent = spark.sparkContext.broadcast((block, least))
         open_cells = sorted(r[0] for r in index.table("cells").mapInArrow(_cell_scores(sent), "query int, cell int, rows long, high double, near double").select("cell").distinct().collect())
