@@ -28,7 +28,9 @@ from peaklight.llm._base import Stage, blocks, id_filter, join_counted, maybe, n
 from peaklight.llm._words import BYTE, U, mix, segment_hashes, spans
 
 #: Words that one trie of the first kind counts, and nodes that a range of the merge should hold.
-SHARD, RANGE = 1 << 19, 1 << 20
+SHARD, RANGE = 1 << 18, 1 << 18
+#: Bytes of text that are cut into words at once.
+SLICE = 1 << 20
 #: Prefixes that each shard names as possible bounds of ranges.
 SAMPLE = 64
 #: Words of a phrase at most.
@@ -253,6 +255,7 @@ class Shard:
     def trie(self, pairs: np.ndarray | None) -> Trie:
         """To depth two, or to full depth where a filter of ``pairs`` lets all neighbours through."""
         names = list(self.names)
+        pa.default_memory_pool().release_unused()
         data, lengths = np.concatenate(self.bytes), np.concatenate(self.lengths)
         words, code = sorted_codes(pa.concat_arrays([binary(lengths, data), pa.array(names, pa.binary())]))
         lang, code = code[self.n :][np.concatenate(self.langs)], code[: self.n]
@@ -278,7 +281,7 @@ class Shard:
 
 def _tries(batches: Iterator[pa.RecordBatch], pairs: np.ndarray | None, size: int) -> Iterator[Trie]:
     shard = Shard()
-    for batch in small(batches):
+    for batch in small(batches, SLICE):
         shard.add(batch.column("text"), batch.column("lang").to_pylist())
         if shard.n >= size:
             yield shard.trie(pairs)
@@ -327,6 +330,7 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Trie]]:
             if r != at and held:
                 yield at, merge(held)
                 held = []
+                pa.default_memory_pool().release_unused()
             at = r
             held.append(Trie.unpack(blob.as_py()))
             if len(held) > 1 and sum(map(len, held)) > 2 * RANGE + len(held[0]):
