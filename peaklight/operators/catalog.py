@@ -92,8 +92,8 @@ def twin_check(raw: DataFrame, corrected: DataFrame, identity: list[str]) -> Dat
     return both.agg(F.count_if(left).alias("raw_rows"), F.count_if(right).alias("corrected_rows"), F.count_if(left != right).alias("without_twin"), F.count_if(left & right & ~same).alias("different"))
 
 
-def broken_rows(library: DataFrame, grid: int) -> DataFrame:
-    """Rows with the names of the rules they break: finite norm, support inside the grid and ordered, support where there is signal."""
+def row_rules(grid: int) -> Column:
+    """The names of the rules that a row of a library breaks: finite norm, support inside the grid and ordered, support where there is signal."""
     runs = F.coalesce("support_runs", F.array(F.struct(F.col("start_idx").alias("start"), F.col("end_idx").alias("end"))))
     ordered = F.size(F.filter(runs, lambda r, i: (i > 0) & (r["start"] <= F.get(runs, i - 1)["end"]))) == 0
     rules = {
@@ -104,7 +104,12 @@ def broken_rows(library: DataFrame, grid: int) -> DataFrame:
         "order": ~ordered,
         "summary": (F.size(runs) > 0) & ((F.get(runs, F.lit(0))["start"] != F.col("start_idx")) | (F.element_at(runs, -1)["end"] != F.col("end_idx"))),
     }
-    return library.withColumn("broken", F.array_compact(F.array(*(F.when(F.coalesce(rule, F.lit(False)), name) for name, rule in rules.items())))).where("size(broken) > 0")
+    return F.array_compact(F.array(*(F.when(F.coalesce(rule, F.lit(False)), name) for name, rule in rules.items())))
+
+
+def broken_rows(library: DataFrame, grid: int) -> DataFrame:
+    """Rows with the names of the rules they break."""
+    return library.withColumn("broken", row_rules(grid)).where("size(broken) > 0")
 
 
 def name_lookup(library: DataFrame, request: DataFrame, limit: int = 12) -> tuple[DataFrame, DataFrame]:

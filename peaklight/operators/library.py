@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from peaklight.functions import kernels
 from peaklight.model import Baseline, Grid, library_baseline, signature
-from peaklight.operators.catalog import broken_rows, failure_gate, twin_check
-from peaklight.sources.writers import promote, quarantine, read_json, write_json
+from peaklight.operators import postings
+from peaklight.operators.catalog import row_rules
+from peaklight.sources.lease import Lease
+from peaklight.sources.writers import children, listing, promote, quarantine, read_json, write_json
 
 VECTORS = "row_id long, variant string, name string, flag string, filename string, already_processed boolean, db_baseline boolean, vector array<float>, l2 double, start_idx int, end_idx int, support_runs array<struct<start:int,end:int>>, failure string"
 
@@ -158,54 +162,126 @@ def build_vectors(sources: DataFrame, grid: Grid, how: Baseline | None = None) -
     return typed.mapInArrow(run, kinds)
 
 
-def build_pair(spark: SparkSession, sources: DataFrame, grid: Grid, folder: str, how: Baseline | None = None, inputs: str = "", failure_limit: float = 0.9) -> dict:
+#: What a failure's category can be, as build_vectors names them.
+FAILURES = ("parse", "raw-preprocess", "baseline-preprocess", "validation")
+
+
+def _facts(grid: int) -> list[Column]:
+    """What is counted of the rows while they are written."""
+    raw, corrected, failed = F.col("variant") == "DB-RAW", F.col("variant") == "DB-BC", F.col("failure").isNotNull()
+    kind = F.regexp_extract("failure", "^([^:]+)", 1)
+    # Rows that stand for one source have one print; the sums of both variants agree where each row has its twin.
+    print_of = F.xxhash64("row_id", F.coalesce("name", F.lit("")), F.coalesce("filename", F.lit(""))).cast("decimal(38,0)")
+    out = [F.count_if(raw).alias("raw"), F.count_if(corrected).alias("corrected"), F.count_if(raw & ~failed).alias("valid"), F.count_if(F.size(row_rules(grid)) > 0).alias("broken")]
+    out += [F.sum(F.when(side, print_of)).alias(f"prints_{name}") for name, side in (("raw", raw), ("corrected", corrected))]
+    return out + [F.count_if(raw & failed & (kind == name)).alias(name) for name in FAILURES]
+
+
+def gate(facts: dict, limit: float = 0.9) -> tuple[bool, str | None, float]:
+    """(publish, leading failure, its share) of the counts of a build: some row is valid and no single failure reaches the limit."""
+    leading = max(((facts[name], name) for name in FAILURES if facts[name]), default=(0, None))
+    share = leading[0] / facts["raw"] if facts["raw"] else 0.0
+    return facts["valid"] > 0 and share < limit, leading[1], share
+
+
+def pair_available(spark: SparkSession, manifest: dict | None) -> bool:
+    """Whether a manifest names files that are all there, with the sizes it says, and nothing else lies beside them."""
+    return manifest is not None and all(listing(spark, manifest[place]) == manifest[files] for place, files in (("path", "files"), ("postings", "posting_files")) if manifest.get(place))
+
+
+def build_pair(spark: SparkSession, sources: DataFrame, grid: Grid, folder: str, how: Baseline | None = None, inputs: str = "", failure_limit: float = 0.9, on_progress: Callable[[str, dict], None] | None = None, age: float = 60.0, wait: float = 3600.0) -> dict:
     """Write both variants under ``folder`` and, last, the manifest that makes them valid; returns it.
 
-    A pair with a manifest for the same inputs, grid and baseline is used as it
-    is.  Anything else at the place goes to quarantine first.  Vectors are written to a
-    staging folder, checked there (twins, rows, failures), and moved; a failed build leaves no pair.
+    One driver builds a pair at a time: it holds a lease, and one that waited finds the pair of the other.  A pair with a manifest for the same inputs, grid
+    and baseline, whose files are all there, is used as it is; anything else at the place goes to quarantine.  Vectors are written to a staging folder of the builder, and
+    counted while they are written: rows, twins, failures by category, broken rows.  These facts decide whether the pair is moved to its place; a build that failed leaves
+    no pair, and one that lost its lease publishes nothing.  Where the sources have ``elements`` and ``has_formula`` their postings are kept beside the pair.
+    ``on_progress`` is told of each stage and what is known then; what it raises doesn't matter to the build.
     """
-    how = how or library_baseline()
+    how, root = how or library_baseline(), folder.rstrip("/")
     name = signature({"inputs": inputs, "grid": grid.payload(), "baseline": how.payload()}, 12)
-    final, marker = f"{folder.rstrip('/')}/{name}", f"{folder.rstrip('/')}/{name}.json"
-    known = read_json(spark, marker)
-    if known is not None and known.get("name") == name:
-        return known
-    graveyard = f"{folder.rstrip('/')}/quarantine"
-    quarantine(spark, final, graveyard)
-    staged = f"{folder.rstrip('/')}/{name}.staging"
-    quarantine(spark, staged, graveyard)
-    build_vectors(sources, grid, how).write.partitionBy("variant").parquet(staged)
-    try:
-        rows = spark.read.parquet(staged)
-        gate = failure_gate(rows.where("variant = 'DB-RAW'"), F.col("failure").isNotNull(), F.regexp_extract("failure", "^([^:]+)", 1), failure_limit).first()
-        if not gate.publish:
-            raise ValueError(f"nothing to publish: {gate.valid} valid rows, {gate.leading_failure} in {gate.failure_share:.0%}")
-        twins = twin_check(rows.where("variant = 'DB-RAW'"), rows.where("variant = 'DB-BC'"), ["name", "filename"]).first()
-        if twins.without_twin or twins.different:
-            raise ValueError("the variants don't match row by row")
-        if not broken_rows(rows, len(grid)).isEmpty():
-            raise ValueError("rows break the rules of the grid")
-    except ValueError:
-        quarantine(spark, staged, graveyard)
-        raise
-    promote(spark, staged, final)
-    out = {"name": name, "path": final, "grid": grid.payload(), "baseline": how.payload(), "rows": twins.raw_rows, "valid": gate.valid, "bytes_per_variant": twins.raw_rows * len(grid) * 4, "inputs": inputs}
-    write_json(spark, marker, out)
-    return out
+    final, marker, graveyard = f"{root}/{name}", f"{root}/{name}.json", f"{root}/quarantine"
+
+    def tell(stage: str, facts: dict | None = None) -> None:
+        if on_progress is not None:
+            with contextlib.suppress(Exception):
+                on_progress(stage, dict(facts or {}))
+
+    def known() -> dict | None:
+        try:
+            out = read_json(spark, marker)
+        except ValueError:  # a marker that holds no JSON
+            return None
+        except Py4JJavaError as e:
+            if "ChecksumException" in str(e):
+                return None
+            raise
+        return out if out is not None and out.get("name") == name and pair_available(spark, out) else None
+
+    if (there := known()) is not None:
+        tell("reused", there)
+        return there
+    with Lease(spark, f"{root}/{name}.lease", age, wait) as lease:
+        if (there := known()) is not None:
+            tell("reused", there)
+            return there
+        # Staging folders of builders that are gone; this lease says that no other is at work.
+        for left in (marker, final, f"{final}.postings", *(f"{root}/{x}" for x in children(spark, root) if x.startswith(f"{name}.staging"))):
+            quarantine(spark, left, graveyard)
+        staged = f"{root}/{name}.staging-{lease.owner}"
+        try:
+            tell("writing")
+            seen = Observation()
+            build_vectors(sources, grid, how).observe(seen, *_facts(len(grid))).write.partitionBy("variant").parquet(staged)
+            facts = {k: v or 0 for k, v in seen.get.items()}
+            tell("written", facts)
+            publish, leading, share = gate(facts, failure_limit)
+            if not publish:
+                raise ValueError(f"nothing to publish: {facts['valid']} valid rows, {leading} in {share:.0%}")
+            if facts["raw"] != facts["corrected"] or facts["prints_raw"] != facts["prints_corrected"]:
+                raise ValueError("the variants don't match row by row")
+            if facts["broken"]:
+                raise ValueError("rows break the rules of the grid")
+            out = {"name": name, "path": final, "grid": grid.payload(), "baseline": how.payload(), "rows": facts["raw"], "valid": facts["valid"], "bytes_per_variant": facts["raw"] * len(grid) * 4, "inputs": inputs, "failures": {k: facts[k] for k in FAILURES if facts[k]}, "files": listing(spark, staged)}
+            if {"elements", "has_formula"} <= set(sources.columns):
+                postings.postings(sources).write.partitionBy("kind").parquet(f"{staged}.postings")
+                out |= {"postings": f"{final}.postings", "posting_files": listing(spark, f"{staged}.postings")}
+            lease.check()
+            promote(spark, staged, final)
+            if "postings" in out:
+                promote(spark, f"{staged}.postings", out["postings"])
+            write_json(spark, marker, out)
+        except BaseException:
+            for left in (staged, f"{staged}.postings"):
+                quarantine(spark, left, graveyard)
+            raise
+        tell("published", out)
+        return out
 
 
-def load_pair(spark: SparkSession, manifest: dict, check: bool = True) -> tuple[DataFrame, DataFrame]:
+def load_pair(spark: SparkSession, manifest: dict, check: str = "files") -> tuple[DataFrame, DataFrame]:
     """(raw, corrected) of a published pair; reading one variant touches only its partition.
 
-    With ``check`` the files must hold what the manifest says: both variants with its number of rows, each id once, and vectors as long as its grid.
+    "files": the files must be those of the manifest, and their footers must count its rows; no vector is read.  "rows": besides, each id must be there once, and vectors must be as
+    long as the grid.  "none": nothing is looked at.  What doesn't agree is a ValueError.
     """
+    if check not in ("files", "rows", "none"):
+        raise ValueError(f"no such check: {check}")
+    grid = Grid(**{k: v for k, v in manifest["grid"].items() if k != "kind"})
+    wrong = lambda what: ValueError(f"the pair at {manifest['path']} isn't what its manifest says: {what}")
+    if check != "none":
+        if manifest["bytes_per_variant"] != manifest["rows"] * len(grid) * 4:
+            raise wrong("bytes")
+        if not pair_available(spark, manifest):
+            raise wrong("files")
     rows = spark.read.parquet(manifest["path"])
-    if check:
-        grid = Grid(**{k: v for k, v in manifest["grid"].items() if k != "kind"})
-        facts = rows.groupBy("variant").agg(F.count("*").alias("n"), F.countDistinct("row_id").alias("ids"), F.min(F.size("vector")).alias("least"), F.max(F.size("vector")).alias("most"))
-        found = {r.variant: (r.n, r.ids, r.least, r.most) for r in facts.collect()}
-        want = (manifest["rows"], manifest["rows"], len(grid), len(grid))
-        if found != {"DB-RAW": want, "DB-BC": want} or manifest["bytes_per_variant"] != manifest["rows"] * len(grid) * 4:
-            raise ValueError(f"the pair at {manifest['path']} isn't what its manifest says: {found}")
+    if check != "none":
+        found = {r.variant: r["count"] for r in rows.groupBy("variant").count().collect()}
+        if found != {"DB-RAW": manifest["rows"], "DB-BC": manifest["rows"]}:
+            raise wrong(found)
+    if check == "rows":
+        facts = rows.groupBy("variant").agg(F.countDistinct("row_id").alias("ids"), F.min(F.size("vector")).alias("least"), F.max(F.size("vector")).alias("most"))
+        for r in facts.collect():
+            if (r.ids, r.least, r.most) != (manifest["rows"], len(grid), len(grid)):
+                raise wrong(r.asDict())
     return rows.where("variant = 'DB-RAW'"), rows.where("variant = 'DB-BC'")

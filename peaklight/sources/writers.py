@@ -95,6 +95,26 @@ def promote(spark: SparkSession, staged: str, final: str) -> None:
         raise OSError(f"can't move {staged} to {final}")
 
 
+def listing(spark: SparkSession, folder: str) -> dict[str, int]:
+    """The data files below a folder with their sizes, by relative path; as many as tasks wrote."""
+    fs, at = _fs(spark, folder)
+    if not fs.exists(at):
+        return {}
+    top, out, files = fs.getFileStatus(at).getPath().toString().rstrip("/") + "/", {}, fs.listFiles(at, True)
+    while files.hasNext():
+        f = files.next()
+        name = f.getPath().toString().removeprefix(top)
+        if not name.rsplit("/", 1)[-1].startswith(("_", ".")):
+            out[name] = f.getLen()
+    return out
+
+
+def children(spark: SparkSession, folder: str) -> list[str]:
+    """Names of what lies right in a folder; none where there is no folder."""
+    fs, at = _fs(spark, folder)
+    return sorted(f.getPath().getName() for f in fs.listStatus(at)) if fs.exists(at) else []
+
+
 def claim(spark: SparkSession, path: str) -> bool:
     """Make a lock file; False if another driver holds it.  release() takes it away."""
     fs, at = _fs(spark, path)
