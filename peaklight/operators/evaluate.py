@@ -66,6 +66,32 @@ def ranked_sheet(sheet: DataFrame, labels: list[tuple[tuple[str, ...], str]] = (
     return rows.select("spectrum", F.explode(each).alias("e")).select("spectrum", "e.*").where("candidate is not null and lower(trim(candidate)) not in ('', 'x')")
 
 
+def ranked_sheets(cells: DataFrame, labels: list[tuple[tuple[str, ...], str]] = (), size: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(path, sheet, spectrum, app, rank, candidate) of many sheets (path, sheet, line, cells), and the sheets (path, sheet, error) without a block of ranks.
+
+    Each sheet has blocks of its own, which its first two lines tell; these, two rows a sheet, meet its other lines by a join, so neither a sheet nor
+    their headers come to the driver.  Rows without a line are left out.
+    """
+    kind = "error string, blocks array<struct<app:string,rank:int,at:int>>"
+
+    @F.udf(kind)
+    def found(top: list, ranks: list):
+        try:
+            blocks = rank_blocks(list(top or []), list(ranks or []), labels, size)
+        except ValueError as e:
+            return str(e), []
+        return None, [(app, i + 1, at) for app, columns in blocks.items() for i, at in enumerate(columns)]
+
+    head = cells.where("line < 2").groupBy("path", "sheet").agg(F.max(F.when(F.col("line") == 0, F.col("cells"))).alias("top"), F.max(F.when(F.col("line") == 1, F.col("cells"))).alias("ranks"))
+    known = head.select("path", "sheet", found("top", "ranks").alias("f")).select("path", "sheet", "f.*")
+    every = cells.where("line is not null").select("path", "sheet").distinct()
+    bare = every.join(known, ["path", "sheet"], "left").where("error is not null or blocks is null").select("path", "sheet", F.coalesce("error", F.lit("a sheet begins with a header and a row of ranks")).alias("error"))
+    lines = cells.where("line >= 2").select("path", "sheet", F.get("cells", F.lit(0)).alias("spectrum"), "cells").where("trim(spectrum) <> ''")
+    ranked = lines.join(known.where("size(blocks) > 0").select("path", "sheet", "blocks"), ["path", "sheet"]).select("path", "sheet", "spectrum", "cells", F.explode("blocks").alias("b"))
+    out = ranked.select("path", "sheet", "spectrum", F.col("b.app").alias("app"), F.col("b.rank").alias("rank"), F.get("cells", F.col("b.at")).alias("candidate"))
+    return out.where("candidate is not null and lower(trim(candidate)) not in ('', 'x')"), bare
+
+
 def base_name(spectrum: Column) -> Column:
     """The name up to a digit that follows an underscore or a blank; the whole name without one."""
     return F.coalesce(F.nullif(F.regexp_extract(spectrum, r"^(.*?)(?:_\d|\s\d)", 1), F.lit("")), spectrum)

@@ -264,6 +264,9 @@ k AS (SELECT *, regexp_replace(lower(base), '[^a-z0-9]', '', 'g') AS key FROM b)
 SELECT p_partkey, base, CASE WHEN key = 'redwidget' THEN 'red widget|widget' ELSE array_to_string(list_sort(list_distinct(list_append(list_transform(list_filter(regexp_split_to_array(base, '[^a-zA-Z0-9]+'), lambda p: length(p) >= 3), lambda p: lower(p)), key))), '|') END AS truths FROM k""",
     "ranked_sheet": """WITH c AS (SELECT p_partkey, p_name, unnest(range(0, 9)) AS k FROM part)
 SELECT 's' || p_partkey AS spectrum, ['Alpha Search', 'Beta', 'Alpha Search #2'][k // 3 + 1] AS app, (k % 3 + 1)::BIGINT AS rank, 'c' || k || ' ' || p_name AS candidate FROM c WHERE (p_partkey + k) % 5 <> 0""",
+    "ranked_sheets": """WITH c AS (SELECT p_partkey, p_name, p_brand, unnest(range(0, 6)) AS k FROM part WHERE p_brand <> 'Brand#11')
+SELECT p_brand AS path, 's' || p_partkey AS spectrum, ['Alpha Search', 'Beta'][k // 3 + 1] AS app, (k % 3 + 1)::BIGINT AS rank, 'c' || k || ' ' || p_name AS candidate FROM c WHERE (p_partkey + k) % 5 <> 0
+UNION ALL SELECT DISTINCT p_brand, '', 'none', 0::BIGINT, 'no block of ranks 1 to 3 in the sheet' FROM part WHERE p_brand = 'Brand#11'""",
     "resolve_sources": """WITH p AS (SELECT p_partkey AS i, 'sub/f' || p_partkey || '.txt' AS r, p_partkey % 6 <> 5 AS there, CASE WHEN p_partkey % 2 = 0 THEN 'Own' ELSE 'ref' END AS a FROM part),
 w AS (SELECT *, CASE WHEN i % 8 = 0 THEN 'stated' WHEN i % 5 = 0 THEN 'below root' WHEN i % 3 = 0 AND there AND a = 'ref' THEN 'known tail' WHEN there THEN 'unique name' ELSE 'unresolved' END AS how FROM p),
 s AS (SELECT *, CASE how WHEN 'stated' THEN 'Own' WHEN 'below root' THEN 'Own' WHEN 'known tail' THEN 'ref' WHEN 'unique name' THEN a ELSE '' END AS alias FROM w)

@@ -611,6 +611,21 @@ def ranked_sheet(spark, sf_dir):
     return out.select("spectrum", "app", F.col("rank").cast("long").alias("rank"), "candidate")
 
 
+def ranked_sheets(spark, sf_dir):
+    """A sheet for each brand, with its blocks of three ranks beside the brand's number of other columns; some sheets have no ranks."""
+    i, k = F.col("p_partkey"), F.regexp_extract("p_brand", "([0-9])$", 1).cast("int") % 3
+    part = table(spark, sf_dir, "part").select("p_brand", i.alias("i"), "p_name", k.alias("k"))
+    blank = lambda c: F.concat(F.array_repeat(F.lit("-"), F.col("k") + 1), c)
+    text = lambda n: F.when((F.col("i") + n) % 5 == 0, "x").otherwise(F.concat(F.lit(f"c{n} "), F.col("p_name")))
+    rows = part.select(F.col("p_brand").alias("path"), F.lit("s").alias("sheet"), (F.col("i") + 10).alias("line"), F.concat(F.array(F.concat(F.lit("s"), F.col("i").cast("string"))), blank(F.array(*map(text, range(6))))).alias("cells"))
+    brands = part.select("p_brand", "k").distinct()
+    fixed = lambda line, *cells: brands.select(F.col("p_brand").alias("path"), F.lit("s").alias("sheet"), F.lit(line).cast("long").alias("line"), F.concat(F.array(F.lit("")), blank(F.array(*map(F.lit, cells)))).alias("cells"))
+    heads = fixed(0, "Alpha", "Search", "", "Beta", "", "").unionByName(fixed(1, "1", "2", "3", "1.0", "2", "3").where("path <> 'Brand#11'"))
+    found, bare = evaluate.ranked_sheets(heads.unionByName(rows), [(("alpha", "search"), "Alpha Search")], 3)
+    out = found.select("path", "spectrum", "app", F.col("rank").cast("long").alias("rank"), "candidate")
+    return out.unionByName(bare.select("path", F.lit("").alias("spectrum"), F.lit("none").alias("app"), F.lit(0).cast("long").alias("rank"), F.col("error").alias("candidate")))
+
+
 def resolve_sources(spark, sf_dir):
     """Where parts' files are, by what is stated, by old paths and by unique names."""
     i = F.col("p_partkey")
