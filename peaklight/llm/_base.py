@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -38,9 +39,14 @@ def shared_root(spark: SparkSession) -> str:
 class Stage:
     """Writes intermediate tables to the shared folder, which cuts the lineage."""
 
+    #: Lists that every new Stage is put on, see gathered().
+    lists: list[list[Stage]] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path, self.n = spark, f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}", 0
         self.live: set[str] = set()
+        for made in self.lists:
+            made.append(self)
 
     def __call__(self, df: DataFrame, name: str = "t") -> DataFrame:
         self.n += 1
@@ -66,6 +72,17 @@ class Stage:
         self.live &= {df.staged_path for df in tables}
 
 
+@contextlib.contextmanager
+def gathered() -> Iterator[list[Stage]]:
+    """The Stages made inside the block.  Once the block's result is written, ``keep_only()`` of each frees what it still read."""
+    made: list[Stage] = []
+    Stage.lists.append(made)
+    try:
+        yield made
+    finally:
+        Stage.lists.remove(made)
+
+
 #: A key with more than this share of the rows is hot; there can't be more than 1/HOT of them.
 HOT = 1 / 1000
 

@@ -103,6 +103,7 @@ def pack(docs: DataFrame, tokens: Column | None = None, longest: int = LONGEST,
 
     _, highs = id_ranges(lengths, n)
     ranged = stage(pieces.withColumn("k", key()).withColumn("range", range_udf(highs)("k")), "ranged")
+    stage.keep_only(ranged)
     sums = ranged.groupBy("bucket_len", "range").agg(F.count("*").alias("n"))
     before = sums.withColumn("before", F.sum("n").over(Window.partitionBy("bucket_len").orderBy("range")) - F.col("n")).select("bucket_len", "range", "before")
     inside = Window.partitionBy("bucket_len", "range").orderBy(F.col("k"), "size", "piece")

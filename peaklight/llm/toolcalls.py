@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import math
+import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import reduce
@@ -17,17 +19,46 @@ from peaklight.llm._base import Stage, join_counted
 #: A string argument of this form refers to the result of another call of the conversation.
 REFERENCE = r'"\$ref:([^"]+)"'
 
-_TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list, "null": type(None)}
+#: Depth of nested arrays and objects, and digits of a whole number, that arguments may have.
+DEEP, DIGITS = 256, 4300
+
+_TYPES = {"string": str, "integer": (int, float), "number": (int, float), "boolean": bool, "object": dict, "array": list, "null": type(None)}
+#: Keywords of a schema that are checked, and those that only describe.
+CHECKED = {"type", "enum", "required", "properties", "additionalProperties", "items", "minimum", "maximum"}
+DESCRIBE = {"title", "description", "default", "examples", "$schema", "$id", "$comment", "deprecated", "readOnly", "writeOnly"}
+
+
+def check_schema(schema: dict, at: str = "$") -> None:
+    """Raise a ValueError where a schema asks for something that schema_errors() wouldn't look at."""
+    unknown = set(schema) - CHECKED - DESCRIBE
+    kinds = schema.get("type", [])
+    if unknown or not set([kinds] if isinstance(kinds, str) else kinds) <= set(_TYPES):
+        raise ValueError(f"{at}: keywords or types that aren't known: {sorted(unknown) or kinds}")
+    if not isinstance(schema.get("additionalProperties", True), bool) or not isinstance(schema.get("items", {}), dict):
+        raise ValueError(f"{at}: additionalProperties must be true or false, items one schema")
+    for k, own in schema.get("properties", {}).items():
+        check_schema(own, f"{at}.{k}")
+    if "items" in schema:
+        check_schema(schema["items"], f"{at}[]")
+
+
+def _is(value, kind: str) -> bool:
+    if isinstance(value, bool):
+        return kind == "boolean"
+    return isinstance(value, _TYPES[kind]) and (kind != "integer" or not isinstance(value, float) or value.is_integer())
 
 
 def schema_errors(value, schema: dict, at: str = "$") -> list[str]:
-    """What a JSON value lacks of a schema: type, enum, required, properties, additionalProperties, items, minimum, maximum."""
+    """What a JSON value lacks of a schema: type, enum, required, properties, additionalProperties, items, minimum, maximum.
+
+    As in JSON Schema 1.0 is an integer, and true equals no number.
+    """
     kinds = schema.get("type")
     kinds = [kinds] if isinstance(kinds, str) else kinds
-    if kinds and not any(isinstance(value, _TYPES[k]) and not (k in ("integer", "number") and isinstance(value, bool)) for k in kinds):
+    if kinds and not any(_is(value, k) for k in kinds):
         return [f"{at}: not of type {'|'.join(kinds)}"]
     out = []
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and canonical(value) not in map(canonical, schema["enum"]):
         out.append(f"{at}: not in enum")
     if isinstance(value, dict):
         known = schema.get("properties", {})
@@ -48,9 +79,63 @@ def schema_errors(value, schema: dict, at: str = "$") -> list[str]:
     return out
 
 
+def _shown(text: str) -> str:
+    """Lone surrogates, which no encoding has, as the escapes that stand for them."""
+    return re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
+def _whole(value):
+    """Numbers without a fraction as whole ones, so that equal values are written alike."""
+    if isinstance(value, float) and value.is_integer() and abs(value) < 1 << 53:
+        return int(value)
+    if isinstance(value, dict):
+        return {k: _whole(v) for k, v in value.items()}
+    return [_whole(v) for v in value] if isinstance(value, list) else value
+
+
 def canonical(value) -> str:
-    """JSON with sorted keys and no blanks; characters outside ASCII stand for themselves."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    """JSON with sorted keys and no blanks; characters outside ASCII stand for themselves, lone surrogates as escapes; 1.0 is written 1."""
+    return _shown(json.dumps(_whole(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
+
+
+class OutOfRange(ValueError):
+    pass
+
+
+def _float(text: str) -> float:
+    if not math.isfinite(x := float(text)):
+        raise OutOfRange
+    return x
+
+
+def _int(text: str) -> int:
+    if len(text.lstrip("-")) > DIGITS:
+        raise OutOfRange
+    return int(text)
+
+
+def _no_json(name: str):
+    raise ValueError(name)  # NaN and Infinity
+
+
+def _too_deep(value) -> bool:
+    level = [value]
+    for _ in range(DEEP + 1):
+        level = [y for x in level if isinstance(x, (dict, list)) for y in [None, *(x.values() if isinstance(x, dict) else x)]]
+    return bool(level)
+
+
+def read_arguments(text: str | None):
+    """(value, None) of JSON text, or (None, what is wrong with it)."""
+    try:
+        value = json.loads(text, parse_constant=_no_json, parse_float=_float, parse_int=_int)
+    except OutOfRange:
+        return None, "$: number out of range"
+    except RecursionError:
+        return None, "$: nested too deeply"
+    except (TypeError, ValueError):
+        return None, "$: not JSON"
+    return (None, "$: nested too deeply") if _too_deep(value) else (value, None)
 
 
 def _checked(tools: dict[str, dict]) -> Column:
@@ -58,13 +143,12 @@ def _checked(tools: dict[str, dict]) -> Column:
     def check(ids: pd.Series, names: pd.Series, arguments: pd.Series) -> pd.DataFrame:
         rows = []
         for i, name, text in zip(ids, names, arguments, strict=True):
-            try:
-                value = json.loads(text)
-            except (TypeError, ValueError):
-                rows.append((None, ["$: not JSON"]))
+            value, wrong = read_arguments(text)
+            if wrong:
+                rows.append((None, [wrong]))
                 continue
             errors = schema_errors(value, tools[name]) if name in tools else ["$: unknown tool"]
-            rows.append((canonical({"arguments": value, "id": i, "name": name}), errors))
+            rows.append((canonical({"arguments": value, "id": i, "name": name}), list(map(_shown, errors))))
         return pd.DataFrame(rows, columns=["canonical", "errors"])
 
     return check("call_id", "name", "arguments")
@@ -110,17 +194,20 @@ def _contracted(edges: DataFrame, stage: Stage) -> DataFrame:
     edges = stage(edges.select("uid", "ref").distinct().withColumn("w", F.lit(1).cast("long")), "edges")
     start = edges
     new = stage(edges.select(F.col("ref").alias("uid")).distinct().join(edges.select("uid"), "uid", "left_anti").withColumn("level", F.lit(0).cast("long")), "settled")
-    base, done = None, []
+    base, done, stale = None, [], []
     while not new.isEmpty():
         hit = edges.join(new.select(F.col("uid").alias("ref"), "level"), "ref").select("uid", (F.col("level") + F.col("w")).alias("b"))
         base = stage((hit if base is None else hit.unionByName(base)).groupBy("uid").agg(F.max("b").alias("b")), "base")
-        left = edges.join(new.select(F.col("uid").alias("ref")), "ref", "left_anti")
+        stage.drop(*stale)
+        base_table, left = base, edges.join(new.select(F.col("uid").alias("ref")), "ref", "left_anti")
         one = left.groupBy("uid").agg(F.count("*").alias("k"), F.first("ref").alias("to"), F.first("w").alias("far")).where("k = 1").join(base, "uid", "left").select(F.col("uid").alias("ref"), "to", "far", "b")
         jumped = stage(left.join(one, "ref", "left").select("uid", F.coalesce("to", "ref").alias("ref"), F.least(F.col("w") + F.coalesce("far", F.lit(0)), F.lit(1 << 40)).alias("w"), (F.col("b") + F.col("w")).alias("b")), "jumped")
         new = stage(base.join(jumped.select("uid"), "uid", "left_anti").select("uid", F.col("b").alias("level")), "settled")
         done.append(new)
         base = jumped.where("b is not null").select("uid", "b").unionByName(base.join(new, "uid", "left_anti"))
+        stale = [base_table, jumped, *([edges] if edges is not start else [])]
         edges = stage(jumped.groupBy("uid", "ref").agg(F.max("w").alias("w")), "edges")
+    stage.drop(*stale, *([edges] if edges is not start else []))
     known = reduce(DataFrame.unionByName, done) if done else new
     return start.select("uid").distinct().join(known, "uid", "left").select("uid", F.coalesce("level", F.lit(-1)).alias("level"))
 
@@ -154,7 +241,13 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, tools: dict[str, dict]
     (then name, arguments; of equal rows one) is linked and referred to; the others have error "$: identifier used before".
     A null identifier or conversation links with nothing, and its references lead to no call.  Empty tables give no rows;
     other columns than those named are left out; a text of any length is read whole.
+
+    Arguments that aren't JSON (NaN and Infinity are none) have the error "$: not JSON", those with a number that no double or no DIGITS digits hold "$: number out of range",
+    those with more than DEEP levels "$: nested too deeply"; none of these has a canonical form.  Of keys that repeat in an object the last counts.
+    A lone surrogate stays an escape.  A schema with keywords that aren't checked (CHECKED, DESCRIBE) is a ValueError at once.
     """
+    for name, schema in tools.items():
+        check_schema(schema, name)
     stage = Stage(calls.sparkSession, "toolcalls")
     calls = stage(calls.select("conv_id", "turn", "call_id", "name", "arguments").withColumn("uid", F.monotonically_increasing_id()), "calls")
     keyed = ["conv_id", "call_id"]

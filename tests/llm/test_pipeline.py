@@ -38,6 +38,13 @@ def test_pipeline(spark, tmp_path):
     assert langid.SAMPLE and corpus_pipeline.ORACLE_SQL is None
 
 
+def test_a_run_leaves_its_last_stage_alone(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("peaklight.llm._base.shared_root", lambda _: f"file://{tmp_path}/shared")
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    tables = {str(p.parent) for p in (tmp_path / "shared").rglob("*.parquet")}
+    assert [t.rsplit("/", 1)[-1] for t in tables] == ["005-packing"] and out.count() > 0
+
+
 def test_pipeline_without_languages_and_rows(spark, tmp_path):
     """Nothing to learn from: all rows with a letter stay; clashing columns pass; an empty table gives no rows."""
     rows = [(1, "some words of a text", None), (2, "12 34", None), (3, None, None), (4, "other words stand here, many of them indeed", None), (5, "some  words of a text", None)]
