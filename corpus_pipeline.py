@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from peaklight.llm import dedup, jaccard, langid, packing, pii
-from peaklight.llm._base import Stage
+from peaklight.llm._base import Stage, gathered
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +45,14 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each writes its rows to the shared folder, where the next one reads them.
 
+    Once a stage is written, the one before it and all tables it worked with are deleted: the last stage alone stays.
     An empty table gives no rows; other columns of documents, whatever their names, are kept up to the last stage.
     """
     docs, stage = spark.read.parquet(f"{sf_dir}/documents.parquet"), Stage(spark, "pipeline")
     for name, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir), name)
+        with gathered() as made:
+            docs = stage(step(spark, docs, sf_dir), name)
+        for own in made:
+            own.keep_only()
+        stage.keep_only(docs)
     return docs
