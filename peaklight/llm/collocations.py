@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 from peaklight.llm._base import Stage, blocks, id_filter, join_counted, maybe, n_parts, small
 from peaklight.llm._words import BYTE, U, mix, segment_hashes, spans
 
-#: Words that one trie of the first kind counts, and nodes that a range of the merge should hold.
-SHARD, RANGE = 1 << 18, 1 << 18
+#: Words that are counted in one trie at first, nodes of the tries that a task gathers before they are cut, nodes that a range of the merge should hold.
+#: The number of parts grows with the product of tries and ranges, so larger executors should have larger ones.
+SHARD, GATHER, RANGE = 1 << 18, 3 << 19, 1 << 19
 #: Bytes of text that are cut into words at once.
 SLICE = 1 << 20
 #: Prefixes that each shard names as possible bounds of ranges.
@@ -279,7 +280,7 @@ class Shard:
         return grow(words, lang, code, [runs[1], runs[1], *runs[1:]], set(range(3, DEPTH + 1)))
 
 
-def _tries(batches: Iterator[pa.RecordBatch], pairs: np.ndarray | None, size: int) -> Iterator[Trie]:
+def _counted(batches: Iterator[pa.RecordBatch], pairs: np.ndarray | None, size: int) -> Iterator[Trie]:
     shard = Shard()
     for batch in small(batches, SLICE):
         shard.add(batch.column("text"), batch.column("lang").to_pylist())
@@ -289,6 +290,20 @@ def _tries(batches: Iterator[pa.RecordBatch], pairs: np.ndarray | None, size: in
         yield shard.trie(pairs)
 
 
+def _tries(batches: Iterator[pa.RecordBatch], pairs: np.ndarray | None, size: int) -> Iterator[Trie]:
+    """The tries of a task, merged as far as GATHER allows: what repeats in a task is sent once."""
+    held: list[Trie] = []
+    for trie in _counted(batches, pairs, size):
+        held.append(trie)
+        if sum(map(len, held)) > GATHER:
+            held = [merge(held)]
+            pa.default_memory_pool().release_unused()
+            if 2 * len(held[0]) > GATHER:
+                yield held.pop()
+    if held:
+        yield merge(held)
+
+
 PACKED = "trie binary, nodes long, langs array<binary>, firsts array<binary>, seconds array<binary>"
 
 
@@ -395,7 +410,7 @@ def phrases(docs: DataFrame, least: int = 30, stage: Stage | None = None, shard:
 
     lang, depth, phrase, suffix (the phrase without its first word), f (its count), l1 to l3 (counts of its first words), child (largest
     count of a phrase with one word more at its end, 0 if none has ``least``).  A row of depth 0 for each range and language has the number of words as f.
-    A trie counts about ``shard`` words; it doesn't change the result, nor does the least number of ``ranges``.
+    A trie counts about ``shard`` words at first; it doesn't change the result, nor does the least number of ``ranges``.
     """
     spark = docs.sparkSession
     stage = stage or Stage(spark, "collocations")
