@@ -259,7 +259,7 @@ def denoise(df: DataFrame, runner, how: Denoise | None = None, step: float = 1.0
 
 
 def trim_edges(df: DataFrame, how, axis: str = "axis", column: str = "intensity") -> DataFrame:
-    """Adds keep_from, keep_to: the half-open range of points that stay, by the rules of kernels.edge_range."""
+    """Adds keep_from, keep_to: the half-open range of points that stay, by the rules of edges.edge_range."""
 
     def run(b: pa.RecordBatch) -> dict:
         out = [kernels.edge_range(x, y, how) if len(y) else (0, 0) for x, y in zip(_rows(b.column(axis)), _rows(b.column(column)), strict=True)]
