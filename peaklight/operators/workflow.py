@@ -66,6 +66,31 @@ def signature_chain(events: DataFrame, key: str, order: str, stage: str, content
     return last.select(key, F.explode(F.array(*rows)).alias("_r")).where("_r.signature is not null").select(key, "_r.*")
 
 
+def approved_chain(events: DataFrame, key: str, order: str, stage: str, content: str, names: list[str]) -> DataFrame:
+    """key, stage, place, parent, signature of what a log of approvals leaves, by the rules of Workflow.apply.
+
+    A stage counts from the last change of the one before it: approvals before that were taken back, and repeating what is approved changes nothing.  So stage by stage
+    only three times are needed for each key: the latest approval, the last one with another content, and the first one behind that, which is the change.  All
+    are aggregates, so a log of any length may belong to one key.  Events of one key have different places in ``order``; of equal ones the greatest content counts.
+    """
+    rows = events.where(F.col(stage).isin(names) & F.col(key).isNotNull() & F.col(order).isNotNull()).select(F.col(key).alias("k"), F.col(order).alias("t"), F.col(stage).alias("s"), F.coalesce(F.col(content).cast("string"), F.lit("")).alias("c"))
+    rows = rows.groupBy("k", "t", "s").agg(F.max("c").alias("c"))
+    out, before = None, None
+    for i, name in enumerate(names):
+        own = rows.where(F.col("s") == name).select("k", "t", "c")
+        if before is not None:
+            own = own.join(before.select("k", "since", "g"), "k").where("t > since")
+        else:
+            own = own.withColumn("g", F.lit(""))
+        last = own.groupBy("k").agg(F.max_by("c", "t").alias("now"))
+        other = own.join(last, "k").groupBy("k").agg(F.max(F.when(F.col("c") != F.col("now"), F.col("t"))).alias("other"))
+        change = own.join(last, "k").join(other, "k").where("other is null or t > other").groupBy("k").agg(F.min("t").alias("since"), F.first("now").alias("now"), F.first("g").alias("parent"))
+        before = change.withColumn("g", F.sha1(F.concat_ws("|", "parent", F.lit(name), "now")))
+        part = before.select(F.col("k").alias(key), F.lit(name).alias("stage"), F.lit(i).alias("place"), "parent", F.col("g").alias("signature"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def chained(events: DataFrame, key: str, order: str, content: Column) -> DataFrame:
     """Adds the signature of each event of a log, that of the one before, and whether it repeats it.
 

@@ -63,6 +63,21 @@ decision AS (SELECT CASE WHEN len(weak) > 0 THEN 'insufficient_evidence' WHEN ag
 """
 )
 
+#: What a log of approvals leaves: per stage the events since the last change of the one before it, and in these the last change.
+CHAIN = """
+WITH e AS (SELECT conv_id AS k, turn AS t, role AS s, (length(text) % 4)::VARCHAR AS c FROM conversations),
+a0 AS (SELECT k, t, coalesce(c, '') AS c, '' AS g FROM e WHERE s = 'system'),
+b0 AS (SELECT k, max(t) FILTER (c IS DISTINCT FROM p) AS since, arg_max(c, t) AS now, any_value(g) AS g FROM (SELECT *, lag(c) OVER (PARTITION BY k ORDER BY t) AS p FROM a0) GROUP BY k),
+c0 AS (SELECT k, since, g AS parent, sha1(concat_ws('|', g, 'system', now)) AS g FROM b0),
+a1 AS (SELECT e.k, t, coalesce(c, '') AS c, g FROM e JOIN c0 ON c0.k = e.k AND t > since WHERE s = 'user'),
+b1 AS (SELECT k, max(t) FILTER (c IS DISTINCT FROM p) AS since, arg_max(c, t) AS now, any_value(g) AS g FROM (SELECT *, lag(c) OVER (PARTITION BY k ORDER BY t) AS p FROM a1) GROUP BY k),
+c1 AS (SELECT k, since, g AS parent, sha1(concat_ws('|', g, 'user', now)) AS g FROM b1),
+a2 AS (SELECT e.k, t, coalesce(c, '') AS c, g FROM e JOIN c1 ON c1.k = e.k AND t > since WHERE s = 'assistant'),
+b2 AS (SELECT k, max(t) FILTER (c IS DISTINCT FROM p) AS since, arg_max(c, t) AS now, any_value(g) AS g FROM (SELECT *, lag(c) OVER (PARTITION BY k ORDER BY t) AS p FROM a2) GROUP BY k),
+c2 AS (SELECT k, since, g AS parent, sha1(concat_ws('|', g, 'assistant', now)) AS g FROM b2)
+SELECT k AS conv_id, 'system' AS stage, 0::BIGINT AS place, parent, g AS signature FROM c0 UNION ALL SELECT k, 'user', 1, parent, g FROM c1 UNION ALL SELECT k, 'assistant', 2, parent, g FROM c2
+"""
+
 ELEMENTS = """
 WITH f AS (SELECT p_partkey AS row_id, p_name AS name, p_size % 3 = 0 AS already_processed,
   CASE WHEN p_partkey % 9 = 0 THEN '?' ELSE upper(p_name[1]) || lower(p_name[2]) || '2' || upper(p_type[1]) || lower(p_type[2]) || 'O' || (p_size % 4) END AS formula FROM part),
@@ -258,6 +273,8 @@ FROM best JOIN n USING (row_id) JOIN mv USING (row_id)""",
 p AS (SELECT conv_id, max(turn) FILTER (role = 'system') AS t0, max(turn) FILTER (role = 'user') AS t1, max(turn) FILTER (role = 'assistant') AS t2, any_value(size) FILTER (role = 'system') AS s0, any_value(size) FILTER (role = 'user') AS s1, any_value(size) FILTER (role = 'assistant') AS s2 FROM l GROUP BY conv_id),
 a AS (SELECT *, sha1('|system|' || coalesce(s0, '')) AS g0 FROM p WHERE t0 IS NOT NULL), b AS (SELECT *, sha1(g0 || '|user|' || coalesce(s1, '')) AS g1 FROM a WHERE t1 >= t0), c AS (SELECT *, sha1(g1 || '|assistant|' || coalesce(s2, '')) AS g2 FROM b WHERE t2 >= t1)
 SELECT conv_id, 'system' AS stage, 0::BIGINT AS place, '' AS parent, g0 AS signature FROM a UNION ALL SELECT conv_id, 'user', 1, g0, g1 FROM b UNION ALL SELECT conv_id, 'assistant', 2, g1, g2 FROM c""",
+    "approved_chain": CHAIN,
+    "approval_stream": CHAIN,
     "truth_sets": r"""WITH n AS (SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') || CASE WHEN p_partkey % 3 = 0 THEN '_' ELSE ' ' END || CASE WHEN p_partkey % 4 <> 0 THEN (p_partkey % 9)::VARCHAR ELSE 'run' END AS s FROM part),
 b AS (SELECT p_partkey, CASE WHEN regexp_extract(s, '^(.*?)(?:_\d|\s\d)', 1) <> '' THEN regexp_extract(s, '^(.*?)(?:_\d|\s\d)', 1) ELSE s END AS base FROM n),
 k AS (SELECT *, regexp_replace(lower(base), '[^a-z0-9]', '', 'g') AS key FROM b)

@@ -17,6 +17,7 @@ from peaklight.model import Baseline, Grid, Matching, Query, Reduction, Smoothin
 from peaklight.operators import catalog, evaluate, evidence, index, library, postings, reduce, residual, search, signal, workflow
 from peaklight.plans.match import match, residual_match, residual_of
 from peaklight.sources import headers, inventory, measurement, writers
+from peaklight.streaming import approvals
 
 POINTS = 64
 MASK = [2 <= i <= 61 for i in range(POINTS)]
@@ -593,6 +594,22 @@ def signature_chain(spark, sf_dir):
     return workflow.signature_chain(rows, "conv_id", "turn", "role", "size", ["system", "user", "assistant"]).select("conv_id", "stage", F.col("place").cast("long").alias("place"), "parent", "signature")
 
 
+def approved_chain(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").withColumn("size", F.length("text") % 4)
+    return workflow.approved_chain(rows, "conv_id", "turn", "role", "size", ["system", "user", "assistant"]).withColumn("place", F.col("place").cast("long"))
+
+
+def approval_stream(spark, sf_dir):
+    """The chains that a stream of all turns leaves, by its outcomes."""
+    names, place = ["system", "user", "assistant"], writers.shared_folder(spark, "approvals")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", (F.length("text") % 4).alias("size"))
+    # The batches follow the turns, as they would arrive.
+    for i, part in enumerate((F.col("turn") < 3, F.col("turn") >= 3)):
+        turns.where(part).write.parquet(f"{place}/events/{i}")
+        approvals.run(spark, f"{place}/events/*", turns.schema, f"{place}/out", f"{place}/state", "conv_id", "turn", "role", "size", names)
+    return approvals.latest(spark.read.parquet(f"{place}/out"), "conv_id", names).withColumn("place", F.col("place").cast("long"))
+
+
 def truth_sets(spark, sf_dir):
     """Base names and the names that count as right, for spectra named after parts."""
     i = F.col("p_partkey")
