@@ -29,7 +29,7 @@ from peaklight.llm._words import BYTE, U, mix, segment_hashes, spans
 
 #: Words that are counted in one trie at first, nodes of the tries that a task gathers before they are cut, nodes that a range of the merge should hold.
 #: The number of parts grows with the product of tries and ranges, so larger executors should have larger ones.
-SHARD, GATHER, RANGE = 1 << 18, 3 << 19, 1 << 19
+SHARD, GATHER, RANGE = 1 << 18, 1 << 19, 1 << 19
 #: Bytes of text that are cut into words at once.
 SLICE = 1 << 20
 #: Prefixes that each shard names as possible bounds of ranges.
@@ -82,7 +82,7 @@ class Trie:
         n_levels = int(take(1, np.int64)[0])
         sizes = take(n_levels + 2, np.int64).tolist()
         lengths = take(sizes[-2], np.int32)
-        levels = [(np.cumsum(take(n, np.int32), dtype=np.int64), take(n, np.int32).astype(np.int64), take(n, np.int64)) for n in sizes[:n_levels]]
+        levels = [(np.cumsum(take(n, np.int32), dtype=np.int32), take(n, np.int32), take(n, np.int64)) for n in sizes[:n_levels]]
         return cls(binary(lengths, take(sizes[-1], np.uint8)), levels)
 
 
@@ -101,6 +101,12 @@ def sorted_codes(words: pa.BinaryArray) -> tuple[pa.BinaryArray, np.ndarray]:
     return coded.dictionary.take(pa.array(order)), place[coded.indices.to_numpy()]
 
 
+def parted(key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Parents and words of keys parent * n + word."""
+    parent = key // max(1, n)
+    return parent.astype(np.int32), (key - parent * n).astype(np.int32)
+
+
 def grow(words: pa.BinaryArray, lang: np.ndarray, code: np.ndarray, runs: list[np.ndarray], counted: set[int]) -> Trie:
     """The trie of the phrases that start where ``runs`` say: runs[d] for phrases of d + 1 words, each within the one before.
 
@@ -113,7 +119,7 @@ def grow(words: pa.BinaryArray, lang: np.ndarray, code: np.ndarray, runs: list[n
         keep = run[at]
         at, node = at[keep], node[keep]
         u, node, n = np.unique(node * len(words) + code[at + d], return_inverse=True, return_counts=True)
-        levels.append((u // max(1, len(words)), u % max(1, len(words)), n if d + 1 in counted else np.zeros(len(u), np.int64)))
+        levels.append((*parted(u, len(words)), n if d + 1 in counted else np.zeros(len(u), np.int64)))
     return Trie(words, levels)
 
 
@@ -133,9 +139,10 @@ def merge(tries: list[Trie]) -> Trie:
         new[1:] = key[1:] != key[:-1]
         first = np.flatnonzero(new)
         count = np.concatenate([c for _, (_, _, c) in own])[order]
-        levels.append((key[first] // max(1, len(words)), key[first] % max(1, len(words)), np.add.reduceat(count, first) if len(first) else count))
+        levels.append((*parted(key[first], len(words)), np.add.reduceat(count, first) if len(first) else count))
         place = np.empty(len(key), np.int64)
         place[order] = np.cumsum(new) - 1
+        del key, order, count
         ends = np.cumsum([0, *(len(w) for _, (_, w, _) in own)])
         above = list(above)
         for i, (k, _) in enumerate(own):
@@ -343,8 +350,8 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Trie]]:
     for b in batches:
         for r, blob in zip(b.column("range").to_pylist(), b.column("trie"), strict=True):
             if r != at and held:
-                yield at, merge(held)
-                held = []
+                whole, held = merge(held), []
+                yield at, whole
                 pa.default_memory_pool().release_unused()
             at = r
             held.append(Trie.unpack(blob.as_py()))
