@@ -8,7 +8,7 @@ reuse that partitioning.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -258,6 +258,43 @@ def denoise(df: DataFrame, runner, how: Denoise | None = None, step: float = 1.0
     return _kernel(df, run, "denoised array<double>")
 
 
+#: Models that a worker has loaded, by name.
+_models: dict[str, Callable[[np.ndarray], np.ndarray]] = {}
+
+
+def loaded(name: str, load: Callable[[], Callable[[np.ndarray], np.ndarray]]) -> Callable[[np.ndarray], np.ndarray]:
+    if name not in _models:
+        _models[name] = load()
+    return _models[name]
+
+
+def denoise_in_batches(df: DataFrame, name: str, load: Callable[[], Callable[[np.ndarray], np.ndarray]], how: Denoise | None = None, step: float = 1.0, column: str = "intensity", windows: int = 256) -> DataFrame:
+    """As denoise(), with a model that takes and gives many windows at once, a row each.
+
+    ``load`` makes the model; a worker calls it once for each ``name`` and keeps the model for all its later tasks.  The windows of all spectra of
+    a batch go to the model together, at most ``windows`` in a call, so neither the number of spectra nor their length sets the size of a call.  Null and
+    flat spectra need no call.
+    """
+    how = how or Denoise()
+
+    def run(b: pa.RecordBatch) -> dict:
+        rows = _rows(b.column(column))
+        given = [kernels.model_inputs(y, step, how.span, how.overlap, how.points) for y in rows]
+        every = np.concatenate(given) if given else np.zeros((0, how.points))
+        made = np.zeros_like(every)
+        model = loaded(name, load) if len(every) else None
+        for at in range(0, len(every), windows):
+            out = np.asarray(model(every[at : at + windows]), float)
+            if out.shape != every[at : at + windows].shape:
+                raise ValueError(f"the model {name} gave {out.shape} for {every[at : at + windows].shape}")
+            made[at : at + windows] = out
+        ends = np.cumsum([0, *map(len, given)])
+        out = [kernels.blended(y, made[a:c], step, how.span, how.overlap, how.points, cap=how.sigma_cap, guide=how.guide, trend=how.trend, share=how.range_share) if len(y) else y for y, a, c in zip(rows, ends[:-1], ends[1:], strict=True)]
+        return {"denoised": pa.array(out, pa.list_(pa.float64()))}
+
+    return _kernel(df, run, "denoised array<double>")
+
+
 def trim_edges(df: DataFrame, how, axis: str = "axis", column: str = "intensity") -> DataFrame:
     """Adds keep_from, keep_to: the half-open range of points that stay, by the rules of edges.edge_range."""
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from peaklight.functions import columns as C
 from peaklight.functions import text as T
 from peaklight.model import Baseline, Grid, Matching, Query, Reduction, Smoothing, Trim
-from peaklight.operators import catalog, evaluate, evidence, index, library, postings, reduce, residual, search, signal, workflow
+from peaklight.operators import catalog, evaluate, evidence, index, library, postings, reduce, residual, search, signal, snapshots, workflow
 from peaklight.plans.match import match, residual_match, residual_of
 from peaklight.sources import headers, inventory, measurement, writers
 from peaklight.streaming import approvals
@@ -523,6 +523,12 @@ def denoise_guard(spark, sf_dir):
     return signal.denoise(_vectors(spark, sf_dir), lambda x: x * 0.9 + 0.05).select("row_id", _total("denoised").alias("denoised_sum"))
 
 
+def denoise_batches(spark, sf_dir):
+    """A model that takes many windows at once; its proposals are guarded."""
+    rows = signal.denoise_in_batches(_vectors(spark, sf_dir), "shrink", lambda: lambda x: x * 0.9 + 0.05)
+    return rows.select("row_id", _total("denoised").alias("denoised_sum"))
+
+
 def edge_trim(spark, sf_dir):
     return signal.trim_edges(_vectors(spark, sf_dir), Trim(edge_range=10, return_range=12)).select("row_id", "keep_from", "keep_to")
 
@@ -559,6 +565,13 @@ def result_rows(spark, sf_dir):
     return out.select("row_id", "independence_group", "acquisition_group", *counts, *r6("shift_cm1", "reference_overlap_fraction", "shape_contribution", "gradient_contribution", "pcs_contribution", "spectral_similarity_weight"))
 
 
+def frozen_rows(spark, sf_dir):
+    """Library rows frozen as they are, nested supports and nulls included, with one value thawed by its path."""
+    rows = lib(spark, sf_dir).select(F.col("row_id").alias("place"), "row_id", "support_runs", "label", F.struct("specimen", F.lit(None).cast("string").alias("accession")).alias("provenance"))
+    kept = snapshots.freeze(rows, [])
+    return kept.select("place", "digest", F.coalesce(snapshots.at("$.support_runs[1].start", "int"), F.lit(-1)).cast("long").alias("second_run"))
+
+
 def legacy_search(spark, sf_dir):
     q = query_vector(spark, sf_dir)
     return search.legacy_search(_vectors(spark, sf_dir), [float(i) for i in range(POINTS)], q).select("row_id", *r6("score"))
