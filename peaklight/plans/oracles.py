@@ -273,6 +273,9 @@ FROM best JOIN n USING (row_id) JOIN mv USING (row_id)""",
 p AS (SELECT conv_id, max(turn) FILTER (role = 'system') AS t0, max(turn) FILTER (role = 'user') AS t1, max(turn) FILTER (role = 'assistant') AS t2, any_value(size) FILTER (role = 'system') AS s0, any_value(size) FILTER (role = 'user') AS s1, any_value(size) FILTER (role = 'assistant') AS s2 FROM l GROUP BY conv_id),
 a AS (SELECT *, sha1('|system|' || coalesce(s0, '')) AS g0 FROM p WHERE t0 IS NOT NULL), b AS (SELECT *, sha1(g0 || '|user|' || coalesce(s1, '')) AS g1 FROM a WHERE t1 >= t0), c AS (SELECT *, sha1(g1 || '|assistant|' || coalesce(s2, '')) AS g2 FROM b WHERE t2 >= t1)
 SELECT conv_id, 'system' AS stage, 0::BIGINT AS place, '' AS parent, g0 AS signature FROM a UNION ALL SELECT conv_id, 'user', 1, g0, g1 FROM b UNION ALL SELECT conv_id, 'assistant', 2, g1, g2 FROM c""",
+    "inventory_changes": """WITH d AS (SELECT coalesce(source, '') AS alias, doc_id AS i, n_chars FROM documents)
+SELECT alias, i::VARCHAR AS relative_path, CASE WHEN i % 5 = 0 THEN 'added' WHEN i % 7 = 0 THEN 'gone' WHEN i % 4 = 0 OR i % 11 = 0 THEN 'changed' ELSE 'same' END AS change,
+  CASE WHEN i % 7 <> 0 AND i % 4 = 0 THEN n_chars + 1 ELSE n_chars END AS size, CASE WHEN i % 7 <> 0 AND i % 11 = 0 THEN i % 3 + 1 ELSE i % 3 END AS modified FROM d WHERE i % 5 <> 0 OR i % 7 <> 0""",
     "frozen_rows": """WITH r AS (SELECT vec_id AS i, label, CASE WHEN vec_id % 3 <> 0 THEN '[{"end":' || (19 + vec_id % 7) || ',"start":' || vec_id % 8 || '},{"end":' || (63 - vec_id % 5) || ',"start":' || (23 + vec_id % 7) || '}]' ELSE 'null' END AS runs FROM embeddings)
 SELECT i AS place, sha256('{"label":' || label || ',"provenance":{"accession":null,"specimen":"' || i % 7 || '"},"row_id":' || i || ',"support_runs":' || runs || '}') AS digest, CASE WHEN i % 3 <> 0 THEN 23 + i % 7 ELSE -1 END AS second_run FROM r""",
     "approved_chain": CHAIN,

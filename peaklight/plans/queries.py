@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from peaklight.functions import columns as C
 from peaklight.functions import text as T
 from peaklight.model import Baseline, Grid, Matching, Query, Reduction, Smoothing, Trim
-from peaklight.operators import catalog, evaluate, evidence, index, library, postings, reduce, residual, search, signal, snapshots, workflow
+from peaklight.operators import catalog, evaluate, evidence, index, library, postings, reduce, refresh, residual, search, signal, snapshots, workflow
 from peaklight.plans.match import match, residual_match, residual_of
 from peaklight.sources import headers, inventory, measurement, writers
 from peaklight.streaming import approvals
@@ -391,6 +391,15 @@ def inventory_signature(spark, sf_dir):
     return catalog.inventory_signature(table(spark, sf_dir, "documents"), ["source", "doc_id", "n_chars"])
 
 
+def inventory_changes(spark, sf_dir):
+    """What differs between two scans of documents as files: some went, some came, some have another size or time."""
+    i = F.col("doc_id")
+    files = table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("")).alias("alias"), i.cast("string").alias("relative_path"), "n_chars", "doc_id")
+    before = files.where("doc_id % 5 <> 0").select("alias", "relative_path", F.col("n_chars").alias("size"), (i % 3).alias("modified"))
+    after = files.where("doc_id % 7 <> 0").select("alias", "relative_path", F.when(i % 4 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars")).alias("size"), F.when(i % 11 == 0, i % 3 + 1).otherwise(i % 3).alias("modified"))
+    return refresh.change_set(before, after)
+
+
 def root_match(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     i = F.col("p_partkey")
