@@ -221,16 +221,61 @@ def diverse_top(rows: DataFrame, top_n: int, how: Matching | None = None, identi
     return out.withColumn("place", F.row_number().over(Window.orderBy(*order)))
 
 
-def self_consistency(rows: DataFrame, weight: float = 0.88) -> DataFrame:
-    """Names of the rules a result row breaks, as an array; empty for a sound row."""
-    rules = {
-        "rank score": F.abs(F.col("rank_score") - weight * F.col("similarity") - (1 - weight) * F.col("pcs")) > 1e-9,
-        "coverage": F.abs(F.col("coverage_fraction") - F.col("common") / F.col("requested")) > 1e-9,
-        "range of pcs": ~F.col("pcs").between(0, 1),
-        "range of similarity": ~F.col("similarity").between(-1, 1),
-        "common points": (F.col("common") < 0) | (F.col("common") > F.col("requested")),
-    }
-    return rows.withColumn("broken", F.array_compact(F.array(*(F.when(rule, name) for name, rule in rules.items()))))
+#: Numbers of a result that must be finite, those that are counts, and flags, where a row has them.
+NUMBERS = ("rank_score", "similarity", "shape", "gradient", "pcs", "pcs_f1", "pcs_rho", "shift", "coverage_fraction", "reference_overlap_fraction", "shift_cm1", "shape_contribution", "gradient_contribution", "pcs_contribution")
+COUNTS = ("common", "requested", "support_points", "shifted_support_points", "maximum_shift_points")
+FLAGS = ("shift_boundary", "grid_clipped")
+WEIGHTS = ("gradient_weight_within_similarity", "spectral_similarity_weight", "peak_consistency_weight")
+
+
+def result_rules(columns: list[str], weight: float = 0.88, step: float | None = None) -> dict[str, Column]:
+    """By name, what is wrong with a result row: true where it breaks the rule.  Rules need the columns of refine() and of result_rows(); those without theirs are left out."""
+    have, c = set(columns), F.col
+    near = lambda a, b: F.abs(a - b) <= 1e-9 * F.greatest(F.lit(1.0), F.abs(a), F.abs(b))
+    share = lambda a, b: F.when(c(b) > 0, c(a) / c(b)).otherwise(0.0)
+    w = c("spectral_similarity_weight") if "spectral_similarity_weight" in have else F.lit(weight)
+    g = c("gradient_weight_within_similarity")
+    any_of = lambda names, f: [f(c(n)) for n in names if n in have]
+    # A number that isn't finite breaks this rule alone: it compares with nothing.
+    rules = [
+        ("finite numbers", any_of(NUMBERS + WEIGHTS, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))),
+        ("counts", any_of(COUNTS, lambda x: x.isNull() | (x < 0))),
+        ("flags", any_of(FLAGS, lambda x: x.isNull())),
+        ("weights", any_of(WEIGHTS, lambda x: ~x.between(0, 1))),
+        ("range of similarity", any_of(("similarity",), lambda x: ~x.between(-1 - 1e-9, 1 + 1e-9))),
+        ("range of pcs", any_of(("pcs",), lambda x: ~x.between(0, 1))),
+        ("range of fractions", any_of(("coverage_fraction", "reference_overlap_fraction"), lambda x: ~x.between(0, 1))),
+    ]
+    for name, needs, broken in (
+        ("rank score", ("rank_score", "similarity", "pcs"), lambda: ~near(c("rank_score"), w * c("similarity") + (1 - w) * c("pcs"))),
+        ("peak weight", ("peak_consistency_weight", "spectral_similarity_weight"), lambda: ~near(c("peak_consistency_weight"), 1 - w)),
+        ("similarity", ("similarity", "shape", "gradient", "gradient_weight_within_similarity"), lambda: ~near(c("similarity"), (1 - g) * c("shape") + g * c("gradient"))),
+        ("shape contribution", ("shape_contribution", "shape", "gradient_weight_within_similarity"), lambda: ~near(c("shape_contribution"), w * (1 - g) * c("shape"))),
+        ("gradient contribution", ("gradient_contribution", "gradient", "gradient_weight_within_similarity"), lambda: ~near(c("gradient_contribution"), w * g * c("gradient"))),
+        ("pcs contribution", ("pcs_contribution", "pcs"), lambda: ~near(c("pcs_contribution"), (1 - w) * c("pcs"))),
+        ("sum of contributions", ("shape_contribution", "gradient_contribution", "pcs_contribution", "rank_score"), lambda: ~near(c("shape_contribution") + c("gradient_contribution") + c("pcs_contribution"), c("rank_score"))),
+        ("coverage", ("coverage_fraction", "common", "requested"), lambda: ~near(c("coverage_fraction"), share("common", "requested"))),
+        ("overlap", ("reference_overlap_fraction", "common", "shifted_support_points"), lambda: ~near(c("reference_overlap_fraction"), share("common", "shifted_support_points"))),
+        ("common points", ("common", "requested"), lambda: c("common") > c("requested")),
+        ("common support", ("common", "shifted_support_points"), lambda: c("common") > c("shifted_support_points")),
+        ("shifted support", ("shifted_support_points", "support_points"), lambda: c("shifted_support_points") > c("support_points")),
+        ("shift", ("shift", "maximum_shift_points"), lambda: F.abs("shift") > c("maximum_shift_points")),
+        ("shift boundary", ("shift_boundary", "shift", "maximum_shift_points"), lambda: c("shift_boundary") != ((c("maximum_shift_points") > 0) & (F.abs("shift") == c("maximum_shift_points")))),
+        ("grid clipped", ("grid_clipped", "shifted_support_points", "support_points"), lambda: c("grid_clipped") != (c("shifted_support_points") < c("support_points"))),
+        ("shift in axis units", ("shift_cm1", "shift"), lambda: ~near(c("shift_cm1"), c("shift") * F.lit(step)) if step is not None else None),
+    ):
+        if set(needs) <= have and (rule := broken()) is not None:
+            rules.append((name, [rule]))
+    out = {}
+    for name, parts in rules:
+        for part in parts:
+            out[name] = out[name] | F.coalesce(part, F.lit(False)) if name in out else F.coalesce(part, F.lit(False))
+    return out
+
+
+def self_consistency(rows: DataFrame, weight: float = 0.88, step: float | None = None) -> DataFrame:
+    """Adds broken: the names of the rules that a result row breaks, an empty array for a sound row."""
+    return rows.withColumn("broken", F.array_compact(F.array(*(F.when(rule, name) for name, rule in result_rules(rows.columns, weight, step).items()))))
 
 
 def legacy_search(library: DataFrame, x: list[float], y: list[float], top: int = 30, axis: str = "axis", intensity: str = "intensity") -> DataFrame:

@@ -276,6 +276,10 @@ SELECT conv_id, 'system' AS stage, 0::BIGINT AS place, '' AS parent, g0 AS signa
     "inventory_changes": """WITH d AS (SELECT coalesce(source, '') AS alias, doc_id AS i, n_chars FROM documents)
 SELECT alias, i::VARCHAR AS relative_path, CASE WHEN i % 5 = 0 THEN 'added' WHEN i % 7 = 0 THEN 'gone' WHEN i % 4 = 0 OR i % 11 = 0 THEN 'changed' ELSE 'same' END AS change,
   CASE WHEN i % 7 <> 0 AND i % 4 = 0 THEN n_chars + 1 ELSE n_chars END AS size, CASE WHEN i % 7 <> 0 AND i % 11 = 0 THEN i % 3 + 1 ELSE i % 3 END AS modified FROM d WHERE i % 5 <> 0 OR i % 7 <> 0""",
+    "result_faults": ALIGN + """, u AS (SELECT row_id, shift, abs(shift) = 5 AS edge, (start + shift < 0 OR stop + shift > 63) AS clipped FROM best JOIN (SELECT row_id, min(pos) AS start, max(pos) AS stop FROM lib2 WHERE s GROUP BY row_id) USING (row_id))
+SELECT row_id, CASE row_id % 12 WHEN 1 THEN 'finite numbers' WHEN 2 THEN 'counts; shift' || CASE WHEN edge THEN '; shift boundary' ELSE '' END WHEN 3 THEN 'flags' WHEN 4 THEN 'shift in axis units'
+  WHEN 5 THEN 'shape contribution; sum of contributions' WHEN 6 THEN 'coverage; common points' WHEN 7 THEN 'overlap' WHEN 8 THEN 'shifted support' || CASE WHEN clipped THEN '; grid clipped' ELSE '' END WHEN 9 THEN 'grid clipped'
+  WHEN 10 THEN 'rank score; sum of contributions' ELSE '' END AS broken FROM u""",
     "frozen_rows": """WITH r AS (SELECT vec_id AS i, label, CASE WHEN vec_id % 3 <> 0 THEN '[{"end":' || (19 + vec_id % 7) || ',"start":' || vec_id % 8 || '},{"end":' || (63 - vec_id % 5) || ',"start":' || (23 + vec_id % 7) || '}]' ELSE 'null' END AS runs FROM embeddings)
 SELECT i AS place, sha256('{"label":' || label || ',"provenance":{"accession":null,"specimen":"' || i % 7 || '"},"row_id":' || i || ',"support_runs":' || runs || '}') AS digest, CASE WHEN i % 3 <> 0 THEN 23 + i % 7 ELSE -1 END AS second_run FROM r""",
     "approved_chain": CHAIN,

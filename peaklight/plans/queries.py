@@ -574,6 +574,26 @@ def result_rows(spark, sf_dir):
     return out.select("row_id", "independence_group", "acquisition_group", *counts, *r6("shift_cm1", "reference_overlap_fraction", "shape_contribution", "gradient_contribution", "pcs_contribution", "spectral_similarity_weight"))
 
 
+def result_faults(spark, sf_dir):
+    """Result rows of which each breaks another rule, by its number; what is found to be wrong with them."""
+    how, c, k = Matching(min_support=POINTS + 1), F.col, F.col("row_id") % 12
+    rows = search.result_rows(search.refine(lib(spark, sf_dir), query_vector(spark, sf_dir), MASK, how, ["row_id", "name"]), how, 2.0)
+    for at, name, value in (
+        (1, "pcs_f1", F.lit(float("nan"))),
+        (2, "maximum_shift_points", F.lit(-1)),
+        (3, "shift_boundary", F.lit(None).cast("boolean")),
+        (4, "shift_cm1", c("shift_cm1") + 1),
+        (5, "shape_contribution", c("shape_contribution") + 0.5),
+        (6, "requested", c("common") - 1),
+        (7, "reference_overlap_fraction", c("reference_overlap_fraction") / 2),
+        (8, "support_points", F.lit(0)),
+        (9, "grid_clipped", ~c("grid_clipped")),
+        (10, "rank_score", c("rank_score") + 0.25),
+    ):
+        rows = rows.withColumn(name, F.when(k == at, value).otherwise(c(name)))
+    return search.self_consistency(rows, step=2.0).select("row_id", F.array_join("broken", "; ").alias("broken"))
+
+
 def frozen_rows(spark, sf_dir):
     """Library rows frozen as they are, nested supports and nulls included, with one value thawed by its path."""
     rows = lib(spark, sf_dir).select(F.col("row_id").alias("place"), "row_id", "support_runs", "label", F.struct("specimen", F.lit(None).cast("string").alias("accession")).alias("provenance"))
