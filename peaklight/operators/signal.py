@@ -216,6 +216,43 @@ def smooth(df: DataFrame, how: Smoothing, column: str = "intensity") -> DataFram
     return _kernel(df, run, "smoothed array<double>")
 
 
+def spectrum_difference(df: DataFrame, scale: float = 1.0, smoothing: Smoothing | None = None, how: Baseline | None = None) -> DataFrame:
+    """Adds difference (intensity - scale * other) and, with a baseline, difference_baseline and difference_corrected.
+
+    Rows have axis, intensity, other_axis, other_intensity.  The other spectrum is taken at the places of the first (its end values beyond its ends; as it is where the axes agree),
+    then smoothed if asked, then scaled; a baseline is taken off the difference.  Spectra are taken in order of their axis; where either is empty, null or
+    has an axis of another length, the results are null.
+    """
+
+    def run(b: pa.RecordBatch) -> dict:
+        x, y, u, v = (_rows(b.column(c)) for c in ("axis", "intensity", "other_axis", "other_intensity"))
+        taken: list = [None] * len(x)
+        for i in range(len(x)):
+            if len(x[i]) and len(x[i]) == len(y[i]) and len(u[i]) and len(u[i]) == len(v[i]):
+                own, other = np.argsort(x[i], kind="stable"), np.argsort(u[i], kind="stable")
+                at, place, value = x[i][own], u[i][other], v[i][other]
+                same = len(at) == len(place) and np.allclose(at, place, rtol=1e-7, atol=1e-9)
+                taken[i] = (own, y[i][own], value if same else np.interp(at, place, value))
+        held = [i for i, t in enumerate(taken) if t is not None]
+        prepared = [taken[i][2] for i in held]
+        if smoothing is not None and smoothing.method == "savgol":
+            prepared = _by_length(prepared, lambda m: kernels.savgol(m, smoothing.window, smoothing.order))
+        left = [taken[i][1] - scale * z for i, z in zip(held, prepared, strict=True)]
+        below = _by_length(left, lambda m: kernels.baseline(m, how)) if how is not None else left
+
+        def back(values: list) -> pa.Array:
+            out: list = [None] * len(x)
+            for i, z in zip(held, values, strict=True):
+                out[i] = np.empty(len(z))
+                out[i][taken[i][0]] = z
+            return pa.array(out, pa.list_(pa.float64()))
+
+        added = {"difference": back(left)}
+        return added if how is None else added | {"difference_baseline": back(below), "difference_corrected": back([a - how.strength * z for a, z in zip(left, below, strict=True)])}
+
+    return _kernel(df, run, "difference array<double>" + (", difference_baseline array<double>, difference_corrected array<double>" if how is not None else ""))
+
+
 #: Diagnostics of preprocess().
 DIAGNOSTICS = ("negative_fraction", "material_negative_fraction", "material_negative_threshold", "noise_sigma", "change_rms_fraction", "peak_change_fraction")
 

@@ -280,6 +280,7 @@ SELECT alias, i::VARCHAR AS relative_path, CASE WHEN i % 5 = 0 THEN 'added' WHEN
 SELECT row_id, CASE row_id % 12 WHEN 1 THEN 'finite numbers' WHEN 2 THEN 'counts; shift' || CASE WHEN edge THEN '; shift boundary' ELSE '' END WHEN 3 THEN 'flags' WHEN 4 THEN 'shift in axis units'
   WHEN 5 THEN 'shape contribution; sum of contributions' WHEN 6 THEN 'coverage; common points' WHEN 7 THEN 'overlap' WHEN 8 THEN 'shifted support' || CASE WHEN clipped THEN '; grid clipped' ELSE '' END WHEN 9 THEN 'grid clipped'
   WHEN 10 THEN 'rank score; sum of contributions' ELSE '' END AS broken FROM u""",
+    "spectrum_difference": f"WITH {LONG} SELECT a.row_id, a.pos::BIGINT AS pos, round(a.v - 0.5 * b.v, 6) AS d FROM lib a JOIN lib b ON a.row_id = b.row_id AND b.pos = greatest(3, least(60, a.pos))",
     "frozen_rows": """WITH r AS (SELECT vec_id AS i, label, CASE WHEN vec_id % 3 <> 0 THEN '[{"end":' || (19 + vec_id % 7) || ',"start":' || vec_id % 8 || '},{"end":' || (63 - vec_id % 5) || ',"start":' || (23 + vec_id % 7) || '}]' ELSE 'null' END AS runs FROM embeddings)
 SELECT i AS place, sha256('{"label":' || label || ',"provenance":{"accession":null,"specimen":"' || i % 7 || '"},"row_id":' || i || ',"support_runs":' || runs || '}') AS digest, CASE WHEN i % 3 <> 0 THEN 23 + i % 7 ELSE -1 END AS second_run FROM r""",
     "approved_chain": CHAIN,

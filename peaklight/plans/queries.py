@@ -271,6 +271,13 @@ def subtract_reference(spark, sf_dir):
     return out.groupBy("signal").agg(F.round(F.sum("y"), 6).alias("sum_y"), F.round(F.max("overlap"), 6).alias("overlap"), F.count("*").alias("points"))
 
 
+def spectrum_difference(spark, sf_dir):
+    """Each row less half of the one that begins three points later and ends before, which keeps its end values beyond."""
+    rows = _vectors(spark, sf_dir)
+    cut = rows.withColumn("other_axis", F.slice("axis", 4, 58)).withColumn("other_intensity", F.slice("intensity", 4, 58))
+    return signal.spectrum_difference(cut, 0.5).select("row_id", F.posexplode("difference").alias("pos", "d")).select("row_id", F.col("pos").cast("long").alias("pos"), *r6("d"))
+
+
 def _elements(spark, sf_dir):
     """Parts as references: formulas from brand, type and size."""
     part = table(spark, sf_dir, "part")

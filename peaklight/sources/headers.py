@@ -156,6 +156,12 @@ def plain_columns(files: DataFrame, key: str = "path", text: str = "value") -> D
     return files.select(key, good.alias("p")).select(key, F.col("p.x").alias("axis"), F.col("p.y").alias("intensity"))
 
 
+def load_columns(spark, folder: str, glob: str = "*.txt") -> DataFrame:
+    """path, axis, intensity of all files below a folder whose name fits the pattern, by plain_columns(); other files aren't read.  Texts are read as Latin-1."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
+    return plain_columns(files.select("path", F.decode("content", "ISO-8859-1").alias("value")))
+
+
 def with_provenance(rows: DataFrame, cached: DataFrame, key: str = "row_id") -> tuple[DataFrame, DataFrame]:
     """(rows with provenance, what is still to be parsed).
 

@@ -94,3 +94,16 @@ def split_header(files: DataFrame, key: str = "path", text: str = "value") -> Da
     body = F.array_sort(F.collect_list(F.when(F.col("p").isNotNull(), F.struct("line", "p"))))
     out = rows.groupBy(key).agg(order.alias("h"), body.alias("b"))
     return out.select(key, F.array_join("h.content", "\n").alias("header"), F.col("b.p.x").alias("x"), F.col("b.p.y").alias("y"))
+
+
+def rewritten(files: DataFrame, change=None, decimals: int | None = 6, delimiter: str = "\t", key: str = "path", text: str = "value") -> DataFrame:
+    """key and value of files whose numbers are written anew below their own header lines.
+
+    ``change`` takes the table key, header, axis, intensity and gives it back with other numbers (a baseline off, scaled, trimmed); by default they stay.  A file
+    without numbers keeps its lines alone.
+    """
+    from peaklight.sources.writers import spectrum_text
+
+    rows = split_header(files, key, text).select(key, "header", F.col("x").alias("axis"), F.col("y").alias("intensity"))
+    rows = rows if change is None else change(rows)
+    return rows.select(key, spectrum_text(F.col("axis"), F.col("intensity"), F.coalesce("header", F.lit("")), decimals, delimiter).alias("value"))

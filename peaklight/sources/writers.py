@@ -182,6 +182,57 @@ def write_reports(declustered: DataFrame, folder: str, group: str = "name") -> N
     rows.repartition("group_slug").sortWithinPartitions("group_slug", "cluster", "row_id").write.mode("errorifexists").option("header", "true").partitionBy("group_slug").csv(f"{folder}/detail")
 
 
+def copy_files(rows: DataFrame, folder: str, path: str = "path", to: str = "relative_path") -> DataFrame:
+    """Copy the files that rows name by address to ``folder``, each under its relative path; returns path, to, bytes, error once they are copied.
+
+    A task copies the files of its rows, through a name of the task's own that is then moved into place, so a task that runs again does no harm.  A file that can't be
+    copied has an error; paths that lead out of the folder, and two rows for one place, are errors of the caller and raise.
+    """
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    from peaklight.sources.inventory import safe_relative
+
+    spark = rows.sparkSession
+    wanted = rows.select(F.col(path).alias("path"), F.col(to).alias("to"))
+    wrong = wanted.where(~F.coalesce(safe_relative(F.col("to")), F.lit(False))).limit(1).collect()
+    twice = wanted.groupBy("to").count().where("count > 1").limit(1).collect()
+    if wrong or twice:
+        raise ValueError(f"can't copy to {(wrong or twice)[0]['to']!r}")
+    target = folder.rstrip("/")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import os
+
+        import pyarrow.fs as pafs
+
+        def at(uri: str):
+            return pafs.FileSystem.from_uri(uri) if ":/" in uri else (pafs.LocalFileSystem(), uri)
+
+        for b in batches:
+            sizes, errors = [], []
+            for source, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                try:
+                    (a, here), (z, there) = at(source), at(f"{target}/{name}")
+                    z.create_dir(os.path.dirname(there), recursive=True)
+                    part = f"{there}.{uuid.uuid4().hex}.part"
+                    with a.open_input_stream(here) as read, z.open_output_stream(part) as write:
+                        n = 0
+                        while chunk := read.read(1 << 20):
+                            n += write.write(chunk)
+                    z.move(part, there)
+                    sizes.append(n)
+                    errors.append(None)
+                except (OSError, pa.ArrowException) as e:
+                    sizes.append(None)
+                    errors.append(f"{type(e).__name__}: {e}")
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(errors, pa.string())], names=["path", "to", "bytes", "error"])
+
+    done = wanted.mapInArrow(run, "path string, to string, bytes long, error string").collect()
+    return spark.createDataFrame(done, "path string, to string, bytes long, error string")
+
+
 def write_recall(summary: DataFrame, folder: str) -> None:
     """Recall by app and k as one CSV with a header; as long as there are apps and ks."""
     summary.coalesce(1).orderBy("app", "k").write.mode("errorifexists").option("header", "true").csv(folder)
