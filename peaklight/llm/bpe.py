@@ -158,18 +158,22 @@ class SegmentTreeBatch:
         return [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
+#: Fixed value: the pattern by which a single space begins a match.
+SPACED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
 class TextCoder:
     """Encodes and decodes whole texts, and remembers frequent pieces.
 
-    A single space between two characters that aren't white space begins a
-    match of the pattern, so a text may be cut before it; the parts are then
-    matched alone.  Other texts are matched as a whole.
+    With the pattern SPACED a single space between two characters that aren't white space begins a
+    match, so a text may be cut before it; the parts are then
+    matched alone.  Other texts, and all texts with another pattern, are matched as a whole.
     """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.bpe = SegmentTreeBPE(ranks)
         self.batch = SegmentTreeBatch(ranks)
-        self.pattern = regex.compile(pattern)
+        self.pattern, self.cuts = regex.compile(pattern), pattern == SPACED
         self.odd = regex.compile(r"\s(?=[ ])| (?=\s)")
         #: (ids in decimal, each after a comma; the bytes decoded from them) by piece, and by part of a text
         self.pieces: dict[str, tuple[bytes, bytes]] = {}
@@ -177,6 +181,9 @@ class TextCoder:
         self.spaced: dict[str, tuple[bytes, bytes]] = {}
         self.decimal = [b",%d" % i for i in range(max(ranks.values()) + 1)]
 
+    def matches(self, text: str) -> list[str]:
+        return self.pattern.findall(text) if self.cuts else [m[0] for m in self.pattern.finditer(text) if m[0]]
+
     def _learn(self, texts: set[str]) -> None:
         """Encode pieces that aren't known yet: short ones together, the others one by one."""
         groups: dict[int, list[tuple[str, bytes]]] = {}
@@ -196,9 +203,9 @@ class TextCoder:
         """For each text the number of ids, these in decimal joined by commas, and the bytes decoded from them."""
         if len(self.spaced) > CACHE:
             self.spaced.clear()
-        spaced, findall, plans, alone, new = self.spaced, self.pattern.findall, [], {}, {}
+        spaced, findall, plans, alone, new = self.spaced, self.matches, [], {}, {}
         for text in texts:
-            if self.odd.search(text):
+            if not self.cuts or self.odd.search(text):
                 first, rest, found = text, [], []
             else:
                 first, *rest = text.split(" ")

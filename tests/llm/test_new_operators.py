@@ -226,3 +226,25 @@ def test_new_queries_equal_sql(spark, sf_dir):
     for query in (queries.op11_collocations, queries.op13_hard_negatives):
         df, want = query(spark, sf_dir), con.sql(queries.ORACLE_SQL[query.__name__])
         assert sorted(map(tuple, df.select(want.columns).collect())) == sorted(want.fetchall())
+
+
+# Byte-level BPE with other patterns
+
+
+@pytest.mark.parametrize("pattern", [None, r"\w+ ?|[^\w]+", r"(\s+)|(\S)(\S)?", r"[a-z]+|.", r"\w+| "])
+def test_other_patterns_match_whole_texts(pattern):
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    from peaklight.llm import bpe
+
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as source:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, source)}
+    pattern = pattern or public_tokenizers.PATTERN
+    assert bpe.SPACED == public_tokenizers.PATTERN
+    theirs, own, rnd = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), bpe.TextCoder(ranks, pattern), random.Random(2)
+    for _ in range(300):
+        text = "".join(rnd.choice(["a", "the ", " of", " ", "12", ".", ",", "é", "漢", "\n", "  "]) for _ in range(rnd.randint(0, 12)))
+        assert own(text)[1].decode() == ",".join(map(str, theirs.encode_ordinary(text))), text
