@@ -485,6 +485,12 @@ def cluster_reps(spark, sf_dir):
     return reduce.decluster(rows, Reduction())
 
 
+def cluster_in_passes(spark, sf_dir):
+    """The whole library as one name, too large for a task: its clusters and representatives by passes over all rows."""
+    rows = lib(spark, sf_dir).withColumn("name", F.lit("all")).withColumn("flag", F.lit("")).withColumn("fingerprint", F.when(F.col("row_id") % 41 != 0, C.doubles(F.col("vector"))))
+    return reduce.decluster(rows, Reduction(), task_rows=0)
+
+
 def workflow_stage(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations")
     return workflow.stage_status(rows, "conv_id", "turn", "role", ["system", "user", "assistant"]).select("conv_id", "events", "next_stage", "stale")
