@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,11 @@ def doubles(c: Column) -> Column:
     return c.cast("array<double>")
 
 
+def once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c) where c is evaluated once for a row, however often f names it; a column written out several times is evaluated as often."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def minmax(c: Column) -> Column:
     """Scaled to 0..1; a constant array becomes zeros."""
     low, high = F.array_min(c), F.array_max(c)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from peaklight.functions.columns import once
+
 #: A number with optional sign, fraction and exponent.
 NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
 #: A line of at least two numbers and nothing else but separators.
@@ -30,7 +32,7 @@ def first_text(*columns: Column) -> Column:
 def known_value(c: Column) -> Column:
     """Without quotes; empty where the value is stated as unknown by ? or a full stop."""
     text = F.trim(F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), r"^['\"]|['\"]$", ""))
-    return F.when(text.isin("?", ".", ""), F.lit("")).otherwise(text)
+    return F.regexp_replace(text, r"\A[?.]\z", "")
 
 
 def number_or_null(c: Column) -> Column:
@@ -39,13 +41,11 @@ def number_or_null(c: Column) -> Column:
 
 def claim(c: Column) -> Column:
     """true, false or NULL (not stated)."""
-    text = F.lower(known_value(c))
-    return F.when(text.isin("yes", "y", "true", "1"), True).when(text.isin("no", "n", "false", "0"), False)
+    return once(F.lower(known_value(c)), lambda text: F.when(text.isin("yes", "y", "true", "1"), True).when(text.isin("no", "n", "false", "0"), False))
 
 
 def processing(c: Column) -> Column:
-    text = F.lower(F.coalesce(c, F.lit("")))
-    return F.when(text.contains("processed"), "processed").when(text.contains("raw"), "raw").otherwise("unknown")
+    return once(F.lower(F.coalesce(c, F.lit(""))), lambda text: F.when(text.contains("processed"), "processed").when(text.contains("raw"), "raw").otherwise("unknown"))
 
 
 def wavelength(token: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from peaklight.functions.columns import once
 from peaklight.functions.text import NUMBER, NUMERIC_LINE, claim, first_text, known_value, processing, wavelength
 
 #: What notes say about corrections, as patterns.
@@ -14,20 +15,31 @@ CORRECTIONS = {"baseline": "(?i)baseline|background", "cosmic": "(?i)cosmic|spik
 def key_values(text: Column, limit: int = 256) -> Column:
     """Map of the leading ##KEY=VALUE lines, at most ``limit``; of equal keys the last."""
     lines = F.slice(F.split(text, "\r\n|\r|\n"), 1, limit)
-    bare = F.transform(F.filter(lines, lambda x: F.trim(x) != ""), lambda x: F.trim(x))
-    stop = F.array_position(F.transform(bare, lambda x: x.startswith("##")), False)
-    head = F.when(stop == 0, bare).otherwise(F.slice(bare, 1, F.greatest(stop - 1, F.lit(0)).cast("int")))
-    pairs = F.transform(F.filter(head, lambda x: x.contains("=")), lambda x: F.struct(F.upper(F.trim(F.regexp_extract(x, "^##([^=]*)=", 1))).alias("k"), F.trim(F.regexp_extract(x, "^##[^=]*=(.*)$", 1)).alias("v")))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda later: later["k"] == p["k"]))
-    return F.map_from_entries(last)
+
+    def leading(bare: Column) -> Column:
+        stop = F.array_position(F.transform(bare, lambda x: x.startswith("##")), False)
+        return once(stop, lambda n: F.when(n == 0, bare).otherwise(F.slice(bare, 1, F.greatest(n - 1, F.lit(0)).cast("int"))))
+
+    def last(pairs: Column) -> Column:
+        kept = F.filter(pairs, lambda p, i: ~F.get(pairs, i + 1)["k"].eqNullSafe(p["k"]))
+        return F.transform(F.array_sort(F.transform(kept, lambda p: F.struct(p["i"].alias("i"), p["k"].alias("k"), p["v"].alias("v")))), lambda p: F.struct(p["k"].alias("k"), p["v"].alias("v")))
+
+    head = once(F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x != ""), leading)
+    key, value = lambda x: F.upper(F.trim(F.regexp_extract(x, "^##([^=]*)=", 1))), lambda x: F.trim(F.regexp_extract(x, "^##[^=]*=(.*)$", 1))
+    pairs = F.transform(F.filter(head, lambda x: x.contains("=")), lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), value(x).alias("v")))
+    # In order of key and place, the last of equal keys stands before another key.
+    return F.map_from_entries(once(F.array_sort(pairs), last))
 
 
 def text_meta(text: Column) -> Column:
     """struct(name, formula) of a ##KEY=VALUE file: the name up to a semicolon, the formula without underscores."""
-    m = key_values(text)
-    name = known_value(F.trim(F.split(F.coalesce(m["NAMES"], m["NAME"], F.lit("")), ";")[0]))
-    formula = F.regexp_replace(known_value(F.coalesce(m["IDEAL CHEMISTRY"], m["CHEMISTRY"], F.lit(""))), "_", "")
-    return F.struct(F.coalesce(F.nullif(name, F.lit("")), F.lit("Unknown")).alias("name"), F.coalesce(F.nullif(formula, F.lit("")), F.lit("?")).alias("formula"))
+
+    def of(m: Column) -> Column:
+        name = known_value(F.trim(F.split(F.coalesce(m["NAMES"], m["NAME"], F.lit("")), ";")[0]))
+        formula = F.regexp_replace(known_value(F.coalesce(m["IDEAL CHEMISTRY"], m["CHEMISTRY"], F.lit(""))), "_", "")
+        return F.struct(F.coalesce(F.nullif(name, F.lit("")), F.lit("Unknown")).alias("name"), F.coalesce(F.nullif(formula, F.lit("")), F.lit("?")).alias("formula"))
+
+    return once(key_values(text), of)
 
 
 def tag(text: Column, name: str) -> Column:
@@ -45,41 +57,51 @@ def head(text: Column, lines: int) -> Column:
 
 def tag_meta(text: Column) -> Column:
     """struct(name, formula) of a tagged file, from its first 201 lines."""
-    top = head(text, 201)
-    name, formula = tag(top, "_chemical_name_mineral"), tag(top, "_chemical_formula_sum")
-    return F.struct(F.coalesce(F.nullif(name, F.lit("")), F.lit("Unknown")).alias("name"), F.coalesce(F.nullif(formula, F.lit("")), F.lit("?")).alias("formula"))
+
+    def of(top: Column) -> Column:
+        name, formula = tag(top, "_chemical_name_mineral"), tag(top, "_chemical_formula_sum")
+        return F.struct(F.coalesce(F.nullif(name, F.lit("")), F.lit("Unknown")).alias("name"), F.coalesce(F.nullif(formula, F.lit("")), F.lit("?")).alias("formula"))
+
+    return once(head(text, 201), of)
 
 
 def text_provenance(text: Column, filename: Column, folder: Column) -> Column:
     """Provenance of a ##KEY=VALUE file: header map, tokens of the file name (exactly eight, by __), quality of the folder."""
-    m = key_values(text)
     tokens = F.split(F.regexp_replace(filename, r"\.[A-Za-z]+$", ""), "__")
-    token = lambda i: F.when(F.size(tokens) == 8, F.get(tokens, F.lit(i)))
     notes = F.concat_ws(" ", F.filter(F.split(text, "\r\n|\r|\n"), lambda x: x.startswith("##")))
-    return F.struct(
-        m.alias("header"),
-        first_text(known_value(m["RRUFFID"]), token(1)).alias("reference_id"),
-        wavelength(token(3)).alias("wavelength"),
-        first_text(known_value(m["ORIENTATION"]), token(4)).alias("orientation"),
-        processing(first_text(token(6), filename)).alias("processing"),
-        F.regexp_extract(F.lower(folder), "(excellent|fair|poor|unrated)", 1).alias("quality"),
-        F.when(F.lower(folder).contains("unoriented"), "unoriented").when(F.lower(folder).contains("oriented"), "oriented").otherwise("").alias("sample_orientation"),
-        F.array_compact(F.array(*(F.when(notes.rlike(p), k) for k, p in CORRECTIONS.items()))).alias("corrections"),
-    )
+
+    def of(known: Column) -> Column:
+        m, parts = known["m"], known["tokens"]
+        token = lambda i: F.when(F.size(parts) == 8, F.get(parts, F.lit(i)))
+        return F.struct(
+            m.alias("header"),
+            first_text(known_value(m["RRUFFID"]), token(1)).alias("reference_id"),
+            wavelength(token(3)).alias("wavelength"),
+            first_text(known_value(m["ORIENTATION"]), token(4)).alias("orientation"),
+            processing(first_text(token(6), filename)).alias("processing"),
+            F.regexp_extract(F.lower(folder), "(excellent|fair|poor|unrated)", 1).alias("quality"),
+            F.when(F.lower(folder).contains("unoriented"), "unoriented").when(F.lower(folder).contains("oriented"), "oriented").otherwise("").alias("sample_orientation"),
+            F.array_compact(F.array(*(F.when(known["notes"].rlike(p), k) for k, p in CORRECTIONS.items()))).alias("corrections"),
+        )
+
+    return once(F.struct(key_values(text).alias("m"), tokens.alias("tokens"), notes.alias("notes")), of)
 
 
 def tag_provenance(text: Column) -> Column:
     """Provenance of a tagged file, from its first 512 lines."""
-    top = head(text, 512)
-    raw, done = top.contains("_raman_spectrum.raw_intensity"), top.rlike(r"(?m)^_raman_spectrum\.intensity\s*$")
-    return F.struct(
-        first_text(tag(top, "_rod_database.code"), tag(top, "_rod_database_code")).alias("reference_id"),
-        F.regexp_extract(tag(top, "_raman_measurement_device.excitation_laser_wavelength"), f"({NUMBER})", 1).try_cast("double").alias("wavelength"),
-        F.when(done, "processed").when(raw, "raw").otherwise("unknown").alias("processing"),
-        F.lower(tag(top, "_raman_determination_method")).alias("determination"),
-        claim(tag(top, "_raman_measurement.background_subtraction")).alias("background_subtracted"),
-        claim(tag(top, "_raman_measurement.baseline_correction")).alias("baseline_corrected"),
-    )
+
+    def of(top: Column) -> Column:
+        raw, done = top.contains("_raman_spectrum.raw_intensity"), top.rlike(r"(?m)^_raman_spectrum\.intensity\s*$")
+        return F.struct(
+            first_text(tag(top, "_rod_database.code"), tag(top, "_rod_database_code")).alias("reference_id"),
+            F.regexp_extract(tag(top, "_raman_measurement_device.excitation_laser_wavelength"), f"({NUMBER})", 1).try_cast("double").alias("wavelength"),
+            F.when(done, "processed").when(raw, "raw").otherwise("unknown").alias("processing"),
+            F.lower(tag(top, "_raman_determination_method")).alias("determination"),
+            claim(tag(top, "_raman_measurement.background_subtraction")).alias("background_subtracted"),
+            claim(tag(top, "_raman_measurement.baseline_correction")).alias("baseline_corrected"),
+        )
+
+    return once(head(text, 512), of)
 
 
 def meta(text: Column, path: Column) -> Column:
