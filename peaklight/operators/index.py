@@ -24,8 +24,8 @@ from peaklight.sources.writers import read_json, write_json
 
 #: Rows that a cell should hold, rows that the centres are fitted on at most, centres at most, segments that a cell is bounded by.
 CELL_ROWS, SAMPLE, CENTRES, SEGMENTS = 4096, 4096, 1024, 64
-#: Bytes of query vectors and number of queries that go to the tasks at once; rows of a tile of bounds.
-QUERY_BYTES, QUERIES, TILE = 1 << 22, 2048, 1024
+#: Bytes of query vectors and number of queries that go to the tasks at once; rows of a tile of bounds at most, and numbers that a matrix of a tile holds at most.
+QUERY_BYTES, QUERIES, TILE, NUMBERS = 1 << 22, 2048, 1024, 1 << 19
 #: Slack for the rounding of sums; scores are ranked after rounding to this many decimals.
 SLACK, DECIMALS = 1e-7, 9
 #: Cells that each query looks into first.
@@ -57,6 +57,12 @@ class Rows:
         return np.where(self.s, self.v - np.where(np.isfinite(low), low, 0.0)[:, None], 0.0)
 
 
+def tiles(rows: int, width: int) -> Iterator[slice]:
+    """Stretches of rows whose matrices of ``width`` numbers a row stay small, so that memory follows neither queries nor cells nor rows of a batch."""
+    step = max(1, min(TILE, NUMBERS // max(1, width)))
+    return (slice(a, min(rows, a + step)) for a in range(0, rows, step))
+
+
 def supports(batch: pa.RecordBatch, n: int) -> np.ndarray:
     """Masks of the support runs; of start_idx..end_idx where there are none."""
     runs, start, end = batch.column("support_runs"), batch.column("start_idx").to_numpy(zero_copy_only=False), batch.column("end_idx").to_numpy(zero_copy_only=False)
@@ -257,7 +263,8 @@ def build(library: DataFrame, folder: str, points: int, keep: list[str], cell_ro
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = (sketch(Rows.of(b, points).offset(), cuts) @ centre.T).argmax(1)
+            near = sketch(Rows.of(b, points).offset(), cuts)
+            at = np.concatenate([np.zeros(0, int), *((near[t] @ centre.T).argmax(1) for t in tiles(len(b), len(centre)))])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at, pa.int32())], names=[*b.schema.names, "centre"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
@@ -316,7 +323,9 @@ def _cell_scores(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries, least = shared.value
         n = queries.q.shape[1]
-        for b in batches:
+        # Bounds of a cell take a number for each query and segment.
+        width = len(queries.ids) * (len(edges(n)) - 1)
+        for b in (batch.slice(t.start, t.stop - t.start) for batch in batches for t in tiles(len(batch), width)):
             # Floors of cells whose rows don't fill a segment are unknown, here infinite.
             centre, most, low, floor = (b.column(c).flatten().to_numpy().reshape(len(b), -1) for c in ("centre", "most", "least", "floor"))
             always, ever = (np.array([op.reduce(np.stack([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x in own])).astype(bool) for own in b.column(c).to_pylist()]) for c, op in (("always", np.bitwise_and), ("ever", np.bitwise_or)))
@@ -334,19 +343,28 @@ def _code_scores(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries, least = shared.value
         n, top = queries.q.shape[1], np.full((len(queries.ids), 0), -1.0)
+        bar, held = least, {}
+
+        def bests(most: int) -> Iterator[pa.RecordBatch]:
+            if len(held) <= most:
+                return
+            for c, best in held.items():
+                i = np.flatnonzero((best >= bar) & (best > -1))
+                yield pa.RecordBatch.from_pydict({"query": pa.array(i, pa.int32()), "cell": pa.array(np.full(len(i), c), pa.int32()), "high": best[i], "low": pa.nulls(len(i), pa.float64())})
+            held.clear()
+
         for b in batches:
             code = np.frombuffer(b"".join(b.column("code").to_pylist()), np.uint8).reshape(len(b), n)
             scale, low, s = b.column("scale").to_numpy(), b.column("low").to_numpy(), supports(b, n)
             rows, cell = Rows(np.where(s, low[:, None] + scale[:, None] * code, 0.0), s), b.column("cell").to_numpy()
-            for a in range(0, len(b), TILE):
-                at = slice(a, a + TILE)
+            for at in tiles(len(b), max(n, len(queries.ids))):
                 below, above = coded_bounds(queries, Rows(rows.v[at], rows.s[at]), scale[at])
                 top = -np.sort(-np.hstack([top, below]), axis=1)[:, : queries.k]
                 bar = np.maximum(least, top[:, -1] if top.shape[1] == queries.k else -1.0)
                 for c in np.unique(cell[at]).tolist():
-                    best = above[:, cell[at] == c].max(1)
-                    i = np.flatnonzero((best >= bar) & (best > -1))
-                    yield pa.RecordBatch.from_pydict({"query": pa.array(i, pa.int32()), "cell": pa.array(np.full(len(i), c), pa.int32()), "high": best[i], "low": pa.nulls(len(i), pa.float64())})
+                    held[c] = np.maximum(held.get(c, -1.0), above[:, cell[at] == c].max(1))
+                yield from bests(16)
+        yield from bests(0)
         i, j = np.nonzero(top > -1)
         yield pa.RecordBatch.from_pydict({"query": pa.array(i, pa.int32()), "cell": pa.nulls(len(i), pa.int32()), "high": pa.nulls(len(i), pa.float64()), "low": top[i, j]})
 
@@ -362,8 +380,7 @@ def _whole_scores(shared, keep: list[str]):
         held: list[pa.Table] = []
         for b in batches:
             rows, ids = Rows.of(b, n), b.column("row_id")
-            for a in range(0, len(b), TILE):
-                at = slice(a, a + TILE)
+            for at in tiles(len(b), max(n, len(queries.ids))):
                 part = Rows(rows.v[at], rows.s[at])
                 _, high = coded_bounds(queries, part, np.zeros(len(part.v)))
                 i, j = np.nonzero((high >= bar[:, None]) & (high > -1))
@@ -371,7 +388,7 @@ def _whole_scores(shared, keep: list[str]):
                     continue
                 score = np.concatenate([np.round(kernels.masked_cosines(queries.q[x], part.v[y], queries.m[x] & part.s[y], queries.offset, True), DECIMALS) for x, y in ((i[p : p + TILE], j[p : p + TILE]) for p in range(0, len(i), TILE))])
                 ok = score > -1
-                held.append(pa.table({"query": pa.array(i[ok], pa.int32()), "score": score[ok], "row_id": ids.slice(a).take(pa.array(j[ok])), **{c: b.column(c).slice(a).take(pa.array(j[ok])) for c in keep}}))
+                held.append(pa.table({"query": pa.array(i[ok], pa.int32()), "score": score[ok], "row_id": ids.slice(at.start).take(pa.array(j[ok])), **{c: b.column(c).slice(at.start).take(pa.array(j[ok])) for c in keep}}))
             if held:
                 every = pa.concat_tables(held).sort_by([("query", "ascending"), ("score", "descending"), ("row_id", "ascending")])
                 q = every["query"].to_numpy()

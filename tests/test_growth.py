@@ -1,7 +1,12 @@
 """Work and memory that must not grow faster than the input."""
 
 import os
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
+
+from peaklight.operators import index
 from peaklight.plans.queries import QUERIES
 from peaklight.sources import headers
 
@@ -18,3 +23,29 @@ def test_headers_are_taken_apart_once_for_a_row(spark):
     plan = rows.select(headers.text_meta(rows.value).alias("m"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(value") == 1
     assert QUERIES["provenance_parse"](spark, SF).rdd.getNumPartitions() > 1
+
+
+def peak_mb(batches):
+    """The most memory that numpy takes while the batches are gone through, and how many there are."""
+    tracemalloc.start()
+    try:
+        n = sum(1 for _ in batches)
+        return tracemalloc.get_traced_memory()[1] / 1e6, n
+    finally:
+        tracemalloc.stop()
+
+
+class Shared:
+    def __init__(self, value):
+        self.value = value
+
+
+def test_bounds_of_cells_take_memory_of_a_tile():
+    n, cells, rng = 64, 600, np.random.default_rng(5)
+    block = index.Queries(np.arange(500), rng.random((500, n)), np.ones((500, n), bool), True, 50)
+    sides = {c: pa.array(list(rng.random((cells, n)))) for c in ("centre", "most", "least", "floor")}
+    full = pa.array([[np.packbits(np.ones(n, bool)).tobytes()]] * cells)
+    b = pa.RecordBatch.from_pydict({"cell": pa.array(np.arange(cells, dtype=np.int32)), "rows": pa.array([1] * cells), **sides, "always": full, "ever": full})
+    most, _ = peak_mb(index._cell_scores(Shared((block, np.full(500, -1.0))))(iter([b])))
+    assert most < 60
+    assert max((t.stop - t.start) * 2048 for t in index.tiles(10_000, 2048)) <= index.NUMBERS and sum(t.stop - t.start for t in index.tiles(10_000, 2048)) == 10_000
