@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ from peaklight.operators import cluster
 
 #: Order of quality flags, better first.
 FLAG_RANK = {"s": 0, "": 1, "x": 2}
+#: Points of spectra and of their fingerprints that a task works on at once (4 MB); a longer row is a slice of its own.
+SLICE_POINTS = 1 << 19
 
 
 def medoid(library: DataFrame, group: str = "label", vector: str = "vector", row: str = "row_id") -> DataFrame:
@@ -55,13 +58,23 @@ def fingerprints(sources: DataFrame, how: Reduction | None = None) -> DataFrame:
     A spectrum in order of its axis is corrected by plain asymmetric least squares, scaled to 0..1,
     interpolated on the grid of ``how`` with zeros outside, and divided by its length.  One whose axis misses the grid, or that
     vanishes on it, is ``outside``; of one that can't be read, ``failure`` tells why.  Both have a NULL fingerprint, which decluster() keeps.
-    Rows stay where they are; spectra of one length are corrected together.
+    Rows stay where they are; spectra of one length are corrected together, in slices of SLICE_POINTS, so memory follows neither the rows of a batch nor the grid.
     """
     how = how or Reduction()
     grid = np.arange(how.minimum, how.maximum + how.step / 2, how.step)
 
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [np.asarray(pc.fill_null(pc.list_value_length(batch.column(c)), 0)) for c in ("axis", "intensity")]
+            ends = np.cumsum(len(grid) + sizes[0].astype(np.int64) + sizes[1])
+            i = 0
+            while i < len(batch):
+                j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + SLICE_POINTS, "right")))
+                yield batch.slice(i, j - i)
+                i = j
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             found: list = [None] * len(b)
             for i, (x, y, error) in enumerate(zip(*(b.column(c).to_pylist() for c in ("axis", "intensity", "error")), strict=True)):
                 x, y = (np.array([] if v is None else v, float) for v in (x, y))

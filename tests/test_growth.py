@@ -6,7 +6,8 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
-from peaklight.operators import index
+from peaklight.model import Reduction
+from peaklight.operators import index, reduce
 from peaklight.plans.queries import QUERIES
 from peaklight.sources import headers
 
@@ -35,6 +36,22 @@ def peak_mb(batches):
         tracemalloc.stop()
 
 
+class Plain:
+    """Stands for a DataFrame, and gives the function that would run in its tasks."""
+
+    schema = ()
+
+    def mapInArrow(self, run, kinds):  # noqa: N802
+        return run
+
+
+def test_fingerprints_of_a_batch_are_made_in_slices():
+    x = [float(i) for i in range(100, 164)]
+    rows = pa.RecordBatch.from_pydict({"axis": pa.array([x] * 4000), "intensity": pa.array([x[::-1]] * 4000), "error": pa.nulls(4000, pa.string())})
+    most, n = peak_mb(reduce.fingerprints(Plain(), Reduction())(iter([rows])))
+    assert n > 1 and most < 40
+
+
 class Shared:
     def __init__(self, value):
         self.value = value
