@@ -297,9 +297,15 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
 
     each = stage(table.where("node is not null").groupBy("node").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch")), "each")
     info = stage(each.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("size").alias("n"), "sketch", "doc_id"), "nodes")
-    # Texts stay where they are: only the sets of candidate documents move.
-    known = spark.sparkContext.broadcast(id_filter(info.select("doc_id")))
-    sets = stage(docs.mapInArrow(_sets(k, known), "node long, tokens array<long>").join(info.select("node"), "node").dropDuplicates(["node"]), "tokens")
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        """node, tokens of some nodes.  Texts stay where they are: only these sets move, not those of all that share a key."""
+        wanted = stage(info.select("node", "doc_id").join(nodes.distinct(), "node", "left_semi"), "wanted")
+        known = spark.sparkContext.broadcast(id_filter(wanted.select("doc_id")))
+        out = stage(docs.mapInArrow(_sets(k, known), "node long, tokens array<long>").join(wanted.select("node"), "node").dropDuplicates(["node"]), "tokens")
+        known.destroy()
+        stage.drop(wanted)
+        return out
 
     def near(a: str, b: str) -> str:
         def fold(own: str, other: str) -> str:
@@ -311,9 +317,16 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
         return f"{den} * least({a}.n, {b}.n) >= {num} * greatest({a}.n, {b}.n) AND {distance} <= (({a}.n + {b}.n) * {den - num}) div {den + num}"
 
     def verified(pairs: DataFrame) -> DataFrame:
+        """The links among pairs that the sketches leave."""
+        pairs = stage(pairs, "close")
+        if pairs.isEmpty():
+            return pairs
+        sets = sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))))
         x = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b")
         x = x.select("a", "b", F.size(F.array_intersect("ta", "tb")).cast("long").alias("both"), (F.size("ta") + F.size("tb")).cast("long").alias("total"))
-        return x.where(f"{den} * both >= {num} * (total - both)").select("a", "b")
+        found = stage(x.where(f"{den} * both >= {num} * (total - both)").select("a", "b"), "found")
+        stage.drop(pairs, sets)
+        return found
 
     def labels(links: DataFrame) -> DataFrame:
         """node, label: the components so far; nodes without links have no row."""
@@ -352,7 +365,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
         pairs = stage(one.join(centre, "key").where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
         close = pairs.alias("p").join(info.alias("x"), F.expr("p.a = x.node")).join(info.alias("y"), F.expr("p.b = y.node")).where(near("x", "y")).select("a", "b")
-        found = stage(verified(close), "found")
+        found = verified(close)
         if label is not None and found.isEmpty():
             break
         links = found if links is None else links.unionByName(found)
@@ -369,7 +382,9 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
         before = heavy.agg(F.sum("size")).first()[0]
         if not before:
             break
+        sets = sets_of(heavy.select("node"))
         divided = stage(different(heavy.join(sets, "node").mapInArrow(_split(level, num, den), "key long, node long, label long")), "left")
+        stage.drop(sets)
         # Each row of a bucket meets ``size`` others.  Near copies stay together in every division, and it only repeats them.
         if (divided.agg(F.sum("size")).first()[0] or 0) > before / 2:
             stage.drop(divided)
@@ -380,7 +395,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     ready = stage(ready.join(info.select("node", "n", "sketch"), "node"), "ready")
     pairs = ready.alias("x").join(ready.alias("y"), F.expr(f"x.key = y.key AND x.label < y.label AND {near('x', 'y')}"))
     pairs = pairs.select(F.expr("least(x.node, y.node)").alias("a"), F.expr("greatest(x.node, y.node)").alias("b")).distinct()
-    found = stage(verified(pairs.join(tried, ["a", "b"], "left_anti")), "found")
+    found = verified(pairs.join(tried, ["a", "b"], "left_anti"))
 
     # Join the components that the last pass has linked; most have no links to others by now.
     ends = found.join(label.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(label.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")

@@ -86,3 +86,22 @@ def test_near_copies_are_not_multiplied_by_divisions(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in jaccard.jaccard_classes(docs).collect()}
     assert got == {i: min(i, 80) for i in range(90)}
     assert 0 < rows["ready"] <= rows["left"]
+
+
+def test_only_sets_that_the_sketches_leave_are_moved(spark, monkeypatch):
+    """Texts that merely share a passage have keys in common, but their sets stay where they are."""
+    rng = np.random.default_rng(4)
+    shared = [f"s{i}" for i in range(150)]
+    texts = [(i, " ".join(shared + [f"r{x}" for x in rng.integers(0, 1 << 40, 60)])) for i in range(80)] + [(80 + i, " ".join([f"c{k}" for k in range(209)] + [f"e{i}"])) for i in range(10)]
+    docs, moved, old = spark.createDataFrame(texts, "doc_id long, text string"), [], jaccard.Stage.__call__
+
+    def counted(self, df, name="t"):
+        out = old(self, df, name)
+        if name == "tokens":
+            moved.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard.Stage, "__call__", counted)
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_classes(docs).collect()}
+    assert got == {i: min(i, 80) for i in range(90)}
+    assert moved and sum(moved) <= 20
