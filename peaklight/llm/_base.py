@@ -20,6 +20,8 @@ from peaklight.llm._words import mix
 U = np.uint64
 #: Bits of a filter of ids that is broadcast: 16 MB at most.
 MOST_BITS = 1 << 27
+#: Partitions that its words come to the driver in; each takes a job.
+FILTER_PARTS = 8
 #: Bytes of text that one numpy block holds; a single longer row is a block of its own.
 BLOCK_BYTES = 1 << 21
 
@@ -204,7 +206,7 @@ def id_filter(ids: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_pydict({"word": pa.array(words), "set": pa.array(np.bitwise_or.reduceat(U(1) << (at & 63).astype(U), first).view(np.int64) if len(at) else np.zeros(0, np.int64))})
 
     out = np.zeros(bits // 64, np.int64)
-    for r in ids.mapInArrow(run, "word long, set long").groupBy("word").agg(F.expr("bit_or(set)").alias("set")).toLocalIterator():
+    for r in ids.mapInArrow(run, "word long, set long").groupBy("word").agg(F.expr("bit_or(set)").alias("set")).coalesce(FILTER_PARTS).toLocalIterator():
         out[r[0]] = r[1]
     return out
 
