@@ -52,7 +52,7 @@ def whole(library_rows: DataFrame) -> DataFrame:
     return library_rows.withColumn("start_idx", F.lit(0)).withColumn("end_idx", F.lit(POINTS - 1)).withColumn("support_runs", F.lit(None).cast("array<struct<start:int,end:int>>"))
 
 
-def spread(rows: DataFrame, key: str) -> DataFrame:
+def _spread(rows: DataFrame, key: str) -> DataFrame:
     """The rows dealt to three tasks for each core: a small file is one task else, however much is to be done for each row."""
     return rows.repartition(3 * rows.sparkSession.sparkContext.defaultParallelism, key)
 
@@ -343,7 +343,7 @@ def _headers(spark, sf_dir):
     value = F.concat_ws("\n", F.concat(F.lit("##NAMES="), F.col("p_name"), F.lit("; other")), F.concat(F.lit("##RRUFFID=R"), F.lpad(i.cast("string"), 6, "0")), F.concat(F.lit("##IDEAL CHEMISTRY=Fe_2_O_"), (F.col("p_size") % 5).cast("string")), F.lit("##ORIENTATION='c axis'"), F.concat(F.lit("100.5, "), i.cast("string")), F.concat(F.lit("101.5, "), F.col("p_size").cast("string"), F.lit(", 7")), F.lit("##END="))
     kind = F.when(i % 2 == 0, "Raw").otherwise("Processed")
     name = F.concat(F.lit("Quartz__R"), i.cast("string"), F.lit("__Raman__514-5__90-000__ccw__Raman_Data_"), kind, F.lit("__abc.txt"))
-    part = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"), "p_partkey")
+    part = _spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"), "p_partkey")
     return part.select(i.alias("row_id"), value.alias("value"), name.alias("filename"), F.when(i % 3 == 0, "/lib/excellent_oriented").otherwise("/lib/fair_unoriented").alias("folder"))
 
 
