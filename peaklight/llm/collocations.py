@@ -8,8 +8,9 @@ a range goes with it, so a node's ancestors are always there and the walk to the
 left parts.  The node of a phrase without its first word, its suffix link, stands in another range; links are joins of nodes, one for
 each depth, and following them gives the counts of the right parts.
 
-The corpus is read twice: first to depth two; then to full depth, but only where all pairs of neighbouring
-words occur often enough, as no other phrase can.  Which pairs do is told by a filter of bounded size that errs on the side of counting.
+The corpus is read three times.  Words and pairs, then phrases of three and four words whose pairs are frequent, are counted by the buckets that
+their hashes fall in; a phrase in a bucket with too few can't be frequent.  Tries are made in the third reading, of the others alone.  Which
+these are is told by filters of bounded size that err on the side of counting, so what a trie counts is exact.
 """
 
 from __future__ import annotations
@@ -25,13 +26,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from peaklight.llm._base import Stage, blocks, id_filter, join_counted, maybe, n_parts, small
-from peaklight.llm._words import BYTE, U, mix, segment_hashes, spans
+from peaklight.llm._words import BYTE, FOLDED, U, mix, segment_hashes, spans
 
 #: Words that are counted in one trie at first, nodes of the tries that a task gathers before they are cut, nodes that a range of the merge should hold.
 #: The number of parts grows with the product of tries and ranges, so larger executors should have larger ones.
 SHARD, GATHER, RANGE = 1 << 18, 1 << 19, 1 << 18
 #: Bytes of text that are cut into words at once.
 SLICE = 1 << 20
+#: Phrases that a task sorts into buckets at once, buckets that a range of them has at most, bits of a bucket's number at most.
+CHUNK, WIDTH, MOST = 1 << 22, 1 << 23, 32
+#: A bucket that has so many is full for any greater least count too, which errs on the side of counting.
+FULL = 1 << 30
 #: Prefixes that each shard names as possible bounds of ranges.
 SAMPLE = 64
 #: Words of a phrase at most.
@@ -167,9 +172,14 @@ def frequent(trie: Trie, least: int) -> Trie:
 
 
 def sample(trie: Trie, n: int = SAMPLE) -> list[Bound]:
-    """About ``n`` evenly spaced prefixes of the trie."""
+    """About ``n`` prefixes of the trie, with as many nodes from one to the next."""
     (_, langs, _), (above, first, _), (parent, second, _) = trie.levels[:3]
-    at = np.unique(np.linspace(0, max(0, len(second) - 1), n).astype(int)) if len(second) else np.zeros(0, int)
+    below = np.zeros(0)
+    for d in range(len(trie.levels) - 1, 1, -1):
+        size = np.ones(len(trie.levels[d][1])) + (below if d + 1 < len(trie.levels) else 0)
+        below = np.bincount(trie.levels[d][0], weights=size, minlength=len(trie.levels[d - 1][1])) if d > 2 else size
+    ends = np.cumsum(below).astype(np.int64)
+    at = np.unique(np.searchsorted(ends, np.linspace(1, ends[-1], n).astype(int))) if len(second) else np.zeros(0, int)
     if not len(at):
         at = np.unique(np.linspace(0, len(first) - 1, n).astype(int)) if len(first) else at
         return [(trie.words[int(langs[above[i]])].as_py(), trie.words[int(first[i])].as_py(), b"") for i in at]
@@ -221,86 +231,186 @@ def owned(trie: Trie, bounds: list[Bound], r: int) -> np.ndarray:
     return own
 
 
-def _chain(trie: Trie) -> tuple[np.ndarray, list[np.ndarray]]:
-    """A hash for each word, and hashes of the nodes down to the second words."""
-    off = np.frombuffer(trie.words.buffers()[1], np.int32)[trie.words.offset : trie.words.offset + len(trie.words) + 1].astype(np.int64) if len(trie.words) else np.zeros(1, np.int64)
-    buffer = trie.words.buffers()[2]
-    data = np.frombuffer(buffer, np.uint8) if buffer is not None else np.zeros(0, np.uint8)
-    word = segment_hashes(data[off[0] : off[-1]], BYTE, off[:-1] - off[0], off[1:] - off[0])
-    out = [word[trie.levels[0][1]]]
-    for parent, code, _ in trie.levels[1:3]:
-        out.append(pair_hash(out[-1][parent], word[code]))
-    return word, out
-
-
 def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a * U(0x8CB92BA72F3D8DD7) + b)
 
 
+class Block:
+    """The words of a block of texts: bytes, lengths, languages, whether the next one follows in the same piece, hashes."""
+
+    def __init__(self, data: np.ndarray, off: np.ndarray, langs: list[str]):
+        kind = KIND[data]
+        inside = kind == 0
+        starts, ends = spans(inside, off)
+        piece = np.cumsum(kind == 2, dtype=np.int32)[starts]
+        per_row = np.diff(np.searchsorted(starts, off))
+        row = np.repeat(np.arange(len(langs), dtype=np.int32), per_row)
+        self.joined = np.zeros(len(starts), bool)
+        self.joined[:-1] = (piece[1:] == piece[:-1]) & (row[1:] == row[:-1])
+        self.bytes, self.lengths = LOWER[data[inside]], (ends - starts).astype(np.int32)
+        self.names = sorted(set(langs))
+        number = {x: i for i, x in enumerate(self.names)}
+        self.langs = np.array([number[x] for x in langs], np.int32)[row]
+        spelled = [np.frombuffer(x.encode(), np.uint8) for x in self.names]
+        hashes = np.array([segment_hashes(x, BYTE, np.zeros(1, np.int64), np.array([len(x)]))[0] for x in spelled], U)
+        self.hashes = segment_hashes(data, FOLDED, starts, ends)
+        self.first = pair_hash(hashes[self.langs], self.hashes)
+
+    def phrases(self, depth: int, filters: list, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For 1 to ``depth`` words: where phrases start all whose parts may be frequent, their buckets, and which of these phrases may be frequent.
+
+        filters[d] is the filter for phrases of d + 1 words, None where all may.
+        """
+        at, hashed, good = np.arange(len(self.first)), self.first, None
+        for d in range(depth):
+            if d:
+                on = good[at] & good[at + 1] & (self.joined[at] if d == 1 else True)
+                at = at[on]
+                hashed = pair_hash(hashed[on], self.hashes[at + d])
+            bucket = (hashed >> U(64 - bits)).astype(np.uint32)
+            fits = np.ones(len(at), bool) if filters[d] is None else maybe(filters[d], bucket.astype(np.int64))
+            yield at, bucket, fits
+            good = np.zeros(len(self.first) + 1, bool)
+            good[at[fits]] = True
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+    for batch in small(batches, SLICE):
+        langs = batch.column("lang").to_pylist()
+        for i, j, data, off in blocks(batch.column("text")):
+            yield Block(data, off, langs[i:j])
+
+
+def _values(filters: list) -> list:
+    return [None if f is None else f.value for f in filters]
+
+
+def pack_counts(ids: np.ndarray, counts: np.ndarray) -> bytes:
+    """Ascending numbers below 2**32 and their counts as compressed bytes: steps and counts, all first bytes, then all second ones and so on."""
+    raw = b"".join(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for x in (np.diff(ids, prepend=ids[:0].dtype.type(0)), counts))
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
+
+
+def unpack_counts(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = pa.Codec("zstd").decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True)
+    steps, counts = (np.ascontiguousarray(x.T).view("<u4").ravel() for x in np.frombuffer(raw, np.uint8).reshape(2, 4, -1))
+    return np.cumsum(steps, dtype=np.int64), counts.astype(np.int64)
+
+
+def tally(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers in order, and how often each occurs."""
+    numbers = np.sort(numbers)
+    new = np.ones(len(numbers), bool)
+    new[1:] = numbers[1:] != numbers[:-1]
+    first = np.flatnonzero(new)
+    return numbers[first], np.diff(first, append=len(numbers))
+
+
+BUCKETS = "range int, counts binary, langs array<string>, words array<long>"
+
+
+def _bucket_pass(deeper: bool, filters: list, bits: int, width: int, n: int):
+    """Counts by buckets of all words and pairs, or of phrases of three and more words, in ranges of ``width`` buckets; with the former, words of each language."""
+
+    def rows(held: list[np.ndarray], words: dict[str, int]) -> pa.RecordBatch:
+        ids, counts = tally(np.concatenate(held))
+        ends = np.searchsorted(ids, np.arange(n + 1, dtype=np.int64) * width)
+        full = np.flatnonzero(np.diff(ends))
+        # Those of languages go with any one range.
+        at = full[len(ids) % len(full)]
+        blobs = [pack_counts(ids[ends[r] : ends[r + 1]] - np.uint32(r * width), counts[ends[r] : ends[r + 1]]) for r in full]
+        sides = [pa.array([list(x) if r == at else [] for r in full], kind) for x, kind in ((words, pa.list_(pa.string())), (words.values(), pa.list_(pa.int64())))]
+        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(blobs, pa.binary()), *sides], names=["range", "counts", "langs", "words"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, held, words = _values(filters), [], {}
+        for block in _blocks(batches):
+            found = [bucket for _, bucket, _ in block.phrases(DEPTH if deeper else 2, known, bits)]
+            held += [x for x in (found[2:] if deeper else found) if len(x)]
+            if not deeper:
+                for x, k in zip(block.names, np.bincount(block.langs, minlength=len(block.names)).tolist(), strict=True):
+                    words[x] = words.get(x, 0) + k
+            if sum(map(len, held)) >= CHUNK:
+                yield rows(held, words)
+                held, words = [], {}
+        if held:
+            yield rows(held, words)
+
+    return run
+
+
+def _full_buckets(width: int, least: int):
+    """The buckets of each range that have ``least`` or more, and the words of each language; rows come sorted by range."""
+    least = min(least, FULL)
+
+    def out(ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(ids), 1 << 16):
+            x = pa.array(ids[i : i + (1 << 16)], pa.int64())
+            yield pa.RecordBatch.from_arrays([x, pa.nulls(len(x), pa.string()), pa.nulls(len(x), pa.int64())], names=["id", "lang", "f"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total, words = None, None, {}
+        for b in batches:
+            for r, blob, langs, ks in zip(b.column("range").to_pylist(), b.column("counts"), b.column("langs").to_pylist(), b.column("words").to_pylist(), strict=True):
+                if r != at:
+                    if at is not None:
+                        yield from out(at * width + np.flatnonzero(total >= least))
+                    at, total = r, np.zeros(width, np.int32)
+                ids, counts = unpack_counts(blob.as_py())
+                total[ids] = np.minimum(total[ids] + counts, least)
+                for x, k in zip(langs, ks, strict=True):
+                    words[x] = words.get(x, 0) + k
+        if at is not None:
+            yield from out(at * width + np.flatnonzero(total >= least))
+        if words:
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(words), pa.int64()), pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["id", "lang", "f"])
+
+    return run
+
+
 class Shard:
-    """Words gathered from blocks of text until there are enough for a trie."""
+    """Words that may be frequent, gathered from blocks of text until there are enough for a trie."""
 
     def __init__(self):
-        self.bytes, self.lengths, self.joined, self.langs, self.n, self.names = [], [], [], [], 0, {}
-
-    def add(self, texts: pa.Array, langs: list[str]) -> None:
-        number = np.array([self.names.setdefault(x.encode(), len(self.names)) for x in langs], np.int32)
-        for i, j, data, off in blocks(texts):
-            kind = KIND[data]
-            inside = kind == 0
-            starts, ends = spans(inside, off)
-            piece = np.cumsum(kind == 2, dtype=np.int32)[starts]
-            per_row = np.diff(np.searchsorted(starts, off))
-            row = np.repeat(np.arange(j - i, dtype=np.int32), per_row)
-            joined = np.zeros(len(starts), bool)
-            joined[:-1] = (piece[1:] == piece[:-1]) & (row[1:] == row[:-1])
-            self.bytes.append(LOWER[data[inside]])
-            self.lengths.append((ends - starts).astype(np.int32))
-            self.joined.append(joined)
-            self.langs.append(np.repeat(number[i:j], per_row))
-            self.n += len(starts)
-
-    def trie(self, pairs: np.ndarray | None) -> Trie:
-        """To depth two, or to full depth where a filter of ``pairs`` lets all neighbours through."""
-        names = list(self.names)
+        self.bytes, self.lengths, self.depths, self.langs, self.n, self.names = [], [], [], [], 0, {}
+
+    def add(self, block: Block, filters: list, bits: int) -> None:
+        # How many words the longest phrase has that starts at each word and may be frequent; all its words are gathered then.
+        depth = np.zeros(len(block.first), np.int8)
+        for at, _, fits in block.phrases(DEPTH, filters, bits):
+            depth[at[fits]] += 1
+        keep = depth > 0
+        number = np.array([self.names.setdefault(x.encode(), len(self.names)) for x in block.names], np.int32)
+        self.bytes.append(block.bytes[np.repeat(keep, block.lengths)])
+        self.lengths.append(block.lengths[keep])
+        self.depths.append(depth[keep])
+        self.langs.append(number[block.langs[keep]])
+        self.n += int(keep.sum())
+
+    def trie(self) -> Trie:
         pa.default_memory_pool().release_unused()
         data, lengths = np.concatenate(self.bytes), np.concatenate(self.lengths)
-        words, code = sorted_codes(pa.concat_arrays([binary(lengths, data), pa.array(names, pa.binary())]))
+        words, code = sorted_codes(pa.concat_arrays([binary(lengths, data), pa.array(list(self.names), pa.binary())]))
         lang, code = code[self.n :][np.concatenate(self.langs)], code[: self.n]
-        joined = np.concatenate(self.joined)
+        depth = np.concatenate(self.depths)
         self.__init__()
-        if pairs is None:
-            return grow(words, lang, code, [np.ones(len(code), bool), joined], {0, 1, 2})
-        n = len(code)
-        hashed, _ = _chain(Trie(words, [(np.zeros(0, np.int64),) * 3]))
-        good = joined.copy()
-        at = np.flatnonzero(joined)
-        for a in range(0, len(at), 1 << 18):
-            i = at[a : a + (1 << 18)]
-            good[i] = maybe(pairs, pair_hash(pair_hash(hashed[lang[i]], hashed[code[i]]), hashed[code[i + 1]]).view(np.int64))
-        runs = [good]
-        for d in range(1, DEPTH - 1):
-            longer = np.zeros(n, bool)
-            longer[: n - d] = runs[-1][: n - d] & good[d:]
-            runs.append(longer)
-        # A phrase of three words starts where two pairs do; shorter ones are there as their paths alone.
-        return grow(words, lang, code, [runs[1], runs[1], *runs[1:]], set(range(3, DEPTH + 1)))
-
-
-def _counted(batches: Iterator[pa.RecordBatch], pairs: np.ndarray | None, size: int) -> Iterator[Trie]:
+        return grow(words, lang, code, [depth > d for d in range(DEPTH)], set(range(1, DEPTH + 1)))
+
+
+def _counted(batches: Iterator[pa.RecordBatch], filters: list, bits: int, size: int) -> Iterator[Trie]:
     shard = Shard()
-    for batch in small(batches, SLICE):
-        shard.add(batch.column("text"), batch.column("lang").to_pylist())
+    for block in _blocks(batches):
+        shard.add(block, filters, bits)
         if shard.n >= size:
-            yield shard.trie(pairs)
+            yield shard.trie()
     if shard.n:
-        yield shard.trie(pairs)
+        yield shard.trie()
 
 
-def _tries(batches: Iterator[pa.RecordBatch], pairs: np.ndarray | None, size: int) -> Iterator[Trie]:
+def _tries(batches: Iterator[pa.RecordBatch], filters: list, bits: int, size: int) -> Iterator[Trie]:
     """The tries of a task, merged as far as GATHER allows: what repeats in a task is sent once."""
     held: list[Trie] = []
-    for trie in _counted(batches, pairs, size):
+    for trie in _counted(batches, filters, bits, size):
         held.append(trie)
         if sum(map(len, held)) > GATHER:
             held = [merge(held)]
@@ -314,9 +424,9 @@ def _tries(batches: Iterator[pa.RecordBatch], pairs: np.ndarray | None, size: in
 PACKED = "trie binary, nodes long, langs array<binary>, firsts array<binary>, seconds array<binary>"
 
 
-def _first_pass(size: int):
+def _trie_pass(filters: list, bits: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for trie in _tries(batches, None, size):
+        for trie in _tries(batches, _values(filters), bits, size):
             bounds = sample(trie)
             sides = [pa.array([[b[k] for b in bounds]], pa.list_(pa.binary())) for k in range(3)]
             yield pa.RecordBatch.from_arrays([pa.array([trie.pack()], pa.binary()), pa.array([len(trie)], pa.int64()), *sides], names=["trie", "nodes", "langs", "firsts", "seconds"])
@@ -324,22 +434,12 @@ def _first_pass(size: int):
     return run
 
 
-def _slices(tries: Iterator[Trie], bounds: list[Bound]) -> Iterator[pa.RecordBatch]:
-    for trie in tries:
-        for r, part in cut(trie, bounds):
-            yield pa.RecordBatch.from_pydict({"range": pa.array([r], pa.int32()), "trie": pa.array([part.pack()], pa.binary())})
-
-
 def _cut_pass(bounds: list[Bound]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _slices((Trie.unpack(x.as_py()) for b in batches for x in b.column("trie")), bounds)
-
-    return run
-
-
-def _second_pass(bounds: list[Bound], pairs, size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _slices(_tries(batches, pairs.value, size), bounds)
+        for b in batches:
+            for blob in b.column("trie"):
+                for r, part in cut(Trie.unpack(blob.as_py()), bounds):
+                    yield pa.RecordBatch.from_pydict({"range": pa.array([r], pa.int32()), "trie": pa.array([part.pack()], pa.binary())})
 
     return run
 
@@ -361,30 +461,10 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Trie]]:
         yield at, merge(held)
 
 
-def _merge_first(bounds: list[Bound], least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r, trie in _ranges(batches):
-            parent, langs, _ = trie.levels[0]
-            above, _, count = trie.levels[1]
-            words = np.zeros(len(langs), np.int64)
-            np.add.at(words, above, np.where(owned(trie, bounds, r), count, 0))
-            trie.levels[0] = (parent, langs, words)
-            often = frequent(trie, least)
-            yield pa.RecordBatch.from_pydict({"range": pa.array([r], pa.int32()), "trie": pa.array([often.pack()], pa.binary())})
-
-    return run
-
-
-def _pair_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for blob in b.column("trie"):
-            yield pa.RecordBatch.from_pydict({"id": pa.array(_chain(Trie.unpack(blob.as_py()))[1][2].view(np.int64))})
-
-
 NODES = "lang string, depth int, phrase string, suffix string, f long, l1 long, l2 long, l3 long, child long"
 
 
-def _merge_second(bounds: list[Bound], least: int):
+def _merge_pass(bounds: list[Bound], least: int):
     names = [c.split()[0] for c in NODES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -405,43 +485,59 @@ def _merge_second(bounds: list[Bound], least: int):
                     np.maximum.at(child, trie.levels[d + 1][0], trie.levels[d + 1][2])
                 lefts = [pa.array(left[k]) if k < len(left) else pa.nulls(len(word), pa.int64()) for k in range(DEPTH - 1)]
                 none = pa.nulls(len(word), pa.string())
-                columns = [lang, pa.array(np.full(len(word), d, np.int32)), own if d == 0 else phrase, none if d < 2 else suffix, pa.array(count), *lefts, pa.array(child)]
+                columns = [lang, pa.array(np.full(len(word), d, np.int32)), none if d == 0 else phrase, none if d < 2 else suffix, pa.array(count), *lefts, pa.array(child)]
                 out = pa.RecordBatch.from_arrays(columns, names=names)
-                yield out.filter(pa.array(owned(trie, bounds, r))) if d == 1 else out
+                if d > 0:
+                    yield out.filter(pa.array(owned(trie, bounds, r))) if d == 1 else out
 
     return run
 
 
+def _dealt(parts: DataFrame, n: int) -> DataFrame:
+    return parts.repartitionById(n, F.col("range")).sortWithinPartitions("range")
+
+
 def phrases(docs: DataFrame, least: int = 30, stage: Stage | None = None, shard: int = SHARD, ranges: int = 1) -> DataFrame:
     """Every phrase of one to DEPTH words that occurs ``least`` times or more in a language, with what a trie knows of it.
 
     lang, depth, phrase, suffix (the phrase without its first word), f (its count), l1 to l3 (counts of its first words), child (largest
-    count of a phrase with one word more at its end, 0 if none has ``least``).  A row of depth 0 for each range and language has the number of words as f.
+    count of a phrase with one word more at its end, 0 if none has ``least``).  Rows of depth 0 have a number of words of the language as f; their sum is that of all.
     A trie counts about ``shard`` words at first; it doesn't change the result, nor does the least number of ``ranges``.
     """
     spark = docs.sparkSession
     stage = stage or Stage(spark, "collocations")
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    shards = stage(texts.mapInArrow(_first_pass(shard), PACKED), "shards")
+    # A bucket for every four to eight bytes, so that few rare phrases fall into one; their number grows with the corpus, that of counters in a task doesn't.
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(MOST, max(16, (size // 8).bit_length()))
+    parts = n_parts(texts)
+    n = max(parts, (1 << bits) // WIDTH)
+    width = -(-(1 << bits) // n)
+    filters, found, sent, spare = [None] * DEPTH, [], [], 0.0
+    for deeper in (False, True):
+        counts = texts.mapInArrow(_bucket_pass(deeper, list(filters), bits, width, n), BUCKETS)
+        full = stage(_dealt(counts, n).mapInArrow(_full_buckets(width, least), "id long, lang string, f long"), "full")
+        known = id_filter(full.where("id is not null").select("id"))
+        sent.append(spark.sparkContext.broadcast(known))
+        filters[2 * deeper : 2 * deeper + 2] = [sent[-1]] * 2
+        found.append(full)
+        spare = max(spare, (float(np.bitwise_count(known.view(np.uint64)).sum()) / (64 * len(known))) ** 2)
+    shards = stage(texts.mapInArrow(_trie_pass(filters, bits, shard), PACKED), "shards")
+    for one in sent:
+        one.destroy()
     nodes = shards.agg(F.sum("nodes")).first()[0] or 0
-    n = max(n_parts(texts), ranges, nodes // RANGE + 1)
+    # Once merged there is about a node for each full bucket, and for rare phrases that the filters let through.
+    words, often = (sum(x or 0 for x in y) for y in zip(*(f.agg(F.sum("f"), F.count("id")).first() for f in found), strict=True))
+    n = max(parts, ranges, min(nodes, often + int(spare * 2 * words)) // RANGE + 1)
     keys = shards.select(F.explode(F.arrays_zip("langs", "firsts", "seconds")).alias("k")).select("k.*").repartitionByRange(n, "langs", "firsts", "seconds")
     rows = keys.groupBy(F.spark_partition_id()).agg(F.min(F.struct("langs", "firsts", "seconds")).alias("k")).collect()
     # The first range has no lower bound.
     bounds = sorted({(bytes(r.k.langs), bytes(r.k.firsts), bytes(r.k.seconds)) for r in rows})[1:]
-
-    def dealt(parts: DataFrame) -> DataFrame:
-        return parts.repartitionById(len(bounds) + 1, F.col("range")).sortWithinPartitions("range")
-
     cuts = shards.select("trie").mapInArrow(_cut_pass(bounds), "range int, trie binary")
-    pairs = stage(dealt(cuts).mapInArrow(_merge_first(bounds, least), "range int, trie binary"), "pairs")
-    stage.drop(shards)
-    sent = spark.sparkContext.broadcast(id_filter(pairs.select("trie").mapInArrow(_pair_ids, "id long")))
-    deep = texts.mapInArrow(_second_pass(bounds, sent, shard), "range int, trie binary")
-    out = stage(dealt(deep.union(pairs)).mapInArrow(_merge_second(bounds, least), NODES), "nodes")
-    sent.destroy()
-    stage.drop(pairs)
-    return out
+    out = stage(_dealt(cuts, len(bounds) + 1).mapInArrow(_merge_pass(bounds, least), NODES), "nodes")
+    stage.drop(shards, found[1])
+    blank = [F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in NODES.split(", ")[5:]]
+    return out.union(found[0].where("lang is not null").select("lang", F.lit(0), F.lit(None).cast("string"), F.lit(None).cast("string"), "f", *blank))
 
 
 def mine(docs: DataFrame, least: int = 30, top: int = 2000, inside: int = 80, **how) -> DataFrame:
