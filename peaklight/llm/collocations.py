@@ -30,7 +30,7 @@ from peaklight.llm._words import BYTE, FOLDED, U, mix, segment_hashes, spans
 
 #: Words that are counted in one trie at first, nodes of the tries that a task gathers before they are cut, nodes that a range of the merge should hold.
 #: The number of parts grows with the product of tries and ranges, so larger executors should have larger ones.
-SHARD, GATHER, RANGE = 1 << 18, 1 << 19, 1 << 18
+SHARD, GATHER, RANGE = 1 << 18, 1 << 20, 1 << 18
 #: Bytes of text that are cut into words at once.
 SLICE = 1 << 20
 #: Phrases that a task sorts into buckets at once, buckets that a range of them has at most, bits of a bucket's number at most.
